@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suasion.llm import common, quality, toxicity
+from suasion.llm import common, line_dedup, quality, sharding, toxicity, url_filter
 from suasion.sources.tables import table
 
 
@@ -23,8 +23,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, url_filter.labelled_by_rules(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_sharding": op4_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op8_quality": op8_quality,
+    "op9_url_filter": op9_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE}
