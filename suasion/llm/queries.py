@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suasion.llm import common, line_dedup, quality, sharding, toxicity, url_filter
+from suasion.llm import common, line_dedup, quality, secret_scan, sharding, toxicity, url_filter
 from suasion.sources.tables import table
 
 
@@ -27,6 +27,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = {k: F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)") for k in ("assign", "access", "hex")}
+    base = F.filter("spans", lambda s: s["kind"] != "net")
+    return found.select("doc_id", *(v.alias(f"n_{k}") for k, v in kinds.items()), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,6 +48,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_sharding": op4_sharding,
+    "op5_secret_scan": op5_secret_scan,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,

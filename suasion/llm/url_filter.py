@@ -56,8 +56,12 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 def _grams(host: Column, path: Column) -> Column:
     text = F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$"))
-    cut = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in GRAMS]
-    return F.concat(*cut)
+
+    def grams(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*(grams(n) for n in GRAMS))
 
 
 def _vectors(urls: DataFrame) -> DataFrame:
