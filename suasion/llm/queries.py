@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suasion.llm import common, line_dedup, quality, secret_scan, sharding, toxicity, url_filter
+from suasion.llm import common, decontaminate, line_dedup, mixing, quality, secret_scan, sharding, topk, toxicity, url_filter
 from suasion.sources.tables import table
 
 
@@ -19,10 +19,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -45,12 +53,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.labelled_by_rules(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated, _, _ = mixing.soft_rates(docs, mixing.language_labels(docs, table(spark, sf_dir, "labels")), mixing.TARGETS)
+    return rated.select("doc_id", "tokens", *(F.col("posterior")[j].alias(f"p_{name}") for j, name in enumerate(mixing.TARGETS)), "rate", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_topk": op3_topk,
     "op4_sharding": op4_sharding,
     "op5_secret_scan": op5_secret_scan,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
