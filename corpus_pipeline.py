@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from suasion.llm import common
+from suasion.llm import common, decontaminate, mixing, ngram_join, quality, sharding
 from suasion.sources.tables import table
 
-STAGES: list = []
+#: Documents that score less are rejected.
+MIN_QUALITY = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that the line model finds poor."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), MIN_QUALITY)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each group of near-duplicates: five words, similarity 0.8 or more."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a benchmark item occurs."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents so that languages reach their target shares; none is dropped."""
+    return mixing.mix(docs, mixing.language_labels(docs, table(spark, sf_dir, "labels")), mixing.TARGETS, min_rate=1.0)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deal the corpus into contiguous shards of equal bytes."""
+    return sharding.assign_shards(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_good),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 #: Classifiers and group links can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -176,23 +176,29 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "quality", max_tr
     return np.mean(sorted(found, key=lambda w: w.tolist()), axis=0) if found else np.zeros(N_FEATURES + 2)
 
 
+def _scores(column: pa.Array, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quality, lines and good lines of each text of a batch."""
+    n = len(column)
+    out, lines, good = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for low, high, data, offsets in common.blocks(column):
+        rows, size, x = line_features(data, offsets)
+        gain = w[x].sum(1) + w[N_FEATURES - 1]
+        cuts = np.append(np.searchsorted(rows, np.arange(high - low)), len(rows))
+        for k in range(high - low):
+            a, b = cuts[k], cuts[k + 1]
+            p = marginals(gain[a:b], w[-2], w[-1])
+            out[low + k] = min(1.0, float(p @ size[a:b] / size[a:b].sum()))
+            lines[low + k], good[low + k] = b - a, (p >= 0.5).sum()
+    return out, lines, good
+
+
 def score(documents: DataFrame, weights: np.ndarray, id_column: str = "doc_id") -> DataFrame:
     """(id, score, n_lines, n_good_lines) of every row; whole texts."""
     shared = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for batch in batches:
-            out, lines, good = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for low, high, data, offsets in common.blocks(batch.column(1)):
-                rows, size, x = line_features(data, offsets)
-                gain = w[x].sum(1) + w[N_FEATURES - 1]
-                cuts = np.append(np.searchsorted(rows, np.arange(high - low)), len(rows))
-                for k in range(high - low):
-                    a, b = cuts[k], cuts[k + 1]
-                    p = marginals(gain[a:b], w[-2], w[-1])
-                    out[low + k] = min(1.0, float(p @ size[a:b] / size[a:b].sum()))
-                    lines[low + k], good[low + k] = b - a, (p >= 0.5).sum()
+            out, lines, good = _scores(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(lines), pa.array(good)], [id_column, "score", "n_lines", "n_good_lines"])
 
     kind = documents.schema[id_column].dataType.simpleString()
@@ -202,3 +208,15 @@ def score(documents: DataFrame, weights: np.ndarray, id_column: str = "doc_id")
 def quality(documents: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """doc_id and quality score of every document, by a model learnt from ``labels.quality``."""
     return score(documents, fit(documents, labels, "quality", max_train_rows))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, min_quality: float = 0.3, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """The documents that score ``min_quality`` or more, with all their columns; rows are scored as they stream by."""
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, "quality", max_train_rows))
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), shared.value)[0] >= min_quality))
+
+    return documents.mapInArrow(run, documents.schema)

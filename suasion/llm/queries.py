@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suasion.llm import common, decontaminate, line_dedup, mixing, quality, secret_scan, sharding, topk, toxicity, url_filter
+from suasion.llm import common, decontaminate, line_dedup, mixing, ngram_join, quality, secret_scan, sharding, topk, toxicity, url_filter
 from suasion.sources.tables import table
 
 
@@ -27,6 +27,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, (90, 100)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
@@ -61,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_join": op2_ngram_join,
     "op3_topk": op3_topk,
     "op4_sharding": op4_sharding,
     "op5_secret_scan": op5_secret_scan,
