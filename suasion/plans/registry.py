@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from suasion.plans import measures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measures.QUERIES}
+ORACLE_SQL: dict[str, str] = {**measures.ORACLE_SQL}
