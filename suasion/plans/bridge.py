@@ -109,3 +109,34 @@ def oracle(body: str, *names: str) -> str:
         body = body[5:]
         return "WITH " + ", ".join([*parts, body])
     return "WITH " + ", ".join(parts) + " " + body
+
+
+COPY = (
+    "Only 3 left in stock", "Selling fast", "Only 3 rooms left at this rate", "2 sizes left", "Ships in 3 business days", "Low stock items alerts", "While supplies last. Terms and conditions apply", "Almost sold out",
+    "Deal ends in 04:12", "Limited time offer, ends 09/21", "Book by Jan 7, 2027", "Open until 21:00", "Hurry, sale ends Sunday", "Your cart is reserved for 09:59",
+    "23 people are viewing this right now", "17 sold in the last 24 hours", "1,203 reviews", "482 products found", "Sarah in Denver just bought this", "People want this",
+    "You're $30 away from free shipping", "Only $30 until free shipping", "Free shipping on orders over $50", "Shipping: $5.99", "Add $12 more to get a gift",
+    "No thanks, I don't want to save money", "No thanks", "I like paying full price", "I understand this may result in a higher overall price", "Add to bag",
+)
+
+
+def _copy_case(column: str) -> str:
+    arms = " ".join("when {} then '{}'".format(i, t.replace("'", "''")) for i, t in enumerate(COPY))
+    return f"case {column} {arms} end"
+
+
+TABLES["b_copy"] = """
+    select page_id, idx, stage, raw_text, lower(raw_text) as text, has_progress, is_control, in_dialog, ephemeral, 'body>div' || cast(idx as {STR}) || case when idx % 3 = 0 then '' else '>span' end as selector_path
+    from (
+      select l_orderkey as page_id, l_linenumber * 1000 + l_partkey % 1000 as idx, case l_linenumber % 3 when 0 then 'pdp' when 1 then 'cart' else 'checkout' end as stage, """ + _copy_case("(l_orderkey + l_partkey) % 30") + """ as raw_text,
+             l_suppkey % 5 = 0 as has_progress, l_suppkey % 2 = 0 as is_control, l_suppkey % 3 = 0 as in_dialog, l_suppkey % 7 = 0 as ephemeral
+      from (select l_orderkey, l_partkey, l_linenumber, min(l_suppkey) as l_suppkey from {lineitem} group by l_orderkey, l_partkey, l_linenumber) u
+    ) x"""
+TABLES["b_price_copy"] = """
+    select l_orderkey as page_id, l_linenumber as idx, l_partkey, was, now, 'Was $' || cast(cast(floor(was / 100) as {BIG}) as {STR}) || '.' || lpad(cast(was % 100 as {STR}), 2, '0') || ' Now $' || cast(cast(floor(now / 100) as {BIG}) as {STR}) || '.' || lpad(cast(now % 100 as {STR}), 2, '0') as text
+    from (select l_orderkey, l_linenumber, l_partkey, cast(round(l_extendedprice * 100) as {BIG}) as was, cast(round(l_extendedprice * 100) as {BIG}) - cast(floor(l_extendedprice * l_discount) as {BIG}) * 100 as now from {lineitem}) p"""
+TABLES["b_nodes"] = """
+    select l_orderkey as page_id, l_linenumber as idx, 'pdp' as stage, case when l_linenumber % 2 = 1 then 'body>div' || cast(l_suppkey % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) || '>s' else 'body>div' || cast(l_suppkey % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) end as selector_path,
+           l_linenumber % 2 = 1 as struck, cast(l_quantity as {BIG}) as quantity, l_partkey % 3 = 0 as badge, 'body>div' || cast(l_suppkey % 2 as {STR}) as container_path, minor, cast(l_quantity * 20 as {DBL}) as area, l_partkey % 4 = 0 as cents_child,
+           '$' || cast(cast(floor(minor / 100) as {BIG}) as {STR}) || '.' || lpad(cast(minor % 100 as {STR}), 2, '0') as raw_text
+    from (select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey, min(l_quantity) as l_quantity, cast(round(min(l_extendedprice) * 10) as {BIG}) as minor from {lineitem} group by l_orderkey, l_linenumber) u"""
