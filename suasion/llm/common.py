@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Rows of an Arrow batch of whole texts, at most: Spark's usual 10,000 long texts would fill a worker.
+TEXT_BATCH_ROWS = 1_000
 #: Space, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -43,6 +45,15 @@ def scratch_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """The same frame; the session's Arrow batches are made small enough for whole texts, if they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXT_BATCH_ROWS:
+        conf.set(name, str(TEXT_BATCH_ROWS))
+    return df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read back.
 

@@ -153,10 +153,10 @@ def soft_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, p = _posteriors(batch.column(1), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))], ["doc_id", "tokens", "posterior"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    members = common.materialize(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens long, posterior array<double>"))
+    members = common.materialize(common.text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens long, posterior array<double>"))
     steps, _, _ = fit_rates(members, [targets[n] for n in names], min_rate)
     rate = _rate(F.col("posterior"), steps, min_rate)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / F.lit(1 << 20)
@@ -183,7 +183,7 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], mi
             for n in range(1, int(copies.max(initial=0)) + 1):
                 yield batch.filter(pa.array(copies >= n)).select(list(range(batch.num_columns - 1)))
 
-    return keyed.mapInArrow(run, documents.schema)
+    return common.text_batches(keyed).mapInArrow(run, documents.schema)
 
 
 def language_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def score(documents: DataFrame, weights: np.ndarray, id_column: str = "doc_id")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(lines), pa.array(good)], [id_column, "score", "n_lines", "n_good_lines"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return documents.select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, score double, n_lines long, n_good_lines long")
+    return common.text_batches(documents).select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, score double, n_lines long, n_good_lines long")
 
 
 def quality(documents: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
@@ -219,4 +219,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, min_quality: float = 0.3,
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), shared.value)[0] >= min_quality))
 
-    return documents.mapInArrow(run, documents.schema)
+    return common.text_batches(documents).mapInArrow(run, documents.schema)

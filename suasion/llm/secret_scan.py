@@ -216,7 +216,7 @@ def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> CharNet:
     """A network learnt from about ``max_train_docs`` documents at most and the generated findings."""
     share = min(1.0, max_train_docs / max(1, documents.count()))
     sample = documents.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 20)) < int(share * (1 << 20))))
-    found = sample.select("text").mapInArrow(_collect_findings, "x binary, y double").groupBy("x").agg(F.max("y").alias("y")).toPandas()
+    found = common.text_batches(sample).select("text").mapInArrow(_collect_findings, "x binary, y double").groupBy("x").agg(F.max("y").alias("y")).toPandas()
     gx, gy = generated_findings()
     if len(found):
         found = found.sort_values("x")
@@ -259,7 +259,7 @@ def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<start:long,end:long,kind:string,score:double>>")
+    return common.text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<start:long,end:long,kind:string,score:double>>")
 
 
 def scan(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:

@@ -113,7 +113,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(totals, -35, 35))))], [id_column, "score"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return documents.select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, score double")
+    return common.text_batches(documents).select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, score double")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
