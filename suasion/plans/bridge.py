@@ -140,3 +140,18 @@ TABLES["b_nodes"] = """
            l_linenumber % 2 = 1 as struck, cast(l_quantity as {BIG}) as quantity, l_partkey % 3 = 0 as badge, 'body>div' || cast(l_suppkey % 2 as {STR}) as container_path, minor, cast(l_quantity * 20 as {DBL}) as area, l_partkey % 4 = 0 as cents_child,
            '$' || cast(cast(floor(minor / 100) as {BIG}) as {STR}) || '.' || lpad(cast(minor % 100 as {STR}), 2, '0') as raw_text
     from (select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey, min(l_quantity) as l_quantity, cast(round(min(l_extendedprice) * 10) as {BIG}) as minor from {lineitem} group by l_orderkey, l_linenumber) u"""
+TABLES["b_lines"] = """
+    select source as site, doc_id, text from {documents}"""
+TABLES["b_labels"] = """
+    select d.doc_id as ord, d.source as site, case when l.toxic = 1 then 1 else 0 end as label, cast(d.n_chars % 1000 as {DBL}) / 1000 as score, case l.quality when 1 then 'a.one' else 'b.two' end as pattern_id
+    from {documents} d join {labels} l on d.doc_id = l.doc_id"""
+TABLES["b_label_log"] = """
+    select event_type as pattern_id, cast(user_id as {STR}) as key, event_id as seq, event_id % 2 as label, event_id % 9 = 0 as undo, case when event_id % 5 = 0 then 'scarcity' when event_id % 7 = 0 then 'other' end as also_pattern from {events}"""
+TABLES["b_titles"] = """
+    select p_partkey, p_name || ' ' || lower(p_type) || ' | ' || p_brand as title, p_brand, p_size from {part}"""
+TABLES["b_meta"] = """
+    select o_orderkey as page_id, case o_orderkey % 7 when 0 then '/checkout/step' when 1 then '/cart' when 2 then '/products/x' when 3 then '/p/9' when 4 then '/payment' when 5 then '/collections/all' else '/about' end as path,
+           o_custkey % 11 = 0 as has_cc_field, o_custkey % 5 = 0 as has_address, o_custkey % 3 = 0 as has_contact, o_custkey % 4 = 0 as has_postal, o_custkey % 6 = 0 as has_steps, o_orderkey % 3 = 0 as has_quantity, o_orderkey % 4 = 0 as has_remove, o_orderkey % 5 = 0 as has_total,
+           o_custkey % 2 = 0 as has_product_ld, o_custkey % 7 = 0 as og_product, case when o_orderkey % 13 = 0 then 1 else 0 end as place_order, o_orderkey % 5 as cart_rows, o_custkey % 4 as summary_rows, o_orderkey % 2 as checkout_cta, o_custkey % 6 as add_to_cart,
+           o_orderkey % 8 as booking_cta, case when o_custkey % 17 = 0 then 2 else 0 end as per_unit_rows, o_orderkey % 25 as priced_texts
+    from {orders}"""

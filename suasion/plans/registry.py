@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from suasion.plans import measures, patterns
+from suasion.plans import measures, patterns, tooling
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measures.QUERIES, **patterns.QUERIES}
-ORACLE_SQL: dict[str, str] = {**measures.ORACLE_SQL, **patterns.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measures.QUERIES, **patterns.QUERIES, **tooling.QUERIES}
+ORACLE_SQL: dict[str, str] = {**measures.ORACLE_SQL, **patterns.ORACLE_SQL, **tooling.ORACLE_SQL}
