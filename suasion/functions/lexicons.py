@@ -155,3 +155,16 @@ DETECTOR_STAGES = {
     "nagging.repeat_interstitial": ("browse", "pdp", "cart", "checkout"),
     "decoy.asymmetric_dominance": ("pdp", "browse", "cart"),
 }
+
+# fixed values: accepting and declining, leaving, and stating a saving
+ACCEPT = r"\b(?:accept|allow|agree|continue|yes|ok|got it|sounds good|sign me up|subscribe|get \d+% off|claim|unlock|save now)\b"
+PURCHASE = r"\b(?:add to (?:cart|bag|basket)|buy now|check ?out|place order|pay now)\b"
+DECLINE = r"\b(?:decline|no thanks?|no thank you|not now|maybe later|skip|dismiss|cancel|reject|opt out|continue without|not interested|close)\b"
+GLYPH = r"^[\s×✕✖xX✗+·—–-]*$"
+EXIT_COPY = r"\b(?:wait|don't go|dont go|before you go|before you leave|leaving so soon|hold on|one more thing|your cart is waiting|still thinking|don't miss)\b"
+EXIT_OFFER = r"\b\d{1,2}%\s*off\b|\bfree shipping\b|\bcoupon\b|\bdiscount\b"
+PERCENT_CLAIM = r"(\d{1,2})\s*%\s*(?:off|discount|savings?|less)\b|\bsave\s*(\d{1,2})\s*%"
+CLAIMED_AMOUNT = r"\b(?:saves?|saving|up to|extra)\s*[$£€¥₹]\s?[\d.,]*\d|[$£€¥₹]\s?[\d.,]*\d\s*(?:off|discount)\b"
+PAIR_GAP = r"^.*?[$£€¥₹]\s?[\d.,]*\d(.*?)[$£€¥₹]\s?[\d.,]*\d"
+MARKDOWN_WORD = r"\b(?:now|was|then|sale|flash|deal|price|prices|save|saves|saving|savings|off|you|up|to|from|msrp|reg|orig|originally|list|retail|compare|at|our|your|today|only|member|extra|coupon|clearance)\b"
+REFERENCE_WORD = r"(?:was|msrp|reg\.?|regular price|orig\.?|originally|list price|compare at|compare to|retail price)\s*:?\s*[$£€¥₹]"

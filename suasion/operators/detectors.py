@@ -113,7 +113,7 @@ def confirmshaming(candidates: DataFrame) -> DataFrame:
 def preselected(candidates: DataFrame) -> DataFrame:
     """Ticked boxes and dearer radios for costly extras that the shopper did not touch. Needs input_type, checked, touched, group_name."""
     name, t = "defaults.preselected", F.col("text")
-    price = F.element_at(parse_prices(F.col("raw_text")), 1)["amount"]
+    price = F.get(parse_prices(F.col("raw_text")), F.lit(0))["amount"]
     group = Window.partitionBy("page_id", "group_name")
     priced = candidates.withColumn("_price", F.when(F.size(parse_prices(F.col("raw_text"))) == 1, price).when(t.rlike(r"\bfree\b"), F.lit(0).cast("long")))
     radio = F.col("input_type") == "radio"
@@ -195,3 +195,55 @@ def run_text_detectors(candidates: DataFrame, log_threshold: float = 0.35) -> Da
         part = run(candidates)
         out = part if out is None else out.unionByName(part)
     return out.filter(F.col("raw_score") >= log_threshold)
+
+
+def interference(controls: DataFrame) -> DataFrame:
+    """Accept and decline buttons of one container drawn unequally: contrast, area or weight.
+
+    Needs container_path, text, area, weight, contrast. The largest accept meets the smallest decline, the first on ties.
+    """
+    accept = F.col("text").rlike(lex.ACCEPT) & ~F.col("text").rlike(lex.PURCHASE)
+    decline = F.col("text").rlike(lex.DECLINE) & ~F.col("text").rlike(lex.GLYPH) & (F.length("text") > 1)
+    facts = F.struct("area", "weight", "contrast", "idx")
+    groups = controls.filter(F.col("container_path").isNotNull()).groupBy("page_id", "container_path").agg(
+        F.count("*").alias("n"), F.max_by(facts, F.when(accept, F.struct("area", -F.col("idx")))).alias("a"), F.min_by(facts, F.when(decline, F.struct("area", "idx"))).alias("d")
+    )
+    pairs = groups.filter(F.col("n").between(2, 6) & F.col("a").isNotNull() & F.col("d").isNotNull()).filter("a.idx <> d.idx").withColumn("idx", F.col("a.idx"))
+    contrast = F.coalesce(F.col("a.contrast") / F.nullif(F.col("d.contrast"), F.lit(0.0)) > 3, F.lit(False))
+    area = F.col("a.area") / F.col("d.area") > 2
+    heavy = F.col("a.weight") - F.col("d.weight") >= 200
+    return _found(pairs.filter(contrast | area | heavy), "interference.visual_asymmetry", {"contrast": contrast, "area": area, "weight": heavy, "both": F.lit(True)}, {"contrast": 0.45, "area": 0.3, "weight": 0.15, "both": 0.2})
+
+
+def exit_intent(candidates: DataFrame, modals: DataFrame) -> DataFrame:
+    """The first node with leaving copy or an offer inside a modal that opened on exit; one for each page.
+
+    ``modals``: page_id, modal_path. A node's ancestors are exploded, so containment is an equi-join.
+    """
+    steps = F.split("selector_path", ">")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), ">"))
+    copy, offer = F.col("text").rlike(lex.EXIT_COPY), F.col("text").rlike(lex.EXIT_OFFER)
+    rows = candidates.filter(copy | offer).withColumn("_path", F.explode(above))
+    inside = rows.join(modals.select(F.col("page_id").alias("_page"), F.col("modal_path")).distinct(), (F.col("page_id") == F.col("_page")) & (F.col("_path") == F.col("modal_path")))
+    first = inside.groupBy("page_id").agg(F.min_by(F.struct("idx", copy.alias("copy"), offer.alias("offer")), "idx").alias("f")).select("page_id", "f.*")
+    return _found(first, "loss_aversion.exit_intent", {"modal": F.lit(True), "copy": F.col("copy"), "offer": F.col("offer")}, {"modal": 0.6, "copy": 0.3, "offer": 0.2})
+
+
+def framing(blocks: DataFrame) -> DataFrame:
+    """A was/now pair whose saving is stated the way that sounds larger. Needs raw_text (a container's text) and struck."""
+    t, low = F.col("raw_text"), F.lower("raw_text")
+    marked = F.regexp_replace(low, lex.CLAIMED_AMOUNT, " ")
+    prices = F.transform(parse_prices(marked), lambda p: p["amount"])
+    gap = F.regexp_extract(marked, lex.PAIR_GAP, 1)
+    chrome = F.regexp_replace(F.regexp_replace(F.regexp_replace(gap, r"\d{1,3}\s*%", " "), lex.MARKDOWN_WORD, " "), "[^a-z]", "")
+    rows = blocks.filter((F.length(t) >= 1) & (F.length(t) <= 240)).withColumn("_p", prices).filter((F.size("_p") >= 2) & (F.col("_p")[0] > F.col("_p")[1]) & (F.length(gap) <= 32) & (chrome == ""))
+    saved = (F.col("_p")[0] - F.col("_p")[1]) / 100
+    share = (F.col("_p")[0] - F.col("_p")[1]) / F.col("_p")[0] * 100
+    rows = rows.withColumn("saved", saved).withColumn("share", share)
+    percent = F.greatest(F.regexp_extract(low, lex.PERCENT_CLAIM, 1), F.regexp_extract(low, lex.PERCENT_CLAIM, 2)).try_cast("double")
+    absolute = F.get(parse_prices(F.regexp_extract(low, lex.CLAIMED_AMOUNT, 0)), F.lit(0))["amount"] / 100
+    by_percent = percent.isNotNull() & (F.abs(percent - F.col("share")) <= 3) & (F.col("share") > F.col("saved") * 2)
+    by_amount = percent.isNull() & absolute.isNotNull() & (F.abs(absolute - F.col("saved")) <= F.greatest(F.lit(1.0), F.col("saved") * 0.05)) & (F.col("saved") > F.col("share") * 2)
+    large = F.greatest("share", "saved") / F.greatest(F.lit(1.0), F.least("share", "saved")) > 4
+    reference = F.col("struck") | low.rlike(lex.REFERENCE_WORD)
+    return _found(rows.filter(by_percent | by_amount), "framing.savings_ratio", {"percent": by_percent, "absolute": by_amount, "both": F.lit(True), "large": large, "reference": reference}, {"percent": 0.5, "absolute": 0.5, "both": 0.25, "large": 0.2, "reference": 0.15})

@@ -155,3 +155,19 @@ TABLES["b_meta"] = """
            o_custkey % 2 = 0 as has_product_ld, o_custkey % 7 = 0 as og_product, case when o_orderkey % 13 = 0 then 1 else 0 end as place_order, o_orderkey % 5 as cart_rows, o_custkey % 4 as summary_rows, o_orderkey % 2 as checkout_cta, o_custkey % 6 as add_to_cart,
            o_orderkey % 8 as booking_cta, case when o_custkey % 17 = 0 then 2 else 0 end as per_unit_rows, o_orderkey % 25 as priced_texts
     from {orders}"""
+TABLES["b_controls"] = """
+    select l_orderkey as page_id, l_linenumber as idx, 'body>div' as container_path, case l_partkey % 5 when 0 then 'accept all' when 1 then 'no thanks' when 2 then 'add to cart' when 3 then 'yes, sign me up' else 'not now' end as text,
+           cast(l_quantity * 100 as {DBL}) as area, case when l_suppkey % 2 = 0 then 700 else 400 end as weight, cast(l_suppkey % 21 + 1 as {DBL}) as contrast, 'body>div' || cast(l_linenumber % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) as selector_path,
+           case l_partkey % 4 when 0 then 'wait, before you go' when 1 then 'take 10% off today' when 2 then 'join the waitlist' else 'hold on for free shipping' end as exit_text
+    from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity from {lineitem} group by l_orderkey, l_linenumber) u"""
+TABLES["b_framing"] = """
+    select page_id, idx, struck, a, b, pct, kind, 'Was $' || cast(cast(floor(a / 100) as {BIG}) as {STR}) || '.' || lpad(cast(a % 100 as {STR}), 2, '0') || ' now $' || cast(cast(floor(b / 100) as {BIG}) as {STR}) || '.' || lpad(cast(b % 100 as {STR}), 2, '0')
+           || case kind when 0 then ' ' || cast(pct as {STR}) || '% off' when 1 then ' ' || cast(pct + 7 as {STR}) || '% off' when 2 then ' save $' || cast(cast(floor((a - b) / 100) as {BIG}) as {STR}) || '.' || lpad(cast((a - b) % 100 as {STR}), 2, '0') else '' end as raw_text
+    from (
+      select p_partkey as page_id, p_partkey as idx, p_partkey % 2 = 0 as struck, (p_partkey % 900 + 5) * 100 as a, (p_partkey % 900 + 5) * (100 - (p_partkey * 7 % 17 + 1) * 5) as b, (p_partkey * 7 % 17 + 1) * 5 as pct, p_partkey % 4 as kind from {part}
+    ) x"""
+TABLES["b_inputs"] = """
+    select l_orderkey as page_id, l_linenumber as idx, case l_partkey % 3 when 0 then 'checkout' when 1 then 'pdp' else 'payment' end as stage, case when l_linenumber % 2 = 0 then 'radio' else 'checkbox' end as input_type, l_suppkey % 4 <> 0 as checked, l_suppkey % 9 = 0 as touched, 'g' as group_name,
+           cast(l_quantity as {BIG}) as dollars, case l_partkey % 5 when 0 then 'protection plan' when 1 then 'ship to multiple addresses' when 2 then 'remember me and insurance' when 3 then 'leave a tip' else 'express shipping' end as words,
+           case l_partkey % 5 when 0 then 'protection plan' when 1 then 'ship to multiple addresses' when 2 then 'remember me and insurance' when 3 then 'leave a tip' else 'express shipping' end || ' $' || cast(cast(l_quantity as {BIG}) as {STR}) || '.00' as raw_text
+    from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity from {lineitem} group by l_orderkey, l_linenumber) u"""

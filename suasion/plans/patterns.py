@@ -119,7 +119,58 @@ g AS (SELECT *, t - lag(t) OVER (PARTITION BY page_id ORDER BY t) AS gap FROM m)
 SELECT page_id, -1 AS idx, 'nagging.repeat_interstitial' AS pattern_id, round(least(1.0::DOUBLE, 0.5 + CASE WHEN count(*) >= 3 THEN 0.3 ELSE 0 END + CASE WHEN coalesce(min(gap) < 10000, false) THEN 0.25 ELSE 0 END), 6) AS raw_score FROM g GROUP BY page_id HAVING count(*) >= 2
 """
 
+
+
+def dt9_interference(spark: SparkSession, d: str) -> DataFrame:
+    return _tidy(detectors.interference(frame(spark, d, "b_controls")))
+
+
+INTERFERENCE = """
+g AS (SELECT page_id, count(*) AS n FROM b_controls GROUP BY page_id HAVING count(*) BETWEEN 2 AND 6),
+a AS (SELECT * FROM b_controls WHERE text IN ('accept all', 'yes, sign me up') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area DESC, idx) = 1),
+d AS (SELECT * FROM b_controls WHERE text IN ('no thanks', 'not now') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area, idx) = 1)
+SELECT a.page_id, a.idx, 'interference.visual_asymmetry' AS pattern_id, round(least(1.0::DOUBLE, CASE WHEN a.contrast / d.contrast > 3 THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN a.area / d.area > 2 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN a.weight - d.weight >= 200 THEN 0.15::DOUBLE ELSE 0 END + 0.2::DOUBLE), 6) AS raw_score
+FROM g JOIN a USING (page_id) JOIN d USING (page_id) WHERE a.contrast / d.contrast > 3 OR a.area / d.area > 2 OR a.weight - d.weight >= 200
+"""
+
+
+def dt13_exit_intent(spark: SparkSession, d: str) -> DataFrame:
+    c = frame(spark, d, "b_controls")
+    return _tidy(detectors.exit_intent(c.withColumn("text", F.col("exit_text")), c.filter("page_id % 3 = 0").select("page_id", F.lit("body>div1").alias("modal_path"))))
+
+
+EXIT = """
+h AS (SELECT *, exit_text IN ('wait, before you go', 'hold on for free shipping') AS leaving, exit_text IN ('take 10% off today', 'hold on for free shipping') AS offer FROM b_controls WHERE page_id % 3 = 0 AND starts_with(selector_path, 'body>div1>') AND exit_text <> 'join the waitlist' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY idx) = 1)
+SELECT page_id, idx, 'loss_aversion.exit_intent' AS pattern_id, round(least(1.0::DOUBLE, 0.6::DOUBLE + CASE WHEN leaving THEN 0.3 ELSE 0 END + CASE WHEN offer THEN 0.2 ELSE 0 END), 6) AS raw_score FROM h
+"""
+
+
+def dt12_framing(spark: SparkSession, d: str) -> DataFrame:
+    return _tidy(detectors.framing(frame(spark, d, "b_framing")))
+
+
+FRAMING = """
+s AS (SELECT *, (a - b) / 100.0::DOUBLE AS saved, (a - b)::DOUBLE / a * 100 AS share FROM b_framing WHERE a > b AND kind <> 3),
+f AS (SELECT *, kind = 0 AND abs(pct - share) <= 3 AND share > saved * 2 AS pc, kind = 2 AND saved > share * 2 AS ab FROM s)
+SELECT page_id, idx, 'framing.savings_ratio' AS pattern_id, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.25 + CASE WHEN greatest(share, saved) / greatest(1.0, least(share, saved)) > 4 THEN 0.2 ELSE 0 END + 0.15), 6) AS raw_score FROM f WHERE pc OR ab
+"""
+
+
+def dt5_preselected(spark: SparkSession, d: str) -> DataFrame:
+    return _tidy(detectors.preselected(frame(spark, d, "b_inputs").withColumn("text", F.col("raw_text"))))
+
+
+PRESELECTED = """
+r AS (SELECT *, min(dollars) OVER (PARTITION BY page_id) AS low, count(*) OVER (PARTITION BY page_id) AS n FROM b_inputs),
+k AS (SELECT *, input_type = 'radio' AND n >= 2 AND dollars > low AS dear FROM r WHERE checked AND NOT touched AND words IN ('protection plan', 'leave a tip', 'express shipping'))
+SELECT page_id, idx, 'defaults.preselected' AS pattern_id, round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.25 + CASE WHEN dear THEN 0.5 ELSE 0 END + CASE WHEN stage IN ('checkout', 'payment') THEN 0.15 ELSE 0 END), 6) AS raw_score FROM k WHERE input_type = 'checkbox' OR dear
+"""
+
 QUERIES = {
+    "dt5_preselected": dt5_preselected,
+    "dt9_interference": dt9_interference,
+    "dt12_framing": dt12_framing,
+    "dt13_exit_intent": dt13_exit_intent,
     "dt3_scarcity": lambda s, d: _tidy(detectors.scarcity(_copy(s, d))),
     "dt4_urgency": lambda s, d: _tidy(detectors.urgency(_copy(s, d))),
     "dt6_social_proof": lambda s, d: _tidy(detectors.social_proof(_copy(s, d))),
@@ -132,6 +183,10 @@ QUERIES = {
     "dt11_nagging": dt11_nagging,
 }
 ORACLE_SQL = {
+    "dt5_preselected": oracle("WITH " + PRESELECTED, "b_inputs"),
+    "dt9_interference": oracle("WITH " + INTERFERENCE, "b_controls"),
+    "dt12_framing": oracle("WITH " + FRAMING, "b_framing"),
+    "dt13_exit_intent": oracle("WITH " + EXIT, "b_controls"),
     "dt3_scarcity": STOCK,
     "dt4_urgency": URGENT,
     "dt6_social_proof": SOCIAL,
