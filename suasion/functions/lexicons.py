@@ -168,3 +168,12 @@ CLAIMED_AMOUNT = r"\b(?:saves?|saving|up to|extra)\s*[$£€¥₹]\s?[\d.,]*\d|[
 PAIR_GAP = r"^.*?[$£€¥₹]\s?[\d.,]*\d(.*?)[$£€¥₹]\s?[\d.,]*\d"
 MARKDOWN_WORD = r"\b(?:now|was|then|sale|flash|deal|price|prices|save|saves|saving|savings|off|you|up|to|from|msrp|reg|orig|originally|list|retail|compare|at|our|your|today|only|member|extra|coupon|clearance)\b"
 REFERENCE_WORD = r"(?:was|msrp|reg\.?|regular price|orig\.?|originally|list price|compare at|compare to|retail price)\s*:?\s*[$£€¥₹]"
+
+# fixed values: words of which one makes a text worth a detector's time
+TRIGGERS = (
+    "only", "left", "stock", "hurry", "ends", "expires", "sold", "viewing", "people", "was", "msrp", "compare", "list", "orig", "save", "off", "deal", "reserved", "held", "away from", "add", "unlock", "spend", "free shipping",
+    "no thanks", "i don", "i'd rather", "i understand", "i acknowledge", "i accept", "almost gone", "selling fast", "last ticket", "last seat", "last room", "last spot", "last pair", "in carts", "going fast", "supplies last",
+    "limited quantity", "limited availability", "last chance", "few left", "bought", "purchased", "ordered", "booked", "just", "someone", "claimed", "signed up", "qualify", "to go", "ending", "expiring", "closes", "sale", "offer",
+    "tonight", "final hours", "don't miss", "act now", "back in stock", "pay later", "pay over time", "fill up fast", "selling out", "unlocked", "viewed", "want this", "space limited", "spaces are limited", "price increases",
+    "prices go up", "pay full price", "risk it",
+)

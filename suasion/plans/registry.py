@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from suasion.plans import measures, patterns, streams, tooling
+from suasion.plans import archive, measures, patterns, streams, tooling
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measures.QUERIES, **patterns.QUERIES, **tooling.QUERIES, **streams.QUERIES}
-ORACLE_SQL: dict[str, str] = {**measures.ORACLE_SQL, **patterns.ORACLE_SQL, **tooling.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measures.QUERIES, **patterns.QUERIES, **tooling.QUERIES, **streams.QUERIES, **archive.QUERIES}
+ORACLE_SQL: dict[str, str] = {**measures.ORACLE_SQL, **patterns.ORACLE_SQL, **tooling.ORACLE_SQL, **streams.ORACLE_SQL, **archive.ORACLE_SQL}
