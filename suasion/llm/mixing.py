@@ -1,11 +1,14 @@
 """Mixing to target weights with soft membership.
 
 A classifier learnt from a labelled table gives every document a posterior over the target domains. Each document has
-a rate r >= min_rate; the expected tokens of domain j are the sum of r * tokens * posterior_j. Projected gradient
-descent fits the rates to the targets by least squares (errors weighed by the domains' own mass). A step moves every
-rate by a number that depends on the posterior alone, so the whole state of the fit is one short vector per step: each
-iteration is one distributed sum over the stored (tokens, posterior) rows, which replays the steps so far, and returns
-as many numbers as there are domains. Nothing per document comes to the driver, and no step shuffles documents.
+a rate r >= min_rate; the expected tokens of domain j are the sum of r * tokens * posterior_j. The rates are fitted to
+the targets by least squares (errors weighed by the domains' wanted totals), and of the rates that fit equally well those
+nearest to 1 are taken. Such rates are one gradient step from 1, projected on r >= min_rate: max(min_rate, 1 - posterior .
+step). So the whole state of the fit is one short vector, which Newton's method with a line search finds: a pass is one
+distributed sum over the stored (tokens, posterior) rows, which returns about k * k / 2 numbers for k domains. Nothing
+per document comes to the driver, and no pass shuffles documents. The passes end when every domain is within TOLERANCE of
+its wanted total (``met``), or when the projected gradient is 0, as the targets cannot be met by any rates (a warning
+gives wanted and reached shares); a fit that comes to neither within MAX_PASSES is an error.
 
 The token budget is the smallest at which no domain must shrink: targets are met by repeating, not by dropping. With
 ``min_rate`` 1 every document is kept at least once. ``copies`` realises a rate: its whole part, and one more with the
@@ -18,7 +21,9 @@ is shared among the others; an empty table gives no rows; other columns pass thr
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,7 +36,8 @@ from suasion.llm import common
 HASH_BITS = 15
 MAX_TRAIN_ROWS = 3_000
 EPOCHS, RATE, RIDGE = 6, 0.5, 1e-5
-MAX_STEPS, TOLERANCE = 30, 1e-3
+#: TOLERANCE: of each wanted total. NEAR: the weight of the rates' distance from 1 beside the errors.
+MAX_PASSES, TOLERANCE, NEAR, STATIONARY = 200, 1e-3, 1e-7, 1e-8
 #: Shares of tokens by domain of the registered query and the pipeline.
 TARGETS = {"de": 0.175, "en": 0.5, "es": 0.15, "fr": 0.175}
 _SHIFT = np.uint64(64 - HASH_BITS)
@@ -108,28 +114,71 @@ def _rate(posterior: Column, steps: list[list[float]], min_rate: float) -> Colum
     return F.aggregate(rows, F.lit(1.0), lambda r, step: F.greatest(F.lit(float(min_rate)), r - dot(step)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], min_rate: float = 0.0) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
-    """The steps of the fit on (tokens, posterior) rows, the domain totals wanted and those reached."""
-    k = len(targets)
-
-    def totals(steps: list[list[float]]) -> np.ndarray:
-        rated = members.select("tokens", "posterior", _rate(F.col("posterior"), steps, min_rate).alias("r"))
-        row = rated.agg(*(F.sum(F.col("tokens") * F.col("r") * F.col("posterior")[j]).alias(f"m{j}") for j in range(k))).first()
-        return np.array([row[j] or 0.0 for j in range(k)])
-
-    mass = totals([])
-    share = np.where(mass > 1e-9 * max(1.0, mass.sum()), targets, 0.0)
+class Fit(NamedTuple):
+    """The steps of the rates, the domain totals wanted and those reached, and whether these are within TOLERANCE."""
+
+    steps: list[list[float]]
+    wanted: np.ndarray
+    reached: np.ndarray
+    met: bool
+
+
+def fit_rates(members: DataFrame, targets: list[float], min_rate: float = 0.0) -> Fit:
+    """Fit the rates of (tokens, posterior) rows to the targets, as the module says."""
+    k, least = len(targets), float(min_rate)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measure(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Sum, over rows, of the integral of the rate; domain totals; their slopes over the rows free to move."""
+        p, t = [F.col("posterior")[j] for j in range(k)], F.col("tokens")
+        moved = sum((p[j] * F.lit(float(-step[j])) for j in range(k)), F.lit(1.0))
+        rows = members.select(t, *(p[j].alias(f"p{j}") for j in range(k)), moved.alias("x"))
+        x, rate = F.col("x"), F.greatest(F.lit(least), F.col("x"))
+        free = F.when(x >= least, t).otherwise(0)
+        row = rows.agg(
+            F.sum(t * F.when(x >= least, x * x / 2).otherwise(least * x - least * least / 2)).alias("v"),
+            *(F.sum(t * rate * F.col(f"p{j}")).alias(f"m{j}") for j in range(k)),
+            *(F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in pairs),
+        ).first()
+        slopes = np.zeros((k, k))
+        for i, j in pairs:
+            slopes[i, j] = slopes[j, i] = row[f"h{i}_{j}"] or 0.0
+        return row["v"] or 0.0, np.array([row[f"m{j}"] or 0.0 for j in range(k)]), slopes
+
+    step = np.zeros(k)
+    value, now, slopes = measure(step)
+    share = np.where(now > 1e-9 * max(1.0, now.sum()), targets, 0.0)
     if not share.sum():
-        return [], np.zeros(k), mass
+        return Fit([], np.zeros(k), now, True)
     share = share / share.sum()
     live = share > 0
-    wanted = share * (mass[live] / share[live]).max()
-    steps: list[list[float]] = []
-    now = mass
-    while len(steps) < MAX_STEPS and np.abs(now - wanted)[live].max() > TOLERANCE * wanted.max():
-        steps.append(np.where(live, (now - wanted) / np.where(live, np.maximum(mass, now), 1), 0.0).tolist())
-        now = totals(steps)
-    return steps, wanted, now
+    wanted = share * (now[live] / share[live]).max()
+    near = NEAR * wanted
+    # a convex function of the step, whose slope is wanted - now + near * step: 0 where the fit is done
+    value += (wanted @ step) + near @ step**2 / 2
+    for _ in range(MAX_PASSES):
+        error = now - wanted
+        met = bool((np.abs(error) <= TOLERANCE * wanted)[live].all())
+        slope = np.where(live, near * step - error, 0.0)
+        if met or (np.abs(slope) <= STATIONARY * wanted)[live].all():
+            return Fit([step.tolist()] if step.any() else [], wanted, now, met)
+        move = np.zeros(k)
+        move[live] = np.linalg.solve(slopes[np.ix_(live, live)] + np.diag(near[live]), -slope[live])
+        downhill, length = float(slope @ move), 1.0
+        while True:
+            tried = step + length * move
+            found, totals, free = measure(tried)
+            found += wanted @ tried + near @ tried**2 / 2
+            if found <= value + 1e-4 * length * downhill + 1e-12 * abs(value) or length < 1e-9:
+                break
+            length /= 4
+        step, value, now, slopes = tried, found, totals, free
+    raise RuntimeError(f"the rates did not settle in {MAX_PASSES} passes: wanted {wanted.tolist()}, reached {now.tolist()}")
+
+
+def shares(totals: np.ndarray, names: list[str]) -> dict[str, float]:
+    """Share of each domain in the sum of the totals (0 where there are none)."""
+    return {n: float(x) for n, x in zip(names, totals / (totals.sum() or 1.0), strict=True)}
 
 
 def _replay(p: np.ndarray, steps: list[list[float]], min_rate: float) -> np.ndarray:
@@ -139,8 +188,8 @@ def _replay(p: np.ndarray, steps: list[list[float]], min_rate: float) -> np.ndar
     return r
 
 
-def soft_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float = 0.0) -> tuple[DataFrame, np.ndarray, list[list[float]]]:
-    """doc_id, tokens, posterior (in the order of ``targets``), rate and copies of every row; the classifier; the steps.
+def soft_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float = 0.0) -> tuple[DataFrame, np.ndarray, Fit]:
+    """doc_id, tokens, posterior (in the order of ``targets``), rate and copies of every row; the classifier; the fit.
 
     ``labelled``: doc_id, domain (a key of ``targets``; other rows are not used).
     """
@@ -157,11 +206,13 @@ def soft_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, flo
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     members = common.materialize(common.text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens long, posterior array<double>"))
-    steps, _, _ = fit_rates(members, [targets[n] for n in names], min_rate)
-    rate = _rate(F.col("posterior"), steps, min_rate)
+    fit = fit_rates(members, [targets[n] for n in names], min_rate)
+    if not fit.met:
+        warnings.warn(f"no rates meet the targets; nearest shares by domain: wanted {shares(fit.wanted, names)}, reached {shares(fit.reached, names)}", stacklevel=2)
+    rate = _rate(F.col("posterior"), fit.steps, min_rate)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / F.lit(1 << 20)
     rated = members.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
-    return rated, w, steps
+    return rated, w, fit
 
 
 def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float = 1.0) -> DataFrame:
@@ -169,7 +220,7 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], mi
 
     The posteriors are worked out again from the classifier while the rows stream through, so texts are not joined.
     """
-    _, w, steps = soft_rates(documents, labelled, targets, min_rate)
+    _, w, (steps, *_) = soft_rates(documents, labelled, targets, min_rate)
     shared = documents.sparkSession.sparkContext.broadcast(w)
     keyed = documents.withColumn("_drawn", F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / F.lit(1 << 20))
     at = documents.columns.index("text")

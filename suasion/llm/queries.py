@@ -59,8 +59,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rated, _, _ = mixing.soft_rates(docs, mixing.language_labels(docs, table(spark, sf_dir, "labels")), mixing.TARGETS)
-    return rated.select("doc_id", "tokens", *(F.col("posterior")[j].alias(f"p_{name}") for j, name in enumerate(mixing.TARGETS)), "rate", "copies")
+    rated, _, fit = mixing.soft_rates(docs, mixing.language_labels(docs, table(spark, sf_dir, "labels")), mixing.TARGETS)
+    told = [F.lit(x).alias(f"{kind}_{name}") for kind, totals in (("wanted", fit.wanted), ("reached", fit.reached)) for name, x in mixing.shares(totals, list(mixing.TARGETS)).items()]
+    return rated.select("doc_id", "tokens", *(F.col("posterior")[j].alias(f"p_{name}") for j, name in enumerate(mixing.TARGETS)), "rate", "copies", *told, F.lit(fit.met).alias("met"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -160,6 +160,44 @@ def test_rates_meet_the_targets(spark):
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == once
 
 
+def skewed_members(spark, top, n=4000):
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(n):
+        p = np.full(4, 1e-3)
+        p[1 if rng.random() < top else rng.choice([0, 2, 3])] = 1
+        p = rng.dirichlet(np.ones(4)) if rng.random() < 0.05 else p / p.sum()
+        rows.append((int(rng.integers(20, 400)), p.tolist()))
+    return rows, spark.createDataFrame(rows, "tokens long, posterior array<double>")
+
+
+def assert_settled(rows, steps, wanted, reached, min_rate):
+    """Every total is within the tolerance, or no rate can improve the fit: its slope is 0, or the bound holds it."""
+    tokens, p = np.array([t for t, _ in rows]), np.array([x for _, x in rows])
+    rate = mixing._replay(p, steps, min_rate)
+    assert np.allclose((tokens * rate) @ p, reached)
+    assert rate.min() >= min_rate
+    met = np.abs(reached / wanted - 1).max() <= 1e-3
+    slope = p @ (reached / wanted - 1)
+    assert met or np.where(rate > min_rate + 1e-6, np.abs(slope), -slope).max() < 1e-4
+    return met
+
+
+@pytest.mark.parametrize(("top", "min_rate", "within"), [(0.97, 0.0, 1e-3), (0.97, 1.0, 2e-3), (0.995, 0.0, 1e-3), (0.995, 1.0, 0.02)])
+def test_skewed_sources_are_fitted_to_the_end(spark, top, min_rate, within):
+    rows, members = skewed_members(spark, top)
+    steps, wanted, reached, *met = mixing.fit_rates(members, list(mixing.TARGETS.values()), min_rate)
+    assert np.abs(reached / wanted - 1).max() <= within
+    assert met == [assert_settled(rows, steps, wanted, reached, min_rate)]
+
+
+def test_targets_out_of_reach_are_told(spark):
+    rows = [(100, [0.9, 0.1])] * 20 + [(100, [0.6, 0.4])] * 5
+    fit = mixing.fit_rates(spark.createDataFrame(rows, "tokens long, posterior array<double>"), [0.2, 0.8], 1.0)
+    assert not fit.met
+    assert not assert_settled(rows, fit.steps, fit.wanted, fit.reached, 1.0)
+
+
 def test_mixing_awkward_rows(docs, awkward, spark):
     labelled = spark.createDataFrame([(1, "en"), (5, "de"), (None, "en")], "doc_id long, domain string")
     out = mixing.soft_rates(docs(awkward), labelled, mixing.TARGETS)[0].collect()
