@@ -3,10 +3,12 @@
 Candidates are all runs of 16 or more characters of ``[A-Za-z0-9+/_.=-]`` that hold a digit and a letter. The network
 reads a window of WINDOW characters (the candidate's head and what stands before it, then its tail and what follows),
 embeds character classes, convolves, pools and gives a logit; it is a few thousand numbers. It learns from labelled
-findings: base matches in a bounded, hash-chosen sample of documents (``max_train_docs``) against other candidates
-there, joined by generated findings of known label (a fixed seed), so that a corpus with few secrets will do as well.
-A held-back third calibrates the logit (Platt) and sets the threshold: the highest one that keeps TARGET_RECALL of the
-secrets. Base spans always stay; candidates over the threshold that touch no base span are added as kind ``net``.
+findings: secrets are base matches in a bounded, hash-chosen sample of documents (``max_train_docs``) and generated ones;
+harmless are generated runs and those of the sample that have a strict harmless shape (host names, dates, versions).
+Other candidates of the sample may be secrets that the base patterns miss, so they are not used. Windows are bounded by
+hash too (``MAX_TRAIN_WINDOWS``), and the fit is one task. Held-back generated findings of kinds that the base patterns
+miss calibrate the logit (Platt) and set the threshold: the highest one that keeps TARGET_RECALL of those secrets. Base
+spans always stay; candidates over the threshold that touch no base span are added as kind ``net``.
 
 Defined results: a null or empty text has no spans; whole texts are read; spans are in code points, end exclusive;
 repeated rows are scanned one by one; an empty table gives no rows; other columns are not read.
@@ -14,10 +16,12 @@ repeated rows are scanned one by one; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +34,14 @@ HEX = re.compile(r"[0-9a-f]+")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 KINDS = ("assign", "access", "hex", "net")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-MAX_TRAIN_DOCS = 5_000
+#: Runs that are harmless by their shape alone: dates and times, versions, host names of plain words.
+HARMLESS = re.compile(
+    r"""(?:19|20)\d\d-[01]\d-[0-3]\d(?:[T_-][0-2]\d[.-]?[0-5]\d[.-]?[0-5]\d(?:\.\d{1,6})?Z?)?(?:[._-][a-z]{2,9}){0,4}"""
+    r"""|[vV]?\d{1,3}(?:\.\d{1,4}){1,3}(?:[-.+_](?:[a-z]{2,9}|\d{1,3})){0,5}"""
+    r"""|(?:(?:[a-z]{2,9}|[a-z]{1,6}\d{1,3})[.-]){1,5}(?:com|org|net|io|de|fr|es|uk|eu|edu|gov|example|local|internal)\.?""",
+    re.ASCII,
+)
+MAX_TRAIN_DOCS, MAX_TRAIN_WINDOWS = 5_000, 20_000
 TARGET_RECALL = 0.95
 BEFORE, INSIDE = 16, 32
 WINDOW = BEFORE + INSIDE
@@ -145,11 +156,12 @@ class CharNet:
             np.add.at(k[j], x[:, j : j + a.shape[1]].ravel(), da.reshape(-1, CHANNELS))
         return {"k": k, "c": da.sum((0, 1)), "v": pooled.T @ d, "b": d.sum(keepdims=True)}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> CharNet:
-        """Adam on two thirds of the rows; calibration and threshold on the rest."""
+    def fit(self, x: np.ndarray, y: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5) -> CharNet:
+        """Adam; calibration and threshold on ``held``, or on a third of the rows that is then not learnt from."""
         rng = np.random.default_rng(seed)
-        order = rng.permutation(len(x))
-        held, used = order[: len(x) // 3], order[len(x) // 3 :]
+        used = rng.permutation(len(x))
+        if held is None:
+            held, used = (x[used[: len(x) // 3]], y[used[: len(x) // 3]]), used[len(x) // 3 :]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
@@ -163,18 +175,25 @@ class CharNet:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     s[k] = 0.999 * s[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-        z, t = self.logits(x[held]), y[held]
+        z, t = self.logits(held[0]), held[1]
         for _ in range(200):  # Platt: scale and shift by gradient steps
             p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -35, 35)))
             self.scale -= 0.05 * float(((p - t) * z).mean())
             self.shift -= 0.05 * float((p - t).mean())
-        secrets = np.sort(self.probability(x[held][t == 1]))
+        secrets = np.sort(self.probability(held[0][t == 1]))
         self.threshold = float(secrets[int(len(secrets) * (1 - TARGET_RECALL))]) if len(secrets) else 0.5
         return self
 
 
-def generated_findings(n: int = 600, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of made-up secrets (1) and of harmless long runs (0): names, paths, hosts, dates, versions, counters."""
+#: How keys of some providers begin.
+PREFIXES = ("ghp_", "gho_", "sk_live_", "pk_live_", "sk-", "xoxb-", "glpat-", "AIza", "npm_", "pypi-")
+
+
+def generated_findings(n: int = 600, seed: int = 11, missed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of made-up secrets (1) and of harmless long runs (0): names, paths, hosts, dates, versions, counters.
+
+    ``missed``: only secrets that the base patterns miss, half of them with a provider's prefix.
+    """
     rng = np.random.default_rng(seed)
     alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
     leads = ("key = ", "token: ", 'secret="', "auth: Bearer ", "the ", "", "export KEY=", "id ")
@@ -194,7 +213,11 @@ def generated_findings(n: int = 600, seed: int = 11) -> tuple[np.ndarray, np.nda
         label = k % 2
         body = "".join(rng.choice(list(alphabets[rng.integers(len(alphabets))]), rng.integers(20, 60))) if label else harmless[rng.integers(len(harmless))]().ljust(16, "1")
         before = f"{word()} {word()} " + (leads[rng.integers(len(leads))] if label or rng.random() < 0.3 else "")
+        if label and missed and rng.random() < 0.5:
+            body = PREFIXES[rng.integers(len(PREFIXES))] + body
         text = f"{before}{body} {word()} {word()}"
+        if label and missed and base_spans(text):
+            continue
         x.append(encode(text, len(before), len(before) + len(body)))
         y.append(label)
     return np.array(x), np.array(y, float)
@@ -207,8 +230,10 @@ def _collect_findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             base = base_spans(text)
             taken = lambda a, b, base=base: any(a < e and s < b for s, e, _ in base)
             for a, b in candidates(text):
-                x.append(encode(text, a, b).tobytes())
-                y.append(float(taken(a, b)))
+                secret = taken(a, b)
+                if secret or HARMLESS.fullmatch(text, a, b):
+                    x.append(encode(text, a, b).tobytes())
+                    y.append(float(secret))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.float64())], ["x", "y"])
 
 
@@ -216,13 +241,20 @@ def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> CharNet:
     """A network learnt from about ``max_train_docs`` documents at most and the generated findings."""
     share = min(1.0, max_train_docs / max(1, documents.count()))
     sample = documents.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 20)) < int(share * (1 << 20))))
-    found = common.text_batches(sample).select("text").mapInArrow(_collect_findings, "x binary, y double").groupBy("x").agg(F.max("y").alias("y")).toPandas()
-    gx, gy = generated_findings()
-    if len(found):
-        found = found.sort_values("x")
-        gx = np.vstack([gx, np.frombuffer(b"".join(bytes(v) for v in found["x"]), np.int8).reshape(-1, WINDOW)])
-        gy = np.append(gy, found["y"].to_numpy())
-    return CharNet().fit(gx, gy)
+    found = common.materialize(common.text_batches(sample).select("text").mapInArrow(_collect_findings, "x binary, y double").groupBy("x").agg(F.max("y").alias("y")))
+    kept = min(1.0, MAX_TRAIN_WINDOWS / max(1, found.count()))
+    windows = found.filter(F.pmod(F.xxhash64("x", F.lit("windows")), F.lit(1 << 20)) < int(kept * (1 << 20)))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["y"] >= 0].sort_values("x")
+        made = [generated_findings(), generated_findings(1200, 12, missed=True)]
+        seen = np.frombuffer(b"".join(bytes(v) for v in pdf["x"]), np.int8).reshape(-1, WINDOW)
+        x, y = np.vstack([*(m[0] for m in made), seen]), np.concatenate([*(m[1] for m in made), pdf["y"].to_numpy()])
+        return pd.DataFrame({"net": [pickle.dumps(CharNet().fit(x, y, generated_findings(1200, 13, missed=True)))]})
+
+    # a row that is no finding: without any, the network still learns from what is generated
+    none = documents.sparkSession.range(1).select(F.lit(b"").alias("x"), F.lit(-1.0).alias("y"))
+    return pickle.loads(windows.unionByName(none).withColumn("shard", F.lit(0)).groupBy("shard").applyInPandas(learn, "net binary").first()["net"])
 
 
 def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:

@@ -127,6 +127,17 @@ def test_network_adds_unlabelled_secrets_and_leaves_prose_alone(docs):
     assert secret_scan.scan(docs([])).count() == 0
 
 
+def test_missed_secrets_are_not_taught_as_harmless(docs):
+    rng = np.random.default_rng(23)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = [lead + "".join(rng.choice(letters, 36)) for lead in ("ghp_", "sk_live_", "Qz7") for _ in range(700)]
+    rows = [(k, f"deploy with {key} on monday") for k, key in enumerate(keys)]
+    rows += [(len(keys) + k, f"see shop{k}.example.com and release 2.{k}.14-beta-linux on 2024-05-17_weekly-report") for k in range(100)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs(rows)).collect()}
+    assert np.mean([any(s["kind"] == "net" for s in got[k]) for k in range(len(keys))]) >= 0.95
+    assert np.mean([not got[len(keys) + k] for k in range(100)]) >= 0.9
+
+
 def test_network_calibration_keeps_recall():
     x, y = secret_scan.generated_findings(800, seed=99)
     net = secret_scan.CharNet().fit(*secret_scan.generated_findings())
