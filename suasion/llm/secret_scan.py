@@ -1,14 +1,16 @@
 """Secret scans: base patterns, and a character convolutional network over every further candidate in its context.
 
 Candidates are all runs of 16 or more characters of ``[A-Za-z0-9+/_.=-]`` that hold a digit and a letter. The network
-reads a window of WINDOW characters (the candidate's head and what stands before it, then its tail and what follows),
+reads windows of WINDOW characters: INSIDE from a place in the candidate on, and the BEFORE characters before them. A
+candidate of up to INSIDE characters has one, a longer one overlapping ones from its head to past its tail, so all of it
+and the text on both sides is read; its score is its windows' highest. The network
 embeds character classes, convolves, pools and gives a logit; it is a few thousand numbers. It learns from labelled
 findings: secrets are base matches in a bounded, hash-chosen sample of documents (``max_train_docs``) and generated ones;
 harmless are generated runs and those of the sample that have a strict harmless shape (host names, dates, versions).
 Other candidates of the sample may be secrets that the base patterns miss, so they are not used. Windows are bounded by
 hash too (``MAX_TRAIN_WINDOWS``), and the fit is one task. Held-back generated findings of kinds that the base patterns
 miss calibrate the logit (Platt) and set the threshold: the highest one that keeps TARGET_RECALL of those secrets. Base
-spans always stay; candidates over the threshold that touch no base span are added as kind ``net``.
+spans always stay; candidates over the threshold, or what base spans leave over of them, are added as kind ``net``.
 
 Defined results: a null or empty text has no spans; whole texts are read; spans are in code points, end exclusive;
 repeated rows are scanned one by one; an empty table gives no rows; other columns are not read.
@@ -103,19 +105,37 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Class codes of a candidate's window: BEFORE characters of context, then its head, and for long ones its tail."""
+def rests(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """The candidates of a text, and in place of those that touch base spans what these leave over, if it is a candidate too."""
+    out = []
+    for start, end in candidates(text):
+        at = start
+        for s, e, _ in [*sorted(x for x in base if x[0] < end and start < x[1]), (end, end, "")]:
+            if (at, s) == (start, end) or s - at >= 16 and any(c.isdigit() for c in text[at:s]) and any(c.isalpha() for c in text[at:s]):
+                out.append((at, s))
+            at = max(at, e)
+    return out
+
+
+def places(start: int, end: int) -> list[int]:
+    """Where the windows of a candidate begin."""
     half = INSIDE // 2
-    body = text[start:end]
-    if len(body) > INSIDE:
-        body = body[:half] + body[-half:]
-    else:
-        body = (body + text[end : end + INSIDE])[:INSIDE]
-    raw = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + body.ljust(INSIDE, "\0")
+    return [start] if end - start <= INSIDE else [*range(start, end - INSIDE, half), end - INSIDE, end - half]
+
+
+def encode(text: str, at: int) -> np.ndarray:
+    """Class codes of a window: BEFORE characters of context, then INSIDE characters."""
+    raw = text[max(0, at - BEFORE) : at].rjust(BEFORE, "\0") + text[at : at + INSIDE].ljust(INSIDE, "\0")
     code = np.fromiter((ord(c) for c in raw), np.int64, WINDOW)
     return np.where(code == 0, 0, np.where(code < 128, CLASS[np.minimum(code, 127)], 7)).astype(np.int8)
 
 
+def secret_places(run: tuple[int, int], secret: tuple[int, int]) -> list[int]:
+    """Those windows of a run that show enough of a secret in it to be told by."""
+    need = min(INSIDE // 2, secret[1] - secret[0], run[1] - run[0])
+    return [at for at in places(*run) if min(at + INSIDE, secret[1], run[1]) - max(at, secret[0], run[0]) >= need]
+
+
 class CharNet:
     """Embedded classes, one convolution of width WIDTH, ReLU, max and mean pooling, one logit."""
 
@@ -192,7 +212,7 @@ PREFIXES = ("ghp_", "gho_", "sk_live_", "pk_live_", "sk-", "xoxb-", "glpat-", "A
 def generated_findings(n: int = 600, seed: int = 11, missed: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Windows of made-up secrets (1) and of harmless long runs (0): names, paths, hosts, dates, versions, counters.
 
-    ``missed``: only secrets that the base patterns miss, half of them with a provider's prefix.
+    ``missed``: only secrets that the base patterns miss, half of them with a provider's prefix, a third inside a path.
     """
     rng = np.random.default_rng(seed)
     alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
@@ -215,11 +235,17 @@ def generated_findings(n: int = 600, seed: int = 11, missed: bool = False) -> tu
         before = f"{word()} {word()} " + (leads[rng.integers(len(leads))] if label or rng.random() < 0.3 else "")
         if label and missed and rng.random() < 0.5:
             body = PREFIXES[rng.integers(len(PREFIXES))] + body
-        text = f"{before}{body} {word()} {word()}"
+        head, tail = "", ""
+        if missed and rng.random() < 0.33:
+            head, tail = f"//{word()}.example/{word()}/v{rng.integers(1, 9)}/", "".join(f"/{word()}" for _ in range(rng.integers(0, 5)))
+        text = f"{before}{head}{body}{tail} {word()} {word()}"
         if label and missed and base_spans(text):
             continue
-        x.append(encode(text, len(before), len(before) + len(body)))
-        y.append(label)
+        start = len(before) + len(head)
+        run, secret = (len(before), start + len(body) + len(tail)), (start, start + len(body))
+        for at in secret_places(run, secret) if label else places(*run):
+            x.append(encode(text, at))
+            y.append(label)
     return np.array(x), np.array(y, float)
 
 
@@ -228,12 +254,11 @@ def _collect_findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         x, y = [], []
         for text in batch.column(0).to_pylist():
             base = base_spans(text)
-            taken = lambda a, b, base=base: any(a < e and s < b for s, e, _ in base)
             for a, b in candidates(text):
-                secret = taken(a, b)
-                if secret or HARMLESS.fullmatch(text, a, b):
-                    x.append(encode(text, a, b).tobytes())
-                    y.append(float(secret))
+                secret = sorted({at for s, e, _ in base if a < e and s < b for at in secret_places((a, b), (max(a, s), min(b, e)))})
+                for at in secret or (places(a, b) if HARMLESS.fullmatch(text, a, b) else []):
+                    x.append(encode(text, at).tobytes())
+                    y.append(float(bool(secret)))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.float64())], ["x", "y"])
 
 
@@ -266,7 +291,7 @@ def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
         for batch in batches:
             column = batch.column(1)
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            asked, where = [], []
+            asked, where, first = [], [], []
             for low, high, data, offsets in common.blocks(column):
                 worth = _has_run(data, offsets)
                 folded = data.tobytes().lower()
@@ -277,12 +302,12 @@ def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
                     text = data[a:b].tobytes().decode()
                     base = _fast_base(text)
                     spans[low + k] = [{"start": s, "end": e, "kind": kind, "score": 1.0} for s, e, kind in base]
-                    for s, e in candidates(text):
-                        if not any(s < y and x < e for x, y, _ in base):
-                            asked.append(encode(text, s, e))
-                            where.append((low + k, s, e))
+                    for s, e in rests(text, base):
+                        first.append(len(asked))
+                        asked += [encode(text, at) for at in places(s, e)]
+                        where.append((low + k, s, e))
             if asked:
-                for (row, s, e), p in zip(where, model.probability(np.array(asked)), strict=True):
+                for (row, s, e), p in zip(where, np.maximum.reduceat(model.probability(np.array(asked)), first), strict=True):
                     if p >= model.threshold:
                         spans[row].append({"start": s, "end": e, "kind": "net", "score": float(p)})
             for found in spans:
