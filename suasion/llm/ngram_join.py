@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suasion.llm import common
@@ -261,7 +261,8 @@ def fingerprints(documents: DataFrame, words: int, threshold: tuple[int, int]) -
 def _allowed_edges(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Edges (a, b) between nodes that the count-vector bound lets be linked."""
     routes = nodes.select(F.col("doc_id").alias("node"), F.explode("prefix").alias("key"))
-    met = routes.withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1")
+    counted = routes.groupBy(F.col("key").alias("met_key")).agg(F.count("*").alias("met")).filter("met > 1")
+    met = routes.join(counted, F.col("key") == F.col("met_key")).select("node", "key", "met")
     vectors = nodes.select(F.col("doc_id").alias("owner"), "n", "counts")
     tiles = F.ceil(F.col("met") / BUCKET_ROWS).cast("int")
     tile = F.pmod(F.xxhash64("node", F.lit("tile")), tiles).cast("int")

@@ -60,6 +60,12 @@ def test_components_match_brute_force(docs, awkward, words, num, seed, monkeypat
     assert all(any(r["n_shingles"] == len(s) for s in sets[r["doc_id"]]) for r in got)
 
 
+def test_hot_shingles_are_counted_in_parts(spark):
+    nodes = spark.createDataFrame([(1, 1, b"", [7]), (2, 1, b"", [7])], "doc_id long, n long, counts binary, prefix array<long>")
+    plan = ngram_join._allowed_edges(nodes, (90, 100))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(0)
     base = [np.unique(rng.integers(0, 2**63, 120, dtype=np.uint64)) for _ in range(6)]
