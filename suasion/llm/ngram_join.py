@@ -336,10 +336,12 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, threshold: tupl
     keys = classes.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "class_id")
     first = whole.join(keys, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("doc_id") == F.col("class_id"))).dropDuplicates(["doc_id", "s1", "s2"])
     nodes = common.materialize(first.select("doc_id", "n", "counts", "prefix"))
-    joined = components(_links(documents, nodes, words, threshold)).withColumnRenamed("component", "joined")
+    # a document is of the class of each of its texts, so these hang together by it
+    same = whole.select("doc_id", "s1", "s2").join(keys, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2"))).filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+    joined = components(_links(documents, nodes, words, threshold).unionByName(same)).withColumnRenamed("component", "joined")
     members = prints.select("doc_id", "n", "s1", "s2").join(keys, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") > 0), "left")
-    labelled = members.join(joined, F.col("class_id") == F.col("node"), "left")
     own = F.coalesce("class_id", "doc_id")
+    labelled = members.join(joined, own == F.col("node"), "left")
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("joined", own)).alias("component_id"))
 
 

@@ -60,6 +60,13 @@ def test_components_match_brute_force(docs, awkward, words, num, seed, monkeypat
     assert all(any(r["n_shingles"] == len(s) for s in sets[r["doc_id"]]) for r in got)
 
 
+def test_a_document_is_linked_by_any_of_its_texts(docs):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(3, b), (5, a), (5, b), (7, a + " more"), (9, "alone"), (7, "")]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(docs(rows), 3, (90, 100)).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (9, 9)}
+
+
 def test_hot_shingles_are_counted_in_parts(spark):
     nodes = spark.createDataFrame([(1, 1, b"", [7]), (2, 1, b"", [7])], "doc_id long, n long, counts binary, prefix array<long>")
     plan = ngram_join._allowed_edges(nodes, (90, 100))._jdf.queryExecution().optimizedPlan().toString()
