@@ -1,7 +1,8 @@
-"""Shared pieces: byte-level text views for Arrow batches, hashing, sampling, lineage cuts."""
+"""Shared pieces: byte-level text views for Arrow batches, hashing, sampling, free names, lineage cuts."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 18
-#: Rows of an Arrow batch of whole texts, at most: Spark's usual 10,000 long texts would fill a worker.
-TEXT_BATCH_ROWS = 1_000
+#: Text bytes of a slice of an Arrow batch (Spark bounds the batch itself by bytes); one longer text is a slice of its own.
+SLICE_BYTES = 1 << 21
+#: Hash samples are taken out of so many values: fine enough for a few thousand rows out of any table.
+HASH_RANGE = 1 << 62
 #: Space, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -33,7 +36,11 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none, a temporary one is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder does for one local JVM; on a cluster that is an error, as
+    executors do not see each other's disks.
+    """
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if given:
@@ -41,17 +48,33 @@ def scratch_root(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="suasion-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """The same frame; the session's Arrow batches are made small enough for whole texts, if they are larger."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= TEXT_BATCH_ROWS:
-        conf.set(name, str(TEXT_BATCH_ROWS))
-    return df
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores added as keep it from meeting one of ``columns`` (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices (not copied) of about SLICE_BYTES of text in column ``at``, so what a task holds for them is bounded."""
+    for batch in batches:
+        for low, high, _, _ in blocks(batch.column(at), SLICE_BYTES):
+            yield batch.slice(low, high - low)
+
+
+def texts(column: pa.Array) -> list[str]:
+    """The texts (null as empty); each run of bytes that is not UTF-8 is read as U+FFFD."""
+    return [(x.as_py() or b"").decode("utf-8", "replace") for x in column.cast(pa.binary())]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -72,6 +95,16 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def in_sample(share: float, *key: Column | str) -> Column:
+    """Whether a row falls in a sample of about ``share`` of all, by the hash of ``key``: the same rows in any layout."""
+    return F.pmod(F.xxhash64(*key), F.lit(HASH_RANGE)) < F.lit(int(min(1.0, share) * HASH_RANGE))
+
+
+def shards_of(rows: int, max_rows: int, shard_rows: int) -> int:
+    """Into how many shards a sample of at most ``max_rows`` out of ``rows`` rows is cut."""
+    return max(1, round(min(rows, max_rows) / shard_rows))
+
+
 def training_sample(documents: DataFrame, labels: DataFrame, target: str, max_rows: int, shard_rows: int) -> tuple[DataFrame, int]:
     """Labelled texts to learn from: (shard int, order_key long, label int, text string) and the number of shards.
 
@@ -80,19 +113,24 @@ def training_sample(documents: DataFrame, labels: DataFrame, target: str, max_ro
     ``max_rows`` or so rows, which bounds the broadcast.
     """
     named = labels.select("doc_id", F.col(target).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    share = min(1.0, max_rows / max(1, named.count()))
-    chosen = named.filter(F.pmod(F.xxhash64("doc_id", F.lit(target)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    shards = max(1, int(max_rows * share if share < 1 else named.count()) // shard_rows)
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = named.count()
+    chosen = named.filter(in_sample(max_rows / max(1, rows), "doc_id", F.lit(target)))
+    shards = shards_of(rows, max_rows, shard_rows)
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     key = F.xxhash64("doc_id", F.lit("order"))
-    return texts.select(F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), key.alias("order_key"), "label", "text"), shards
+    return found.select(F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), key.alias("order_key"), "label", "text"), shards
+
+
+def as_bytes(sample: DataFrame) -> DataFrame:
+    """The sample with its texts as bytes: pandas then takes those that are not UTF-8 as well."""
+    return sample.withColumn("text", F.col("text").cast("binary"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string column (null as empty), without copying."""
+    """Bytes and row offsets of a string or binary column (null as empty), without copying."""
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)

@@ -153,13 +153,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, error_rate: float = E
                 items = pa.array([matcher.items[r[1]][0] for r in rows], None if rows else pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.take(take), items, pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())], ["doc_id", "item_id", "distance", "start", "end"])
 
-        found.append(common.text_batches(documents).select("doc_id", "text").mapInArrow(run, schema))
+        found.append(documents.select("doc_id", "text").mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, found) if found else documents.sparkSession.createDataFrame([], schema)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The documents, whole and with all their columns, in which no test item occurs."""
-    out = common.text_batches(documents)
+    out = documents
     at = documents.columns.index("text")
     for block in _item_blocks(benchmark):
         shared = documents.sparkSession.sparkContext.broadcast(block)

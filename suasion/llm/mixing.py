@@ -15,8 +15,8 @@ The token budget is the smallest at which no domain must shrink: targets are met
 probability of the rest, by a hash of doc_id.
 
 Defined results: a null or empty text has 0 tokens, the posterior of the classifier's biases and its rate; texts are
-read whole; repeated rows are mixed one by one; a target domain without labelled rows gets no membership and its weight
-is shared among the others; an empty table gives no rows; other columns pass through ``mix``.
+read whole; repeated rows are mixed one by one, and drawn alike; a target domain without labelled rows gets no membership and its weight
+is shared among the others; an empty table gives no rows; other columns, whatever their names, pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from suasion.llm import common
 
@@ -64,7 +65,7 @@ def fit_classifier(documents: DataFrame, labelled: DataFrame, n_domains: int, ma
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order_key", "text"])
         examples = []
-        for low, high, data, offsets in common.blocks(pa.array(pdf["text"], pa.large_string())):
+        for low, high, data, offsets in common.blocks(pa.array(pdf["text"], pa.large_binary())):
             index, rows = _word_index(data, offsets)
             for part in np.split(index, np.searchsorted(rows, np.arange(1, high - low))):
                 examples.append(np.unique(part, return_counts=True))
@@ -85,7 +86,7 @@ def fit_classifier(documents: DataFrame, labelled: DataFrame, n_domains: int, ma
         kept = np.flatnonzero(np.abs(w).sum(1))
         return pd.DataFrame({"i": kept, "w": list(w[kept])})
 
-    found = sample.groupBy("shard").applyInPandas(learn, "i long, w array<double>").toPandas()
+    found = common.as_bytes(sample).groupBy("shard").applyInPandas(learn, "i long, w array<double>").toPandas()
     out = np.zeros((size + 1, n_domains))
     for i, w in zip(found["i"], found["w"], strict=True):
         out[i] += w
@@ -188,53 +189,50 @@ def _replay(p: np.ndarray, steps: list[list[float]], min_rate: float) -> np.ndar
     return r
 
 
-def soft_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float = 0.0) -> tuple[DataFrame, np.ndarray, Fit]:
-    """doc_id, tokens, posterior (in the order of ``targets``), rate and copies of every row; the classifier; the fit.
+def _rated(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float, kept: list[str]) -> tuple[DataFrame, list[str], np.ndarray, Fit]:
+    """The ``kept`` columns, tokens, posterior, rate and copies of every row, the names of these four, the classifier and the fit.
 
-    ``labelled``: doc_id, domain (a key of ``targets``; other rows are not used).
+    Texts are scored once, and the scored rows stored; the fit's passes read tokens and posterior alone.
     """
-    names = list(targets)
+    names, spark = list(targets), documents.sparkSession
     index = F.coalesce(*(F.when(F.col("domain") == name, F.lit(j)) for j, name in enumerate(names)))
-    known = labelled.select("doc_id", index.alias("domain"))
-    w = fit_classifier(documents, known, len(names))
-    shared = documents.sparkSession.sparkContext.broadcast(w)
+    w = fit_classifier(documents, labelled.select("doc_id", index.alias("domain")), len(names))
+    shared = spark.sparkContext.broadcast(w)
+    added = common.fresh(kept, "tokens", "posterior", "rate", "copies")
+    n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, p = _posteriors(batch.column(1), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))], ["doc_id", "tokens", "posterior"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    members = common.materialize(common.text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens long, posterior array<double>"))
-    fit = fit_rates(members, [targets[n] for n in names], min_rate)
+        for batch in common.text_slices(batches, n):
+            tokens, p = _posteriors(batch.column(n), shared.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(tokens), lists], [*kept, *added[:2]])
+
+    (text,) = common.fresh(kept, "scored_text")
+    whole = documents.select(*(F.col(f"`{c}`") for c in kept), F.col("text").alias(text))
+    schema = StructType([*(documents.schema[c] for c in kept), StructField(added[0], LongType()), StructField(added[1], ArrayType(DoubleType()))])
+    members = common.materialize(whole.mapInArrow(run, schema))
+    fit = fit_rates(members.select(F.col(added[0]).alias("tokens"), F.col(added[1]).alias("posterior")), [targets[n] for n in names], min_rate)
     if not fit.met:
-        warnings.warn(f"no rates meet the targets; nearest shares by domain: wanted {shares(fit.wanted, names)}, reached {shares(fit.reached, names)}", stacklevel=2)
-    rate = _rate(F.col("posterior"), fit.steps, min_rate)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / F.lit(1 << 20)
-    rated = members.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
-    return rated, w, fit
+        warnings.warn(f"no rates meet the targets; nearest shares by domain: wanted {shares(fit.wanted, names)}, reached {shares(fit.reached, names)}", stacklevel=3)
+    whole_part = F.floor(added[2])
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(common.HASH_RANGE)) / F.lit(float(common.HASH_RANGE))
+    rated = members.withColumn(added[2], _rate(F.col(added[1]), fit.steps, min_rate))
+    return rated.withColumn(added[3], (whole_part + (drawn < F.col(added[2]) - whole_part).cast("long")).cast("long")), added, w, fit
 
 
-def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float = 1.0) -> DataFrame:
-    """The documents, each as often as its rate says, with their own columns.
+def soft_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float = 0.0) -> tuple[DataFrame, np.ndarray, Fit]:
+    """doc_id, tokens, posterior (in the order of ``targets``), rate and copies of every row; the classifier; the fit.
 
-    The posteriors are worked out again from the classifier while the rows stream through, so texts are not joined.
+    ``labelled``: doc_id, domain (a key of ``targets``; other rows are not used).
     """
-    _, w, (steps, *_) = soft_rates(documents, labelled, targets, min_rate)
-    shared = documents.sparkSession.sparkContext.broadcast(w)
-    keyed = documents.withColumn("_drawn", F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / F.lit(1 << 20))
-    at = documents.columns.index("text")
+    rated, _, w, fit = _rated(documents, labelled, targets, min_rate, ["doc_id"])
+    return rated, w, fit
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, p = _posteriors(batch.column(at), shared.value)
-            rate = _replay(p, steps, min_rate)
-            drawn = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            copies = (np.floor(rate) + (drawn < rate - np.floor(rate))).astype(np.int64)
-            for n in range(1, int(copies.max(initial=0)) + 1):
-                yield batch.filter(pa.array(copies >= n)).select(list(range(batch.num_columns - 1)))
-
-    return common.text_batches(keyed).mapInArrow(run, documents.schema)
+
+def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float = 1.0) -> DataFrame:
+    """The documents, each as often as its rate says, with their own columns."""
+    rated, added, _, _ = _rated(documents, labelled, targets, min_rate, documents.columns)
+    return rated.filter(F.col(added[3]) > 0).withColumn(added[0], F.explode(F.sequence(F.lit(1), F.col(added[3]).cast("int")))).drop(*added)
 
 
 def language_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:

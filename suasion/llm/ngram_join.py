@@ -223,15 +223,15 @@ def verified_links(nodes: np.ndarray, sets: list[np.ndarray], threshold: tuple[i
 
 def _frequent(documents: DataFrame, words: int) -> np.ndarray:
     """Shingles that several documents of a bounded sample share, the most frequent SAMPLE_KEPT at most."""
-    share = min(1.0, SAMPLE_ROWS / max(1, documents.count()))
-    sample = documents.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = SAMPLE_ROWS / max(1, documents.count())
+    sample = documents.filter(common.in_sample(share, "doc_id", F.lit("sample")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in common.blocks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(data, offsets, words)).view(np.int64))], ["s"])
 
-    counted = common.text_batches(sample).select("text").mapInArrow(run, "s long").groupBy("s").count().filter(F.col("count") >= SAMPLE_SHARED)
+    counted = sample.select("text").mapInArrow(run, "s long").groupBy("s").count().filter(F.col("count") >= SAMPLE_SHARED)
     return np.sort(np.array([r["s"] for r in counted.orderBy(F.desc("count"), "s").limit(SAMPLE_KEPT).collect()], np.int64).view(np.uint64))
 
 
@@ -241,7 +241,7 @@ def fingerprints(documents: DataFrame, words: int, threshold: tuple[int, int]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        for batch in batches:
+        for batch in common.text_slices(batches, 1):
             n, s1, s2, counts, prefix = [], [], [], [], []
             for _, _, data, offsets in common.blocks(batch.column(1)):
                 for s in shingle_sets(data, offsets, words):
@@ -255,7 +255,7 @@ def fingerprints(documents: DataFrame, words: int, threshold: tuple[int, int]) -
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(counts, pa.binary()), lists], ["doc_id", "n", "s1", "s2", "counts", "prefix"])
 
-    return common.text_batches(documents).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, counts binary, prefix array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, counts binary, prefix array<long>")
 
 
 def _allowed_edges(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -315,7 +315,7 @@ def _links(documents: DataFrame, nodes: DataFrame, words: int, threshold: tuple[
             for low, high, data, offsets in common.blocks(batch.column(3)):
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in range(3)), pa.array([s.tobytes() for s in shingle_sets(data, offsets, words)], pa.binary())], ["node", "component", "tiles", "s"])
 
-    sets = common.text_batches(texts).mapInArrow(rebuild, "node long, component long, tiles int, s binary")
+    sets = texts.mapInArrow(rebuild, "node long, component long, tiles int, s binary")
     tile = F.pmod(F.xxhash64("node", F.lit("part")), F.col("tiles")).cast("int")
     dealt = sets.select("node", "component", "s", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select("component", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "node", "s")
 
@@ -348,5 +348,6 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, threshold: tupl
 def drop_near_duplicates(documents: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One document of each group, that with the smallest doc_id, and every document that is alone, with all columns."""
     groups = jaccard_components(documents, words, threshold)
-    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = common.fresh(documents.columns, "gone")
+    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, F.col("doc_id") == F.col(name), "left_anti")

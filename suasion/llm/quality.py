@@ -167,12 +167,12 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "quality", max_tr
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order_key", "text"])
         docs = []
-        for low, high, data, offsets in common.blocks(pa.array(pdf["text"], pa.large_string())):
+        for low, high, data, offsets in common.blocks(pa.array(pdf["text"], pa.large_binary())):
             rows, _, x = line_features(data, offsets)
             docs += np.split(x, np.searchsorted(rows, np.arange(1, high - low)))
         return pd.DataFrame({"w": [train(docs, pdf["label"].to_numpy(float)).tolist()]})
 
-    found = [np.array(r["w"]) for r in sample.groupBy("shard").applyInPandas(learn, "w array<double>").collect()]
+    found = [np.array(r["w"]) for r in common.as_bytes(sample).groupBy("shard").applyInPandas(learn, "w array<double>").collect()]
     return np.mean(sorted(found, key=lambda w: w.tolist()), axis=0) if found else np.zeros(N_FEATURES + 2)
 
 
@@ -197,12 +197,12 @@ def score(documents: DataFrame, weights: np.ndarray, id_column: str = "doc_id")
     shared = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.text_slices(batches, 1):
             out, lines, good = _scores(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(lines), pa.array(good)], [id_column, "score", "n_lines", "n_good_lines"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return common.text_batches(documents).select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, score double, n_lines long, n_good_lines long")
+    return documents.select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, score double, n_lines long, n_good_lines long")
 
 
 def quality(documents: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
@@ -216,7 +216,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, min_quality: float = 0.3,
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.text_slices(batches, at):
             yield batch.filter(pa.array(_scores(batch.column(at), shared.value)[0] >= min_quality))
 
-    return common.text_batches(documents).mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)

@@ -264,11 +264,10 @@ def _collect_findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> CharNet:
     """A network learnt from about ``max_train_docs`` documents at most and the generated findings."""
-    share = min(1.0, max_train_docs / max(1, documents.count()))
-    sample = documents.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 20)) < int(share * (1 << 20))))
-    found = common.materialize(common.text_batches(sample).select("text").mapInArrow(_collect_findings, "x binary, y double").groupBy("x").agg(F.max("y").alias("y")))
-    kept = min(1.0, MAX_TRAIN_WINDOWS / max(1, found.count()))
-    windows = found.filter(F.pmod(F.xxhash64("x", F.lit("windows")), F.lit(1 << 20)) < int(kept * (1 << 20)))
+    share = max_train_docs / max(1, documents.count())
+    sample = documents.filter(F.col("text").isNotNull() & common.in_sample(share, "doc_id", F.lit("secrets")))
+    found = common.materialize(sample.select("text").mapInArrow(_collect_findings, "x binary, y double").groupBy("x").agg(F.max("y").alias("y")))
+    windows = found.filter(common.in_sample(MAX_TRAIN_WINDOWS / max(1, found.count()), "x", F.lit("windows")))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["y"] >= 0].sort_values("x")
@@ -316,7 +315,7 @@ def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return common.text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<start:long,end:long,kind:string,score:double>>")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<start:long,end:long,kind:string,score:double>>")
 
 
 def scan(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:

@@ -80,7 +80,7 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", max_trai
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order_key", "text"])
         examples = []
-        for low, high, data, offsets in common.blocks(pa.array(pdf["text"], pa.large_string())):
+        for low, high, data, offsets in common.blocks(pa.array(pdf["text"], pa.large_binary())):
             index, row = features(data, offsets)
             order = np.argsort(row, kind="stable")
             for part in np.split(index[order], np.searchsorted(row[order], np.arange(1, high - low))):
@@ -88,7 +88,7 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", max_trai
         kept, w, bias = ftrl(examples, pdf["label"].to_numpy(float))
         return pd.DataFrame({"i": np.append(kept, size), "w": np.append(w, bias)})
 
-    found = sample.groupBy("shard").applyInPandas(learn, "i long, w double").groupBy("i").agg((F.sum("w") / shards).alias("w")).toPandas()
+    found = common.as_bytes(sample).groupBy("shard").applyInPandas(learn, "i long, w double").groupBy("i").agg((F.sum("w") / shards).alias("w")).toPandas()
     found = found.sort_values("i")
     at, w = found["i"].to_numpy(np.int64), found["w"].to_numpy()
     bias = float(w[at == size].sum()) if len(at) else -1e-6
@@ -103,7 +103,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_
         at, w, bias = shared.value
         table = np.zeros(1 << HASH_BITS, np.float32)
         table[at] = w
-        for batch in batches:
+        for batch in common.text_slices(batches, 1):
             totals = np.full(batch.num_rows, bias)
             for low, high, data, offsets in common.blocks(batch.column(1)):
                 index, row = features(data, offsets)
@@ -113,7 +113,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(totals, -35, 35))))], [id_column, "score"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return common.text_batches(documents).select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, score double")
+    return documents.select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, score double")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
