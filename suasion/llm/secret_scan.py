@@ -1,18 +1,21 @@
 """Secret scans: base patterns, and a character convolutional network over every further candidate in its context.
 
-Candidates are all runs of 16 or more characters of ``[A-Za-z0-9+/_.=-]`` that hold a digit and a letter. The network
-reads windows of WINDOW characters: INSIDE from a place in the candidate on, and the BEFORE characters before them. A
-candidate of up to INSIDE characters has one, a longer one overlapping ones from its head to past its tail, so all of it
-and the text on both sides is read; its score is its windows' highest. The network
-embeds character classes, convolves, pools and gives a logit; it is a few thousand numbers. It learns from labelled
-findings: secrets are base matches in a bounded, hash-chosen sample of documents (``max_train_docs``) and generated ones;
+Candidates are all runs of MIN_RUN or more characters of ``[A-Za-z0-9+/_.=-]`` that hold a digit and a letter, and, right
+after a word that announces a secret (HINTED), runs of MIN_HINTED or more of any of these characters. The network reads
+windows of WINDOW characters: INSIDE from a place in the candidate on, the BEFORE characters before these and the AFTER
+behind them; characters of the candidate and of its context have codes of their own. A candidate of up to INSIDE
+characters has one window, a longer one overlapping ones from its head to its tail, so all of it and the text on both
+sides is read; its score is its windows' highest. The network embeds character classes, convolves, pools and gives a
+logit; it is a few thousand numbers. It learns from labelled findings: secrets are base matches in a bounded, hash-chosen sample of documents (``max_train_docs``) and generated ones;
 harmless are generated runs and those of the sample that have a strict harmless shape (host names, dates, versions).
 Other candidates of the sample may be secrets that the base patterns miss, so they are not used. Windows are bounded by
-hash too (``MAX_TRAIN_WINDOWS``), and the fit is one task. Held-back generated findings of kinds that the base patterns
+hash too (``MAX_TRAIN_WINDOWS``), and the fit is one task. Short secrets after announcing words, and plain words there,
+are generated as well. Held-back generated findings of kinds that the base patterns
 miss calibrate the logit (Platt) and set the threshold: the highest one that keeps TARGET_RECALL of those secrets. Base
 spans always stay; candidates over the threshold, or what base spans leave over of them, are added as kind ``net``.
 
-Defined results: a null or empty text has no spans; whole texts are read; spans are in code points, end exclusive;
+Defined results: a null or empty text has no spans; whole texts are read; spans are in code points, end exclusive, where
+each run of bytes that is not UTF-8 counts as one; ties and overlaps of base kinds all stay; ``net`` never overlaps them;
 repeated rows are scanned one by one; an empty table gives no rows; other columns are not read.
 """
 
@@ -33,9 +36,11 @@ from suasion.llm import common
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+MIN_RUN, MIN_HINTED = 16, 8
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{MIN_RUN},}}")
+HINTED = re.compile(rf"""(?:password|passwd|passphrase|pwd|secret|token|api_?key|credentials?|bearer)["']?(?:\x20(?:is|was))?[\x20:=>"']{{1,6}}([A-Za-z0-9+/_.=-]{{{MIN_HINTED},}})""", re.IGNORECASE | re.ASCII)
 KINDS = ("assign", "access", "hex", "net")
-KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+KEYWORDS = (b"password", b"passwd", b"passphrase", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"credential", b"bearer")
 #: Runs that are harmless by their shape alone: dates and times, versions, host names of plain words.
 HARMLESS = re.compile(
     r"""(?:19|20)\d\d-[01]\d-[0-3]\d(?:[T_-][0-2]\d[.-]?[0-5]\d[.-]?[0-5]\d(?:\.\d{1,6})?Z?)?(?:[._-][a-z]{2,9}){0,4}"""
@@ -45,9 +50,9 @@ HARMLESS = re.compile(
 )
 MAX_TRAIN_DOCS, MAX_TRAIN_WINDOWS = 5_000, 20_000
 TARGET_RECALL = 0.95
-BEFORE, INSIDE = 16, 32
-WINDOW = BEFORE + INSIDE
-CHANNELS, WIDTH, EPOCHS, RATE = 16, 5, 40, 0.01
+BEFORE, INSIDE, AFTER = 16, 32, 16
+WINDOW = BEFORE + INSIDE + AFTER
+CHANNELS, WIDTH, EPOCHS, RATE = 16, 5, 24, 0.01
 _RUN = np.zeros(256, bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.=-"]] = True
 
@@ -65,7 +70,9 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-N_CLASSES = 18
+#: Codes of a candidate's characters are under CONTEXT, those of its context CONTEXT more.
+CONTEXT = 18
+N_CLASSES = 2 * CONTEXT
 
 
 def base_spans(text: str) -> list[Span]:
@@ -102,7 +109,8 @@ def candidates(text: str) -> list[tuple[int, int]]:
     for m in CANDIDATE.finditer(text):
         if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
             out.append((m.start(), m.end()))
-    return out
+    near = [m.span(1) for m in HINTED.finditer(text)]
+    return sorted(out + [x for x in near if not any(x[0] < e and s < x[1] for s, e in out)]) if near else out
 
 
 def rests(text: str, base: list[Span]) -> list[tuple[int, int]]:
@@ -111,7 +119,7 @@ def rests(text: str, base: list[Span]) -> list[tuple[int, int]]:
     for start, end in candidates(text):
         at = start
         for s, e, _ in [*sorted(x for x in base if x[0] < end and start < x[1]), (end, end, "")]:
-            if (at, s) == (start, end) or s - at >= 16 and any(c.isdigit() for c in text[at:s]) and any(c.isalpha() for c in text[at:s]):
+            if (at, s) == (start, end) or s - at >= MIN_RUN and any(c.isdigit() for c in text[at:s]) and any(c.isalpha() for c in text[at:s]):
                 out.append((at, s))
             at = max(at, e)
     return out
@@ -120,14 +128,23 @@ def rests(text: str, base: list[Span]) -> list[tuple[int, int]]:
 def places(start: int, end: int) -> list[int]:
     """Where the windows of a candidate begin."""
     half = INSIDE // 2
-    return [start] if end - start <= INSIDE else [*range(start, end - INSIDE, half), end - INSIDE, end - half]
+    return [start] if end - start <= INSIDE else [*range(start, end - INSIDE, half), end - INSIDE]
+
+
+def codes(text: str) -> np.ndarray:
+    """Class codes of a text as context, with padding on both sides, so that a window at ``at`` begins at ``at``."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros(len(points) + WINDOW, np.int8)
+    out[BEFORE : BEFORE + len(points)] = np.where(points < 128, CLASS[np.minimum(points, 127)], 7) + CONTEXT
+    return out
 
 
-def encode(text: str, at: int) -> np.ndarray:
-    """Class codes of a window: BEFORE characters of context, then INSIDE characters."""
-    raw = text[max(0, at - BEFORE) : at].rjust(BEFORE, "\0") + text[at : at + INSIDE].ljust(INSIDE, "\0")
-    code = np.fromiter((ord(c) for c in raw), np.int64, WINDOW)
-    return np.where(code == 0, 0, np.where(code < 128, CLASS[np.minimum(code, 127)], 7)).astype(np.int8)
+def encode(coded: np.ndarray, at: int, start: int, end: int) -> np.ndarray:
+    """The window at ``at`` of the candidate from ``start`` to ``end``: its own characters lose the mark of context."""
+    window = coded[at : at + WINDOW].copy()
+    low, high = max(0, start - at + BEFORE), min(WINDOW, end - at + BEFORE)
+    window[low:high] -= CONTEXT
+    return window
 
 
 def secret_places(run: tuple[int, int], secret: tuple[int, int]) -> list[int]:
@@ -142,10 +159,10 @@ class CharNet:
     def __init__(self, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         self.p = {
-            "k": rng.normal(0, 0.3, (WIDTH, N_CLASSES, CHANNELS)),
-            "c": np.zeros(CHANNELS),
-            "v": rng.normal(0, 0.3, 2 * CHANNELS),
-            "b": np.zeros(1),
+            "k": rng.normal(0, 0.3, (WIDTH, N_CLASSES, CHANNELS)).astype(np.float32),
+            "c": np.zeros(CHANNELS, np.float32),
+            "v": rng.normal(0, 0.3, 2 * CHANNELS).astype(np.float32),
+            "b": np.zeros(1, np.float32),
         }
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
@@ -165,15 +182,14 @@ class CharNet:
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         h, a, top, pooled, z = self._forward(x)
-        d = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
+        d = ((1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)).astype(np.float32)
         g = d[:, None] * self.p["v"]
         da = np.repeat(g[:, None, CHANNELS:] / a.shape[1], a.shape[1], 1)
         rows = np.arange(len(x))[:, None]
         da[rows, top, np.arange(CHANNELS)] += g[:, :CHANNELS]
         da *= h > 0
-        k = np.zeros_like(self.p["k"])
-        for j in range(WIDTH):
-            np.add.at(k[j], x[:, j : j + a.shape[1]].ravel(), da.reshape(-1, CHANNELS))
+        shown = np.eye(N_CLASSES, dtype=np.float32)[x]
+        k = np.stack([np.tensordot(shown[:, j : j + a.shape[1]], da, ((0, 1), (0, 1))) for j in range(WIDTH)])
         return {"k": k, "c": da.sum((0, 1)), "v": pooled.T @ d, "b": d.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, y: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5) -> CharNet:
@@ -243,21 +259,40 @@ def generated_findings(n: int = 600, seed: int = 11, missed: bool = False) -> tu
             continue
         start = len(before) + len(head)
         run, secret = (len(before), start + len(body) + len(tail)), (start, start + len(body))
+        coded = codes(text)
         for at in secret_places(run, secret) if label else places(*run):
-            x.append(encode(text, at))
+            x.append(encode(coded, at, *run))
             y.append(label)
     return np.array(x), np.array(y, float)
 
 
+def hinted_findings(n: int = 400, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of short made-up secrets (1) and of plain words (0), each right after a word that announces a secret."""
+    rng = np.random.default_rng(seed)
+    leads = ("password is ", "the password: ", "token ", "pwd ", "secret ", "bearer ", 'credential "', "passphrase ", "secret: ", "Token ")
+    mixed, digits, upper, lower = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789", "0123456789", "BCDFGHJKLMNPQRSTVWXZ0123456789", "etaoinshrdlumcw"
+    pick = lambda letters, low, high: "".join(rng.choice(list(letters), rng.integers(low, high)))
+    plain = (lambda: pick(lower, 8, 14), lambda: pick(lower, 8, 14) + ".", lambda: pick(lower, 8, 12).capitalize(), lambda: f"{pick(lower, 4, 8)}-{pick(lower, 4, 8)}", lambda: f"{pick(lower, 4, 7)}.{pick(lower, 4, 7)}")
+    x, y = [], []
+    for k in range(n):
+        label = k % 2
+        body = pick((mixed, mixed, digits, upper)[rng.integers(4)], 8, 16) if label else plain[rng.integers(len(plain))]()
+        before = f"{pick(lower, 2, 7)} {leads[rng.integers(len(leads))]}"
+        run = (len(before), len(before) + len(body))
+        x.append(encode(codes(f"{before}{body} {pick(lower, 2, 7)} {pick(lower, 2, 7)}"), run[0], *run))
+        y.append(label)
+    return np.array(x), np.array(y, float)
+
+
 def _collect_findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.text_slices(batches, 0):
         x, y = [], []
-        for text in batch.column(0).to_pylist():
-            base = base_spans(text)
+        for text in common.texts(batch.column(0)):
+            base, coded = base_spans(text), codes(text)
             for a, b in candidates(text):
                 secret = sorted({at for s, e, _ in base if a < e and s < b for at in secret_places((a, b), (max(a, s), min(b, e)))})
                 for at in secret or (places(a, b) if HARMLESS.fullmatch(text, a, b) else []):
-                    x.append(encode(text, at).tobytes())
+                    x.append(encode(coded, at, a, b).tobytes())
                     y.append(float(bool(secret)))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.float64())], ["x", "y"])
 
@@ -271,10 +306,11 @@ def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> CharNet:
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["y"] >= 0].sort_values("x")
-        made = [generated_findings(), generated_findings(1200, 12, missed=True)]
+        made = [generated_findings(), generated_findings(1200, 12, missed=True), hinted_findings()]
         seen = np.frombuffer(b"".join(bytes(v) for v in pdf["x"]), np.int8).reshape(-1, WINDOW)
         x, y = np.vstack([*(m[0] for m in made), seen]), np.concatenate([*(m[1] for m in made), pdf["y"].to_numpy()])
-        return pd.DataFrame({"net": [pickle.dumps(CharNet().fit(x, y, generated_findings(1200, 13, missed=True)))]})
+        held = [np.concatenate(v) for v in zip(generated_findings(1200, 13, missed=True), hinted_findings(200, 18), strict=True)]
+        return pd.DataFrame({"net": [pickle.dumps(CharNet().fit(x, y, tuple(held)))]})
 
     # a row that is no finding: without any, the network still learns from what is generated
     none = documents.sparkSession.range(1).select(F.lit(b"").alias("x"), F.lit(-1.0).alias("y"))
@@ -287,7 +323,7 @@ def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in common.text_slices(batches, 1):
             column = batch.column(1)
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             asked, where, first = [], [], []
@@ -298,12 +334,14 @@ def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
                     a, b = int(offsets[k]), int(offsets[k + 1])
                     if not worth[k] and not any(folded.find(w, a, b) >= 0 for w in KEYWORDS):
                         continue
-                    text = data[a:b].tobytes().decode()
+                    text = data[a:b].tobytes().decode("utf-8", "replace")
                     base = _fast_base(text)
                     spans[low + k] = [{"start": s, "end": e, "kind": kind, "score": 1.0} for s, e, kind in base]
-                    for s, e in rests(text, base):
+                    left = rests(text, base)
+                    coded = codes(text) if left else None
+                    for s, e in left:
                         first.append(len(asked))
-                        asked += [encode(text, at) for at in places(s, e)]
+                        asked += [encode(coded, at, s, e) for at in places(s, e)]
                         where.append((low + k, s, e))
             if asked:
                 for (row, s, e), p in zip(where, np.maximum.reduceat(model.probability(np.array(asked)), first), strict=True):

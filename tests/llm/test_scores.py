@@ -241,3 +241,112 @@ def test_token_hashes_do_not_depend_on_place():
     assert set(seen) == {b"one", b"two", b"x"}
     assert all(len(v) == 1 for v in seen.values())
     assert len({hashlib.sha256(str(v).encode()).digest() for v in seen.values()}) == 3
+
+
+def test_the_middle_of_a_candidate_and_what_follows_it_count(spark):
+    net = secret_scan.CharNet().fit(*secret_scan.generated_findings())
+
+    def score(text, run):
+        return float(net.probability(np.array([secret_scan.encode(secret_scan.codes(text), at, *run) for at in secret_scan.places(*run)])).max())
+
+    ends = "config-entry-for-the", "and-the-other-part-1"
+    words, key = "-some-words-in-between-h", "x9Qz7LmV2bT4nR8kW3pY6cJd"
+    texts = [f"see {ends[0]}{middle}{ends[1]} today" for middle in (words, key)]
+    assert len(ends[0] + key + ends[1]) == 64
+    assert score(texts[0], (4, 68)) != score(texts[1], (4, 68))
+    run = "a1b2-c3d4-e5f6-g7"
+    assert len({score(f"id {run}{after}", (3, 3 + len(run))) for after in (" is the number of the row", ': "0xFF", next = 9', "")}) == 3
+
+
+def test_announced_secrets_are_candidates_however_short():
+    text = "the password is Tr0ub4dor9 and the token economy, secret: 8391027465"
+    found = [text[a:b] for a, b in secret_scan.candidates(text)]
+    assert found == ["Tr0ub4dor9", "8391027465"]
+
+
+def test_secret_scan_of_awkward_rows(spark, docs, awkward):
+    key = "gH7kQ2zXv9Lm4Pq8Rt6Wy3Bn1"
+    rows = [*awkward, (50, "word " * 40_000 + key), (51, f"with {key}"), (51, f"with {key}")]
+    frame = docs(rows).withColumnsRenamed({"score": "spans", "label": "kind"})
+    bad = spark.createDataFrame([(60,)], "doc_id long").selectExpr("doc_id", "cast(X'6162FF20' as string) || 'api_key=abcdefgh1234' as text")
+    out = secret_scan.scan(frame.select("doc_id", "text", "spans", "kind").unionByName(bad, allowMissingColumns=True)).collect()
+    assert len(out) == len(rows) + 1
+    spans = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in out}
+    assert spans[2] == spans[3] == spans[5] == []
+    assert spans[50] == [(200_000, 200_025, "net")]
+    assert spans[51] == [(5, 30, "net")]
+    assert spans[60] == [(4, 24, "assign")]
+
+
+def test_samples_and_shards_hold_at_any_size(spark):
+    share = 5_000 / 1e11
+    assert int(share * common.HASH_RANGE) > 0
+    taken = spark.range(1_000_000).filter(common.in_sample(1e-3, "id")).count()
+    assert 800 < taken < 1_200
+    assert common.shards_of(10**11, 24_000, 12_000) == common.shards_of(400_000, 24_000, 12_000) == 2
+    assert common.shards_of(300, 24_000, 12_000) == 1
+
+
+def test_ftrl_matches_a_scalar_one():
+    rng = random.Random(12)
+    size = 1 << toxicity.HASH_BITS
+    examples = [np.append(np.unique(rng.sample(range(40), 6)), size) for _ in range(300)]
+    labels = np.array([float(any(int(i) < 4 for i in x)) for x in examples])
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == size else toxicity.L1
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - (1 if v > 0 else -1) * l1) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for x, y in zip(examples, labels, strict=True):
+            w = {int(i): weight(int(i)) for i in x}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in w:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / toxicity.ALPHA * w[i]
+                n[i] = old + g * g
+    kept, w, bias = toxicity.ftrl(examples, labels, 3)
+    want = {i: weight(i) for i in sorted(z) if i != size and weight(i)}
+    assert kept.tolist() == list(want)
+    assert np.allclose(w, list(want.values()))
+    assert bias == pytest.approx(weight(size))
+
+
+def test_neighbours_change_a_line_s_marginal(docs, labelled):
+    rows, labels = labelled
+    w = quality.fit(docs(rows), labels)
+    line = "Alat artalu ateoi insrlrtt ouillnse niett ueouae otnlo arlru."
+    junk = "SPAM!! " * 8 + "$$$ ###"
+
+    def middle(lines):
+        data = "\n".join(lines).encode()
+        _, _, x = quality.line_features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return quality.marginals(w[x].sum(1) + w[quality.N_FEATURES - 1], w[-2], w[-1])[1]
+
+    assert middle([line, line, line]) > middle([junk, line, junk]) + 0.05
+
+
+def test_mixing_rates_match_a_plain_projected_gradient(spark):
+    rng = np.random.default_rng(31)
+    tokens, p = rng.integers(10, 200, 300), rng.dirichlet([0.3, 0.3, 0.3], 300)
+    targets = np.array([0.5, 0.3, 0.2])
+    fit = mixing.fit_rates(spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens long, posterior array<double>"), targets.tolist(), 0.0)
+    mass, rate = tokens[:, None] * p, np.ones(300)
+    for _ in range(20_000):
+        error = (rate @ mass - fit.wanted) / fit.wanted
+        rate = np.maximum(0.0, rate - 0.02 * (p @ error))
+        if np.abs(error).max() <= mixing.TOLERANCE / 10:
+            break
+    assert np.allclose(rate @ mass, fit.reached, rtol=2 * mixing.TOLERANCE)
+    assert np.abs(rate - mixing._replay(p, fit.steps, 0.0)).max() < 0.05
+
+
+def test_mix_passes_any_column_through(docs, spark):
+    rows = [(k, "the and with house river " * 3) for k in range(20)]
+    frame = docs(rows).withColumnsRenamed({"score": "tokens", "shard": "posterior", "held_out": "_drawn", "label": "Copies", "n_chars": "scored_text"})
+    out = mixing.mix(frame, frame.selectExpr("doc_id", "'en' as domain"), mixing.TARGETS, 1.0)
+    assert out.columns == frame.columns
+    assert out.select("doc_id").distinct().count() == 20
+    assert {r["tokens"] for r in out.collect()} == {9.0}
