@@ -293,3 +293,37 @@ def test_line_hash_is_of_the_stripped_folded_line(spark):
     df = spark.createDataFrame([("\t A b\x0b",)], "s string").select(line_dedup.line_key("s").alias("k"))
     assert df.first()["k"] == "a b"
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_sharded_documents_keep_every_row_and_column(docs, awkward, spark, tmp_path):
+    rows = awkward + [(6, "alpha beta gamma")] * 4 + [(k, f"text {k} " * (k % 9)) for k in range(200, 260)]
+    frame = docs(rows).withColumnsRenamed({"lang": "slot", "source": "mark", "label": "Size"})
+    out = sharding.shard_documents(frame, 5)
+    assert out.columns == ["doc_id", "text", "slot_", "mark", "n_chars", "score", "shard_", "held_out", "Size_", *sharding.RESULT]
+    got = out.collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got) == sorted((str(i), t or "") for i, t in rows)
+    for s in range(5):
+        mine = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert mine == list(range(len(mine)))
+    sharding.write_shards(frame, str(tmp_path / "whole"), 5)
+    assert spark.read.parquet(str(tmp_path / "whole")).count() == len(rows)
+
+
+def test_line_dedup_of_long_texts_and_clashing_columns(docs):
+    line = "Subscribe to our newsletter for more of this content"
+    rows = [(i, f"{line}\nown {i}") for i in range(6)] + [(7, "\n".join([line, "short"] * 20_000)), (7, line), (8, None)]
+    frame = docs(rows).withColumnsRenamed({"score": "dropped", "shard": "_owner", "label": "lines", "lang": "digest", "source": "N_lines"})
+    out = line_dedup.dedup_lines(frame)
+    assert out.columns == ["doc_id", "digest", "n_chars", "dropped", "_owner", "held_out", "lines", "text", "n_lines", "n_dropped"]
+    got = sorted(out.collect(), key=lambda r: (r["doc_id"], r["n_lines"]))
+    assert [(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in got] == [*((i, 2, 1) for i in range(6)), (7, 1, 0), (7, 40_000, 0), (8, 1, 0)]
+    assert {r["dropped"] for r in got} == {9.0}
+    more = line_dedup.dedup_lines(docs([*rows, (9, line)])).filter("doc_id = 7 and n_lines > 1").first()
+    assert (more["n_dropped"], more["text"]) == (20_000, "\n".join(["short"] * 20_000))
+
+
+def test_near_duplicates_of_clashing_columns(docs):
+    frame = docs([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (3, None)]).withColumnsRenamed({"score": "gone", "shard": "_gone", "label": "component_id"})
+    out = ngram_join.drop_near_duplicates(frame)
+    assert out.columns == frame.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 3]
