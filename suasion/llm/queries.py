@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suasion.llm import common, decontaminate, line_dedup, mixing, ngram_join, quality, secret_scan, sharding, topk, toxicity, url_filter
+from suasion.llm import common, decontaminate, line_dedup, mixing, ngram_join, quality, secret_scan, sharding, topk, toxicity, url_filter, url_labels
 from suasion.sources.tables import table
 
 
@@ -54,7 +54,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_urls(pages, url_filter.labelled_by_rules(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filter_urls(pages, url_labels.labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "tokens", *(F.col("posterior")[j].alias(f"p_{name}") for j, name in enumerate(mixing.TARGETS)), "rate", "copies", *told, F.lit(fit.met).alias("met"))
 
 
+def llm4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: size, shard and slot."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents")).select("doc_id", "size", "shard", "slot")
+
+
+def llm5_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: the base findings by kind."""
+    kinds = ("assign", "access", "hex")
+    found = secret_scan.base_findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in kinds))
+
+
+def llm9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: host, path and the rules."""
+    return url_filter.ruled(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -75,5 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
+    "llm4_shards": llm4_shards,
+    "llm5_base_counts": llm5_base_counts,
+    "llm9_rules": llm9_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "llm4_shards": sharding.ORACLE, "llm5_base_counts": secret_scan.ORACLE, "llm9_rules": url_filter.ORACLE}

@@ -317,8 +317,8 @@ def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> CharNet:
     return pickle.loads(windows.unionByName(none).withColumn("shard", F.lit(0)).groupBy("shard").applyInPandas(learn, "net binary").first()["net"])
 
 
-def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
-    """doc_id and spans array<struct<start, end, kind, score>> of every row; base spans have score 1."""
+def find_secrets(documents: DataFrame, net: CharNet | None) -> DataFrame:
+    """doc_id and spans array<struct<start, end, kind, score>> of every row; base spans have score 1. Without a network, these alone."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +337,7 @@ def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
                     text = data[a:b].tobytes().decode("utf-8", "replace")
                     base = _fast_base(text)
                     spans[low + k] = [{"start": s, "end": e, "kind": kind, "score": 1.0} for s, e, kind in base]
-                    left = rests(text, base)
+                    left = rests(text, base) if model else []
                     coded = codes(text) if left else None
                     for s, e in left:
                         first.append(len(asked))
@@ -359,3 +359,17 @@ def find_secrets(documents: DataFrame, net: CharNet) -> DataFrame:
 def scan(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """find_secrets by a network learnt from the same documents."""
     return find_secrets(documents, fit(documents.select("doc_id", "text"), max_train_docs))
+
+
+def base_findings(documents: DataFrame) -> DataFrame:
+    """find_secrets by the base patterns alone."""
+    return find_secrets(documents, None)
+
+
+ORACLE = r"""
+SELECT doc_id,
+  len([x FOR x IN regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) IF length(x) >= 8])::BIGINT AS n_assign,
+  len([x FOR x IN regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') IF length(x) >= 16])::BIGINT AS n_access,
+  len([x FOR x IN regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') IF length(x) >= 32])::BIGINT AS n_hex
+FROM documents
+"""

@@ -1,6 +1,7 @@
 """URL filters: short allow/block rules first, then logistic regression on hashed character n-grams.
 
-The classifier learns from a small labelled URL table (url, label; label 1 to block): n-grams of host and path are
+The classifier learns from a small labelled URL table (url, label; label 1 to block; ``url_labels`` has the one of the
+registered query), which the rules have no part in: n-grams of host and path are
 hashed to ``2**HASH_BITS`` slots and weighed by logistic regression, with Spark's own feature hashing and solver.
 DataFrame and JVM functions only; scoring is a projection over the scanned url column, without a shuffle.
 
@@ -19,9 +20,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from suasion.llm import common
+
 HASH_BITS = 14
 GRAMS = (3, 4, 5)
-LABELLED_ROWS = 4_000
 #: (verdict, host, path): the policy of the registered query.
 RULES = (
     ("allow", "com", "/"),
@@ -68,17 +70,10 @@ def _vectors(urls: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=1 << HASH_BITS, binary=True, inputCol="_grams", outputCol="_vector").transform(urls.withColumn("_grams", _grams(F.col("host"), F.col("path"))))
 
 
-def labelled_by_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, max_rows: int = LABELLED_ROWS) -> DataFrame:
-    """A labelled URL table of about ``max_rows`` rows at most: distinct urls that a rule decides, chosen by hash."""
-    decided = pages.select("url", fitting_rule(host_of(F.col("url")), path_of(F.col("url")), rules).alias("fit")).filter("fit is not null").select("url", (F.col("fit.verdict") == "block").cast("double").alias("label")).distinct()
-    share = min(1.0, max_rows / max(1, decided.count()))
-    return decided.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_column: str = "page_id") -> DataFrame:
     """id, url, host, path, rule, verdict and p_block of every row."""
     parts = pages.select(id_column, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = _vectors(labelled.select("label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
+    known = common.materialize(_vectors(labelled.select("label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))).select("label", "_vector"))
     kinds = {r["label"] for r in known.select("label").distinct().collect()}  # 0.0, 1.0
     if len(kinds) == 2:
         model = LogisticRegression(featuresCol="_vector", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_side", maxIter=40, regParam=1e-3).fit(known)
@@ -89,3 +84,24 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, s
     return judged.withColumn("_fit", fit).select(
         id_column, "url", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(F.col("_fit.verdict"), F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block"
     )
+
+
+def ruled(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_column: str = "page_id") -> DataFrame:
+    """id, host, path, rule and the rule's verdict (null where no rule fits) of every row."""
+    parts = pages.select(id_column, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    fit = fitting_rule(F.col("host"), F.col("path"), rules)
+    return parts.select(id_column, "host", "path", fit["rule"].alias("rule"), fit["verdict"].alias("verdict"))
+
+
+_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+ORACLE = f"""
+WITH r(verdict, host, path) AS (VALUES {_RULES_SQL}
+), u AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+)
+SELECT p.page_id, p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+GROUP BY p.page_id, p.host, p.path
+"""

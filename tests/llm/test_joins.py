@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from suasion.llm import components, decontaminate, line_dedup, ngram_join, sharding, topk, url_filter
+from suasion.llm import components, decontaminate, line_dedup, ngram_join, sharding, topk, url_filter, url_labels
 
 
 def brute_components(rows, words, num):
@@ -265,7 +266,7 @@ URLS = [
 
 def test_urls_are_taken_apart_and_ruled(spark):
     df = spark.createDataFrame(URLS, "page_id long, url string").selectExpr("*", "'x' as host", "'y' as verdict")
-    got = {r["page_id"]: r for r in url_filter.filter_urls(df, url_filter.labelled_by_rules(df)).collect()}
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df, url_labels.labelled_urls(spark)).collect()}
     fits = {k: (r["host"], r["path"], r["rule"]) for k, r in got.items()}
     assert fits[1] == ("a.example.com", "/en/1", "example.com/en/")
     assert fits[2] == ("www.example.com", "/en/2", "www.example.com/en/")
@@ -327,3 +328,26 @@ def test_near_duplicates_of_clashing_columns(docs):
     out = ngram_join.drop_near_duplicates(frame)
     assert out.columns == frame.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 3]
+
+
+def test_url_table_generalises(spark):
+    """Five folds by crc32 of the url: learnt from four of them, judged on the fifth."""
+    table = url_labels.labelled_urls(spark)
+    right = []
+    for k in range(5):
+        held = F.crc32("url") % 5 == k
+        asked = table.filter(held).selectExpr("url as page_id", "url", "label")
+        got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(asked, table.filter(~held), ()).collect()}
+        right += [(got[r["url"]] == "block") == (r["label"] == 1.0) for r in asked.collect()]
+    assert len(right) == 180
+    assert np.mean(right) >= 0.75
+
+
+def test_url_rules_and_grams_match_a_plain_loop(spark):
+    df = spark.createDataFrame(URLS, "page_id long, url string")
+    for r in url_filter.ruled(df).collect():
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        assert (r["rule"], r["verdict"]) == (max(fits)[1:] if fits else (None, None))
+    text = "^shop.example.org /a?$".replace("?", "")
+    got = spark.createDataFrame([("shop.example.org", "/a")], "host string, path string").select(url_filter._grams(F.col("host"), F.col("path")).alias("g")).first()["g"]
+    assert sorted(got) == sorted(text[i : i + n] for n in url_filter.GRAMS for i in range(len(text) - n + 1))
