@@ -351,3 +351,72 @@ def test_url_rules_and_grams_match_a_plain_loop(spark):
     text = "^shop.example.org /a?$".replace("?", "")
     got = spark.createDataFrame([("shop.example.org", "/a")], "host string, path string").select(url_filter._grams(F.col("host"), F.col("path")).alias("g")).first()["g"]
     assert sorted(got) == sorted(text[i : i + n] for n in url_filter.GRAMS for i in range(len(text) - n + 1))
+
+
+def all_occurrences(item, text, k):
+    """The rule of the module over a whole text, by plain dynamic programming."""
+    out, low = [], 0
+    while True:
+        row, best, stop = list(range(len(item) + 1)), None, len(text)
+        for j in range(low, len(text)):
+            if j >= stop:
+                break
+            last, row[0] = row[0], 0
+            for i in range(1, len(item) + 1):
+                last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (item[i - 1] != text[j]))
+            if row[-1] <= k and (best is None or row[-1] < best[0]):
+                if best is None:
+                    stop = j + 1 + 3 * k
+                best = (row[-1], j + 1)
+        if best is None:
+            return out
+        out.append(best)
+        low = best[1]
+
+
+def test_every_occurrence_matches_brute_force_over_whole_texts():
+    rng = random.Random(41)
+    items = [(k, "".join(rng.choices("abc de", k=rng.choice([5, 9, 14, 30, 61, 120])))) for k in range(14)] + [(20, "ab " * 15), (21, "é漢 🙂x" * 6)]
+    items = [(i, t) for i, t in items if t.strip()]
+    texts = ["ab " * 60, "", "é漢 🙂x" * 13, "word " * 9_000 + items[5][1].upper() + "tail"]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            leak = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(leak))
+                leak[at] = rng.choice(["", "z", leak[at] + "z"])
+            parts += ["".join(rng.choices("abc dexyz", k=rng.randint(0, 30))), "".join(leak)]
+        texts.append("".join(parts))
+    matcher = decontaminate.Matcher(items)
+    got = {}
+    for row, n, distance, start, end in matcher.occurrences(texts):
+        got.setdefault((row, n), []).append((distance, end))
+        assert edit_distance(items[n][1], decontaminate.fold(texts[row])[start:end]) == distance
+    want = {}
+    for row, text in enumerate(texts):
+        for n, (_, item) in enumerate(items):
+            if len(text) < 5_000 or n in (5, 14):
+                found = all_occurrences(item, decontaminate.fold(text), int(len(item) * decontaminate.ERROR_RATE))
+                if found:
+                    want[row, n] = found
+    assert {k: v for k, v in got.items() if len(texts[k[0]]) < 5_000 or k[1] in (5, 14)} == want
+    assert [e for _, e in got[0, items.index((20, "ab " * 15))]] == [45, 90, 135, 180]
+
+
+def test_decontamination_of_clashing_columns_ties_and_bad_bytes(docs, spark):
+    bench = spark.createDataFrame([(1, "an item that is long enough to be found"), (2, "an item that is long enough to be found")], "item_id long, text string")
+    frame = docs([(5, "x AN item that is long enough to be found y"), (5, "x AN item that is long enough to be found y"), (6, "z")]).withColumnsRenamed({"score": "item_id", "shard": "start", "label": "distance"})
+    found = sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["distance"]) for r in decontaminate.find_leaks(frame, bench).collect())
+    assert found == [(5, 1, 2, 41, 0)] * 2 + [(5, 2, 2, 41, 0)] * 2
+    assert [r["doc_id"] for r in decontaminate.decontaminate(frame, bench).collect()] == [6]
+    bad = spark.range(1).selectExpr("7L as doc_id", "cast(X'FFFE' as string) || 'an item that is long enough to be found' as text")
+    assert decontaminate.find_leaks(bad, bench).count() == 2
+
+
+def test_a_large_benchmark_is_one_pass(spark):
+    items = spark.range(20_000).selectExpr("id as item_id", "concat('question ', sha2(string(id), 256)) as text")
+    documents = spark.range(40).selectExpr("id as doc_id", "concat('before question ', sha2(string(id * 7), 256), ' after') as text")
+    found = decontaminate.find_leaks(documents, items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(k, 7 * k) for k in range(40)}
