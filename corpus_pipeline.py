@@ -1,4 +1,14 @@
-"""A training-corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding."""
+"""A training-corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding.
+
+Each stage reads all that its predecessor kept; all but the last return the columns of documents, and the last adds size,
+checksum, law, shard and slot to them, texts included.
+
+Defined results: a null or empty text is judged by the quality model as one empty line and, if kept, is nobody's copy, no
+leak and has no tokens; texts of any length are read whole; rows with equal doc_id are one document to the near-duplicate
+stage (all stay or all go) and rows of their own to the others, and mixing repeats rows, each with a slot of its own in
+the shards; of a group of near-duplicates the smallest doc_id stays; an empty table gives no rows; other columns pass
+through, under their own names (the last stage adds an underscore to one that has the name of a column it adds).
+"""
 
 from __future__ import annotations
 
@@ -34,8 +44,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deal the corpus into contiguous shards of equal bytes."""
-    return sharding.assign_shards(docs)
+    """Deal the documents, whole, into contiguous shards of equal bytes."""
+    return sharding.shard_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
