@@ -1,6 +1,9 @@
 """Exact top-k inner-product search: a Voronoi kNN join.
 
-Vectors are grouped by the nearest of a bounded number of pivots (real vectors, chosen by hash). Group summaries
+Vectors are grouped by a near one of the pivots: real vectors, chosen by hash, about half the square root of their number
+(MAX_PIVOTS at most, which bounds what is broadcast). Pivots are found by way of the nearest of some coarse ones; any
+assignment gives right results, as bounds use the groups as they are. Groups of one coarse pivot are numbered next to each
+other, so blocks of queries are of one neighbourhood. Group summaries
 (pivot, radius, largest norm, count) bound every score: for a query q and a group with pivot p and radius r, no member
 scores more than min(q.p + |q| r, |q| R). The k-th best score of q among the pivots is a lower bound of its k-th best
 score overall. Queries are packed into blocks of neighbouring groups, and data of a group go to a query block only if
@@ -27,7 +30,7 @@ from suasion.llm import common
 
 K = 20
 SCALE = 64
-MAX_PIVOTS = 512
+MAX_PIVOTS = 16_384
 QUERY_ROWS, DATA_ROWS = 2048, 8192
 
 
@@ -46,6 +49,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The index of the nearest centre of each row."""
+    return ((centres * centres).sum(1) - 2 * (x @ centres.T)).argmin(1) if len(x) else np.zeros(0, np.int64)
+
+
 def top_k(vectors: DataFrame, is_query: str, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row that meets ``is_query`` (SQL on vec_id)."""
     spark = vectors.sparkSession
@@ -62,16 +70,24 @@ def top_k(vectors: DataFrame, is_query: str, k: int = K, id_column: str = "vec_i
     pivots = np.zeros((len(chosen), width))
     for i, row in enumerate(chosen):
         pivots[i, : len(row["v"])] = row["v"]
-    pivot_ids = np.array([row["vec_id"] for row in chosen])
-    shared = spark.sparkContext.broadcast((pivots, pivot_ids))
+    coarse = pivots[: max(1, round(len(pivots) ** 0.5))].copy()
+    near = _nearest(pivots, coarse)
+    order = np.argsort(near, kind="stable")
+    pivots, near = pivots[order], near[order]
+    pivot_ids = np.array([row["vec_id"] for row in chosen])[order]
+    shared = spark.sparkContext.broadcast((pivots, pivot_ids, coarse, np.searchsorted(near, np.arange(len(coarse) + 1))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, _ = shared.value
-        square = (p * p).sum(1)
+        p, _, coarse, cuts = shared.value
         for batch in batches:
             x = _matrix(batch.column(1), width)
             f = x.astype(float)
-            group = (square - 2 * (f @ p.T)).argmin(1) if len(x) else np.zeros(0, np.int64)
+            parent = _nearest(f, coarse)
+            group = np.zeros(len(x), np.int64)
+            for c in np.unique(parent):
+                mine = parent == c
+                low, high = cuts[c], cuts[c + 1]
+                group[mine] = low + _nearest(f[mine], p[low:high])
             away = np.sqrt(((f - p[group]) ** 2).sum(1))
             packed = x.astype(kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(group.astype(np.int32)), pa.array(away), pa.array(np.sqrt((f * f).sum(1))), pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "g", "away", "norm", "v"])
@@ -108,7 +124,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = K, id_column: str = "vec_i
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The data groups that each query must see, and its lower bound."""
-        p, ids = shared.value
+        p, ids, *_ = shared.value
         for batch in batches:
             q = np.frombuffer(b"".join(batch.column("v").to_pylist()), kind).reshape(batch.num_rows, width).astype(float)
             scores = q @ p.T
