@@ -12,34 +12,74 @@ PRICE = rf"(?:[$£€¥₹]\s?|(?:USD|GBP|EUR|JPY|INR|CAD|AUD)\s){NUMBER}|{NUMBE
 MOST = 100_000_000
 
 
-def _currency(raw: Column) -> Column:
-    code = F.regexp_extract(raw, "(USD|GBP|EUR|JPY|INR|CAD|AUD)", 1)
-    sign = F.regexp_extract(raw, "([$£€¥₹])", 1)
+def _coded(code: Column, sign: Column) -> Column:
     by_sign = F.coalesce(*(F.when(sign == s, F.lit(c)) for s, c in SYMBOLS.items()), F.lit("USD"))
     return F.when(code != "", code).otherwise(by_sign)
 
 
+def _bare(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"[^0-9.,]", "")
+
+
+def _tail(bare: Column) -> Column:
+    return F.regexp_extract(bare, r"[.,](\d*)$", 1)
+
+
+def _amount(bare: Column, tail: Column, yen: Column) -> Column:
+    """Of two kinds of separator the last is decimal; a single one before exactly three digits is not."""
+    decimal = bare.rlike(r"[.,]") & ((bare.contains(".") & bare.contains(",")) | (F.length(tail) != 3))
+    digits = F.translate(bare, ".,", "")
+    # the decimals are the last digits, so whole and fraction are both cut from the bare digits
+    cut = F.when(decimal, F.length(tail)).otherwise(0)
+    whole = F.coalesce(F.nullif(F.substring(digits, F.lit(1), F.length(digits) - cut), F.lit("")).try_cast("long"), F.lit(0).cast("long"))
+    cents = F.rpad(F.concat(F.when(decimal, tail).otherwise(""), F.lit("00")), 2, "0").cast("long")
+    return F.when(yen, whole).otherwise(whole * 100 + cents)
+
+
 def minor_units(raw: Column, currency: Column) -> Column:
-    """A written number in minor units. Of two kinds of separator the last is decimal; a single one before exactly three digits is not."""
-    bare = F.regexp_replace(raw, r"[^0-9.,]", "")
-    mixed = bare.contains(".") & bare.contains(",")
-    tail = F.regexp_extract(bare, r"[.,](\d*)$", 1)
-    decimal = bare.rlike(r"[.,]") & (mixed | (F.length(tail) != 3))
-    fraction = F.when(decimal, tail).otherwise("")
-    whole = F.regexp_replace(F.when(decimal, F.regexp_replace(bare, r"[.,]\d*$", "")).otherwise(bare), r"[.,]", "")
-    yen = currency == "JPY"
-    number = F.coalesce(F.expr("null").cast("long"), F.nullif(whole, F.lit("")).try_cast("long"), F.lit(0).cast("long"))
-    cents = F.rpad(F.concat(fraction, F.lit("00")), 2, "0").cast("long")
-    return F.when(yen, number).otherwise(number * 100 + cents)
+    """A written number in minor units."""
+    return _amount(_bare(raw), _tail(_bare(raw)), currency == "JPY")
 
 
 def parse_prices(text: Column) -> Column:
-    """All plausible prices of a text in order: array<struct<amount, currency, raw>>."""
+    """All plausible prices of a text in order: array<struct<amount, currency, raw>>.
+
+    Each step is bound once, by a transform of its own, so nothing is worked out twice.
+    """
     raws = F.regexp_extract_all(text, F.lit(f"({PRICE})"), F.lit(1))
-    priced = F.transform(raws, lambda r: F.struct(minor_units(r, _currency(r)).alias("amount"), _currency(r).alias("currency"), r.alias("raw")))
+    read = F.transform(raws, lambda r: F.struct(r.alias("raw"), F.regexp_extract(r, "(USD|GBP|EUR|JPY|INR|CAD|AUD)", 1).alias("code"), F.regexp_extract(r, "([$£€¥₹])", 1).alias("sign"), _bare(r).alias("bare")))
+    coded = F.transform(read, lambda x: F.struct(x["raw"].alias("raw"), _coded(x["code"], x["sign"]).alias("currency"), x["bare"].alias("bare"), _tail(x["bare"]).alias("tail")))
+    priced = F.transform(coded, lambda x: F.struct(_amount(x["bare"], x["tail"], x["currency"] == "JPY").alias("amount"), x["currency"].alias("currency"), x["raw"].alias("raw")))
     return F.filter(priced, lambda p: p["amount"] <= MOST)
 
 
+def price_starts(text: Column) -> Column:
+    """Where (from 0) each written price of a text begins, plausible or not."""
+    between = F.transform(F.split(text, PRICE, -1), lambda x: F.length(x))
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(f"({PRICE})"), F.lit(1)), lambda r: F.length(r))
+    steps = F.transform(lengths, lambda n, i: F.struct(n.alias("n"), F.get(between, i).alias("gap")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(steps, none, lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")), lambda a: a["starts"])
+
+
+def without_price(text: Column, raw: Column) -> Column:
+    """A text without its only written price, as a label: single blanks, no dash or colon at the end, 120 characters at most."""
+    before = F.split_part(text, raw, F.lit(1))
+    rest = F.concat(before, F.substring(text, F.length(before) + F.length(raw) + 1, F.length(text)))
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(rest, r"\s+", " "), r"[:•\-–—]+\s*$", "")), F.lit(1), F.lit(120))
+
+
 def format_minor(amount: Column, currency: Column) -> Column:
     cents = F.concat(F.floor(amount / 100).cast("string"), F.lit("."), F.lpad((amount % 100).cast("string"), 2, "0"))
     return F.when(currency == "JPY", amount.cast("string")).otherwise(cents)
+
+
+def encode_money(money: Column) -> Column:
+    """struct<amount, currency, confidence> as it goes over a wire: the amount as a decimal text."""
+    return F.struct(money["amount"].cast("string").alias("minor"), money["currency"].alias("currency"), money["confidence"].alias("confidence"))
+
+
+def decode_money(wire: Column) -> Column:
+    """The reverse; an amount that is no whole number is null."""
+    whole = F.when(wire["minor"].rlike(r"^-?\d+$"), wire["minor"].try_cast("long"))
+    return F.struct(whole.alias("amount"), wire["currency"].alias("currency"), wire["confidence"].alias("confidence"))

@@ -13,8 +13,8 @@ from suasion.sources.tables import table
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages")
 WORDS = {
-    "spark": {"MS": "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)", "K": "cast(regexp_extract(props, '[0-9]+', 0) as int)", "STR": "string", "BIG": "bigint", "DBL": "double"},
-    "duck": {"MS": "(epoch_us(ts) // 1000)", "K": "cast(regexp_extract(props, '[0-9]+', 0) as int)", "STR": "varchar", "BIG": "bigint", "DBL": "double"},
+    "spark": {"MS": "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)", "K": "cast(regexp_extract(props, '[0-9]+', 0) as int)", "STR": "string", "BIG": "bigint", "DBL": "double", "OPEN": "{{", "CLOSE": "}}"},
+    "duck": {"MS": "(epoch_us(ts) // 1000)", "K": "cast(regexp_extract(props, '[0-9]+', 0) as int)", "STR": "varchar", "BIG": "bigint", "DBL": "double", "OPEN": "{", "CLOSE": "}"},
 }
 PATTERN = "case event_type when 'view' then 'urgency.countdown' when 'click' then 'scarcity.stock' when 'purchase' then 'pricing.drip' when 'signup' then 'anchoring.reference_price' else 'nagging.repeat_interstitial' end"
 STAGE = "case event_id % 5 when 0 then 'browse' when 1 then 'pdp' when 2 then 'cart' when 3 then 'checkout' else 'payment' end"

@@ -1,10 +1,13 @@
-"""Pages as tables: the nodes of a page's HTML that a detector might care about, and what its head says.
+"""Pages as tables: the nodes of a page's HTML that a detector might care about, and what the page says of itself.
 
-A page is parsed where its row lies, one Arrow batch at a time; nothing is shuffled and no page meets another.
+A page is parsed once, where its row lies, one Arrow batch at a time; nothing is shuffled and no page meets another.
+There is no layout engine: styles are those of ``style`` and ``hidden`` attributes with their inheritance, and a box is
+known only where a width and a height are written (in px, or as attributes); an unknown box counts as visible.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,32 +21,85 @@ from suasion.functions.lexicons import TRIGGERS
 # fixed values: subtrees that are never read, elements that always count, limits
 REJECTED = frozenset(("script", "style", "noscript", "svg"))
 ALWAYS = frozenset(("input", "button", "select", "a", "del", "s", "strike"))
-MAX_NODES, MAX_DEPTH, MAX_TEXT = 4_000, 12, 400
+MAX_NODES, MAX_DEPTH, MAX_TEXT, MAX_BODY = 4_000, 12, 400, 400_000
+ROW_LEVELS, ROW_TEXT, BARE_TEXT, GROUND_HOPS, MARK_LEVELS, SUMMARY_TEXT, NAME_TEXT = 3, 140, 40, 8, 6, 90, 60
+ROW_TAGS = frozenset(("li", "tr", "div", "article"))
+PRICE_GLYPH = re.compile(r"[$£€¥₹]\s?\d")
+PRICED = re.compile(r"[$£€¥₹]\s?\d[\d.,]*")
+PER_UNIT = re.compile(r"[$£€¥₹]\s?[\d.,]+\s*(?:/|per|a)\s*(?:night|person|adult|guest|traveller|traveler|way|leg|ticket)\b")
+MONEY_LABEL = re.compile(r"\b(?:sub-?totals?|totals?|amount due|you pay|taxe?s?|vat|gst|fees?|shipping|delivery|savings?|discounts?|promotions?|retail price|estimated price|handling|charges?)\b", re.IGNORECASE)
+TOTAL_LABEL = re.compile(r"\b(?:totals?|amount due|you pay)\b", re.IGNORECASE)
+REMOVE = re.compile(r"^(?:remove|delete|trash|bin|×|✕|x)$|\bremove\b|\bdelete\b")
+QUANTITY_WORD = re.compile(r"\b(?:qty|quantity)\b", re.IGNORECASE)
+CALLS = {
+    "add_to_cart": (50, re.compile(r"\badd to (?:cart|bag|basket|order)\b|\bbuy now\b|\badd to my bag\b")),
+    "checkout_cta": (20, re.compile(r"\bcheckout\b|\bcheck out\b|\bproceed to\b|\bcontinue to (?:payment|checkout)\b|\breserve\b")),
+    "place_order": (20, re.compile(r"\bplace order\b|\bpay now\b|\bcomplete (?:order|purchase)\b|\bsubmit order\b")),
+    "booking_cta": (
+        50,
+        re.compile(
+            r"\bbook now\b|\breserve (?:now|room|table|seat)\b|\bselect (?:room|flight|fare|seats?|tickets?)\b|\bchoose (?:room|flight|dates?)\b"
+            r"|\b(?:see|check) availability\b|\b(?:get|buy|find) tickets?\b|\bview deal\b|\bbook (?:this )?(?:room|flight|trip|stay)\b"
+        ),
+    ),
+}
+STEP = "(?:cart|bag|basket|flights?|bundle|seats?|extras|shipping|delivery|details|review|payment|checkout|place order|confirm)"
+STEPS = re.compile(rf"{STEP}\s*[>›»→|•]\s*{STEP}")
+CONTACT = {
+    "email": re.compile(r"\bemail\b|e-mail"),
+    "name": re.compile(r"first[\s_-]*name|last[\s_-]*name|given[\s_-]*name|family[\s_-]*name|surname|full[\s_-]*name"),
+    "postal": re.compile(r"post(?:al)?[\s_-]*code|\bzip\b|\bpostcode\b"),
+    "address": re.compile(r"address|street|\bcity\b|\btown\b|address-level|\bcountry\b|\bregion\b|\bstate\b"),
+}
+PRODUCT_DEPTH = 5
+# end of fixed values
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 CLOSES = {"p": ("p",), "li": ("li",), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Sizes that elements have of themselves, as shares of their parent's.
+SIZES = {"h1": 2.0, "h2": 1.5, "h3": 1.17, "small": 0.83, "sub": 0.83, "sup": 0.83}
+BOLD = frozenset(("b", "strong", "h1", "h2", "h3", "h4", "h5", "h6", "th"))
+RAW_TEXT = 4_000
 _WORTH = re.compile("[0-9$£€¥₹:%]|" + "|".join(re.escape(w) for w in TRIGGERS))
+_CLEAR = re.compile(r"^(?:|transparent|rgba\(\s*0,\s*0,\s*0,\s*0\s*\))$")
+_ID = re.compile(r"[a-zA-Z][\w-]*")
 
-NODE = "page_id long, idx int, parent_idx int, tag_name string, role string, accessible_name string, text string, selector_path string, container_path string, attrs map<string,string>"
-META = "page_id long, title string, lang string, og_type string, json_ld array<string>, has_cc_field boolean, n_elements int"
+NODE = (
+    "idx int, parent_idx int, tag_name string, role string, accessible_name string, text string, selector_path string, container_path string, container_text string, row_text string, has_progress boolean, in_dialog boolean, cents_child boolean, "
+    "struck boolean, rendered boolean, area double, font_px double, weight int, color string, background string, input_type string, checked boolean, attrs map<string,string>"
+)
+META = (
+    "title string, lang string, og_type string, json_ld array<string>, has_product_ld boolean, product struct<gtin:string,sku:string,id:string,title:string>, dom_sku string, has_cc_field boolean, has_postal boolean, has_address boolean, has_contact boolean, "
+    "has_quantity boolean, has_remove boolean, has_total boolean, has_steps boolean, cart_rows int, summary_rows int, add_to_cart int, checkout_cta int, place_order int, booking_cta int, per_unit_rows int, priced_texts int, n_elements int"
+)
+
+
+def _tidy(text: str, most: int = MAX_TEXT) -> str:
+    return " ".join(text.split())[:most]
 
 
 class _Element:
-    __slots__ = ("attrs", "direct", "kinds", "nth", "parent", "tag", "whole")
+    __slots__ = ("attrs", "content", "kinds", "nth", "parent", "raw", "style", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Element | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.direct: list[str] = []
-        self.whole: list[str] = []
+        self.content: list[str | _Element] = []
+        self.raw = ""
         self.kinds: Counter[str] = Counter()
+        self.style: dict[str, str] = {}
         self.nth = 1
         if parent is not None:
             parent.kinds[tag] += 1
             self.nth = parent.kinds[tag]
+            parent.content.append(self)
+        for part in attrs.get("style", "").lower().split(";"):
+            name, _, value = part.partition(":")
+            if value:
+                self.style[name.strip()] = value.strip().removesuffix("!important").strip()
 
     def path(self) -> str:
         steps, at = [], self
         while at is not None and len(steps) < MAX_DEPTH:
-            if at.attrs.get("id"):
+            if _ID.fullmatch(at.attrs.get("id", "")):
                 steps.append(f"#{at.attrs['id']}")
                 break
             several = at.parent is not None and at.parent.kinds[at.tag] > 1
@@ -51,111 +107,347 @@ class _Element:
             at = at.parent
         return ">".join(reversed(steps))
 
-    def text(self, pieces: list[str]) -> str:
-        return " ".join(" ".join(pieces).split())[:MAX_TEXT]
+    def direct(self) -> str:
+        return _tidy("".join(x for x in self.content if isinstance(x, str)))
+
+    def joined(self) -> str:
+        """The texts of its children, set apart by blanks."""
+        return _tidy(" ".join(x if isinstance(x, str) else x.raw for x in self.content))
+
+    def above(self, levels: int) -> Iterator[_Element]:
+        at = self.parent
+        while at is not None and levels:
+            yield at
+            at, levels = at.parent, levels - 1
+
+    def says(self, name: str, *parts: str) -> bool:
+        value = self.attrs.get(name, "").lower()
+        return any(p in value for p in parts)
+
+    def is_button(self) -> bool:
+        return self.tag in ("button", "a") or self.attrs.get("role") == "button"
 
 
 class _Tree(HTMLParser):
-    """The elements of a page in document order, with their own and their whole text."""
+    """The elements of a page in document order, and the text of the subtrees that are never read as text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.elements: list[_Element] = []
         self.open: list[_Element] = []
-        self.raw: list[tuple[_Element, str]] = []
+        self.shut = 0
+        self.scripts: list[tuple[_Element, str]] = []
+
+    def _pop(self) -> str:
+        tag = self.open.pop().tag
+        self.shut -= tag in REJECTED
+        return tag
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while self.open and self.open[-1].tag in CLOSES.get(tag, ()):
-            self.open.pop()
+            self._pop()
         e = _Element(tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None)
         self.elements.append(e)
         if tag not in VOID:
             self.open.append(e)
+            self.shut += tag in REJECTED
 
     def handle_endtag(self, tag: str) -> None:
         if any(e.tag == tag for e in self.open):
-            while self.open.pop().tag != tag:
+            while self._pop() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
-        if not self.open:
-            return
-        if any(e.tag in REJECTED for e in self.open):
-            self.raw.append((self.open[-1], data))
-        elif not data.isspace():
-            self.open[-1].direct.append(data)
-            for e in self.open:
-                if sum(map(len, e.whole[:8])) < MAX_TEXT and len(e.whole) < MAX_TEXT:
-                    e.whole.append(data)
+        if self.shut:
+            self.scripts.append((self.open[-1], data))
+        elif self.open:
+            self.open[-1].content.append(data)
 
 
 def parse(html: str) -> _Tree:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    for e in reversed(tree.elements):  # children before parents
+        e.raw = "".join(x if isinstance(x, str) else x.raw for x in e.content)[:RAW_TEXT]
     return tree
 
 
-def nodes_of(html: str) -> list[dict]:
-    """The accepted nodes of one page: controls and struck text always, others when their own text holds something of interest."""
-    tree = parse(html)
+def _pixels(value: str, of: float) -> float | None:
+    m = re.match(r"^([\d.]+)(px|em|rem|%)?$", value)
+    try:
+        n = float(m[1]) if m else None
+    except ValueError:
+        return None
+    return None if n is None else n * {"em": of, "rem": 16.0, "%": of / 100}.get(m[2], 1.0)
+
+
+class _Styles:
+    """Font size, weight, colour and visibility of every element, top down."""
+
+    def __init__(self, elements: list[_Element]) -> None:
+        self.of: dict[int, tuple[float, int, str, bool, bool]] = {}
+        for e in elements:
+            size, weight, color, shown, gone = self.of[id(e.parent)] if e.parent is not None else (16.0, 400, "", True, False)
+            s = e.style
+            own = _pixels(s.get("font-size", ""), size)
+            size = own if own is not None else size * SIZES.get(e.tag, 1.0)
+            heavy = s.get("font-weight", "")
+            weight = int(heavy) if heavy.isdigit() else 700 if heavy == "bold" else 400 if heavy == "normal" else 700 if e.tag in BOLD else weight
+            shown = s["visibility"] != "hidden" if "visibility" in s else shown
+            gone = gone or s.get("display") == "none" or "hidden" in e.attrs
+            self.of[id(e)] = (size, weight, s.get("color", color), shown, gone)
+
+    def area(self, e: _Element) -> float | None:
+        sides = [_pixels(e.style.get(k, e.attrs.get(k, "")), 0.0) for k in ("width", "height")]
+        return None if None in sides else sides[0] * sides[1]
+
+    def rendered(self, e: _Element) -> bool:
+        _, _, _, shown, gone = self.of[id(e)]
+        opacity = re.match(r"^[\d.]+$", e.style.get("opacity", "1"))
+        area = self.area(e)
+        return shown and not gone and (opacity is None or opacity[0].count(".") > 1 or float(opacity[0]) > 0.05) and (area is None or area > 0)
+
+
+def _ground(e: _Element) -> str:
+    """What a node is painted on: of controls the nearest colour within a few levels."""
+    own = e.style.get("background-color", e.style.get("background", ""))
+    if not _CLEAR.match(own):
+        return own
+    if e.tag in ("button", "a", "input", "label") or e.attrs.get("role") in ("button", "link"):
+        for up in e.above(GROUND_HOPS):
+            color = up.style.get("background-color", up.style.get("background", ""))
+            if not _CLEAR.match(color):
+                return color
+    return "rgb(255, 255, 255)"
+
+
+def _bare(text: str) -> bool:
+    """Whether a text is a price and nothing else."""
+    return bool(PRICE_GLYPH.search(text)) and not re.sub(r"[\d.,\s\-–—:•]", "", re.sub(r"[$£€¥₹]\s?[\d.,]+", "", text))
+
+
+def _normal(text: str) -> str:
+    return " ".join(text.lower().translate(str.maketrans("‘’“”", "''\"\"")).split())
+
+
+def _row_text(e: _Element, own: str) -> str:
+    """The nearest row around a bare price that says what it is the price of."""
+    if not own or len(own) > BARE_TEXT or not _bare(own):
+        return ""
+    for up in e.above(ROW_LEVELS):
+        t = _normal(up.joined())
+        if 0 < len(t) <= ROW_TEXT and PRICE_GLYPH.search(t) and not _bare(t):
+            return t
+    return ""
+
+
+def _nodes(tree: _Tree) -> list[dict]:
     by_id = {e.attrs["id"]: e for e in reversed(tree.elements) if e.attrs.get("id")}
-    rejected: set[int] = set()
-    place: dict[int, int] = {}
+    styles, rejected, place = _Styles(tree.elements), set(), {}
     out: list[dict] = []
+    kept: list[_Element] = []
+    progress: set[int] = set()
+    for e in tree.elements:
+        if e.tag == "progress" or e.attrs.get("role") == "progressbar":
+            at = e.parent
+            while at is not None and id(at) not in progress:
+                progress.add(id(at))
+                at = at.parent
     for e in tree.elements:
         if e.tag in REJECTED or (e.parent is not None and id(e.parent) in rejected):
             rejected.add(id(e))
             continue
-        own = e.text(e.direct)
+        own = e.direct()
         if not (e.tag in ALWAYS or (own and _WORTH.search(own.lower()))):
             continue
         if len(out) == MAX_NODES:
             break
-        up = e.parent
-        while up is not None and id(up) not in place:
-            up = up.parent
+        size, weight, color, _, _ = styles.of[id(e)]
         label = by_id.get(e.attrs.get("aria-labelledby", ""))
-        name = e.attrs.get("aria-label") or (label.text(label.whole) if label else "") or e.attrs.get("alt") or e.attrs.get("value") or e.text(e.whole)
+        name = e.attrs.get("aria-label") or (label.raw if label else "") or e.attrs.get("alt") or (e.attrs.get("value") if e.tag == "input" else "") or e.raw
+        text, up = e.joined(), e.parent
         place[id(e)] = len(out)
+        kept.append(e)
         out.append({
-            "idx": len(out), "parent_idx": place[id(up)] if up is not None else -1, "tag_name": e.tag, "role": e.attrs.get("role"), "accessible_name": name, "text": e.text(e.whole) if e.tag in ALWAYS else own,
-            "selector_path": e.path(), "container_path": e.parent.path() if e.parent else "", "attrs": list(e.attrs.items()),
+            "idx": len(out), "parent_idx": place.get(id(up), -1), "tag_name": e.tag, "role": e.attrs.get("role"), "accessible_name": _tidy(name), "text": text,
+            "selector_path": e.path(), "container_path": up.path() if up is not None else "", "container_text": _normal(up.joined()) if up is not None else "", "row_text": _row_text(e, _normal(text)),
+            "has_progress": id(e) in progress, "struck": e.tag in ("del", "s", "strike") or "line-through" in e.style.get("text-decoration", "") + e.style.get("text-decoration-line", ""),
+            "rendered": styles.rendered(e), "area": styles.area(e), "font_px": size, "weight": weight, "color": color, "background": _ground(e),
+            "input_type": (e.attrs.get("type") or "text").lower() if e.tag == "input" else None, "checked": "checked" in e.attrs or e.attrs.get("aria-checked") == "true", "attrs": list(e.attrs.items()),
         })
+    for n in out:  # a dialog among itself and five accepted parents; cents set small below a price
+        at, n["in_dialog"], n["cents_child"] = n, False, False
+        for _ in range(MARK_LEVELS):
+            n["in_dialog"] = n["in_dialog"] or at["role"] in ("dialog", "alertdialog")
+            if at["parent_idx"] < 0:
+                break
+            at = out[at["parent_idx"]]
+    for n in out:
+        if n["parent_idx"] >= 0 and re.fullmatch(r"\d{2}", n["text"]) and n["font_px"] < 0.8 * out[n["parent_idx"]]["font_px"]:
+            out[n["parent_idx"]]["cents_child"] = True
     return out
 
 
-def meta_of(html: str) -> dict:
-    """What one page says of itself."""
-    tree = parse(html)
+def _products(block: object, depth: int = 0) -> Iterator[dict]:
+    """Product and Offer objects of a JSON-LD block, outermost first."""
+    if depth > PRODUCT_DEPTH:
+        return
+    if isinstance(block, list):
+        for x in block:
+            yield from _products(x, depth + 1)
+    elif isinstance(block, dict):
+        kind = block.get("@type")
+        if {"Product", "Offer"} & set(kind if isinstance(kind, list) and all(isinstance(k, str) for k in kind) else [kind] if isinstance(kind, str) else []):
+            yield block
+        for x in block.values():
+            yield from _products(x, depth + 1)
+
+
+def _word(value: object) -> str | None:
+    if isinstance(value, str) and value.strip():
+        return value.strip()[:128]
+    return str(value) if isinstance(value, int | float) and not isinstance(value, bool) else None
+
+
+def _product(blocks: list[object]) -> dict | None:
+    """The keys of the first product or offer that has any."""
+    first = lambda p, *names: next((w for w in (_word(p.get(n)) for n in names) if w), None)
+    for p in (p for b in blocks for p in _products(b)):
+        keys = {"gtin": first(p, "gtin13", "gtin12", "gtin8", "gtin"), "sku": first(p, "sku", "productID", "mpn"), "id": first(p, "@id")}
+        if any(keys.values()):
+            return keys | {"title": _word(p.get("name"))}
+    return None
+
+
+def _contact(tree: _Tree) -> dict[str, bool]:
+    said, addresses = set(), 0
+    fields = [e for e in tree.elements if e.tag in ("input", "select")]
+    for e in fields:
+        kind = e.attrs.get("type", "").lower()
+        hint = " ".join(filter(None, (e.attrs.get(k) for k in ("autocomplete", "name", "id", "placeholder", "aria-label")))).lower()
+        if kind in ("hidden", "search", "password") or not (hint or kind == "email"):
+            continue
+        said |= {k for k, p in CONTACT.items() if p.search(hint)} | ({"email"} if kind == "email" else set())
+        addresses += bool(CONTACT["address"].search(hint))
+    completes = lambda *names: sum(bool(set(e.attrs.get("autocomplete", "").split()) & set(names)) for e in fields if e.tag == "input")
+    return {"has_cc_field": completes("cc-number") > 0, "has_postal": completes("postal-code") > 0 or "postal" in said, "has_address": completes("address-line1", "address-level2", "country") >= 2 or addresses >= 2, "has_contact": {"name", "email"} <= said}
+
+
+def _signals(tree: _Tree) -> dict:
+    """Counted signs of carts, summaries, calls to action and steps."""
+    els = tree.elements
+    styles = _Styles(els)
+    calls, quantity, removal, inside = Counter(), set(), set(), set()
+    has_remove = has_quantity = False
+
+    def mark(e: _Element, into: set[int]) -> None:
+        into.update(map(id, (e, *e.above(MARK_LEVELS - 1))))
+
+    for e in els:
+        counted = (e.tag == "input" and e.attrs.get("type") == "number") or (e.tag == "select" and e.says("name", "qty", "quant")) or e.says("aria-label", "quantity")
+        if counted:
+            mark(e, quantity)
+        has_quantity = has_quantity or counted or e.says("data-testid", "qty") or (e.tag == "button" and any(up.says("class", "quantity") for up in e.above(99)))
+        if e.is_button():
+            name = _tidy(e.attrs.get("aria-label") or e.raw).lower()
+            if REMOVE.search(name):
+                mark(e, removal)
+            if 0 < len(name) <= NAME_TEXT:
+                has_remove = has_remove or bool(REMOVE.search(name))
+                calls.update(k for k, (_, p) in CALLS.items() if p.search(name))
+    texts: dict[int, str] = {}
+    for e in reversed(els):
+        texts[id(e)] = _tidy(" ".join(x if isinstance(x, str) else texts.get(id(x), "") for x in e.content[:60]))
+    blocks, hidden = set(), set()
+    for e in els:
+        if e.parent is not None and id(e.parent) in hidden or "hidden" in e.attrs or "inert" in e.attrs or e.attrs.get("aria-hidden") == "true" or e.style.get("display") == "none":
+            hidden.add(id(e))
+        if e.tag in ("div", "li", "tr", "section"):
+            blocks.update(id(up) for up in e.above(MAX_NODES))
+    unseen = lambda e: id(e) in hidden or not styles.of[id(e)][3]
+    body = [e for e in els if e.tag not in ("html", "head", "body", "title", "meta", "link", *REJECTED)]
+    priced = [(e, texts[id(e)]) for e in body if PRICE_GLYPH.search(texts[id(e)])]
+    summary = [t for e, t in priced if len(t) <= SUMMARY_TEXT and MONEY_LABEL.search(t) and id(e) not in blocks and not unseen(e)]
+    rows = [e for e, t in priced if e.tag in ROW_TAGS and (id(e) in quantity or id(e) in removal or QUANTITY_WORD.search(t))]
+    for e in rows:
+        inside.update(map(id, e.above(MAX_NODES)))
+    whole: list[str] = []
+    top = next((e for e in els if e.tag == "body"), None)
+    stack: list[str | _Element] = [top] if top is not None else [e for e in els if e.parent is None]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str):
+            whole.append(at)
+        else:
+            stack.extend(reversed(at.content))
+    text = _tidy("".join(whole), MAX_BODY).lower()
+    return {
+        "has_quantity": has_quantity, "has_remove": has_remove, "has_total": any(TOTAL_LABEL.search(t) for t in summary), "has_steps": bool(STEPS.search(text)),
+        "cart_rows": min(50, sum(id(e) not in inside and not unseen(e) for e in rows)), "summary_rows": min(20, len(summary)), **{k: min(most, calls[k]) for k, (most, _) in CALLS.items()},
+        "per_unit_rows": min(50, len(PER_UNIT.findall(text))), "priced_texts": min(200, len(PRICED.findall(text))),
+    }
+
+
+def _meta(tree: _Tree) -> dict:
     first = lambda tag: next((e for e in tree.elements if e.tag == tag), None)
     title, root = first("title"), first("html")
     og = next((e.attrs.get("content") for e in tree.elements if e.tag == "meta" and e.attrs.get("property") == "og:type"), None)
-    card = any(e.tag == "input" and (e.attrs.get("autocomplete") == "cc-number" or re.search(r"card.?number|cc.?num", e.attrs.get("name", ""), re.IGNORECASE)) for e in tree.elements)
-    return {"title": title.text(title.whole) if title else None, "lang": root.attrs.get("lang") if root else None, "og_type": og, "json_ld": [d for e, d in tree.raw if e.tag == "script" and e.attrs.get("type") == "application/ld+json"], "has_cc_field": card, "n_elements": len(tree.elements)}
+    raw, blocks = [d for e, d in tree.scripts if e.tag == "script" and e.attrs.get("type") == "application/ld+json"], []
+    for text in raw:
+        try:
+            blocks.append(json.loads(text))
+        except (ValueError, RecursionError):  # malformed blocks are common and say nothing
+            continue
+    marked = next((e for e in tree.elements if e.attrs.get("itemprop") == "sku" or "data-sku" in e.attrs or "data-product-id" in e.attrs), None)
+    sku = next((v for v in (marked.attrs.get("content"), marked.attrs.get("data-sku"), marked.attrs.get("data-product-id"), marked.raw.strip()) if v is not None), "") if marked is not None else ""
+    return {
+        "title": _tidy(title.raw) if title else None, "lang": root.attrs.get("lang") if root else None, "og_type": og, "json_ld": raw, "has_product_ld": any("Product" in str(p.get("@type")) for b in blocks for p in _products(b)),
+        "product": _product(blocks), "dom_sku": sku if 0 < len(sku) < 64 else None, "n_elements": len(tree.elements), **_contact(tree), **_signals(tree),
+    }
 
 
-_NODE_ARROW = pa.schema([("page_id", pa.int64()), ("idx", pa.int32()), ("parent_idx", pa.int32()), *((n, pa.string()) for n in ("tag_name", "role", "accessible_name", "text", "selector_path", "container_path")), ("attrs", pa.map_(pa.string(), pa.string()))])
-_META_ARROW = pa.schema([("page_id", pa.int64()), ("title", pa.string()), ("lang", pa.string()), ("og_type", pa.string()), ("json_ld", pa.list_(pa.string())), ("has_cc_field", pa.bool_()), ("n_elements", pa.int32())])
+def nodes_of(html: str) -> list[dict]:
+    """The accepted nodes of one page: controls and struck text always, others when their own text holds something of interest."""
+    return _nodes(parse(html))
 
 
-def harvest(pages: DataFrame) -> DataFrame:
-    """One row for each accepted node of each page (page_id, html)."""
+def meta_of(html: str) -> dict:
+    """What one page says of itself."""
+    return _meta(parse(html))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if found := nodes_of(html.as_py() or ""):
-                    yield pa.RecordBatch.from_pylist([{"page_id": page, **n} for n in found], _NODE_ARROW)
 
-    return pages.select("page_id", "html").mapInArrow(run, NODE)
+_KINDS = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_KINDS["struct<gtin:string,sku:string,id:string,title:string>"] = pa.struct([(k, pa.string()) for k in ("gtin", "sku", "id", "title")])
 
 
-def page_meta(pages: DataFrame) -> DataFrame:
-    """One row for each page (page_id, html): title, language, kind, JSON-LD blocks, whether it asks for a card."""
+def _arrow(fields: str) -> pa.StructType:
+    return pa.struct([(name, _KINDS[kind]) for name, kind in (f.split(" ", 1) for f in fields.split(", "))])
+
+
+def _ddl(fields: str) -> str:
+    return "struct<" + ",".join(":".join(f.split(" ", 1)) for f in fields.split(", ")) + ">"
+
+
+def scan(pages: DataFrame) -> DataFrame:
+    """(page_id, meta, nodes) of each page (page_id, html): both from one parse. A null or empty page has no nodes."""
+    kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"page_id": p, **meta_of(h.as_py() or "")} for p, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)], _META_ARROW)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                trees = [parse((x.as_py() or b"").decode("utf-8", "replace")) for x in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_meta(t) for t in trees], _arrow(META)), pa.array([_nodes(t) for t in trees], pa.list_(_arrow(NODE)))], ["page_id", "meta", "nodes"])
+
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, meta {_ddl(META)}, nodes array<{_ddl(NODE)}>")
+
+
+def harvest(pages: DataFrame) -> DataFrame:
+    """One row for each accepted node of each page (page_id, html)."""
+    return scan(pages).selectExpr("page_id", "inline(nodes)")
 
-    return pages.select("page_id", "html").mapInArrow(run, META)
+
+def page_meta(pages: DataFrame) -> DataFrame:
+    """One row for each page (page_id, html): title, language, kind, JSON-LD, product keys, contact fields and counted signals."""
+    return scan(pages).selectExpr("page_id", "meta.*")
