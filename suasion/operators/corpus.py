@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from suasion.functions.text import dedup_key
+from suasion.functions.text import dedup_key, title_similarity, trigrams
 
 # fixed values: personal data, in the order in which it is masked
 SCRUB = (
@@ -77,7 +77,9 @@ def build_queue(rows: DataFrame, per_pattern: int = 300) -> DataFrame:
     want = counts.select(a.alias("wa"), b.alias("wb"), F.least(F.col("C"), a + b, F.lit(per_pattern) - a - b).alias("wc"))  # one row
     wanted = want.select(F.explode(F.map_from_arrays(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.array("wa", "wb", "wc"))).alias("tier", "want"))
     nth = F.row_number().over(Window.partitionBy("tier").orderBy("ord"))
-    return rows.withColumn("_nth", nth).join(F.broadcast(wanted), "tier").filter(F.col("_nth") <= F.col("want")).drop("_nth", "want")
+    # no tier gives more than per_pattern rows, so each task sends on that many of a tier at most
+    first = rows.withColumn("_nth", nth).filter(F.col("_nth") <= per_pattern)
+    return first.join(F.broadcast(wanted), "tier").filter(F.col("_nth") <= F.col("want")).drop("_nth", "want")
 
 
 def cap_per_site(rows: DataFrame, cap: int, site: str = "site", order: str = "ord") -> DataFrame:
@@ -91,14 +93,48 @@ def holdout_by_site(rows: DataFrame, every: int = 4, site: str = "site") -> Data
     return rows.join(F.broadcast(ranked), site)
 
 
+def numbered(rows: DataFrame, key: str, order: str, buckets: int = 1024) -> DataFrame:
+    """The rows with ``_nth``, their number (from 0) within ``key`` by a numeric ``order``.
+
+    Each key is cut into equal ranges of the order, numbered on their own, and the counts of the ranges before (at most
+    ``buckets`` numbers for each key) are added: a key with a third of all rows is not sorted in one task.
+    """
+    ends = rows.groupBy(F.col(key).alias("_of")).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    cut = F.least(F.lit(buckets - 1), F.floor((F.col(order) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1)) * buckets)).cast("int")
+    placed = rows.join(ends, F.col(key).eqNullSafe(F.col("_of"))).withColumn("_cut", cut).drop("_low", "_high", "_of")
+    counts = placed.groupBy(F.col(key).alias("_of"), F.col("_cut").alias("_at")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(key, "_cut").orderBy(order)) - 1
+    joined = placed.withColumn("_own", own).join(counts.select("_of", "_at", before.alias("_before")), F.col(key).eqNullSafe(F.col("_of")) & (F.col("_cut") == F.col("_at")))
+    return joined.withColumn("_nth", F.col("_own") + F.col("_before")).drop("_own", "_before", "_of", "_at", "_cut")
+
+
+def similar_titles(titles: DataFrame, key: str, within: tuple[str, ...], least: float) -> DataFrame:
+    """(key, other, similarity) of pairs of names in the same ``within`` whose trigrams overlap enough.
+
+    Two sets of n trigrams that overlap so much share one of the first n - ceil(least * n) + 1 of each in any common order;
+    rare trigrams come first in it. Only ids meet on these, once a pair, and names are fetched after. The trigram counts are
+    broadcast: of names in a-z, 0-9 and blanks there are 37 ** 3 trigrams at most.
+    """
+    grams = titles.select(key, F.explode(trigrams(F.col("name"))).alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("df"))
+    ordered = grams.join(F.broadcast(counts), "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    n = F.size("o")
+    prefix = F.slice("o", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    keys = ordered.select(key, F.explode(F.transform(prefix, lambda x: x["g"])).alias("g")).join(titles.select(key, *within), key)
+    other = keys.select(F.col(key).alias("other"), "g", *within)
+    pairs = keys.join(other, ["g", *within]).filter(F.col(key) < F.col("other")).select(key, "other").distinct()
+    named = pairs.join(titles.select(key, "name"), key).join(titles.select(F.col(key).alias("other"), F.col("name").alias("other_name")), "other")
+    return named.select(key, "other", F.round(title_similarity(F.col("name"), F.col("other_name")), 9).alias("similarity")).filter(F.col("similarity") >= least)
+
+
 def stride_negatives(rows: DataFrame, label: str = "label", order: str = "ord", per_positive: int = 4, least: int = 40) -> DataFrame:
     """All positives, and evenly spaced negatives: four for each positive, forty at least."""
     sizes = rows.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).select(F.greatest(F.col("pos") * per_positive, F.lit(least)).alias("want"), "neg")
-    nth = F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1
     step = F.col("neg") / F.col("want")
     at = F.ceil(F.col("_nth") / step)  # the pick whose place this row may be
     taken = (F.floor(at * step) == F.col("_nth")) & (at < F.col("want"))
-    return rows.withColumn("_nth", nth).join(F.broadcast(sizes), F.lit(True)).filter((F.col(label) == 1) | (F.col("want") >= F.col("neg")) | taken).drop("_nth", "want", "neg")
+    return numbered(rows, label, order).join(F.broadcast(sizes), F.lit(True)).filter((F.col(label) == 1) | (F.col("want") >= F.col("neg")) | taken).drop("_nth", "want", "neg")
 
 
 def resolve_labels(log: DataFrame, key: tuple[str, ...] = ("pattern_id", "key"), seq: str = "seq") -> DataFrame:

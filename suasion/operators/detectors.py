@@ -146,7 +146,10 @@ def anchoring(nodes: DataFrame) -> DataFrame:
     level = lambda k: F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - k, F.lit(1))), ">")
     struck = priced.filter("struck").select(*KEY, "raw_text", F.array_max(F.transform("_prices", lambda p: p["amount"])).alias("anchor"), F.posexplode(F.array(*(level(k) for k in (1, 2, 3)))).alias("up", "scope"))
     every = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), ">"))
-    live = priced.filter("not struck").select(F.col("page_id").alias("_page"), F.explode(F.array_distinct(every)).alias("_scope"), F.array_min(F.transform("_prices", lambda p: p["amount"])).alias("price")).groupBy("_page", "_scope").agg(F.min("price").alias("current"))
+    # only the scopes of struck prices are of use, a few of each page
+    scopes = struck.groupBy(F.col("page_id").alias("_on")).agg(F.collect_set("scope").alias("_scopes"))
+    near = priced.filter("not struck").join(scopes, F.col("page_id") == F.col("_on"))
+    live = near.select(F.col("page_id").alias("_page"), F.explode(F.array_intersect(every, F.col("_scopes"))).alias("_scope"), F.array_min(F.transform("_prices", lambda p: p["amount"])).alias("price")).groupBy("_page", "_scope").agg(F.min("price").alias("current"))
     pairs = struck.join(live, (F.col("page_id") == F.col("_page")) & (F.col("scope") == F.col("_scope")))
     nearest = pairs.groupBy(*KEY, "anchor").agg(F.min_by("current", "up").alias("current")).filter("anchor > current")
     gap = F.col("anchor") - F.col("current")

@@ -10,6 +10,22 @@ from suasion.operators.dims import EPHEMERAL_GATE_MS, GATE_MS, SURFACE_THRESHOLD
 MAX_ITEMS = 4
 
 
+#: How long the findings that no page shows are taken to have been visible.
+UNSEEN_VISIBLE_MS = 2_000
+
+
+def union_pools(page: DataFrame, *others: DataFrame) -> DataFrame:
+    """Page candidates and those of charges, baskets and repeat visits as one pool, each with its source.
+
+    What is not on a page was not watched: it counts as visible for UNSEEN_VISIBLE_MS, not ephemeral and prominent. Columns
+    that a pool lacks are null.
+    """
+    out = page.withColumn("pool", F.lit("page"))
+    for pool in others:
+        out = out.unionByName(pool.withColumns({"visible_ms": F.lit(UNSEEN_VISIBLE_MS), "ephemeral": F.lit(False), "prominent": F.lit(True)}), allowMissingColumns=True)
+    return out
+
+
 def decide(inputs: DataFrame, disabled: tuple[str, ...] = (), max_items: int = MAX_ITEMS, threshold: float = SURFACE_THRESHOLD, digest: str = "digest_id", index: str = "input_index") -> DataFrame:
     """rank, surfaced and reason of every input, decided within its digest.
 

@@ -78,7 +78,7 @@ def jn20_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def jn21_scores(spark: SparkSession, d: str) -> DataFrame:
     labels = frame(spark, d, "b_labels")
-    fired = labels.filter("ord % 3 <> 0").select("ord", "score")
+    fired = frame(spark, d, "b_fired")
     return evaluation.score_or_zero(labels.select("ord", "pattern_id", "label"), fired, ["ord"])
 
 
@@ -137,7 +137,13 @@ def pf8_denied(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fn14_excludes(spark: SparkSession, d: str) -> DataFrame:
-    return rules.exclude_matches(spark.createDataFrame([(p,) for p in CONVERTED], "pattern string"))
+    """Patterns written from the brands of parts, two to a pattern, beside the fixed ones."""
+    brands = table(spark, d, "part").select(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "").alias("b")).distinct()
+    made = brands.select(F.concat(F.lit(r"(^|\.)("), F.col("b"), F.lit("|x-"), F.col("b"), F.lit(r")\.(com|app)$")).alias("pattern"))
+    bare = brands.select(F.concat(F.lit(r"\."), F.col("b"), F.lit("$")).alias("pattern"))
+    loose = brands.select(F.concat(F.lit(r"^"), F.col("b"), F.lit(r"\.")).alias("pattern"))
+    fixed = spark.range(1).select(F.explode(F.array(*map(F.lit, CONVERTED))).alias("pattern"))
+    return rules.exclude_matches(made.unionByName(bare).unionByName(loose).unionByName(fixed))
 
 
 def fn16_clock(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +224,7 @@ ORACLE_SQL = {
     "jn20_label_fan_out": oracle(
         "SELECT l.site, p.pattern_id, (a.pattern_id = p.pattern_id)::INTEGER AS label, count(*) AS n FROM b_labels l JOIN b_label_log a ON a.seq = l.ord, (VALUES ('view'), ('click'), ('purchase')) p(pattern_id) GROUP BY ALL", "b_labels", "b_label_log"
     ),
-    "jn21_score_or_zero": oracle("SELECT ord, pattern_id, label, CASE WHEN ord % 3 <> 0 THEN score ELSE 0 END::DOUBLE AS score FROM b_labels", "b_labels"),
+    "jn21_score_or_zero": oracle("SELECT ord, pattern_id, label, CASE WHEN score >= 0.35 THEN score ELSE 0 END::DOUBLE AS score FROM b_labels", "b_labels"),
     "ag13_examples": oracle("WITH r AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY ord) AS nth FROM b_labels) SELECT pattern_id, count(*) AS n, string_agg(ord::VARCHAR, ',' ORDER BY ord) FILTER (WHERE nth <= 3) AS examples FROM r GROUP BY pattern_id", "b_labels"),
     "ag14_distinct_claims": oracle("SELECT pattern_id, key, count(*) AS logged_times, min(seq) AS first_at FROM b_label_log GROUP BY ALL", "b_label_log"),
     "ag16_two_thresholds": oracle(f"SELECT pattern_id, count(*) FILTER (WHERE label = 1) AS positives, {_two('log', 0.35)}, {_two('surface', 0.75)} FROM b_labels GROUP BY pattern_id", "b_labels"),
@@ -230,7 +236,11 @@ WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://(?:[^@/?#]*
 SELECT page_id, regexp_matches(url, '^(about|file):') OR regexp_matches(host, '\.(gov|mil|edu)$') OR regexp_matches(host, '(^|\.)[a-z0-9-]*bank[a-z0-9-]*\.') OR regexp_matches(host, 'localhost$') OR regexp_matches(host, '^the[a-z]+\.') AS denied,
        url LIKE 'https://%' AND (host = 'example.com' OR host LIKE '%.example.com') AS on_example FROM h
 """,
-    "fn14_exclude_matches": r"SELECT * FROM (VALUES ('https://*.alpha.com/*', true), ('https://*.beta.com/*', true), ('https://*.d-elta.app/*', true), ('https://*.d-elta.com/*', true), ('https://*.d-elta.social/*', true), ('https://*.gamma.app/*', true), ('https://*.gamma.com/*', true), ('https://*.gamma.social/*', true), ('https://*.local/*', true), ('^(www\.)?(mail|inbox)\.', false), ('(^|\.)[a-z0-9-]*bank[a-z0-9-]*\.', false), ('localhost$', false)) t(match, expressible)",
+    "fn14_exclude_matches": rf"""
+WITH b AS (SELECT DISTINCT regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS b FROM part)
+SELECT 'https://*.' || l || b || '.' || e || '/*' AS "match", true AS expressible FROM b, (VALUES (''), ('x-')) x(l), (VALUES ('com'), ('app')) y(e)
+UNION ALL SELECT 'https://*.' || b || '/*', true FROM b UNION ALL SELECT '^' || b || '\.', false FROM b
+UNION ALL SELECT * FROM (VALUES ('https://*.alpha.com/*', true), ('https://*.beta.com/*', true), ('https://*.d-elta.app/*', true), ('https://*.d-elta.com/*', true), ('https://*.d-elta.social/*', true), ('https://*.gamma.app/*', true), ('https://*.gamma.com/*', true), ('https://*.gamma.social/*', true), ('https://*.local/*', true), ('^(www\.)?(mail|inbox)\.', false), ('(^|\.)[a-z0-9-]*bank[a-z0-9-]*\.', false), ('localhost$', false)) t(match, expressible)""",
     "fn16_clock_seconds": "SELECT p_partkey, (CASE WHEN p_partkey % 2 = 0 THEN (p_size % 24) * 3600 + (p_partkey % 60) * 60 + 30 ELSE (p_size % 24) * 60 + p_partkey % 60 END)::INTEGER AS seconds FROM part",
     "fn42_click_choices": oracle("SELECT label, CASE amount % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE CASE WHEN label LIKE '%Protection%' THEN NULL END END AS selected, count(*) AS n FROM b_fees GROUP BY ALL", "b_fees"),
     "sc10_json_batches": oracle("WITH " + RECORDS + f" SELECT batch_id, count(*) AS size, CASE WHEN count(*) > 500 THEN 413 WHEN NOT bool_and(day_bucket BETWEEN {AS_OF_DAY - 90} AND {AS_OF_DAY + 90}) THEN 422 ELSE 204 END AS status FROM records GROUP BY batch_id", *DET),

@@ -145,6 +145,9 @@ TABLES["b_lines"] = """
 TABLES["b_labels"] = """
     select d.doc_id as ord, d.source as site, case when l.toxic = 1 then 1 else 0 end as label, cast(d.n_chars % 1000 as {DBL}) / 1000 as score, case l.quality when 1 then 'a.one' else 'b.two' end as pattern_id
     from {documents} d join {labels} l on d.doc_id = l.doc_id"""
+# what was logged of the labelled texts: a score under the log threshold is not
+TABLES["b_fired"] = """
+    select d.doc_id as ord, cast(d.n_chars % 1000 as {DBL}) / 1000 as score from {documents} d join {labels} l on d.doc_id = l.doc_id where d.n_chars % 1000 >= 350"""
 TABLES["b_label_log"] = """
     select event_type as pattern_id, cast(user_id as {STR}) as key, event_id as seq, event_id % 2 as label, event_id % 9 = 0 as undo, case when event_id % 5 = 0 then 'scarcity' when event_id % 7 = 0 then 'other' end as also_pattern from {events}"""
 TABLES["b_titles"] = """

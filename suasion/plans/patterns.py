@@ -66,8 +66,8 @@ SHAME = _sql(
 
 
 def fn1_prices(spark: SparkSession, d: str) -> DataFrame:
-    p = detectors.parse_prices(F.col("text"))
-    return frame(spark, d, "b_price_copy").select("page_id", "idx", "l_partkey", p[0]["amount"].alias("was"), p[1]["amount"].alias("now"), p[0]["currency"].alias("currency"), F.size(p).alias("n"))
+    p = F.col("p")  # parsed once
+    return frame(spark, d, "b_price_copy").withColumn("p", detectors.parse_prices(F.col("text"))).select("page_id", "idx", "l_partkey", p[0]["amount"].alias("was"), p[1]["amount"].alias("now"), p[0]["currency"].alias("currency"), F.size(p).alias("n"))
 
 
 def dt1_anchoring(spark: SparkSession, d: str) -> DataFrame:
@@ -108,13 +108,13 @@ FROM g LEFT JOIN b USING (page_id, container_path) LEFT JOIN x USING (page_id, c
 
 
 def dt11_nagging(spark: SparkSession, d: str) -> DataFrame:
-    pages = frame(spark, d, "b_detections").filter("user_id % 2 = 0").groupBy(F.col("user_id").alias("page_id"), F.col("k").alias("visit")).agg(F.array_sort(F.collect_list((F.col("ts_ms") / 60_000.0).cast("double"))).alias("modals")).withColumn("stage", F.lit("pdp"))
+    pages = frame(spark, d, "b_detections").groupBy(F.col("user_id").alias("page_id"), F.col("k").alias("visit")).agg(F.array_sort(F.collect_list((F.col("ts_ms") / 60_000.0).cast("double"))).alias("modals")).withColumn("stage", F.lit("pdp"))
     found = detectors.nagging(pages.withColumn("page_id", F.col("page_id") * 1000 + F.col("visit")))
     return _tidy(found)
 
 
 NAGGING = """
-m AS (SELECT user_id * 1000 + k AS page_id, ts_ms / 60000.0::DOUBLE AS t FROM b_detections WHERE user_id % 2 = 0),
+m AS (SELECT user_id * 1000 + k AS page_id, ts_ms / 60000.0::DOUBLE AS t FROM b_detections),
 g AS (SELECT *, t - lag(t) OVER (PARTITION BY page_id ORDER BY t) AS gap FROM m)
 SELECT page_id, -1 AS idx, 'nagging.repeat_interstitial' AS pattern_id, round(least(1.0::DOUBLE, 0.5 + CASE WHEN count(*) >= 3 THEN 0.3 ELSE 0 END + CASE WHEN coalesce(min(gap) < 10000, false) THEN 0.25 ELSE 0 END), 6) AS raw_score FROM g GROUP BY page_id HAVING count(*) >= 2
 """
@@ -136,11 +136,11 @@ FROM g JOIN a USING (page_id) JOIN d USING (page_id) WHERE a.contrast / d.contra
 
 def dt13_exit_intent(spark: SparkSession, d: str) -> DataFrame:
     c = frame(spark, d, "b_controls")
-    return _tidy(detectors.exit_intent(c.withColumn("text", F.col("exit_text")), c.filter("page_id % 3 = 0").select("page_id", F.lit("body>div1").alias("modal_path"))))
+    return _tidy(detectors.exit_intent(c.withColumn("text", F.col("exit_text")), c.select("page_id").distinct().select("page_id", F.lit("body>div1").alias("modal_path"))))
 
 
 EXIT = """
-h AS (SELECT *, exit_text IN ('wait, before you go', 'hold on for free shipping') AS leaving, exit_text IN ('take 10% off today', 'hold on for free shipping') AS offer FROM b_controls WHERE page_id % 3 = 0 AND starts_with(selector_path, 'body>div1>') AND exit_text <> 'join the waitlist' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY idx) = 1)
+h AS (SELECT *, exit_text IN ('wait, before you go', 'hold on for free shipping') AS leaving, exit_text IN ('take 10% off today', 'hold on for free shipping') AS offer FROM b_controls WHERE starts_with(selector_path, 'body>div1>') AND exit_text <> 'join the waitlist' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY idx) = 1)
 SELECT page_id, idx, 'loss_aversion.exit_intent' AS pattern_id, round(least(1.0::DOUBLE, 0.6::DOUBLE + CASE WHEN leaving THEN 0.3 ELSE 0 END + CASE WHEN offer THEN 0.2 ELSE 0 END), 6) AS raw_score FROM h
 """
 

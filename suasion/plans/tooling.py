@@ -36,8 +36,8 @@ def fn4_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fn30_scrub(spark: SparkSession, d: str) -> DataFrame:
-    clean = corpus.scrub(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.sha2(clean, 256).alias("scrubbed"), (clean != F.col("text")).alias("changed"))
+    clean = F.col("clean")  # worked out once
+    return table(spark, d, "documents").withColumn("clean", corpus.scrub(F.col("text"))).select("doc_id", F.sha2(clean, 256).alias("scrubbed"), (clean != F.col("text")).alias("changed"))
 
 
 def _scrub_sql() -> str:
@@ -112,8 +112,8 @@ def so8_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 def jn18_human_over_auto(spark: SparkSession, d: str) -> DataFrame:
     log = corpus.resolve_labels(frame(spark, d, "b_label_log")).select("pattern_id", "key", "label", "seq")
-    human = log.filter("seq % 3 = 0")
-    return corpus.human_over_auto(human, log.filter("seq % 2 = 0").withColumn("label", F.lit(1).cast("long")))
+    human = log.filter("seq % 3 = 0")  # every third entry is a person's, all others are automatic
+    return corpus.human_over_auto(human, log.filter("seq % 3 <> 0").withColumn("label", F.lit(1).cast("long")))
 
 
 def ag15_confusion(spark: SparkSession, d: str) -> DataFrame:
@@ -141,11 +141,8 @@ SELECT round(threshold, 6) AS threshold, tp, fp, fn, round(CASE WHEN tp = 0 THEN
 
 def jn17_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles of one brand and size that are alike: pairs meet on a shared trigram, then are measured."""
-    t = frame(spark, d, "b_titles").withColumn("name", text.normalize_title(F.col("title"))).select("p_partkey", "name", "p_brand", "p_size")
-    grams = t.withColumn("g", F.explode(text.trigrams(F.col("name"))))
-    other = grams.select(F.col("p_partkey").alias("other"), F.col("name").alias("other_name"), F.col("p_brand").alias("b"), F.col("p_size").alias("s"), F.col("g").alias("h"))
-    pairs = grams.join(other, (F.col("p_brand") == F.col("b")) & (F.col("p_size") == F.col("s")) & (F.col("g") == F.col("h")) & (F.col("p_partkey") < F.col("other"))).select("p_partkey", "other", "name", "other_name").distinct()
-    return pairs.withColumn("similarity", F.round(text.title_similarity(F.col("name"), F.col("other_name")), 9)).filter("similarity >= 0.85").select("p_partkey", "other", "similarity")
+    titles = frame(spark, d, "b_titles").withColumn("name", text.normalize_title(F.col("title"))).select("p_partkey", "name", "p_brand", "p_size")
+    return corpus.similar_titles(titles, "p_partkey", ("p_brand", "p_size"), 0.85)
 
 
 TITLES = r"""
@@ -280,7 +277,7 @@ ORACLE_SQL = {
     "so7_resolve_labels": oracle("SELECT pattern_id, key, label, seq FROM (SELECT * FROM b_label_log QUALIFY row_number() OVER (PARTITION BY pattern_id, key ORDER BY seq DESC) = 1) WHERE NOT undo", "b_label_log"),
     "so8_fan_out": oracle("WITH f AS (SELECT pattern_id, label::INTEGER AS label FROM b_label_log WHERE label = 0 UNION ALL SELECT also_pattern, 1 FROM b_label_log WHERE label = 0 AND also_pattern <> 'other') SELECT pattern_id, label::BIGINT AS label, count(*) AS n FROM f GROUP BY ALL", "b_label_log"),
     "jn18_human_over_auto": oracle(
-        "WITH r AS (SELECT pattern_id, key, label, seq FROM (SELECT * FROM b_label_log QUALIFY row_number() OVER (PARTITION BY pattern_id, key ORDER BY seq DESC) = 1) WHERE NOT undo), h AS (SELECT * FROM r WHERE seq % 3 = 0) SELECT * FROM h UNION ALL SELECT pattern_id, key, 1::BIGINT, seq FROM r WHERE seq % 2 = 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.pattern_id = r.pattern_id AND h.key = r.key)", "b_label_log"
+        "WITH r AS (SELECT pattern_id, key, label, seq FROM (SELECT * FROM b_label_log QUALIFY row_number() OVER (PARTITION BY pattern_id, key ORDER BY seq DESC) = 1) WHERE NOT undo), h AS (SELECT * FROM r WHERE seq % 3 = 0) SELECT * FROM h UNION ALL SELECT pattern_id, key, 1::BIGINT, seq FROM r WHERE seq % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.pattern_id = r.pattern_id AND h.key = r.key)", "b_label_log"
     ),
     "ag15_confusion": oracle("WITH " + CONFUSION, "b_labels"),
     "jn17_title_similarity": oracle("WITH " + TITLES, "b_titles"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines see: the session's checkpoint folder, or a local one where none is set."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """The folder all machines see: the session's checkpoint folder. Where none is set a local one does for one JVM; on a cluster that is an error."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.gettempdir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -19,9 +33,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     Sink and offsets lie in the shared folder, so a lost driver or executor can go on from the last batch.
     """
     spark = stream.sparkSession
-    home = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = new_folder(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{home}/out").option("checkpointLocation", f"{home}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    target = spark._jvm.org.apache.hadoop.fs.Path(home)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
