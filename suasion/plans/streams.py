@@ -26,7 +26,7 @@ def st5_views(spark: SparkSession, d: str) -> DataFrame:
     m = _events(spark, d).select(
         F.col("user_id").alias("view_id"), F.concat(F.lit("https://www.shop"), (F.col("user_id") % 60).cast("string"), F.lit(".com")).alias("origin"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "pdp").otherwise("browse").alias("funnel_stage"), "pattern_id", (F.col("event_type") == "purchase").alias("added")
     )
-    return drain(views.page_views(m, IDLE_MS)).filter("added").groupBy("view_id", "funnel_stage").agg(F.count("*").alias("views"))
+    return drain(views.page_views(m, IDLE_MS)).groupBy("view_id", "funnel_stage", "added").agg(F.count("*").alias("views"))
 
 
 def st11_debounce(spark: SparkSession, d: str) -> DataFrame:
@@ -48,8 +48,10 @@ ORACLE_SQL = {
 WITH m AS (SELECT user_id AS view_id, epoch_us(ts) // 1000 AS t, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'pdp' ELSE 'browse' END AS stage, event_type = 'purchase' AS added FROM events),
 s AS (SELECT *, CASE WHEN coalesce(t - lag(t) OVER w > 21600000 OR lag(added) OVER w, true) THEN 1 ELSE 0 END AS starts FROM m WINDOW w AS (PARTITION BY view_id ORDER BY t, seq)),
 c AS (SELECT *, sum(starts) OVER (PARTITION BY view_id ORDER BY t, seq) AS no FROM s),
-v AS (SELECT view_id, no, bool_or(added) AS added, arg_min(stage, seq) AS funnel_stage FROM c GROUP BY ALL)
-SELECT view_id, funnel_stage, count(*) AS views FROM v WHERE added GROUP BY ALL
+v AS (SELECT view_id, no, bool_or(added) AS added, arg_min(stage, seq) AS funnel_stage, max(t) AS last_t FROM c GROUP BY ALL),
+-- a view that ends without an add is closed by a later one, or once the watermark, an hour behind the latest event, has passed its idle time
+k AS (SELECT *, no < max(no) OVER (PARTITION BY view_id) OR added OR last_t + 21600000 < (SELECT max(t) FROM m) - 3600000 AS closed FROM v)
+SELECT view_id, funnel_stage, added, count(*) AS views FROM k WHERE closed GROUP BY ALL
 """,
     "st11_stream_debounce": "SELECT DISTINCT user_id, event_type, 1::BIGINT AS n FROM events",
     "st8_stream_ephemeral": "SELECT a.user_id AS node, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 30 MINUTE GROUP BY ALL",
