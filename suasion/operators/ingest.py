@@ -77,7 +77,7 @@ def judge(bodies: DataFrame, categories: tuple[str, ...], as_of_day: int, max_ba
     total = F.size("records") + F.size("outcomes")
     shape = F.col("top.v").isin(*map(str, PROTOCOLS)) & F.col("records").isNotNull() & F.col("outcomes").isNotNull() & ((F.col("top.v") == "3") | (F.size("outcomes") == 0)) & total.between(1, max_batch)
     valid = F.forall("records", lambda x: valid_record(x, categories, as_of_day)) & F.forall("outcomes", lambda x: valid_outcome(x, categories, as_of_day))
-    status = F.when(F.col("method") != "POST", 405).when(~F.coalesce(F.col("content_type").contains("application/json"), F.lit(False)), 415).when(~F.coalesce(shape, F.lit(False)), 400).when(~F.coalesce(valid, F.lit(False)), 422).otherwise(204)
+    status = F.when(F.coalesce(F.col("method") != "POST", F.lit(True)), 405).when(~F.coalesce(F.col("content_type").contains("application/json"), F.lit(False)), 415).when(~F.coalesce(shape, F.lit(False)), 400).when(~F.coalesce(valid, F.lit(False)), 422).otherwise(204)
     return lists.select("batch_id", "records", "outcomes", status.alias("status"))
 
 
