@@ -71,8 +71,15 @@ def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> np.ndarr
 
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(pattern_id, trained_on, weights) from (pattern_id, text, label); each pattern in a task of its own."""
-    nth = F.row_number().over(Window.partitionBy("pattern_id").orderBy(F.xxhash64("text", "label"), "text", "label"))
-    bounded = labelled.select("pattern_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")).withColumn("_nth", nth).filter(F.col("_nth") <= max_rows)
+    h = F.xxhash64("text", "label")
+    rows = labelled.select("pattern_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    copies = rows.groupBy("pattern_id", "text", "label").agg(F.count("*").alias("_times"))
+    sizes = copies.groupBy("pattern_id").agg(F.count("*").alias("_of"))
+    # by hash first, with a margin, so that the window sorts some 2 * max_rows texts of a large pattern and not all of them
+    likely = copies.join(sizes, "pattern_id").filter(h.cast("double") / 2.0**63 <= 4.0 * max_rows / F.col("_of") - 1)
+    earlier = F.coalesce(F.sum("_times").over(Window.partitionBy("pattern_id").orderBy(h, "text", "label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = likely.withColumn("_earlier", earlier).withColumn("_room", F.least("_times", max_rows - F.col("_earlier"))).filter("_room > 0")
+    bounded = room.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_room")))).select("pattern_id", "text", "label", (F.col("_earlier") + F.col("_k")).alias("_nth"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_nth")

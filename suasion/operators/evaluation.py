@@ -11,6 +11,8 @@ from suasion.operators.ledger import newest
 
 # fixed values: what a model must have and reach before it is used
 MIN_POSITIVES, MIN_HELD, MIN_HELD_POSITIVES, MIN_PRECISION, MIN_RECALL = 40, 20, 8, 0.8, 0.5
+# fixed value: how much recall may fall between two runs over the same labels
+TOLERANCE = 0.02
 
 
 def answered(items: DataFrame, answers: DataFrame) -> DataFrame:
@@ -44,6 +46,23 @@ def at_two_thresholds(scored: DataFrame, by: tuple[str, ...] = ("pattern_id",))
     return out
 
 
+def recall_baseline(scored: DataFrame) -> DataFrame:
+    """What a run leaves for the next to be held against: pattern_id, positives, recall (three digits, 0 without positives)."""
+    return at_two_thresholds(scored).select("pattern_id", "positives", F.round(F.coalesce("recall_log", F.lit(0.0)), 3).alias("recall"))
+
+
+def ratchet(now: DataFrame, before: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Two baselines side by side, with a verdict by pattern.
+
+    ``labels_changed``: other positives than before (none counts as 0), so the recalls are not comparable; ``regressed``:
+    recall fell by more than the tolerance; ``held``; ``new``: a pattern without a figure before.
+    """
+    was = before.select("pattern_id", F.col("positives").alias("positives_was"), F.col("recall").alias("recall_was"))
+    both = was.join(now.select("pattern_id", "positives", "recall"), "pattern_id", "full").withColumns({"positives": F.coalesce("positives", F.lit(0)), "recall": F.coalesce("recall", F.lit(0.0))})
+    verdict = F.when(F.col("positives_was").isNull(), "new").when(F.col("positives") != F.col("positives_was"), "labels_changed").when(F.col("recall") < F.col("recall_was") - F.lit(tolerance), "regressed").otherwise("held")
+    return both.withColumn("verdict", verdict)
+
+
 def verdicts(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """pattern_id and verdict (SKIPPED: too few labels; REJECTED: held-out figures too low; OK). Needs held_out."""
     sizes = scored.groupBy("pattern_id").agg(

@@ -106,6 +106,19 @@ SELECT pattern_id, positives, held, held_positives, CASE WHEN positives < 40 OR
 """
 
 
+def ml6_ratchet(spark: SparkSession, d: str) -> DataFrame:
+    """Every label's scores lowered by 0.05, held against the scores as they are."""
+    labels = frame(spark, d, "b_labels")
+    return evaluation.ratchet(evaluation.recall_baseline(labels.withColumn("score", F.col("score") - F.lit(0.05))), evaluation.recall_baseline(labels))
+
+
+RATCHET = """
+p AS (SELECT pattern_id, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 1 AND score >= 0.35) AS hits, count(*) FILTER (WHERE label = 1 AND score - 0.05::DOUBLE >= 0.35) AS hits_now FROM b_labels GROUP BY pattern_id),
+r AS (SELECT pattern_id, positives, round(coalesce(hits::DOUBLE / nullif(positives, 0), 0), 3) AS recall_was, round(coalesce(hits_now::DOUBLE / nullif(positives, 0), 0), 3) AS recall FROM p)
+SELECT pattern_id, positives AS positives_was, recall_was, positives, recall, CASE WHEN recall < recall_was - 0.02::DOUBLE THEN 'regressed' ELSE 'held' END AS verdict FROM r
+"""
+
+
 def ml5_novelty(spark: SparkSession, d: str) -> DataFrame:
     rows = frame(spark, d, "b_copy").select(F.col("stage").alias("pattern_id"), "text", F.when(F.col("is_control"), 1).otherwise(0).alias("label"))
     return evaluation.novelty(rows, r"\bleft\b|\bstock\b")
@@ -202,6 +215,7 @@ QUERIES = {
     "ag16_two_thresholds": ag16_thresholds,
     "ml4_training_gate": ml4_verdicts,
     "ml5_novelty": ml5_novelty,
+    "ml6_recall_ratchet": ml6_ratchet,
     "pf2_prefilter": pf2_prefilter,
     "pf8_denylist": pf8_denied,
     "fn14_exclude_matches": fn14_excludes,
@@ -229,6 +243,7 @@ ORACLE_SQL = {
     "ag14_distinct_claims": oracle("SELECT pattern_id, key, count(*) AS logged_times, min(seq) AS first_at FROM b_label_log GROUP BY ALL", "b_label_log"),
     "ag16_two_thresholds": oracle(f"SELECT pattern_id, count(*) FILTER (WHERE label = 1) AS positives, {_two('log', 0.35)}, {_two('surface', 0.75)} FROM b_labels GROUP BY pattern_id", "b_labels"),
     "ml4_training_gate": oracle("WITH " + VERDICTS, "b_labels"),
+    "ml6_recall_ratchet": oracle("WITH " + RATCHET, "b_labels"),
     "ml5_novelty": oracle(r"SELECT stage AS pattern_id, count(*) FILTER (WHERE is_control) AS positives, count(*) FILTER (WHERE is_control AND NOT regexp_matches(text, '\bleft\b|\bstock\b')) AS novel FROM b_copy GROUP BY stage", "b_copy"),
     "pf2_prefilter": _mask_sql(),
     "pf8_denylist": r"""

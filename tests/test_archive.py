@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from suasion.functions import rules
-from suasion.operators import classifier
+from suasion.operators import classifier, evaluation
 from suasion.sources import batches, pages
 
 HTML = """<!DOCTYPE html><html lang="en"><head><title>Shop &amp; more</title><meta property="og:type" content="product">
@@ -100,3 +100,21 @@ def test_classifier_learns_each_pattern(spark):
     assert got[1, "hurry up"] > 0.5 > got[1, "sold out"]
     assert got[2, "sold out"] > 0.5 > got[2, "hurry up"]
     assert classifier.score(texts.limit(0), models, "i").count() == 0
+
+
+def test_ratchet_tells_a_regression_from_changed_labels(spark):
+    shape = "pattern_id string, positives long, recall double"
+    before = spark.createDataFrame([("a", 10, 0.8), ("b", 10, 0.8), ("c", 10, 0.8), ("d", 4, 0.5)], shape)
+    now = spark.createDataFrame([("a", 10, 0.78), ("b", 10, 0.7), ("c", 9, 0.1), ("e", 3, 1.0)], shape)
+    got = {r["pattern_id"]: r["verdict"] for r in evaluation.ratchet(now, before).collect()}
+    assert got == {"a": "held", "b": "regressed", "c": "labels_changed", "d": "labels_changed", "e": "new"}
+    assert evaluation.ratchet(now.limit(0), before.limit(0)).count() == 0
+
+
+def test_classifier_learns_from_a_bounded_sample_of_any_rows(spark):
+    rows = [("p", f"only {i} left", i % 2) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "pattern_id string, text string, label int")
+    assert classifier.fit(labelled, max_rows=20).first()["trained_on"] == 20
+    assert classifier.fit(labelled, max_rows=1_000).first()["trained_on"] == 400
+    repeated = spark.createDataFrame([("p", "last one", 1)] * 300 + [("p", None, 0)] * 2, "pattern_id string, text string, label int")
+    assert classifier.fit(repeated, max_rows=50).first()["trained_on"] == 50
