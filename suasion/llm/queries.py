@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suasion.llm import common, decontaminate, line_dedup, mixing, ngram_join, quality, secret_scan, sharding, topk, toxicity, url_filter, url_labels
+from suasion.llm import common, conversation_repair, decontaminate, hard_negatives, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, sharding, topk, toxicity, url_filter, url_labels
 from suasion.sources.tables import table
 
 
@@ -64,6 +64,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "tokens", *(F.col("posterior")[j].alias(f"p_{name}") for j, name in enumerate(mixing.TARGETS)), "rate", "copies", *told, F.lit(fit.met).alias("met"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return _licenses(found).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "freedom", "expressions")
+
+
+def _licenses(found: DataFrame) -> DataFrame:
+    base = F.filter("findings", lambda f: f["base"])
+    word = F.transform("base", lambda f: f["word"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    named = F.concat(F.transform("findings", lambda f: f["label"]), F.flatten(F.transform("expressions", lambda e: e["labels"])))
+    out = found.withColumn("base", base)
+    return out.select("*", F.size("base").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"), joined(F.transform("base", lambda f: f["label"])).alias("base_labels"), joined(named).alias("labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"), conversation_repair.damage)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", hard_negatives.shifted().alias("label"), "embedding"), "vec_id % 50 = 0")
+
+
+def llm11_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op11: words and base phrases."""
+    return op11_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def llm4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op4: size, shard and slot."""
     return sharding.assign_shards(table(spark, sf_dir, "documents")).select("doc_id", "size", "shard", "slot")
@@ -92,8 +119,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
+    "op11_license_scan": op11_license_scan,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
     "llm4_shards": llm4_shards,
     "llm5_base_counts": llm5_base_counts,
     "llm9_rules": llm9_rules,
+    "llm11_base": llm11_base,
 }
-ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "llm4_shards": sharding.ORACLE, "llm5_base_counts": secret_scan.ORACLE, "llm9_rules": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE, "llm11_base": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "llm4_shards": sharding.ORACLE, "llm5_base_counts": secret_scan.ORACLE, "llm9_rules": url_filter.ORACLE}

@@ -21,9 +21,12 @@ COLUMNS = {
     "op7_decontaminate": {"doc_id": "bigint", "item_id": "bigint"},
     "op8_quality": SCORED,
     "op9_url_filter": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+    "op11_license_scan": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
+    "op12_conversation_repair": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    "op13_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
     "op10_mixing": {"doc_id": "bigint", "rate": "double", "copies": "bigint"},
 }
-ROWS = {"op9_url_filter": "pages", **dict.fromkeys(("op1_toxicity", "op2_ngram_join", "op4_sharding", "op5_secret_scan", "op6_line_dedup", "op8_quality", "op10_mixing"), "documents")}
+ROWS = {"op9_url_filter": "pages", **dict.fromkeys(("op1_toxicity", "op2_ngram_join", "op4_sharding", "op5_secret_scan", "op6_line_dedup", "op8_quality", "op10_mixing", "op11_license_scan"), "documents")}
 
 
 @pytest.mark.parametrize("name", list(COLUMNS))
