@@ -52,7 +52,8 @@ DEADLINE_SPECIFIC = (
     r"|\bin \d+ (?:hours?|days?|minutes?)\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2}\b"
 )
 DEADLINE_LEXEMES = ("ends in", "ending in", "deal ends", "sale ends", "offer ends", "hurry", "expires", "time left", "left to buy", "reserved for", "held for", "expires in", "ends today")
-CART_HOLD = ("reserved for", "held for")
+CART_HOLD = r"\breserved for\b|\bheld for\b|\bcart expires\b"
+CLOCK = r"\b\d{1,3}:[0-5]\d(?::[0-5]\d)?\b"
 URGENCY_WEIGHTS = {"decrementing": 0.55, "clock": 0.2, "lexeme": 0.25, "hold": 0.15, "static": 0.4, "specific": 0.25}
 
 # fixed values: other shoppers' activity
@@ -70,9 +71,10 @@ LIVE_COUNTERS = (
     r"\bpeople want this\b",
     r"\bin high demand\b",
     r"\b(\d{1,4})\s+others? (?:are )?(?:looking|interested)\b",
+    r"\blive\b\s*[•·|‧∙]\s*(\d{2,6})\b(?!\s*(?:followers?|subscribers?|likes?))",
     r"\b(\d{1,5})\s+(?:other\s+)?(?:people|shoppers|customers|users|others)\s+(?:have|has|added)\b[^.!?]{0,24}?\b(?:carts?|bags?|baskets?)\b",
 )
-LIVE_WIDGET = r"\blive\b\s*[•·|‧∙]\s*(\d{2,6})\b(?!\s*(?:followers?|subscribers?|likes?))"
+LIVE_RECENT = r"\bin the (?:last|past)\b|\bright now\b|\btoday\b"
 LIVE_EXCLUDED = (r"\b\d[\d,]*\s+(?:reviews?|ratings?|questions?|answers?)\b", r"\b\d[\d,]*\s+(?:items?|products?|results?)\s+(?:found|available|match)", r"\bout of \d+ stars?\b")
 OWN_PURCHASE = r"\b(?:you|your|i|we|my|our)\b"
 JUST_NOW = r"\bjust\s+(?:bought|purchased|ordered|booked|claimed)\b|\b(?:moments?|\d{1,3}\s*(?:seconds?|secs?|minutes?|mins?|hours?|hrs?))\s+ago\b"
@@ -140,6 +142,7 @@ COSTLY = (
     "expedited", "express shipping", "priority shipping", "faster delivery", "shipping upgrade", "membership", "auto-renew", "auto renew", "subscription", "recurring", "gift wrap", "gift wrapping", "carbon offset", "signature confirmation",
 )
 BENIGN = ("remember me", "keep me signed in", "i am over", "i agree to the terms", "save my information for next time", "accept cookies")
+OPTION_MOST = 160
 PRESELECT_WEIGHTS = {"costly": 0.6, "price": 0.25, "dear_radio": 0.5, "late_stage": 0.15}
 
 # fixed values: stages in which each detector runs
@@ -154,6 +157,8 @@ DETECTOR_STAGES = {
     "pricing.charm": ("pdp", "browse"),
     "nagging.repeat_interstitial": ("browse", "pdp", "cart", "checkout"),
     "decoy.asymmetric_dominance": ("pdp", "browse", "cart"),
+    "framing.savings_ratio": ("pdp", "browse", "cart"),
+    "interference.visual_asymmetry": ("browse", "pdp", "cart", "checkout", "payment"),
 }
 
 # fixed values: accepting and declining, leaving, and stating a saving
@@ -164,10 +169,24 @@ GLYPH = r"^[\s×✕✖xX✗+·—–-]*$"
 EXIT_COPY = r"\b(?:wait|don't go|dont go|before you go|before you leave|leaving so soon|hold on|one more thing|your cart is waiting|still thinking|don't miss)\b"
 EXIT_OFFER = r"\b\d{1,2}%\s*off\b|\bfree shipping\b|\bcoupon\b|\bdiscount\b"
 PERCENT_CLAIM = r"(\d{1,2})\s*%\s*(?:off|discount|savings?|less)\b|\bsave\s*(\d{1,2})\s*%"
-CLAIMED_AMOUNT = r"\b(?:saves?|saving|up to|extra)\s*[$£€¥₹]\s?[\d.,]*\d|[$£€¥₹]\s?[\d.,]*\d\s*(?:off|discount)\b"
-PAIR_GAP = r"^.*?[$£€¥₹]\s?[\d.,]*\d(.*?)[$£€¥₹]\s?[\d.,]*\d"
+ABSOLUTE_CLAIM = r"\b(?:you\s+)?save\s+(?:up\s+to\s+)?[$£€¥₹]\s?\d|[$£€¥₹]\s?[\d.,]*\d\s*(?:off|discount)\b"
+CLAIM_BEFORE, CLAIM_AFTER = r"(?:\b(?:you\s+)?saves?\b|\bsaving\b|\bup\s+to\b|\bextra\b)\s*$", r"^\s*(?:off|discount)\b"
+CLAIM_REACH, PAIR_GAP, REFERENCE_REACH, FLATTERS = 12, 32, 24, 2
 MARKDOWN_WORD = r"\b(?:now|was|then|sale|flash|deal|price|prices|save|saves|saving|savings|off|you|up|to|from|msrp|reg|orig|originally|list|retail|compare|at|our|your|today|only|member|extra|coupon|clearance)\b"
-REFERENCE_WORD = r"(?:was|msrp|reg\.?|regular price|orig\.?|originally|list price|compare at|compare to|retail price)\s*:?\s*[$£€¥₹]"
+REFERENCE_WORD = r"(?:was|msrp|reg\.?|regular price|orig\.?|originally|list price|compare at|compare to|retail price)\s*:?\s*$"
+FRAMING_WEIGHTS = {"percent": 0.5, "absolute": 0.5, "both": 0.25, "large": 0.2, "reference": 0.15}
+
+# fixed values: reference prices
+ANCHOR_WORDS = ("was", "msrp", "compare at", "compare to", "list price", "orig.", "originally", "reg.", "regular price", "you save", "retail price")
+PERCENT_BADGE = r"\b\d{1,2}%\s*off\b|\b-\s?\d{1,2}%"
+ANCHOR_WEIGHTS = {"struck": 0.45, "two": 0.2, "lexeme": 0.2, "badge": 0.15, "higher": 0.15}
+ANCHOR_REACH, LEAST_PERCENT, LEAST_GAP, SMALL_GAP_MOST = 3, 15, 500, 0.6
+
+# fixed values: charm prices and decoys
+CHARM_FRACTIONS, CHARM_MOST, PRIMARY_AREA = ("99", "95", "97", "98"), 60, 400
+CHARM_WEIGHTS = {"charm": 0.6, "cents": 0.25, "primary": 0.2}
+BADGE = r"\b(?:most popular|best value|best deal|recommended|most chosen|our pick|popular choice|best seller)\b"
+DECOY_WEIGHTS = {"badge": 0.65, "dominated": 0.55, "three": 0.15, "spread": 0.15}
 
 # fixed values: words of which one makes a text worth a detector's time
 TRIGGERS = (

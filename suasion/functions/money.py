@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from suasion.functions.bind import once
+
 # fixed values: currency signs, the form of a number and of a price, the largest plausible amount
 SYMBOLS = {"$": "USD", "£": "GBP", "€": "EUR", "¥": "JPY", "₹": "INR"}
 NUMBER = r"(?:\d{1,3}(?:[.,\s]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+[.,]\d{2}|\d+[.,]\d(?!\d)|\d+(?!\d))"
 PRICE = rf"(?:[$£€¥₹]\s?|(?:USD|GBP|EUR|JPY|INR|CAD|AUD)\s){NUMBER}|{NUMBER}\s?[$£€¥₹]"
 MOST = 100_000_000
+#: How sure an amount with a sign or code is.
+CONFIDENCE = 0.9
+#: What a text must hold to be worth the longer pattern.
+SIGN = "[$£€¥₹]|USD|GBP|EUR|JPY|INR|CAD|AUD"
 
 
 def _coded(code: Column, sign: Column) -> Column:
@@ -25,9 +31,13 @@ def _tail(bare: Column) -> Column:
     return F.regexp_extract(bare, r"[.,](\d*)$", 1)
 
 
-def _amount(bare: Column, tail: Column, yen: Column) -> Column:
+def _decimal(bare: Column, tail: Column) -> Column:
     """Of two kinds of separator the last is decimal; a single one before exactly three digits is not."""
-    decimal = bare.rlike(r"[.,]") & ((bare.contains(".") & bare.contains(",")) | (F.length(tail) != 3))
+    return bare.rlike(r"[.,]") & ((bare.contains(".") & bare.contains(",")) | (F.length(tail) != 3))
+
+
+def _amount(bare: Column, tail: Column, yen: Column) -> Column:
+    decimal = _decimal(bare, tail)
     digits = F.translate(bare, ".,", "")
     # the decimals are the last digits, so whole and fraction are both cut from the bare digits
     cut = F.when(decimal, F.length(tail)).otherwise(0)
@@ -42,22 +52,29 @@ def minor_units(raw: Column, currency: Column) -> Column:
 
 
 def parse_prices(text: Column) -> Column:
-    """All plausible prices of a text in order: array<struct<amount, currency, raw>>.
+    """All plausible prices of a text in order: array<struct<amount, currency, raw, start, end, fraction, confidence>>.
 
-    Each step is bound once, by a transform of its own, so nothing is worked out twice.
+    ``start`` and ``end`` are places in the text, from 0, end exclusive; ``fraction`` are the decimals as written. Each step
+    is bound once, by a transform of its own, so nothing is worked out twice; a text without a sign is not looked at.
     """
-    raws = F.regexp_extract_all(text, F.lit(f"({PRICE})"), F.lit(1))
-    read = F.transform(raws, lambda r: F.struct(r.alias("raw"), F.regexp_extract(r, "(USD|GBP|EUR|JPY|INR|CAD|AUD)", 1).alias("code"), F.regexp_extract(r, "([$£€¥₹])", 1).alias("sign"), _bare(r).alias("bare")))
-    coded = F.transform(read, lambda x: F.struct(x["raw"].alias("raw"), _coded(x["code"], x["sign"]).alias("currency"), x["bare"].alias("bare"), _tail(x["bare"]).alias("tail")))
-    priced = F.transform(coded, lambda x: F.struct(_amount(x["bare"], x["tail"], x["currency"] == "JPY").alias("amount"), x["currency"].alias("currency"), x["raw"].alias("raw")))
+    raws = F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(f"({PRICE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    placed = once(raws, lambda found: F.transform(price_starts(text, found), lambda start, i: F.struct(F.get(found, i).alias("raw"), start.alias("start"))))
+    read = F.transform(placed, lambda r: F.struct(r["raw"].alias("raw"), r["start"].alias("start"), F.regexp_extract(r["raw"], "(USD|GBP|EUR|JPY|INR|CAD|AUD)", 1).alias("code"), F.regexp_extract(r["raw"], "([$£€¥₹])", 1).alias("sign"), _bare(r["raw"]).alias("bare")))
+    coded = F.transform(read, lambda x: F.struct(x["raw"].alias("raw"), x["start"].alias("start"), _coded(x["code"], x["sign"]).alias("currency"), x["bare"].alias("bare"), _tail(x["bare"]).alias("tail")))
+    priced = F.transform(
+        coded,
+        lambda x: F.struct(
+            _amount(x["bare"], x["tail"], x["currency"] == "JPY").alias("amount"), x["currency"].alias("currency"), x["raw"].alias("raw"), x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"),
+            F.when(_decimal(x["bare"], x["tail"]), x["tail"]).otherwise("").alias("fraction"), F.lit(CONFIDENCE).alias("confidence"),
+        ),
+    )
     return F.filter(priced, lambda p: p["amount"] <= MOST)
 
 
-def price_starts(text: Column) -> Column:
-    """Where (from 0) each written price of a text begins, plausible or not."""
+def price_starts(text: Column, raws: Column) -> Column:
+    """Where (from 0) each written price begins, plausible or not."""
     between = F.transform(F.split(text, PRICE, -1), lambda x: F.length(x))
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(f"({PRICE})"), F.lit(1)), lambda r: F.length(r))
-    steps = F.transform(lengths, lambda n, i: F.struct(n.alias("n"), F.get(between, i).alias("gap")))
+    steps = F.transform(raws, lambda r, i: F.struct(F.length(r).alias("n"), F.get(between, i).alias("gap")))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     return F.aggregate(steps, none, lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")), lambda a: a["starts"])
 

@@ -61,7 +61,7 @@ def dedup_key(text: Column) -> Column:
 
 def clock_seconds(text: Column) -> Column:
     """Seconds of the first H:MM or H:MM:SS in a text; null without one."""
-    part = lambda k: F.regexp_extract(text, r"(\d{1,3}):(\d{2})(?::(\d{2}))?", k)
+    part = lambda k: F.regexp_extract(text, r"\b(\d{1,3}):([0-5]\d)(?::([0-5]\d))?\b", k)
     number = lambda k: part(k).cast("int")
     return F.when(part(1) != "", F.when(part(3) != "", number(1) * 3600 + number(2) * 60 + number(3)).otherwise(number(1) * 60 + number(2)))
 

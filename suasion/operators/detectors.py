@@ -1,18 +1,25 @@
 """Page detectors over a candidates table.
 
-A candidate is one text node: page_id, idx, stage, text (normalised), raw_text, and what a detector says it needs. Each
-detector is a projection and a filter (and a window where nodes compete), so all of them run in one scan; scores add up
-in the order in which the signals are named.
+A candidate is one node of a page: page_id, idx (its place in the page), stage, selector_path, text (normalised), raw_text,
+and what a detector says it needs. Detectors that judge a node by itself are rules: a condition, signals and weights, so
+that all of them are one projection over one scan (``run_text_detectors``); where nodes compete, joins on exploded
+ancestor paths and windows within a page follow on the few rows that are left. Scores add up in the order in which the
+signals are named.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suasion.functions import lexicons as lex
+from suasion.functions.bind import once
+from suasion.functions.color import contrast_ratio
+from suasion.functions.facts import quantity_of
 from suasion.functions.money import parse_prices
 from suasion.functions.text import clock_seconds
 
@@ -30,132 +37,267 @@ def _score(signals: dict[str, Column], weights: dict[str, float]) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
 
 
-def _found(rows: DataFrame, pattern: str, signals: dict[str, Column], weights: dict[str, float]) -> DataFrame:
-    named = F.array_join(F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in signals.items()))), ",")
-    return rows.select(*KEY, F.lit(pattern).alias("pattern_id"), _score(signals, weights).alias("raw_score"), named.alias("signals"))
+def _named(signals: dict[str, Column]) -> Column:
+    return F.array_join(F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in signals.items()))), ",")
 
 
-def _at(candidates: DataFrame, pattern: str, most: int, least: int = 1) -> DataFrame:
-    n = F.length("text")
-    return candidates.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[pattern]) & (n >= least) & (n <= most))
+def _found(rows: DataFrame, pattern: str, signals: dict[str, Column], weights: dict[str, float], *more: str) -> DataFrame:
+    return rows.select(*KEY, F.lit(pattern).alias("pattern_id"), _score(signals, weights).alias("raw_score"), _named(signals).alias("signals"), *more)
 
 
-def scarcity(candidates: DataFrame) -> DataFrame:
-    """Own text of a node that says stock is short."""
+@dataclass
+class Rule:
+    """A detector that judges each node by itself: when it applies, what speaks for it, and how much."""
+
+    pattern: str
+    keep: Column
+    signals: dict[str, Column]
+    weights: dict[str, float]
+
+    def struct(self) -> Column:
+        """The detection, or null."""
+        said = F.struct(F.lit(self.pattern).alias("pattern_id"), _score(self.signals, self.weights).alias("raw_score"), _named(self.signals).alias("signals"))
+        return F.when(F.coalesce(self.keep, F.lit(False)), said)
+
+
+def judged(candidates: DataFrame, rules: list[Rule], *more: str) -> DataFrame:
+    """The detections of all the rules: one projection, exploded once."""
+    return candidates.select(*KEY, *more, F.explode(F.array_compact(F.array(*(r.struct() for r in rules)))).alias("_said")).select(*KEY, "_said.*", *more)
+
+
+def _applies(pattern: str, text: Column, most: int, least: int = 1) -> Column:
+    return F.col("stage").isin(*lex.DETECTOR_STAGES[pattern]) & F.length(text).between(least, most)
+
+
+def ancestors(path: Column, *, own: bool) -> Column:
+    """The paths of all ancestors, outermost first; with ``own`` the path itself as well."""
+    steps = F.split(path, ">")
+    count = F.size(steps) if own else F.size(steps) - 1
+    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda n: F.array_join(F.slice(steps, 1, n), ">"))).otherwise(F.array().cast("array<string>"))
+
+
+def _within(path: Column, outer: Column) -> Column:
+    return path.startswith(F.concat(outer, F.lit(">")))
+
+
+def _stock_text(t: Column) -> Column:
+    return F.length(t).between(1, 160) & ~_any(t, lex.STOCK_VARIANTS) & ~t.rlike(lex.STOCK_NOTICE)
+
+
+def scarcity_rule() -> Rule:
+    """Own text of a node that says stock is short. Needs has_progress_child."""
     t, name = F.col("text"), "scarcity.stock"
-    rows = _at(candidates, name, 160).filter(~_any(t, lex.STOCK_VARIANTS) & ~t.rlike(lex.STOCK_NOTICE))
     numeric, words, boiler = _any(t, lex.STOCK_NUMERIC), _any(t, lex.STOCK_WORDS), t.rlike(lex.STOCK_DISCLAIMER)
-    rows = rows.filter(numeric | words)
-    return _found(rows, name, {"numeric": numeric, "qualitative": ~numeric, "progress": F.col("has_progress"), "short": (F.length(t) < 60) & ~boiler, "boilerplate": boiler}, lex.STOCK_WEIGHTS)
+    signals = {"numeric": numeric, "qualitative": words, "progress": F.col("has_progress_child"), "short": (F.length(t) < 60) & ~boiler, "boilerplate": boiler}
+    return Rule(name, _applies(name, t, 160) & _stock_text(t) & (numeric | words), signals, lex.STOCK_WEIGHTS)
+
+
+def scarcity(candidates: DataFrame) -> DataFrame:
+    """Stock claims in a node's own text, then those that a container says in several nodes together."""
+    return judged(candidates, [scarcity_rule()]).unionByName(scarcity_split(candidates))
+
+
+def scarcity_split(candidates: DataFrame) -> DataFrame:
+    """Claims of containers' joined text, one a nest: blamed on the first node that says part of it.
+
+    A node takes part if its own text claims nothing. Its container must not be, hold, or lie in what has claimed already:
+    nodes that claim by themselves (all of them come first), then containers in the order of their nodes. Which of the
+    containers claim is a fold of a page's container paths in order. Needs container_path and container_text.
+    """
+    name = "scarcity.stock"
+    shown = candidates.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]))
+    t, box = F.col("text"), F.col("container_text")
+    alone = _stock_text(t) & (_any(t, lex.STOCK_NUMERIC) | _any(t, lex.STOCK_WORDS))
+
+    def carried(pattern: Column) -> Column:
+        """Whether the pattern's first match in the container shares a character with the node's text somewhere in it."""
+        at, n, own = F.regexp_instr(box, pattern), F.length(F.regexp_substr(box, pattern)), F.length(t)
+        low = F.greatest(at - own + 1, F.lit(1))
+        return F.coalesce((at > 0) & F.substring(box, low, at + n + own - 1 - low).contains(t), F.lit(False))
+
+    some = lambda patterns: F.exists(F.array(*map(F.lit, patterns)), carried)
+    left = shown.filter(~F.coalesce(alone, F.lit(False)) & F.col("container_path").isNotNull() & (F.length(t) > 0))
+    left = left.filter(_stock_text(box) & (_any(box, lex.STOCK_NUMERIC) | _any(box, lex.STOCK_WORDS)))
+    left = left.select(*KEY, "container_path", "container_text", some(lex.STOCK_NUMERIC).alias("_numeric"), some(lex.STOCK_WORDS).alias("_words")).filter("_numeric or _words")
+    claimed = shown.filter(alone).select(F.col("page_id").alias("_page"), F.col("selector_path").alias("_claim"))
+    above = claimed.select("_page", F.explode(ancestors(F.col("_claim"), own=True)).alias("_path")).distinct()
+    free = left.join(above, (F.col("page_id") == F.col("_page")) & (F.col("container_path") == F.col("_path")), "left_anti")
+    inside = free.select(*KEY, F.explode(ancestors(F.col("container_path"), own=False)).alias("_up"))
+    nested = inside.join(claimed, (F.col("page_id") == F.col("_page")) & (F.col("_up") == F.col("_claim"))).select(*KEY).distinct()
+    free = free.join(nested, list(KEY), "left_anti")
+    # the first node of each container; a page's containers that say something are few
+    first = free.groupBy("page_id", "container_path").agg(F.min_by(F.struct("idx", "container_text", "_numeric", "_words"), "idx").alias("_first")).select("page_id", "container_path", "_first.*")
+    order = first.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "container_path"))), lambda x: x["container_path"]).alias("paths"))
+    meets = lambda a, b: _within(a, b) | _within(b, a)
+    taken = F.aggregate("paths", F.array().cast("array<string>"), lambda kept, path: F.when(F.exists(kept, lambda k: meets(k, path)), kept).otherwise(F.array_append(kept, path)))
+    claims = order.select("page_id", F.explode(taken).alias("container_path"))
+    rows = first.join(claims, ["page_id", "container_path"])
+    boiler = box.rlike(lex.STOCK_DISCLAIMER)
+    return _found(rows, name, {"numeric": F.col("_numeric"), "qualitative": F.col("_words"), "short": (F.length(box) < 60) & ~boiler, "boilerplate": boiler}, lex.STOCK_WEIGHTS)
 
 
 def decrementing(history: Column) -> Column:
-    """Whether a history of (t ms, text) holds a clock that runs down at about the pace of time."""
-    seconds = F.transform(history, lambda h: F.struct(h["t"].alias("t"), clock_seconds(h["text"]).alias("s")))
-    pairs = F.zip_with(F.slice(seconds, 1, F.greatest(F.size(seconds) - 1, F.lit(0))), F.slice(seconds, 2, F.greatest(F.size(seconds) - 1, F.lit(0))), lambda a, b: F.struct((a["s"] - b["s"]).alias("ds"), ((b["t"] - a["t"]) / 1000).alias("dt")))
+    """Whether a history of (t ms, text) holds a clock that runs down at about the pace of time; texts without a clock are passed over."""
+    seconds = F.filter(F.transform(history, lambda h: F.struct(h["t"].alias("t"), clock_seconds(h["text"]).alias("s"))), lambda x: x["s"].isNotNull())
+    pairs = F.transform(seconds, lambda b, i: F.struct((F.get(seconds, i - 1)["s"] - b["s"]).alias("ds"), ((b["t"] - F.get(seconds, i - 1)["t"]) / 1000).alias("dt")))
     return F.coalesce(F.exists(pairs, lambda p: (p["ds"] > 0) & (p["dt"] > 0) & (p["ds"] / p["dt"] > 0.3) & (p["ds"] / p["dt"] < 4)), F.lit(False))
 
 
-def urgency(candidates: DataFrame) -> DataFrame:
-    """Countdowns that run and deadlines in words; of nested nodes only the innermost."""
+def urgency_rule() -> Rule:
+    """Countdowns that run and deadlines in words. Needs text_history."""
     t, name = F.col("text"), "urgency.countdown"
-    clock = t.rlike(r"\b\d{1,3}:\d{2}(?::\d{2})?\b")
-    lexeme = F.lit(False)
-    for word in lex.DEADLINE_LEXEMES:
-        lexeme = lexeme | t.contains(word)
-    hold = t.contains(lex.CART_HOLD[0]) | t.contains(lex.CART_HOLD[1])
+    clock, lexeme = t.rlike(lex.CLOCK), reduce(lambda x, y: x | y, (t.contains(word) for word in lex.DEADLINE_LEXEMES))
     deadline, runs = _any(t, lex.DEADLINE), decrementing(F.col("text_history"))
-    rows = _at(candidates, name, 200).filter((clock | lexeme | deadline) & (runs | lexeme | deadline))
-    static = deadline & ~runs
-    hits = _found(rows.select("*", runs.alias("_runs")), name, {"decrementing": runs, "clock": clock, "lexeme": lexeme, "hold": hold, "static": static, "specific": static & t.rlike(lex.DEADLINE_SPECIFIC)}, lex.URGENCY_WEIGHTS)
-    return innermost(hits.join(rows.select(*KEY, "selector_path"), list(KEY))).drop("selector_path")
+    signals = {"decrementing": runs, "clock": clock, "lexeme": lexeme, "hold": t.rlike(lex.CART_HOLD), "static": deadline & ~runs, "specific": deadline & t.rlike(lex.DEADLINE_SPECIFIC)}
+    return Rule(name, _applies(name, t, 200) & (lexeme | deadline | (clock & runs)), signals, lex.URGENCY_WEIGHTS)
+
+
+def urgency(candidates: DataFrame) -> DataFrame:
+    """Of nested nodes only the innermost."""
+    return innermost(judged(candidates, [urgency_rule()], "selector_path")).drop("selector_path")
 
 
 def innermost(hits: DataFrame) -> DataFrame:
     """Drop a hit that has another hit below it: an equi-join on exploded ancestor paths."""
-    steps = F.split("selector_path", ">")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda n: F.array_join(F.slice(steps, 1, n), ">"))
-    outer = hits.filter(F.size(steps) > 1).select(F.col("page_id").alias("_page"), F.explode(above).alias("_path")).distinct()
+    outer = hits.select(F.col("page_id").alias("_page"), F.explode(ancestors(F.col("selector_path"), own=False)).alias("_path")).distinct()
     return hits.join(outer, (F.col("page_id") == F.col("_page")) & (F.col("selector_path") == F.col("_path")), "left_anti")
 
 
-def social_proof(candidates: DataFrame) -> DataFrame:
-    """Counters of other shoppers, purchase toasts, and a named stranger's purchase."""
-    t, raw, name = F.col("text"), F.col("raw_text"), "social_proof.live_activity"
-    counter = _any(t, lex.LIVE_COUNTERS) | t.rlike(lex.LIVE_WIDGET)
+def social_rule() -> Rule:
+    """Counters of other shoppers, purchase toasts, and a named stranger's purchase. Needs ephemeral."""
+    t, name = F.col("text"), "social_proof.live_activity"
+    counter, place = _any(t, lex.LIVE_COUNTERS), F.col("raw_text").rlike(lex.PLACE)
     says = t.rlike(lex.TOAST) & ~t.rlike(lex.OWN_PURCHASE)
-    toast, place, recent = says & F.col("ephemeral"), raw.rlike(lex.PLACE), t.rlike(lex.JUST_NOW)
-    named = ~toast & says & place & (F.length(t) < 80) & recent & ~t.rlike(lex.REVIEW_MARKERS)
-    rows = _at(candidates, name, 180).filter(~_any(t, lex.LIVE_EXCLUDED)).filter(counter | toast | named)
-    return _found(rows, name, {"counter": counter, "toast": toast, "named": named, "place": place, "recent": recent, "short": F.length(t) < 80}, lex.SOCIAL_WEIGHTS)
+    toast = says & F.col("ephemeral")
+    named = ~toast & says & place & (F.length(t) < 80) & t.rlike(lex.JUST_NOW) & ~t.rlike(lex.REVIEW_MARKERS)
+    recent = t.rlike(lex.LIVE_RECENT) | t.rlike(lex.LIVE_COUNTERS[-1])
+    keep = _applies(name, t, 180) & ~_any(t, lex.LIVE_EXCLUDED) & (counter | toast | named)
+    return Rule(name, keep, {"counter": counter, "toast": toast, "named": named, "place": place, "recent": recent, "short": F.length(t) < 80}, lex.SOCIAL_WEIGHTS)
 
 
-def goal_gradient(candidates: DataFrame) -> DataFrame:
-    """How far the basket is from a reward, or the spend policy that sets the bar."""
-    t, raw, name = F.col("text"), F.col("raw_text"), "goal_gradient.threshold"
+def social_proof(candidates: DataFrame) -> DataFrame:
+    return judged(candidates, [social_rule()])
+
+
+def goal_rule() -> Rule:
+    """How far the basket is from a reward, or the spend policy that sets the bar. Needs has_progress."""
+    t, name = F.col("text"), "goal_gradient.threshold"
     remainder = _any(t, lex.REMAINDERS)
-    listing = (F.regexp_count(raw, F.lit(lex.MONEY_ISH)) >= 2) & ~raw.rlike(lex.ADDRESSED)
-    policy = ~remainder & ~listing & (raw.rlike(lex.THRESHOLD_MET) | (raw.rlike(lex.MONEY_ISH) & raw.rlike(lex.REWARD) & raw.rlike(lex.THRESHOLD_PREP)))
+    listing = (F.regexp_count(t, F.lit(lex.MONEY_ISH)) >= 2) & ~t.rlike(lex.ADDRESSED)
+    policy = ~remainder & ~listing & (t.rlike(lex.THRESHOLD_MET) | (t.rlike(lex.MONEY_ISH) & t.rlike(lex.REWARD) & t.rlike(lex.THRESHOLD_PREP)))
     copy, bar = t.rlike(lex.THRESHOLD_COPY), F.col("has_progress")
-    rows = _at(candidates, name, 200).filter(remainder | policy | (copy & bar))
-    return _found(rows, name, {"remainder": remainder, "progress": bar, "copy": copy & ~policy, "amount": t.rlike(lex.AMOUNT), "policy": policy}, lex.GOAL_WEIGHTS)
+    keep = _applies(name, t, 200) & (remainder | policy | (copy & bar))
+    return Rule(name, keep, {"remainder": remainder, "progress": bar, "copy": copy & ~policy, "amount": F.size(parse_prices(F.col("raw_text"))) > 0, "policy": policy}, lex.GOAL_WEIGHTS)
 
 
-def confirmshaming(candidates: DataFrame) -> DataFrame:
-    """Declines worded against whoever declines."""
-    t, name = F.col("text"), "confirmshaming.decline_copy"
+def goal_gradient(candidates: DataFrame) -> DataFrame:
+    return judged(candidates, [goal_rule()])
+
+
+def spoken(candidates: DataFrame) -> Column:
+    """What a node is called, in lower case and single blanks: its accessible name, where it has one, else its text."""
+    name = F.nullif(F.col("accessible_name"), F.lit("")) if "accessible_name" in candidates.columns else F.lit(None)
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.col("raw_text"))), r"\s+", " "))
+
+
+def shame_rule(t: Column) -> Rule:
+    """Declines worded against whoever declines. Needs is_control and in_dialog."""
+    name = "confirmshaming.decline_copy"
     shaming, ack = _any(t, lex.SHAMING), _any(t, lex.COSTLY_ACK)
-    control = F.col("is_control") | ack
-    rows = _at(candidates, name, 160).filter(~t.rlike(lex.NEUTRAL_DECLINE)).filter((shaming | ack) & (control | t.rlike(lex.DECLINE_HINT)))
-    return _found(rows, name, {"shaming": shaming | ack, "first_person": t.rlike(lex.FIRST_PERSON), "control": control, "modal": F.col("in_dialog")}, lex.SHAME_WEIGHTS)
+    keep = _applies(name, t, 160) & ~t.rlike(lex.NEUTRAL_DECLINE) & (shaming | ack) & (F.col("is_control") | ack | t.rlike(lex.DECLINE_HINT))
+    return Rule(name, keep, {"shaming": F.lit(True), "first_person": t.rlike(lex.FIRST_PERSON), "control": F.col("is_control"), "modal": F.col("in_dialog")}, lex.SHAME_WEIGHTS)
+
+
+def confirmshaming(candidates: DataFrame) -> DataFrame:
+    """One a selector path, the first."""
+    return _first_of_path(judged(candidates, [shame_rule(spoken(candidates))], "selector_path")).drop("selector_path")
+
+
+def _first_of_path(hits: DataFrame) -> DataFrame:
+    rest = [c for c in hits.columns if c not in ("page_id", "selector_path", "pattern_id")]
+    kept = hits.groupBy("page_id", "selector_path", "pattern_id").agg(F.min_by(F.struct(*rest), "idx").alias("f"))
+    return kept.select(*(F.col(c) if c in ("page_id", "selector_path", "pattern_id") else F.col(f"f.{c}").alias(c) for c in hits.columns))
+
+
+def option_price(*scopes: Column) -> Column:
+    """An option's price by the first scope (short enough) that says one price alone, or is free; else null."""
+    out = []
+    for scope in scopes:
+        prices = parse_prices(scope)
+        said = F.when(F.size(prices) == 1, F.get(prices, F.lit(0))["amount"]).when((F.size(prices) == 0) & scope.rlike(r"(?i)\bfree\b"), F.lit(0).cast("long"))
+        out.append(F.when(F.length(scope).between(1, lex.OPTION_MOST), said))
+    return F.coalesce(*out)
 
 
 def preselected(candidates: DataFrame) -> DataFrame:
-    """Ticked boxes and dearer radios for costly extras that the shopper did not touch. Needs input_type, checked, touched, group_name."""
-    name, t = "defaults.preselected", F.col("text")
-    price = F.get(parse_prices(F.col("raw_text")), F.lit(0))["amount"]
-    group = Window.partitionBy("page_id", "group_name")
-    priced = candidates.withColumn("_price", F.when(F.size(parse_prices(F.col("raw_text"))) == 1, price).when(t.rlike(r"\bfree\b"), F.lit(0).cast("long")))
-    radio = F.col("input_type") == "radio"
-    dear = radio & (F.count("_price").over(group) >= 2) & (F.col("_price") > F.min("_price").over(group))
-    ranked = priced.withColumn("_dear", F.coalesce(dear, F.lit(False)))
-    words = t.rlike(r"\b(?:" + "|".join(lex.COSTLY) + r")\b")
-    benign = F.lit(False)
-    for phrase in lex.BENIGN:
-        benign = benign | t.contains(phrase)
-    rows = ranked.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]) & F.col("input_type").isin("checkbox", "radio") & F.col("checked") & ~F.col("touched") & words & ~benign & (~radio | F.col("_dear")))
-    return _found(rows, name, {"costly": F.lit(True), "price": F.col("_price").isNotNull(), "dear_radio": F.col("_dear"), "late_stage": F.col("stage").isin("checkout", "payment")}, lex.PRESELECT_WEIGHTS)
+    """Ticked boxes, and radios dearer than another of their group, for costly extras that the shopper did not touch.
+
+    Needs input_type, checked, touched, group_name, row_text, container_text and label (accessible name and aria-label).
+    """
+    name = "defaults.preselected"
+    box = F.coalesce(F.nullif(F.col("container_text"), F.lit("")), F.col("raw_text"))
+    inputs = candidates.filter(F.col("input_type").isin("checkbox", "radio") & F.col("stage").isin(*lex.DETECTOR_STAGES[name]))
+    priced = inputs.withColumn("_price", F.when(F.col("input_type") == "radio", option_price(F.col("row_text"), F.col("container_text"))))
+    group = Window.partitionBy("page_id", "group_name", "input_type")
+    named = (F.col("input_type") == "radio") & (F.length("group_name") > 0)
+    dear = named & (F.count("*").over(group) >= 2) & (F.col("_price") > F.min("_price").over(group))
+    said = F.lower(F.concat_ws(" ", "label", "group_name", "container_text"))
+    ranked = priced.withColumn("_dear", F.coalesce(dear, F.lit(False))).withColumn("_said", F.trim(F.regexp_replace(said, r"\s+", " ")))
+    t = F.col("_said")
+    benign = reduce(lambda x, y: x | y, (t.contains(phrase) for phrase in lex.BENIGN))
+    box_, radio = F.col("input_type") == "checkbox", F.col("input_type") == "radio"
+    rows = ranked.filter(F.col("checked") & ~F.col("touched") & t.rlike(r"\b(?:" + "|".join(lex.COSTLY) + r")\b") & ~benign & (box_ | F.col("_dear")))
+    return _found(rows, name, {"costly": box_, "price": F.size(parse_prices(box)) > 0, "dear_radio": radio, "late_stage": F.col("stage").isin("checkout", "payment")}, lex.PRESELECT_WEIGHTS)
 
 
 def charm(prices: DataFrame) -> DataFrame:
-    """The largest price of a page that ends in 99, 95, 97 or 98. Needs raw_text and area."""
-    fraction = F.regexp_extract("raw_text", r"\d[.,](\d{2})(?!\d)", 1)
-    hits = prices.filter(F.col("stage").isin(*lex.DETECTOR_STAGES["pricing.charm"]) & (F.length("raw_text") <= 60) & (F.size(parse_prices(F.col("raw_text"))) > 0) & fraction.isin("99", "95", "97", "98"))
-    best = hits.withColumn("_nth", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("area"), "idx"))).filter("_nth = 1")
-    return _found(best, "pricing.charm", {"charm": F.lit(True), "cents": F.col("cents_child"), "primary": F.col("area") > 400}, {"charm": 0.6, "cents": 0.25, "primary": 0.2})
+    """The largest price of a page that ends in 99, 95, 97 or 98; a node around another with the same price does not count.
+
+    Needs raw_text, selector_path, area and cents_child. Of equal areas the first node's first price is taken.
+    """
+    name = "pricing.charm"
+    short = prices.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]) & F.length("raw_text").between(1, lex.CHARM_MOST))
+    each = short.select(*KEY, "selector_path", "area", "cents_child", F.posexplode(parse_prices(F.col("raw_text"))).alias("nth", "p"))
+    hits = each.filter(F.col("p.fraction").isin(*lex.CHARM_FRACTIONS)).withColumn("amount", F.col("p.amount"))
+    around = hits.select(F.col("page_id").alias("_page"), F.col("amount").alias("_amount"), F.explode(ancestors(F.col("selector_path"), own=False)).alias("_path")).distinct()
+    leaves = hits.join(around, (F.col("page_id") == F.col("_page")) & (F.col("amount") == F.col("_amount")) & (F.col("selector_path") == F.col("_path")), "left_anti")
+    best = leaves.groupBy("page_id").agg(F.min_by(F.struct("idx", "area", "cents_child"), F.struct(-F.col("area"), "idx", "nth")).alias("_best")).select("page_id", "_best.*")
+    return _found(best, name, {"charm": F.lit(True), "cents": F.col("cents_child"), "primary": F.col("area") > lex.PRIMARY_AREA}, lex.CHARM_WEIGHTS)
 
 
 def anchoring(nodes: DataFrame) -> DataFrame:
-    """A struck price beside a lower live one within three ancestors, the nearest level first.
+    """A struck price beside a lower live one within three ancestors, the nearest level that has a live price.
 
-    Needs selector_path, struck, raw_text. Live nodes are exploded to their ancestors, so pairing is an equi-join.
+    Needs selector_path, struck, raw_text, text and container_text. Live nodes are exploded to their ancestors, so pairing
+    is an equi-join; those around the struck node don't count. At most three of them lie below a scope, so a scope's four
+    lowest live prices are enough to find the lowest that does.
     """
-    name = "anchoring.reference_price"
-    priced = nodes.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name])).withColumn("_prices", parse_prices(F.col("raw_text"))).filter(F.size("_prices") > 0)
+    name, reach = "anchoring.reference_price", lex.ANCHOR_REACH
+    every = nodes.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]))
+    priced = every.filter(F.col("raw_text").rlike(r"\d")).withColumn("_prices", parse_prices(F.col("raw_text"))).filter(F.size("_prices") > 0)
     steps = F.split("selector_path", ">")
-    level = lambda k: F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - k, F.lit(1))), ">")
-    struck = priced.filter("struck").select(*KEY, "raw_text", F.array_max(F.transform("_prices", lambda p: p["amount"])).alias("anchor"), F.posexplode(F.array(*(level(k) for k in (1, 2, 3)))).alias("up", "scope"))
-    every = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), ">"))
+    level = lambda k: F.when(F.size(steps) > k, F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - k, F.lit(1))), ">"))
+    struck = _first_of_path(priced.filter("struck").select("page_id", "idx", "selector_path", F.lit("").alias("pattern_id"), "text", "container_text", F.array_max(F.transform("_prices", lambda p: p["amount"])).alias("anchor"))).drop("pattern_id")
+    scoped = struck.select("*", F.posexplode(F.array(*(level(k + 1) for k in range(reach)))).alias("up", "scope")).filter(F.col("scope").isNotNull())
     # only the scopes of struck prices are of use, a few of each page
-    scopes = struck.groupBy(F.col("page_id").alias("_on")).agg(F.collect_set("scope").alias("_scopes"))
-    near = priced.filter("not struck").join(scopes, F.col("page_id") == F.col("_on"))
-    live = near.select(F.col("page_id").alias("_page"), F.explode(F.array_intersect(every, F.col("_scopes"))).alias("_scope"), F.array_min(F.transform("_prices", lambda p: p["amount"])).alias("price")).groupBy("_page", "_scope").agg(F.min("price").alias("current"))
-    pairs = struck.join(live, (F.col("page_id") == F.col("_page")) & (F.col("scope") == F.col("_scope")))
-    nearest = pairs.groupBy(*KEY, "anchor").agg(F.min_by("current", "up").alias("current")).filter("anchor > current")
+    scopes = scoped.select(F.col("page_id").alias("_page"), F.col("scope").alias("_scope")).distinct()
+    live = priced.filter("not struck").select("page_id", F.col("selector_path").alias("_live"), F.array_min(F.transform("_prices", lambda p: p["amount"])).alias("_price"), F.explode(ancestors(F.col("selector_path"), own=True)).alias("_at"))
+    near = live.join(scopes, (F.col("page_id") == F.col("_page")) & (F.col("_at") == F.col("_scope"))).select("_page", "_scope", "_live", "_price")
+    lowest = near.withColumn("_nth", F.row_number().over(Window.partitionBy("_page", "_scope").orderBy("_price", "_live"))).filter(F.col("_nth") <= reach + 1)
+    offers = lowest.groupBy("_page", "_scope").agg(F.collect_list(F.struct("_live", "_price")).alias("_offers"))
+    met = scoped.join(offers, (F.col("page_id") == F.col("_page")) & (F.col("scope") == F.col("_scope")))
+    path = F.col("selector_path")
+    met = met.withColumn("current", F.array_min(F.transform(F.filter("_offers", lambda o: ~(path == o["_live"]) & ~_within(path, o["_live"])), lambda o: o["_price"])))
+    nearest = met.filter(F.col("current").isNotNull()).groupBy("page_id", "selector_path").agg(F.min_by(F.struct("idx", "anchor", "text", "container_text", "scope", "current"), "up").alias("_near")).select("page_id", "selector_path", "_near.*").filter("anchor > current")
+    said = every.groupBy(F.col("page_id").alias("_page"), F.col("selector_path").alias("_path")).agg(F.min_by("text", "idx").alias("_scope_text"))
+    full = nearest.join(said, (F.col("page_id") == F.col("_page")) & (F.col("scope") == F.col("_path")), "left")
+    context = F.concat_ws(" ", F.coalesce("_scope_text", "container_text"), "container_text", "text")
+    lexeme = reduce(lambda x, y: x | y, (context.contains(w) for w in lex.ANCHOR_WORDS))
     gap = F.col("anchor") - F.col("current")
-    small = (gap * 100 < F.col("anchor") * 15) | (gap < 500)
-    full = F.lit(0.45) + F.lit(0.2) + F.lit(0.15)
-    return nearest.select(*KEY, F.lit(name).alias("pattern_id"), F.when(small, F.least(F.lit(0.6), full)).otherwise(full).alias("raw_score"), "anchor", "current", F.round(F.col("anchor") / F.col("current"), 1).alias("ratio"))
+    small = (gap * 100 < F.col("anchor") * lex.LEAST_PERCENT) | (gap < lex.LEAST_GAP)
+    signals = {"struck": F.lit(True), "two": F.lit(True), "lexeme": lexeme, "badge": context.rlike(lex.PERCENT_BADGE), "higher": F.lit(True)}
+    found = _found(full.withColumn("ratio", F.when(F.col("current") > 0, F.round(F.col("anchor") / F.nullif(F.col("current"), F.lit(0)), 1))).withColumn("_small", small), name, signals, lex.ANCHOR_WEIGHTS, "anchor", "current", "ratio", "_small")
+    return found.withColumn("raw_score", F.when(F.col("_small"), F.least("raw_score", F.lit(lex.SMALL_GAP_MOST))).otherwise(F.col("raw_score"))).drop("_small")
 
 
 def nagging(pages: DataFrame) -> DataFrame:
@@ -166,20 +308,26 @@ def nagging(pages: DataFrame) -> DataFrame:
     return _found(rows, "nagging.repeat_interstitial", {"repeat": F.lit(True), "many": n >= 3, "rapid": F.exists(gaps, lambda g: g < 10_000)}, {"repeat": 0.5, "many": 0.3, "rapid": 0.25})
 
 
-def decoy(options: DataFrame) -> DataFrame:
-    """Among two to six options of a container: one badged though dearer per unit, or one that another beats on price and quantity.
+def decoy(nodes: DataFrame) -> DataFrame:
+    """Among two to six nodes of a container, those with one price and a quantity: one badged though dearer per unit, or one
+    that another beats on price and quantity.
 
-    Needs container_path, price, quantity, badge.
+    Needs container_path, raw_text and text. The badged option is blamed (the first of several), else the best.
     """
     name = "decoy.asymmetric_dominance"
-    each = options.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]) & (F.col("price") > 0) & (F.col("quantity") > 0))
-    groups = each.groupBy("page_id", "container_path").agg(F.min("idx").alias("idx"), F.collect_list(F.struct("price", "quantity", "badge")).alias("o")).filter(F.size("o").between(2, 6))
-    unit = F.transform("o", lambda x: x["price"] / x["quantity"])
-    best, worst = F.array_min(unit), F.array_max(unit)
-    badge = F.exists("o", lambda x: x["badge"] & (x["price"] / x["quantity"] > F.array_min(unit) * 1.02))
-    beaten = F.exists("o", lambda a: F.exists("o", lambda b: (a["price"] >= b["price"]) & (a["quantity"] <= b["quantity"]) & ((a["price"] > b["price"]) | (a["quantity"] < b["quantity"]))))
-    rows = groups.filter((worst / best > 1.25) & (badge | beaten))
-    return _found(rows, name, {"badge": badge, "dominated": beaten, "three": F.size("o") >= 3, "spread": worst / best > 1.25}, {"badge": 0.65, "dominated": 0.55, "three": 0.15, "spread": 0.15})
+    nodes = nodes.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]) & F.col("container_path").isNotNull())
+    groups = nodes.groupBy("page_id", "container_path").agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, 6)).drop("_n")
+    prices = parse_prices(F.col("raw_text"))
+    each = nodes.join(groups, ["page_id", "container_path"]).withColumn("price", F.when(F.size(prices) == 1, F.get(prices, F.lit(0))["amount"])).withColumn("quantity", quantity_of(F.col("text")))
+    each = each.filter((F.col("price") > 0) & F.col("quantity").isNotNull()).withColumn("unit", F.col("price") / F.col("quantity")).withColumn("badge", F.col("text").rlike(lex.BADGE))
+    o = F.col("o")
+    rows = each.groupBy("page_id", "container_path").agg(F.sort_array(F.collect_list(F.struct("idx", "price", "quantity", "unit", "badge"))).alias("o")).filter(F.size("o") >= 2)
+    best, worst = F.array_min(F.transform(o, lambda x: x["unit"])), F.array_max(F.transform(o, lambda x: x["unit"]))
+    badged, cheapest = F.get(F.filter(o, lambda x: x["badge"]), F.lit(0)), F.get(F.filter(o, lambda x: x["unit"] == F.col("best")), F.lit(0))
+    rows = rows.withColumn("best", best).withColumn("worst", worst).withColumn("badged", badged).withColumn("idx", F.coalesce(F.col("badged.idx"), cheapest["idx"]))
+    worse = F.coalesce(F.col("badged.unit") > F.col("best") * 1.02, F.lit(False))
+    beaten = F.exists(o, lambda a: F.exists(o, lambda b: (a["price"] >= b["price"]) & (a["quantity"] <= b["quantity"]) & ((a["price"] > b["price"]) | (a["quantity"] < b["quantity"]))))
+    return _found(rows.filter(worse | beaten), name, {"badge": worse, "dominated": beaten, "three": F.size(o) >= 3, "spread": F.col("worst") / F.col("best") > 1.25}, lex.DECOY_WEIGHTS)
 
 
 TEXT_DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -192,29 +340,35 @@ TEXT_DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def run_text_detectors(candidates: DataFrame, log_threshold: float = 0.35) -> DataFrame:
-    """Every text detector over one table of candidates; scores under the log threshold are dropped."""
-    out = None
-    for run in TEXT_DETECTORS.values():
-        part = run(candidates)
-        out = part if out is None else out.unionByName(part)
+    """Every text detector over one scan of the candidates; scores under the log threshold are dropped.
+
+    What nodes of a page settle among themselves follows on the hits: nested countdowns, one decline a path, and stock
+    claims that a container makes (a scan of its own, as it reads other columns).
+    """
+    rules = [scarcity_rule(), urgency_rule(), social_rule(), shame_rule(spoken(candidates)), goal_rule()]
+    hits = judged(candidates, rules, "selector_path")
+    nested = F.col("pattern_id") == "urgency.countdown"
+    outer = hits.filter(nested).select(F.col("page_id").alias("_page"), F.col("pattern_id").alias("_pattern"), F.explode(ancestors(F.col("selector_path"), own=False)).alias("_path")).distinct()
+    hits = hits.join(outer, (F.col("page_id") == F.col("_page")) & (F.col("pattern_id") == F.col("_pattern")) & (F.col("selector_path") == F.col("_path")), "left_anti")
+    out = _first_of_path(hits).drop("selector_path").unionByName(scarcity_split(candidates))
     return out.filter(F.col("raw_score") >= log_threshold)
 
 
 def interference(controls: DataFrame) -> DataFrame:
     """Accept and decline buttons of one container drawn unequally: contrast, area or weight.
 
-    Needs container_path, text, area, weight, contrast. The largest accept meets the smallest decline, the first on ties.
+    Needs container_path, raw_text, area, weight, color and background. The largest accept meets the smallest decline, the
+    first on ties; no area counts as less than one.
     """
-    accept = F.col("text").rlike(lex.ACCEPT) & ~F.col("text").rlike(lex.PURCHASE)
-    decline = F.col("text").rlike(lex.DECLINE) & ~F.col("text").rlike(lex.GLYPH) & (F.length("text") > 1)
-    facts = F.struct("area", "weight", "contrast", "idx")
-    groups = controls.filter(F.col("container_path").isNotNull()).groupBy("page_id", "container_path").agg(
-        F.count("*").alias("n"), F.max_by(facts, F.when(accept, F.struct("area", -F.col("idx")))).alias("a"), F.min_by(facts, F.when(decline, F.struct("area", "idx"))).alias("d")
-    )
+    said = spoken(controls)
+    accept = said.rlike(lex.ACCEPT) & ~said.rlike(lex.PURCHASE)
+    decline = said.rlike(lex.DECLINE) & ~said.rlike(lex.GLYPH) & (F.length(said) > 1)
+    sized = controls.filter(F.col("container_path").isNotNull() & F.col("stage").isin(*lex.DETECTOR_STAGES["interference.visual_asymmetry"])).withColumn("_accept", accept).withColumn("_decline", decline).withColumn("_area", F.greatest(F.lit(1.0), F.col("area")))
+    facts = F.struct("_area", "weight", "color", "background", "idx")
+    groups = sized.groupBy("page_id", "container_path").agg(F.count("*").alias("n"), F.max_by(facts, F.when(F.col("_accept"), F.struct("_area", -F.col("idx")))).alias("a"), F.min_by(facts, F.when(F.col("_decline"), F.struct("_area", "idx"))).alias("d"))
     pairs = groups.filter(F.col("n").between(2, 6) & F.col("a").isNotNull() & F.col("d").isNotNull()).filter("a.idx <> d.idx").withColumn("idx", F.col("a.idx"))
-    contrast = F.coalesce(F.col("a.contrast") / F.nullif(F.col("d.contrast"), F.lit(0.0)) > 3, F.lit(False))
-    area = F.col("a.area") / F.col("d.area") > 2
-    heavy = F.col("a.weight") - F.col("d.weight") >= 200
+    pairs = pairs.withColumn("_ratio", contrast_ratio(F.col("a.color"), F.col("a.background")) / contrast_ratio(F.col("d.color"), F.col("d.background")))
+    contrast, area, heavy = F.coalesce(F.col("_ratio") > 3, F.lit(False)), F.col("a._area") / F.col("d._area") > 2, F.col("a.weight") - F.col("d.weight") >= 200
     return _found(pairs.filter(contrast | area | heavy), "interference.visual_asymmetry", {"contrast": contrast, "area": area, "weight": heavy, "both": F.lit(True)}, {"contrast": 0.45, "area": 0.3, "weight": 0.15, "both": 0.2})
 
 
@@ -232,21 +386,54 @@ def exit_intent(candidates: DataFrame, modals: DataFrame) -> DataFrame:
     return _found(first, "loss_aversion.exit_intent", {"modal": F.lit(True), "copy": F.col("copy"), "offer": F.col("offer")}, {"modal": 0.6, "copy": 0.3, "offer": 0.2})
 
 
-def framing(blocks: DataFrame) -> DataFrame:
-    """A was/now pair whose saving is stated the way that sounds larger. Needs raw_text (a container's text) and struck."""
-    t, low = F.col("raw_text"), F.lower("raw_text")
-    marked = F.regexp_replace(low, lex.CLAIMED_AMOUNT, " ")
-    prices = F.transform(parse_prices(marked), lambda p: p["amount"])
-    gap = F.regexp_extract(marked, lex.PAIR_GAP, 1)
-    chrome = F.regexp_replace(F.regexp_replace(F.regexp_replace(gap, r"\d{1,3}\s*%", " "), lex.MARKDOWN_WORD, " "), "[^a-z]", "")
-    rows = blocks.filter((F.length(t) >= 1) & (F.length(t) <= 240)).withColumn("_p", prices).filter((F.size("_p") >= 2) & (F.col("_p")[0] > F.col("_p")[1]) & (F.length(gap) <= 32) & (chrome == ""))
-    saved = (F.col("_p")[0] - F.col("_p")[1]) / 100
-    share = (F.col("_p")[0] - F.col("_p")[1]) / F.col("_p")[0] * 100
-    rows = rows.withColumn("saved", saved).withColumn("share", share)
-    percent = F.greatest(F.regexp_extract(low, lex.PERCENT_CLAIM, 1), F.regexp_extract(low, lex.PERCENT_CLAIM, 2)).try_cast("double")
-    absolute = F.get(parse_prices(F.regexp_extract(low, lex.CLAIMED_AMOUNT, 0)), F.lit(0))["amount"] / 100
-    by_percent = percent.isNotNull() & (F.abs(percent - F.col("share")) <= 3) & (F.col("share") > F.col("saved") * 2)
-    by_amount = percent.isNull() & absolute.isNotNull() & (F.abs(absolute - F.col("saved")) <= F.greatest(F.lit(1.0), F.col("saved") * 0.05)) & (F.col("saved") > F.col("share") * 2)
+def reference_pair(text: Column) -> Column:
+    """The first two neighbouring prices of a text, claimed savings apart, that read as a markdown: struct<high, low, start>, or null."""
+    before = lambda p: F.substring(text, F.greatest(p["start"] - lex.CLAIM_REACH, F.lit(0)) + 1, F.least(p["start"], F.lit(lex.CLAIM_REACH)))
+    after = lambda p: F.substring(text, p["end"] + 1, F.lit(lex.CLAIM_REACH))
+    told = F.filter(parse_prices(text), lambda p: ~before(p).rlike(lex.CLAIM_BEFORE) & ~after(p).rlike(lex.CLAIM_AFTER))
+
+    def markdown(between: Column) -> Column:
+        words = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(between), r"\d{1,3}\s*%", " "), lex.MARKDOWN_WORD, " "), "[^a-z]", "")
+        return (F.length(between) <= lex.PAIR_GAP) & (words == "")
+
+    def pair(a: Column, b: Column) -> Column:
+        """The markdown from one price to the next, or null."""
+        said = F.struct(a["amount"].alias("high"), b["amount"].alias("low"), a["start"].alias("start"))
+        return F.when((a["amount"] > b["amount"]) & markdown(F.substring(text, a["end"] + 1, b["start"] - a["end"])), said)
+
+    return once(told, lambda prices: F.get(F.array_compact(F.zip_with(F.slice(prices, 1, F.greatest(F.size(prices) - 1, F.lit(0))), F.slice(prices, 2, F.greatest(F.size(prices) - 1, F.lit(0))), pair)), F.lit(0)))
+
+
+def framing(nodes: DataFrame) -> DataFrame:
+    """A was/now pair whose saving is stated the way that sounds larger; one claim a container, the first node's.
+
+    Needs selector_path, raw_text, text, struck, container_path and container_text (normalised, empty where there is none).
+    """
+    name = "framing.savings_ratio"
+    shown = nodes.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]))
+    struck = shown.filter(F.col("struck") & (F.size(parse_prices(F.col("raw_text"))) > 0)).select(F.col("page_id").alias("_page"), F.explode(ancestors(F.col("selector_path"), own=True)).alias("_struck_in")).distinct()
+    boxed = F.length(F.coalesce("container_text", F.lit(""))) > 0
+    t = F.col("_t")
+    rows = shown.withColumn("_boxed", boxed).withColumn("_t", F.when(boxed, F.col("container_text")).otherwise(F.col("text"))).filter(F.length("_t").between(1, 240) & (~F.col("_boxed") | F.col("container_path").isNotNull()))
+    percent, absolute = t.rlike(lex.PERCENT_CLAIM), t.rlike(lex.ABSOLUTE_CLAIM)
+    said = F.coalesce(F.nullif(F.regexp_extract(t, lex.PERCENT_CLAIM, 1), F.lit("")), F.nullif(F.regexp_extract(t, lex.PERCENT_CLAIM, 2), F.lit(""))).cast("double")
+    claim = F.substring(t, F.regexp_instr(t, F.lit(lex.ABSOLUTE_CLAIM)), F.length(F.regexp_extract(t, lex.ABSOLUTE_CLAIM, 0)) + lex.CLAIM_REACH)
+    amount = F.get(parse_prices(claim), F.lit(0))["amount"] / 100
+
+    def weighed(pair: Column) -> Column:
+        """What the markdown saves, in money and in percent, beside what is claimed."""
+        gap, start = pair["high"] - pair["low"], pair["start"]
+        labelled = F.substring(t, F.greatest(start - lex.REFERENCE_REACH, F.lit(0)) + 1, F.least(start, F.lit(lex.REFERENCE_REACH))).rlike(lex.REFERENCE_WORD)
+        return F.when(pair.isNotNull(), F.struct((gap / 100).alias("saved"), (gap / pair["high"] * 100).alias("share"), said.alias("said"), F.when(said.isNull(), amount).alias("amount"), labelled.alias("_labelled")))
+
+    # exploding keeps what follows from working all this out again
+    rows = rows.filter(percent | absolute).select(*KEY, "selector_path", "container_path", "_boxed", F.explode(F.array_compact(F.array(once(reference_pair(t), weighed)))).alias("_w")).select("*", "_w.*")
+    true = F.when(F.col("said").isNotNull(), F.abs(F.col("said") - F.col("share")) <= 3).otherwise(F.coalesce(F.abs(F.col("amount") - F.col("saved")) <= F.greatest(F.lit(1.0), F.col("saved") * 0.05), F.lit(True)))
+    by_percent = F.col("said").isNotNull() & (F.col("share") > F.col("saved") * lex.FLATTERS)
+    by_amount = F.col("said").isNull() & (F.col("saved") > F.col("share") * lex.FLATTERS)
+    rows = rows.withColumn("_by_percent", by_percent).withColumn("_by_amount", by_amount).filter(true & (F.col("_by_percent") | F.col("_by_amount")))
+    claimed = F.when(F.col("_boxed"), F.col("container_path")).otherwise(F.col("selector_path"))
+    first = rows.groupBy("page_id", "_boxed", claimed.alias("_claim")).agg(F.min_by(F.struct("idx", "container_path", "saved", "share", "_by_percent", "_by_amount", "_labelled"), "idx").alias("_first")).select("page_id", "_first.*")
+    marked = first.join(struck, (F.col("page_id") == F.col("_page")) & (F.col("container_path") == F.col("_struck_in")), "left")
     large = F.greatest("share", "saved") / F.greatest(F.lit(1.0), F.least("share", "saved")) > 4
-    reference = F.col("struck") | low.rlike(lex.REFERENCE_WORD)
-    return _found(rows.filter(by_percent | by_amount), "framing.savings_ratio", {"percent": by_percent, "absolute": by_amount, "both": F.lit(True), "large": large, "reference": reference}, {"percent": 0.5, "absolute": 0.5, "both": 0.25, "large": 0.2, "reference": 0.15})
+    return _found(marked, name, {"percent": F.col("_by_percent"), "absolute": F.col("_by_amount"), "both": F.lit(True), "large": large, "reference": F.col("_labelled") | F.col("_struck_in").isNotNull()}, lex.FRAMING_WEIGHTS)

@@ -14,8 +14,8 @@ DAY_MS = 86_400_000
 
 
 def text_history(rows: DataFrame, key: tuple[str, ...], text: str = "text", cap: int = TEXTS_KEPT) -> DataFrame:
-    """The newest ``cap`` texts of each node, of those with a digit that differ from the one before. Needs ts_ms, seq."""
-    shown = rows.filter(F.col(text).rlike(r"\d") & (F.length(text) <= TEXT_MOST))
+    """The newest ``cap`` texts (120 characters of each) of each node, of those with a digit that differ from the one before. Needs ts_ms, seq."""
+    shown = rows.withColumn(text, F.substring(text, 1, TEXT_MOST)).filter(F.col(text).rlike("[0-9]"))
     before = F.lag(text).over(Window.partitionBy(*key).orderBy("ts_ms", "seq"))
     changed = shown.withColumn("_before", before).filter(~F.col(text).eqNullSafe(F.col("_before"))).drop("_before")
     return newest(changed, key, (F.desc("ts_ms"), F.desc("seq")), cap)
@@ -35,15 +35,18 @@ def dwell(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
 def interruptions(rows: DataFrame) -> DataFrame:
     """The modals of a page that nobody asked for. Needs page_id, node, ts_ms, seq, kind (shown, hidden, gesture, exit).
 
-    A modal counts when it shows for the first time or after it was away long enough, unless a gesture has just called
+    A modal counts when it shows for the first time or after it was away long enough (since it was first hidden), unless a gesture has just called
     it up; what follows an exit at once counts in any case.
     """
     upto = Window.partitionBy("page_id").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("page_id", "node").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda kind, over: F.max(F.when(F.col("kind") == kind, F.col("ts_ms"))).over(over)
-    marked = rows.withColumn("_shown", last("shown", before)).withColumn("_hidden", last("hidden", before)).withColumn("_gesture", last("gesture", upto)).withColumn("_exit", last("exit", upto))
+    # a row's spell is the number of times its modal had shown before it; what hid it first in the spell counts
+    spells = rows.withColumn("_spell", F.count_if(F.col("kind") == "shown").over(before))
+    hidden = F.min(F.when(F.col("kind") == "hidden", F.col("ts_ms"))).over(Window.partitionBy("page_id", "node", "_spell"))
+    marked = spells.withColumn("_hidden", hidden).withColumn("_gesture", last("gesture", upto)).withColumn("_exit", last("exit", upto))
     since = lambda c: F.col("ts_ms") - F.col(c)
-    fresh = F.col("_shown").isNull() | ((F.col("_hidden") >= F.col("_shown")) & (since("_hidden") >= HIDDEN_MS))
+    fresh = (F.col("_spell") == 0) | (since("_hidden") >= HIDDEN_MS)
     asked = F.coalesce(since("_gesture") < GESTURE_MS, F.lit(False)) & ~F.coalesce(since("_exit") <= EXIT_MS, F.lit(False))
     return marked.filter((F.col("kind") == "shown") & F.coalesce(fresh, F.lit(False)) & ~asked).select("page_id", "node", "ts_ms", "seq")
 

@@ -36,7 +36,9 @@ def staged(scanned: DataFrame) -> DataFrame:
 
 def candidates(pages: DataFrame) -> DataFrame:
     """One row for each rendered node of staged pages, as the detectors want it; histories are those of one look: empty."""
-    nodes = pages.select("page_id", "stage", F.col("meta.summary_rows").alias("summary_rows"), F.inline("nodes"))
+    bar = lambda n: (n["role"] == "progressbar") | (n["attrs"]["role"] == "progressbar")
+    bars = F.transform(F.filter("nodes", bar), lambda n: n["parent_idx"])
+    nodes = pages.select("page_id", "stage", F.col("meta.summary_rows").alias("summary_rows"), bars.alias("_bars"), F.inline("nodes")).withColumn("has_progress_child", F.coalesce(F.array_contains("_bars", F.col("idx")), F.lit(False))).drop("_bars")
     control = F.col("tag_name").isin(*CONTROLS) | F.coalesce(F.col("role").isin("button", "link"), F.lit(False))
     shown = nodes.filter("rendered").withColumnRenamed("text", "raw_text")
     return shown.select(

@@ -30,11 +30,12 @@ def st9_interruptions(spark: SparkSession, d: str) -> DataFrame:
 
 MODALS = """
 e AS (SELECT user_id AS page_id, k % 2 AS node, ts_ms // 10000 AS ts_ms, event_id AS seq, CASE WHEN k % 5 < 2 THEN 'shown' WHEN k % 5 = 2 THEN 'hidden' WHEN k % 5 = 3 THEN 'gesture' ELSE 'exit' END AS kind FROM b_detections),
+c AS (SELECT *, count(*) FILTER (WHERE kind = 'shown') OVER (PARTITION BY page_id, node ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spell FROM e),
 m AS (
-  SELECT *, max(ts_ms) FILTER (WHERE kind = 'shown') OVER b AS s, max(ts_ms) FILTER (WHERE kind = 'hidden') OVER b AS h, max(ts_ms) FILTER (WHERE kind = 'gesture') OVER u AS g, max(ts_ms) FILTER (WHERE kind = 'exit') OVER u AS x FROM e
-  WINDOW b AS (PARTITION BY page_id, node ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY page_id ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  SELECT *, min(ts_ms) FILTER (WHERE kind = 'hidden') OVER (PARTITION BY page_id, node, spell) AS h, max(ts_ms) FILTER (WHERE kind = 'gesture') OVER u AS g, max(ts_ms) FILTER (WHERE kind = 'exit') OVER u AS x FROM c
+  WINDOW u AS (PARTITION BY page_id ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
-SELECT page_id, node, ts_ms, seq FROM m WHERE kind = 'shown' AND (s IS NULL OR coalesce(h >= s AND ts_ms - h >= 1500, false)) AND NOT (coalesce(ts_ms - g < 750, false) AND NOT coalesce(ts_ms - x <= 500, false))
+SELECT page_id, node, ts_ms, seq FROM m WHERE kind = 'shown' AND (spell = 0 OR coalesce(ts_ms - h >= 1500, false)) AND NOT (coalesce(ts_ms - g < 750, false) AND NOT coalesce(ts_ms - x <= 500, false))
 """
 
 

@@ -126,20 +126,49 @@ def _copy_case(column: str) -> str:
 
 
 TABLES["b_copy"] = """
-    select page_id, idx, stage, raw_text, lower(raw_text) as text, has_progress, is_control, in_dialog, ephemeral, 'body>div' || cast(idx as {STR}) || case when idx % 3 = 0 then '' else '>span' end as selector_path
+    select page_id, idx, stage, raw_text, lower(raw_text) as text, has_progress, is_control, in_dialog, ephemeral, accessible_name, has_progress as has_progress_child, cast(null as {STR}) as container_path, '' as container_text, 'body>div' || cast(idx as {STR}) || case when idx % 3 = 0 then '' else '>span' end as selector_path
     from (
       select l_orderkey as page_id, l_linenumber * 1000 + l_partkey % 1000 as idx, case l_linenumber % 3 when 0 then 'pdp' when 1 then 'cart' else 'checkout' end as stage, """ + _copy_case("(l_orderkey + l_partkey) % 30") + """ as raw_text,
-             l_suppkey % 5 = 0 as has_progress, l_suppkey % 2 = 0 as is_control, l_suppkey % 3 = 0 as in_dialog, l_suppkey % 7 = 0 as ephemeral
+             l_suppkey % 5 = 0 as has_progress, l_suppkey % 2 = 0 as is_control, l_suppkey % 3 = 0 as in_dialog, l_suppkey % 7 = 0 as ephemeral, case when l_suppkey % 11 = 0 then 'Close' else '' end as accessible_name
       from (select l_orderkey, l_partkey, l_linenumber, min(l_suppkey) as l_suppkey from {lineitem} group by l_orderkey, l_partkey, l_linenumber) u
     ) x"""
 TABLES["b_price_copy"] = """
     select l_orderkey as page_id, l_linenumber as idx, l_partkey, was, now, 'Was $' || cast(cast(floor(was / 100) as {BIG}) as {STR}) || '.' || lpad(cast(was % 100 as {STR}), 2, '0') || ' Now $' || cast(cast(floor(now / 100) as {BIG}) as {STR}) || '.' || lpad(cast(now % 100 as {STR}), 2, '0') as text
     from (select l_orderkey, l_linenumber, l_partkey, cast(round(l_extendedprice * 100) as {BIG}) as was, cast(round(l_extendedprice * 100) as {BIG}) - cast(floor(l_extendedprice * l_discount) as {BIG}) * 100 as now from {lineitem}) p"""
+PRICE = "'$' || cast(cast(floor(minor / 100) as {BIG}) as {STR}) || '.' || lpad(cast(minor % 100 as {STR}), 2, '0')"
+ONE_LINE = "(select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey, min(l_quantity) as l_quantity, cast(round(min(l_extendedprice) * 10) as {BIG}) as minor from {lineitem} group by l_orderkey, l_linenumber)"
+# struck prices and live ones beside them, and a live one around each container's
 TABLES["b_nodes"] = """
-    select l_orderkey as page_id, l_linenumber as idx, 'pdp' as stage, case when l_linenumber % 2 = 1 then 'body>div' || cast(l_suppkey % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) || '>s' else 'body>div' || cast(l_suppkey % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) end as selector_path,
-           l_linenumber % 2 = 1 as struck, cast(l_quantity as {BIG}) as quantity, l_partkey % 3 = 0 as badge, 'body>div' || cast(l_suppkey % 2 as {STR}) as container_path, minor, cast(l_quantity * 20 as {DBL}) as area, l_partkey % 4 = 0 as cents_child,
-           '$' || cast(cast(floor(minor / 100) as {BIG}) as {STR}) || '.' || lpad(cast(minor % 100 as {STR}), 2, '0') as raw_text
-    from (select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey, min(l_quantity) as l_quantity, cast(round(min(l_extendedprice) * 10) as {BIG}) as minor from {lineitem} group by l_orderkey, l_linenumber) u"""
+    select page_id, idx, 'pdp' as stage, selector_path, struck, minor, raw_text, lower(raw_text) as text, case k % 5 when 0 then 'was more' when 1 then 'now 20% off' when 2 then 'you save -15%' else '' end as container_text
+    from (
+      select l_orderkey as page_id, l_linenumber as idx, case when l_linenumber % 2 = 1 then 'body>div' || cast(l_suppkey % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) || '>s' else 'body>div' || cast(l_suppkey % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) end as selector_path,
+             l_linenumber % 2 = 1 as struck, minor, l_partkey as k, """ + PRICE + """ as raw_text from """ + ONE_LINE + """ u
+      union all select distinct l_orderkey, 100, 'body>div0', false, cast(100 as {BIG}), l_orderkey, 'List price $1.00' from {lineitem} where l_orderkey % 2 = 0
+    ) n"""
+# a price, and for each second one a node inside that often says the same price
+TABLES["b_charm"] = """
+    select page_id, idx, 'pdp' as stage, selector_path, area, cents_child, two, minor, """ + PRICE + """ || case when two then ' or $12.95' else '' end as raw_text
+    from (
+      select l_orderkey as page_id, l_linenumber as idx, 'body>div' || cast(cast(floor((l_linenumber + 1) / 2.0) as {BIG}) as {STR}) || case when l_linenumber % 2 = 0 then '>b' else '' end as selector_path, cast(l_quantity * 20 as {DBL}) as area, l_partkey % 4 = 0 as cents_child, l_suppkey % 4 = 0 as two,
+             case when l_orderkey % 3 = 0 then minor else min(minor) over (partition by l_orderkey, floor((l_linenumber + 1) / 2.0)) end as minor
+      from """ + ONE_LINE + """ u
+    ) n"""
+# packs of a container; some say no quantity, some two prices
+TABLES["b_options"] = """
+    select page_id, idx, 'pdp' as stage, container_path, minor, quantity, counted, single, badge, raw_text, lower(raw_text) as text
+    from (
+      select l_orderkey as page_id, l_linenumber as idx, 'body>div' || cast(l_suppkey % 2 as {STR}) as container_path, minor, cast(l_quantity as {BIG}) as quantity, l_partkey % 7 <> 0 as counted, l_suppkey % 9 <> 0 as single, l_partkey % 3 = 0 as badge,
+             case when l_partkey % 7 = 0 then 'One size ' else cast(cast(l_quantity as {BIG}) as {STR}) || ' pack ' end || """ + PRICE + """ || case when l_suppkey % 9 = 0 then ' was $1.00' else '' end || case when l_partkey % 3 = 0 then ' Best value' else '' end as raw_text
+      from """ + ONE_LINE + """ u
+    ) n"""
+# stock claims that a container says in several nodes
+TABLES["b_split"] = """
+    select page_id, idx, 'pdp' as stage, text, text as raw_text, container_path, container_text, coalesce(container_path, 'body') || '>p' || cast(idx as {STR}) as selector_path, false as has_progress_child
+    from (
+      select l_orderkey as page_id, l_linenumber as idx, case l_partkey % 6 when 0 then '3' when 1 then 'only' when 2 then 'left at' when 3 then 'at this price' when 4 then 'stock, order' else case when l_orderkey % 3 = 0 then 'low stock' else 'free' end end as text,
+             case l_suppkey % 4 when 0 then 'body>a' when 1 then 'body>a>b' when 2 then 'body>c' end as container_path, case when l_suppkey % 5 < 2 then 'only 3 left at this price' when l_suppkey % 5 < 4 then 'low stock, order soon' else 'free returns' end as container_text
+      from """ + ONE_LINE + """ u
+    ) n"""
 TABLES["b_lines"] = """
     select source as site, doc_id, text from {documents}"""
 TABLES["b_labels"] = """
@@ -159,18 +188,27 @@ TABLES["b_meta"] = """
            o_orderkey % 8 as booking_cta, case when o_custkey % 17 = 0 then 2 else 0 end as per_unit_rows, o_orderkey % 25 as priced_texts
     from {orders}"""
 TABLES["b_controls"] = """
-    select l_orderkey as page_id, l_linenumber as idx, 'body>div' as container_path, case l_partkey % 5 when 0 then 'accept all' when 1 then 'no thanks' when 2 then 'add to cart' when 3 then 'yes, sign me up' else 'not now' end as text,
-           cast(l_quantity * 100 as {DBL}) as area, case when l_suppkey % 2 = 0 then 700 else 400 end as weight, cast(l_suppkey % 21 + 1 as {DBL}) as contrast, 'body>div' || cast(l_linenumber % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) as selector_path,
+    select l_orderkey as page_id, l_linenumber as idx, 'pdp' as stage, 'body>div' as container_path, case l_partkey % 5 when 0 then 'accept all' when 1 then 'no thanks' when 2 then 'add to cart' when 3 then 'yes, sign me up' else 'not now' end as raw_text,
+           cast((l_quantity - 1) * 100 as {DBL}) as area, case when l_suppkey % 2 = 0 then 700 else 400 end as weight, case l_suppkey % 3 when 0 then 'rgb(0, 0, 0)' when 1 then 'rgb(118, 118, 118)' else 'rgb(204, 204, 204)' end as color, 'rgb(255, 255, 255)' as background, 'body>div' || cast(l_linenumber % 2 as {STR}) || '>p' || cast(l_linenumber as {STR}) as selector_path,
            case l_partkey % 4 when 0 then 'wait, before you go' when 1 then 'take 10% off today' when 2 then 'join the waitlist' else 'hold on for free shipping' end as exit_text
     from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity from {lineitem} group by l_orderkey, l_linenumber) u"""
+# markdowns, two nodes a container, some with a saving that is told truly, falsely or not at all
 TABLES["b_framing"] = """
-    select page_id, idx, struck, a, b, pct, kind, 'Was $' || cast(cast(floor(a / 100) as {BIG}) as {STR}) || '.' || lpad(cast(a % 100 as {STR}), 2, '0') || ' now $' || cast(cast(floor(b / 100) as {BIG}) as {STR}) || '.' || lpad(cast(b % 100 as {STR}), 2, '0')
-           || case kind when 0 then ' ' || cast(pct as {STR}) || '% off' when 1 then ' ' || cast(pct + 7 as {STR}) || '% off' when 2 then ' save $' || cast(cast(floor((a - b) / 100) as {BIG}) as {STR}) || '.' || lpad(cast((a - b) % 100 as {STR}), 2, '0') else '' end as raw_text
+    select page_id, idx, 'pdp' as stage, struck, a, b, pct, kind, named, 'body>c>p' || cast(idx as {STR}) as selector_path, 'body>c' as container_path, said as container_text, said as text, said as raw_text
     from (
-      select p_partkey as page_id, p_partkey as idx, p_partkey % 2 = 0 as struck, (p_partkey % 900 + 5) * 100 as a, (p_partkey % 900 + 5) * (100 - (p_partkey * 7 % 17 + 1) * 5) as b, (p_partkey * 7 % 17 + 1) * 5 as pct, p_partkey % 4 as kind from {part}
-    ) x"""
+      select *, case when kind = 4 then 'ship $4.99 ' else '' end || case when named then 'was ' else '' end || '$' || cast(cast(floor(a / 100) as {BIG}) as {STR}) || '.' || lpad(cast(a % 100 as {STR}), 2, '0') || ' now $' || cast(cast(floor(b / 100) as {BIG}) as {STR}) || '.' || lpad(cast(b % 100 as {STR}), 2, '0')
+             || case kind when 0 then ' ' || cast(pct as {STR}) || '% off' when 4 then ' save ' || cast(pct as {STR}) || '%' when 1 then ' ' || cast(pct + 7 as {STR}) || '% off' when 2 then ' save $' || cast(cast(floor((a - b) / 100) as {BIG}) as {STR}) || '.' || lpad(cast((a - b) % 100 as {STR}), 2, '0') else '' end as said
+      from (
+        select cast(floor(p_partkey / 2.0) as {BIG}) as page_id, p_partkey % 2 as idx, p_partkey % 4 = 0 as struck, (p_partkey % 900 + 5) * 100 as a, (p_partkey % 900 + 5) * (100 - (p_partkey * 7 % 17 + 1) * 5) as b, (p_partkey * 7 % 17 + 1) * 5 as pct, p_partkey * 3 % 5 as kind, p_partkey % 3 <> 0 as named from {part}
+      ) x
+    ) y"""
+# ticked inputs: the option's price is in its row, in its container, or nowhere
 TABLES["b_inputs"] = """
-    select l_orderkey as page_id, l_linenumber as idx, case l_partkey % 3 when 0 then 'checkout' when 1 then 'pdp' else 'payment' end as stage, case when l_linenumber % 2 = 0 then 'radio' else 'checkbox' end as input_type, l_suppkey % 4 <> 0 as checked, l_suppkey % 9 = 0 as touched, 'g' as group_name,
-           cast(l_quantity as {BIG}) as dollars, case l_partkey % 5 when 0 then 'protection plan' when 1 then 'ship to multiple addresses' when 2 then 'remember me and insurance' when 3 then 'leave a tip' else 'express shipping' end as words,
-           case l_partkey % 5 when 0 then 'protection plan' when 1 then 'ship to multiple addresses' when 2 then 'remember me and insurance' when 3 then 'leave a tip' else 'express shipping' end || ' $' || cast(cast(l_quantity as {BIG}) as {STR}) || '.00' as raw_text
-    from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity from {lineitem} group by l_orderkey, l_linenumber) u"""
+    select page_id, idx, stage, input_type, checked, touched, group_name, dollars, words, k, case k % 5 when 0 then '' when 1 then words || ' free' when 2 then words || ' $1.00 $2.00' else words || ' ' || price end as row_text,
+           case when k % 6 = 0 then '' else words || ' ' || price end as container_text, case when k % 6 = 0 then words else '' end as label, case when k % 12 = 0 then words else words || ' ' || price end as raw_text
+    from (
+      select l_orderkey as page_id, l_linenumber as idx, case l_partkey % 3 when 0 then 'checkout' when 1 then 'pdp' else 'payment' end as stage, case when l_linenumber % 3 = 0 then 'checkbox' else 'radio' end as input_type, l_partkey % 8 <> 0 as checked, l_partkey % 9 = 0 as touched, case when l_orderkey % 10 = 0 then '' else 'g' end as group_name,
+             cast(l_quantity as {BIG}) as dollars, l_suppkey as k, '$' || cast(cast(l_quantity as {BIG}) as {STR}) || '.00' as price,
+             case l_partkey % 5 when 0 then 'protection plan' when 1 then 'ship to multiple addresses' when 2 then 'remember me and insurance' when 3 then 'leave a tip' else 'express shipping' end as words
+      from """ + ONE_LINE + """ u
+    ) n"""

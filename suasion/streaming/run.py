@@ -5,10 +5,29 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: RocksDB holds the state of keyed processors, so a state larger than an executor's memory is no matter.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is started meanwhile; as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines see: the session's checkpoint folder. Where none is set a local one does for one JVM; on a cluster that is an error."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -27,13 +46,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that the stream emits for the input that is there now.
+def drain(stream: DataFrame, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """Everything that the stream emits for the input that is there now, run with the settings ``conf``.
 
     Sink and offsets lie in the shared folder, so a lost driver or executor can go on from the last batch.
     """
     spark = stream.sparkSession
     home = new_folder(spark, "stream")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{home}/out").option("checkpointLocation", f"{home}/offsets").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with settings(spark, conf or {}):
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{home}/out").option("checkpointLocation", f"{home}/offsets").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
