@@ -5,50 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from suasion.functions.bind import once
-
 # fixed values: currency signs, the form of a number and of a price, the largest plausible amount
 SYMBOLS = {"$": "USD", "£": "GBP", "€": "EUR", "¥": "JPY", "₹": "INR"}
 NUMBER = r"(?:\d{1,3}(?:[.,\s]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+[.,]\d{2}|\d+[.,]\d(?!\d)|\d+(?!\d))"
 PRICE = rf"(?:[$£€¥₹]\s?|(?:USD|GBP|EUR|JPY|INR|CAD|AUD)\s){NUMBER}|{NUMBER}\s?[$£€¥₹]"
 MOST = 100_000_000
+#: What stands around the number in what is written like a price.
+AROUND = "$£€¥₹ \t\n\r\f\x0bUSDEGBPJYINRCA"
 #: How sure an amount with a sign or code is.
 CONFIDENCE = 0.9
 #: What a text must hold to be worth the longer pattern.
 SIGN = "[$£€¥₹]|USD|GBP|EUR|JPY|INR|CAD|AUD"
 
 
-def _coded(code: Column, sign: Column) -> Column:
-    by_sign = F.coalesce(*(F.when(sign == s, F.lit(c)) for s, c in SYMBOLS.items()), F.lit("USD"))
-    return F.when(code != "", code).otherwise(by_sign)
+def _coded(token: Column) -> Column:
+    """The currency of a sign or code."""
+    return F.coalesce(*(F.when(token == s, F.lit(c)) for s, c in SYMBOLS.items()), F.nullif(token, F.lit("")), F.lit("USD"))
 
 
 def _bare(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"[^0-9.,]", "")
+    """Digits and separators of what is written like a price."""
+    return F.translate(raw, AROUND, "")
 
 
 def _tail(bare: Column) -> Column:
     return F.regexp_extract(bare, r"[.,](\d*)$", 1)
 
 
-def _decimal(bare: Column, tail: Column) -> Column:
-    """Of two kinds of separator the last is decimal; a single one before exactly three digits is not."""
-    return bare.rlike(r"[.,]") & ((bare.contains(".") & bare.contains(",")) | (F.length(tail) != 3))
+def _decimals(bare: Column) -> Column:
+    """The decimals as written, or null: of two kinds of separator the last is decimal; a single one before exactly three digits is not."""
+    both = bare.contains(".") & bare.contains(",")
+    return F.when((bare.contains(".") | bare.contains(",")) & (both | ~bare.rlike(r"[.,]\d{3}$")), _tail(bare))
 
 
-def _amount(bare: Column, tail: Column, yen: Column) -> Column:
-    decimal = _decimal(bare, tail)
+def _amount(bare: Column, decimals: Column, yen: Column) -> Column:
     digits = F.translate(bare, ".,", "")
     # the decimals are the last digits, so whole and fraction are both cut from the bare digits
-    cut = F.when(decimal, F.length(tail)).otherwise(0)
+    cut = F.coalesce(F.length(decimals), F.lit(0))
     whole = F.coalesce(F.nullif(F.substring(digits, F.lit(1), F.length(digits) - cut), F.lit("")).try_cast("long"), F.lit(0).cast("long"))
-    cents = F.rpad(F.concat(F.when(decimal, tail).otherwise(""), F.lit("00")), 2, "0").cast("long")
+    cents = F.rpad(F.concat(F.coalesce(decimals, F.lit("")), F.lit("00")), 2, "0").cast("long")
     return F.when(yen, whole).otherwise(whole * 100 + cents)
 
 
 def minor_units(raw: Column, currency: Column) -> Column:
     """A written number in minor units."""
-    return _amount(_bare(raw), _tail(_bare(raw)), currency == "JPY")
+    bare = F.regexp_replace(raw, r"[^0-9.,]", "")
+    return _amount(bare, _decimals(bare), currency == "JPY")
 
 
 def parse_prices(text: Column) -> Column:
@@ -58,25 +60,30 @@ def parse_prices(text: Column) -> Column:
     is bound once, by a transform of its own, so nothing is worked out twice; a text without a sign is not looked at.
     """
     raws = F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(f"({PRICE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    placed = once(raws, lambda found: F.transform(price_starts(text, found), lambda start, i: F.struct(F.get(found, i).alias("raw"), start.alias("start"))))
-    read = F.transform(placed, lambda r: F.struct(r["raw"].alias("raw"), r["start"].alias("start"), F.regexp_extract(r["raw"], "(USD|GBP|EUR|JPY|INR|CAD|AUD)", 1).alias("code"), F.regexp_extract(r["raw"], "([$£€¥₹])", 1).alias("sign"), _bare(r["raw"]).alias("bare")))
-    coded = F.transform(read, lambda x: F.struct(x["raw"].alias("raw"), x["start"].alias("start"), _coded(x["code"], x["sign"]).alias("currency"), x["bare"].alias("bare"), _tail(x["bare"]).alias("tail")))
+    read = F.transform(_placed(text, raws), lambda r: F.struct(r["raw"].alias("raw"), r["start"].alias("start"), _coded(F.regexp_extract(r["raw"], "[$£€¥₹]|[A-Z]{3}", 0)).alias("currency"), _bare(r["raw"]).alias("bare")))
+    split = F.transform(read, lambda x: F.struct(x["raw"].alias("raw"), x["start"].alias("start"), x["currency"].alias("currency"), x["bare"].alias("bare"), _decimals(x["bare"]).alias("decimals")))
     priced = F.transform(
-        coded,
+        split,
         lambda x: F.struct(
-            _amount(x["bare"], x["tail"], x["currency"] == "JPY").alias("amount"), x["currency"].alias("currency"), x["raw"].alias("raw"), x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"),
-            F.when(_decimal(x["bare"], x["tail"]), x["tail"]).otherwise("").alias("fraction"), F.lit(CONFIDENCE).alias("confidence"),
+            _amount(x["bare"], x["decimals"], x["currency"] == "JPY").alias("amount"), x["currency"].alias("currency"), x["raw"].alias("raw"), x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"),
+            F.coalesce(x["decimals"], F.lit("")).alias("fraction"), F.lit(CONFIDENCE).alias("confidence"),
         ),
     )
     return F.filter(priced, lambda p: p["amount"] <= MOST)
 
 
-def price_starts(text: Column, raws: Column) -> Column:
-    """Where (from 0) each written price begins, plausible or not."""
-    between = F.transform(F.split(text, PRICE, -1), lambda x: F.length(x))
-    steps = F.transform(raws, lambda r, i: F.struct(F.length(r).alias("n"), F.get(between, i).alias("gap")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(steps, none, lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")), lambda a: a["starts"])
+def _placed(text: Column, raws: Column) -> Column:
+    """Each written price with where (from 0) it begins: array<struct<raw, start>>.
+
+    What is written like a price is one wherever it stands, so the next place of its text is its own.
+    """
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw: string, start: int>>").alias("found"))
+
+    def step(so_far: Column, raw: Column) -> Column:
+        start = F.call_function("locate", raw, text, so_far["at"] + 1) - 1
+        return F.struct((start + F.length(raw)).alias("at"), F.array_append(so_far["found"], F.struct(raw.alias("raw"), start.alias("start"))).alias("found"))
+
+    return F.aggregate(raws, none, step, lambda x: x["found"])
 
 
 def without_price(text: Column, raw: Column) -> Column:

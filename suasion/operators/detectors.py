@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suasion.functions import lexicons as lex
-from suasion.functions.bind import once
+from suasion.functions.bind import bound, once
 from suasion.functions.color import contrast_ratio
 from suasion.functions.facts import quantity_of
 from suasion.functions.money import parse_prices
@@ -223,8 +223,8 @@ def option_price(*scopes: Column) -> Column:
     """An option's price by the first scope (short enough) that says one price alone, or is free; else null."""
     out = []
     for scope in scopes:
-        prices = parse_prices(scope)
-        said = F.when(F.size(prices) == 1, F.get(prices, F.lit(0))["amount"]).when((F.size(prices) == 0) & scope.rlike(r"(?i)\bfree\b"), F.lit(0).cast("long"))
+        free = scope.rlike(r"(?i)\bfree\b")
+        said = once(parse_prices(scope), lambda p, free=free: F.when(F.size(p) == 1, F.get(p, F.lit(0))["amount"]).when((F.size(p) == 0) & free, F.lit(0).cast("long")))
         out.append(F.when(F.length(scope).between(1, lex.OPTION_MOST), said))
     return F.coalesce(*out)
 
@@ -237,7 +237,7 @@ def preselected(candidates: DataFrame) -> DataFrame:
     name = "defaults.preselected"
     box = F.coalesce(F.nullif(F.col("container_text"), F.lit("")), F.col("raw_text"))
     inputs = candidates.filter(F.col("input_type").isin("checkbox", "radio") & F.col("stage").isin(*lex.DETECTOR_STAGES[name]))
-    priced = inputs.withColumn("_price", F.when(F.col("input_type") == "radio", option_price(F.col("row_text"), F.col("container_text"))))
+    priced = bound(inputs, "_price", F.when(F.col("input_type") == "radio", option_price(F.col("row_text"), F.col("container_text"))))
     group = Window.partitionBy("page_id", "group_name", "input_type")
     named = (F.col("input_type") == "radio") & (F.length("group_name") > 0)
     dear = named & (F.count("*").over(group) >= 2) & (F.col("_price") > F.min("_price").over(group))
@@ -274,7 +274,7 @@ def anchoring(nodes: DataFrame) -> DataFrame:
     """
     name, reach = "anchoring.reference_price", lex.ANCHOR_REACH
     every = nodes.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]))
-    priced = every.filter(F.col("raw_text").rlike(r"\d")).withColumn("_prices", parse_prices(F.col("raw_text"))).filter(F.size("_prices") > 0)
+    priced = bound(every.filter(F.col("raw_text").rlike(r"\d")), "_prices", parse_prices(F.col("raw_text"))).filter(F.size("_prices") > 0)
     steps = F.split("selector_path", ">")
     level = lambda k: F.when(F.size(steps) > k, F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - k, F.lit(1))), ">"))
     struck = _first_of_path(priced.filter("struck").select("page_id", "idx", "selector_path", F.lit("").alias("pattern_id"), "text", "container_text", F.array_max(F.transform("_prices", lambda p: p["amount"])).alias("anchor"))).drop("pattern_id")
@@ -317,8 +317,8 @@ def decoy(nodes: DataFrame) -> DataFrame:
     name = "decoy.asymmetric_dominance"
     nodes = nodes.filter(F.col("stage").isin(*lex.DETECTOR_STAGES[name]) & F.col("container_path").isNotNull())
     groups = nodes.groupBy("page_id", "container_path").agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, 6)).drop("_n")
-    prices = parse_prices(F.col("raw_text"))
-    each = nodes.join(groups, ["page_id", "container_path"]).withColumn("price", F.when(F.size(prices) == 1, F.get(prices, F.lit(0))["amount"])).withColumn("quantity", quantity_of(F.col("text")))
+    only = once(parse_prices(F.col("raw_text")), lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))["amount"]))
+    each = bound(nodes.join(groups, ["page_id", "container_path"]), "price", only).withColumn("quantity", quantity_of(F.col("text")))
     each = each.filter((F.col("price") > 0) & F.col("quantity").isNotNull()).withColumn("unit", F.col("price") / F.col("quantity")).withColumn("badge", F.col("text").rlike(lex.BADGE))
     o = F.col("o")
     rows = each.groupBy("page_id", "container_path").agg(F.sort_array(F.collect_list(F.struct("idx", "price", "quantity", "unit", "badge"))).alias("o")).filter(F.size("o") >= 2)

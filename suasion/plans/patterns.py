@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suasion.functions import lexicons as lex
+from suasion.functions.bind import bound
 from suasion.operators import detectors
 from suasion.plans.bridge import frame, oracle
 
@@ -72,7 +73,7 @@ SHAME = _sql(
 
 def fn1_prices(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("p")  # parsed once
-    parsed = frame(spark, d, "b_price_copy").withColumn("p", detectors.parse_prices(F.col("text")))
+    parsed = bound(frame(spark, d, "b_price_copy"), "p", detectors.parse_prices(F.col("text")))
     places = F.array_join(F.transform(p, lambda x: F.concat_ws(":", x["start"], x["end"], x["fraction"], x["raw"])), ",")
     return parsed.select("page_id", "idx", "l_partkey", p[0]["amount"].alias("was"), p[1]["amount"].alias("now"), p[0]["currency"].alias("currency"), p[1]["confidence"].alias("confidence"), F.size(p).alias("n"), places.alias("places"))
 
