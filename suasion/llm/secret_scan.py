@@ -22,6 +22,7 @@ repeated rows are scanned one by one; an empty table gives no rows; other column
 from __future__ import annotations
 
 import pickle
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -109,16 +110,31 @@ def candidates(text: str) -> list[tuple[int, int]]:
     for m in CANDIDATE.finditer(text):
         if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
             out.append((m.start(), m.end()))
-    near = [m.span(1) for m in HINTED.finditer(text)]
-    return sorted(out + [x for x in near if not any(x[0] < e and s < x[1] for s, e in out)]) if near else out
+    starts = [s for s, _ in out]
+
+    def free(span: tuple[int, int]) -> bool:
+        """Whether none of the runs, which are apart and in order, meets the span."""
+        before = bisect.bisect_left(starts, span[1]) - 1
+        return before < 0 or out[before][1] <= span[0]
+
+    near = [m.span(1) for m in HINTED.finditer(text) if free(m.span(1))]
+    return sorted(out + near) if near else out
 
 
 def rests(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """The candidates of a text, and in place of those that touch base spans what these leave over, if it is a candidate too."""
-    out = []
+    """The candidates of a text, and in place of those that touch base spans what these leave over, if it is a candidate too.
+
+    Both are in order of their starts and are merged; spans of one kind are apart, so few are open at once.
+    """
+    out, open_, following = [], [], 0
     for start, end in candidates(text):
+        open_ = [x for x in open_ if x[1] > start]
+        while following < len(base) and base[following][0] < end:
+            if base[following][1] > start:
+                open_.append(base[following])
+            following += 1
         at = start
-        for s, e, _ in [*sorted(x for x in base if x[0] < end and start < x[1]), (end, end, "")]:
+        for s, e, _ in [*sorted(open_), (end, end, "")]:
             if (at, s) == (start, end) or s - at >= MIN_RUN and any(c.isdigit() for c in text[at:s]) and any(c.isalpha() for c in text[at:s]):
                 out.append((at, s))
             at = max(at, e)

@@ -57,13 +57,19 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 
 def _grams(host: Column, path: Column) -> Column:
+    """All character n-grams, in time linear in the text: it is cut into characters once, and each n-gram is a shorter one and a character more."""
     text = F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$"))
 
-    def grams(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+    def grams(chars: Column) -> Column:
+        out, last = [], chars
+        for n in range(2, max(GRAMS) + 1):
+            last = F.zip_with(last, F.slice(chars, F.lit(n), F.size(chars)), lambda a, b: F.concat(a, b))
+            if n in GRAMS:
+                out.append(F.array_compact(last))
+        return F.concat(*out)
 
-    return F.concat(*(grams(n) for n in GRAMS))
+    # the characters are bound once
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))), grams), 1)
 
 
 def _vectors(urls: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from suasion.llm import common, mixing, quality, secret_scan, toxicity
+from suasion.llm import common, mixing, quality, secret_scan, toxicity, url_filter, url_labels
 
 LABELS = "doc_id long, quality int, toxic int, text string"
 
@@ -350,3 +352,35 @@ def test_mix_passes_any_column_through(docs, spark):
     assert out.columns == frame.columns
     assert out.select("doc_id").distinct().count() == 20
     assert {r["tokens"] for r in out.collect()} == {9.0}
+
+
+def test_a_long_url_takes_no_time(spark):
+    url = "https://a.com/" + "é🙂x" * 350_000
+    began = time.time()
+    r = url_filter.filter_urls(spark.createDataFrame([(1, url)], "page_id long, url string"), url_labels.labelled_urls(spark)).first()
+    assert len(r["path"]) == 1_050_001
+    assert time.time() - began < 60
+    grams = spark.createDataFrame([("ab.c", "/é🙂x"), ("", ""), ("a", "")], "h string, p string").select("h", "p", url_filter._grams(F.col("h"), F.col("p")).alias("g")).collect()
+    for row in grams:
+        text = f"^{row['h']} {row['p']}$"
+        assert sorted(row["g"]) == sorted(text[i : i + n] for n in url_filter.GRAMS for i in range(len(text) - n + 1))
+
+
+def test_a_text_full_of_findings_takes_no_time():
+    text = "\n".join(f"password = hunter{i:08d} key: AKIA{i:016d} path/{i:06d}abcDEF12345678 token {i:010d}x" for i in range(100_000))
+    began = time.time()
+    base = secret_scan.base_spans(text)
+    rest = secret_scan.rests(text, base)
+    assert len(base) > 100_000
+    assert time.time() - began < 30
+    short = "\n".join(text.split("\n")[:40])
+    base = secret_scan.base_spans(short)
+    slow = []
+    for start, end in secret_scan.candidates(short):
+        at = start
+        for s, e, _ in [*sorted(x for x in base if x[0] < end and start < x[1]), (end, end, "")]:
+            if (at, s) == (start, end) or s - at >= secret_scan.MIN_RUN and any(c.isdigit() for c in short[at:s]) and any(c.isalpha() for c in short[at:s]):
+                slow.append((at, s))
+            at = max(at, e)
+    assert secret_scan.rests(short, base) == slow
+    assert rest
