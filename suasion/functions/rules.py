@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suasion.functions import lexicons as lex
+from suasion.functions.url import host_suffixes
 
 # fixed values: wording of choices; declining wins
 OPT_IN = r"(?i)\badd\b|\binclude\b|\byes\b|\bprotect\b|\bselect\b|\bchoose\b"
@@ -64,3 +65,21 @@ def exclude_matches(patterns: DataFrame) -> DataFrame:
 def click_choice(label: Column) -> Column:
     """True: chosen, false: declined, null: says neither."""
     return F.when(label.rlike(OPT_OUT), False).when(label.rlike(OPT_IN), True)
+
+
+def matched_patterns(pages: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(page_id, pattern) of every match pattern that a page's url meets. Needs page_id, url; pattern.
+
+    A pattern is ``scheme://host/...``: the scheme http, https or *, the host a name, *.name (the name and all below it) or *;
+    others meet nothing. Hosts are cut into their suffixes, so that patterns meet them by equal keys; each host is looked up
+    once, however many pages it has, and Spark splits a host that has very many when the pages come back to it.
+    """
+    form = r"^(\*|https?)://(\*\.)?([^/]*)(/.*)$"
+    part = lambda k: F.regexp_extract("pattern", form, k)
+    read = patterns.filter(F.col("pattern").rlike(form)).select("pattern", part(1).alias("p_scheme"), (part(2) != "").alias("below"), F.lower(part(3)).alias("p_host")).filter("p_host <> ''").distinct()
+    scheme, host = F.regexp_extract(F.lower("url"), r"^([a-z][a-z0-9+.-]*)://", 1), F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]+)", 1)
+    located = pages.select("page_id", scheme.alias("scheme"), host.alias("host")).filter("host <> ''")
+    keys = located.select("scheme", "host").distinct().select("scheme", "host", F.explode(F.array_append(host_suffixes(F.col("host")), F.lit("*"))).alias("key"))
+    fits = (F.col("key") == F.col("p_host")) & ((F.col("p_scheme") == "*") | (F.col("p_scheme") == F.col("scheme"))) & (F.col("below") | (F.col("key") == F.col("host")) | (F.col("key") == "*"))
+    met = keys.join(read, fits).select("scheme", "host", "pattern").distinct()
+    return located.join(met, ["scheme", "host"]).select("page_id", "pattern")

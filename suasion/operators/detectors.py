@@ -84,17 +84,23 @@ def _stock_text(t: Column) -> Column:
     return F.length(t).between(1, 160) & ~_any(t, lex.STOCK_VARIANTS) & ~t.rlike(lex.STOCK_NOTICE)
 
 
-def scarcity_rule() -> Rule:
-    """Own text of a node that says stock is short. Needs has_progress_child."""
+def scarcity_rule(progress: Column) -> Rule:
+    """Own text of a node that says stock is short; ``progress`` tells whether a progress bar is a child of it."""
     t, name = F.col("text"), "scarcity.stock"
     numeric, words, boiler = _any(t, lex.STOCK_NUMERIC), _any(t, lex.STOCK_WORDS), t.rlike(lex.STOCK_DISCLAIMER)
-    signals = {"numeric": numeric, "qualitative": words, "progress": F.col("has_progress_child"), "short": (F.length(t) < 60) & ~boiler, "boilerplate": boiler}
+    signals = {"numeric": numeric, "qualitative": words, "progress": progress, "short": (F.length(t) < 60) & ~boiler, "boilerplate": boiler}
     return Rule(name, _applies(name, t, 160) & _stock_text(t) & (numeric | words), signals, lex.STOCK_WEIGHTS)
 
 
+def _bar(candidates: DataFrame) -> Column:
+    """Whether a child is a progress bar; tables that don't tell children from others below have has_progress alone."""
+    return F.col("has_progress_child" if "has_progress_child" in candidates.columns else "has_progress")
+
+
 def scarcity(candidates: DataFrame) -> DataFrame:
-    """Stock claims in a node's own text, then those that a container says in several nodes together."""
-    return judged(candidates, [scarcity_rule()]).unionByName(scarcity_split(candidates))
+    """Stock claims in a node's own text, then (of tables that have containers) those that a container says in several nodes together."""
+    own = judged(candidates, [scarcity_rule(_bar(candidates))])
+    return own.unionByName(scarcity_split(candidates)) if "container_path" in candidates.columns else own
 
 
 def scarcity_split(candidates: DataFrame) -> DataFrame:
@@ -345,12 +351,14 @@ def run_text_detectors(candidates: DataFrame, log_threshold: float = 0.35) -> Da
     What nodes of a page settle among themselves follows on the hits: nested countdowns, one decline a path, and stock
     claims that a container makes (a scan of its own, as it reads other columns).
     """
-    rules = [scarcity_rule(), urgency_rule(), social_rule(), shame_rule(spoken(candidates)), goal_rule()]
+    rules = [scarcity_rule(_bar(candidates)), urgency_rule(), social_rule(), shame_rule(spoken(candidates)), goal_rule()]
     hits = judged(candidates, rules, "selector_path")
     nested = F.col("pattern_id") == "urgency.countdown"
     outer = hits.filter(nested).select(F.col("page_id").alias("_page"), F.col("pattern_id").alias("_pattern"), F.explode(ancestors(F.col("selector_path"), own=False)).alias("_path")).distinct()
     hits = hits.join(outer, (F.col("page_id") == F.col("_page")) & (F.col("pattern_id") == F.col("_pattern")) & (F.col("selector_path") == F.col("_path")), "left_anti")
-    out = _first_of_path(hits).drop("selector_path").unionByName(scarcity_split(candidates))
+    out = _first_of_path(hits).drop("selector_path")
+    if "container_path" in candidates.columns:
+        out = out.unionByName(scarcity_split(candidates))
     return out.filter(F.col("raw_score") >= log_threshold)
 
 

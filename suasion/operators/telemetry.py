@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from suasion.functions.url import DEFAULT_RULES, SuffixRules, registrable_domain
 from suasion.operators.dims import RULEPACK_VERSION, STAGES
 
 COHORT = ("pattern_id", "detector_id", "funnel_stage", "site", "origin_category", "rulepack_version", "day_bucket", "quartile")
@@ -22,14 +23,15 @@ def day_bucket(ms: Column) -> Column:
     return F.floor(ms / F.lit(DAY_MS)).cast("long")
 
 
-def site_of(origin: Column) -> Column:
-    """Host of an https origin without a leading www; null for other schemes."""
-    return F.when(origin.startswith("https://"), F.regexp_replace(F.regexp_extract(F.lower(origin), r"^https://([^/?#:]+)", 1), r"^www\.", ""))
+def site_of(origin: Column, rules: SuffixRules = DEFAULT_RULES) -> Column:
+    """The registrable domain of an https origin, so that a shop's subdomains are one site; null for other schemes."""
+    host = F.regexp_extract(F.lower(origin), r"^https://([^/?#:]+)", 1)
+    return F.when(origin.startswith("https://"), registrable_domain(host, rules))
 
 
-def to_records(detections: DataFrame, allowlist: DataFrame) -> DataFrame:
+def to_records(detections: DataFrame, allowlist: DataFrame, rules: SuffixRules = DEFAULT_RULES) -> DataFrame:
     """Detections coarsened to what may leave the device: site, category, day, quartile."""
-    coarse = detections.withColumn("site", site_of(F.col("origin"))).filter("site is not null")
+    coarse = detections.withColumn("site", site_of(F.col("origin"), rules)).filter("site is not null")
     joined = coarse.join(allowlist, "site", "left")
     return joined.select(
         "batch_id", "pattern_id", "detector_id", "funnel_stage", "site", F.coalesce("category", F.lit("other")).alias("origin_category"), F.lit(RULEPACK_VERSION).alias("rulepack_version"),

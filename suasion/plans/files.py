@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suasion.functions import rules
+from suasion.functions.url import registrable_domain
 from suasion.operators import corpus, digest
 from suasion.plans.bridge import TABLES, frame, oracle
 from suasion.sources import batches
@@ -50,6 +51,27 @@ def sc11_packs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", rules.denied(F.col("url"), **batches.read_pack(spark, path)).alias("denied"))
 
 
+SUFFIXES = ("// made for the check", "co.uk", "ck", "*.ck", "!www.ck", "com", "myshopify.com  // private")
+
+
+def fn12_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    """Registrable domains under rules that are read from a file: plain, wildcard, exception, private, none, and addresses."""
+    path = new_folder(spark, "suffixes")
+    spark.createDataFrame([(r,) for r in SUFFIXES], "rule string").coalesce(1).write.text(path)
+    k = F.col("p_partkey")
+    kinds = (("x.shop", ".co.uk"), ("a.b.city", ".ck"), ("www.ck", None), ("10.0.0.", ""), ("admin.shop", ".myshopify.com"), ("deep.er.name", ".unknown"))
+    host = F.coalesce(*(F.when(k % 6 == i, F.lit(head) if tail is None else F.concat(F.lit(head), (k % 250).cast("string"), F.lit(tail))) for i, (head, tail) in enumerate(kinds)))
+    return table(spark, d, "part").select("p_partkey", registrable_domain(host, batches.read_suffix_rules(spark, path)).alias("site"))
+
+
+def pf15_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """A table of match patterns (one for each part, and some for the hosts there are) against every page's url."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    k = F.col("p_partkey")
+    made = table(spark, d, "part").select(F.concat(F.when(k % 3 == 0, "https://").when(k % 3 == 1, "*://").otherwise("http://"), F.when(k % 2 == 0, "*.").otherwise(""), F.element_at(F.split(F.lit("example.com www.example.com example.org net shop.example.net * nowhere.test"), " "), (k % 7 + 1).cast("int")), F.lit("/*")).alias("pattern"))
+    return rules.matched_patterns(pages, made.distinct())
+
+
 def so1_pools(spark: SparkSession, d: str) -> DataFrame:
     page = frame(spark, d, "b_detections").select("user_id", "pattern_id", "visible_ms", "ephemeral", "prominent")
     drip = frame(spark, d, "b_fees").select(F.col("session_id").alias("user_id"), F.lit("pricing.drip").alias("pattern_id"), F.lit("drip").alias("pool"))
@@ -67,8 +89,15 @@ def wn10_tiers(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "b_tiers").select("doc_id", F.coalesce(tier, F.lit("none")).alias("tier"))
 
 
-QUERIES = {"sc5_jsonl": sc5_jsonl, "sc7_chunks": sc7_chunks, "sc8_view_export": sc8_view_export, "sc9_events": sc9_events, "sc11_packs": sc11_packs, "so1_pools": so1_pools, "wn10_tiers": wn10_tiers}
+QUERIES = {"sc5_jsonl": sc5_jsonl, "sc7_chunks": sc7_chunks, "sc8_view_export": sc8_view_export, "sc9_events": sc9_events, "sc11_packs": sc11_packs, "fn12_suffix_rules": fn12_suffixes, "pf15_pattern_table": pf15_patterns, "so1_pools": so1_pools, "wn10_tiers": wn10_tiers}
 ORACLE_SQL = {
+    "fn12_suffix_rules": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'shop' || p_partkey % 250 || '.co.uk' WHEN 1 THEN 'b.city' || p_partkey % 250 || '.ck' WHEN 2 THEN 'www.ck' WHEN 3 THEN '10.0.0.' || p_partkey % 250 WHEN 4 THEN 'shop' || p_partkey % 250 || '.myshopify.com' ELSE 'name' || p_partkey % 250 || '.unknown' END AS site FROM part",
+    "pf15_pattern_table": r"""
+WITH p AS (
+  SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'https' WHEN 1 THEN '*' ELSE 'http' END AS scheme, p_partkey % 2 = 0 AS below, (['example.com', 'www.example.com', 'example.org', 'net', 'shop.example.net', '*', 'nowhere.test'])[p_partkey % 7 + 1] AS host FROM part
+), u AS (SELECT page_id, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*)://', 1) AS scheme, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]+)', 1) AS host FROM pages)
+SELECT page_id, p.scheme || '://' || CASE WHEN below THEN '*.' ELSE '' END || p.host || '/*' AS pattern FROM u JOIN p ON u.host <> '' AND (p.scheme = '*' OR p.scheme = u.scheme) AND (p.host = '*' OR u.host = p.host OR (below AND ends_with(u.host, '.' || p.host)))
+""",
     "sc5_jsonl": oracle("SELECT doc_id, site, length(text)::INTEGER AS n FROM b_corpus", "b_corpus"),
     "sc7_chunks": oracle("SELECT ord % 7 + 1 AS chunk, count(*) AS n, sum(ord)::BIGINT AS total FROM b_labels GROUP BY ALL", "b_labels"),
     "sc8_view_export": oracle("SELECT origin, pattern_id, count(*) AS n FROM b_detections GROUP BY ALL", "b_detections"),

@@ -25,9 +25,9 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 RECORDS = """
 records AS (
-  SELECT d.batch_id, d.pattern_id, d.detector_id, d.funnel_stage, regexp_replace(regexp_extract(d.origin, '^https://([^/?#:]+)', 1), '^www\\.', '') AS site, coalesce(a.category, 'other') AS origin_category, '1.0.1' AS rulepack_version,
+  SELECT d.batch_id, d.pattern_id, d.detector_id, d.funnel_stage, regexp_extract(d.origin, '^https://(?:[^/?#:]+\\.)?([^./?#:]+\\.com)', 1) AS site, coalesce(a.category, 'other') AS origin_category, '1.0.1' AS rulepack_version,
          cast(floor(d.ts_ms / 86400000) AS bigint) AS day_bucket, CASE WHEN d.confidence < 0.25 THEN 1 WHEN d.confidence < 0.5 THEN 2 WHEN d.confidence < 0.75 THEN 3 ELSE 4 END AS quartile
-  FROM b_detections d LEFT JOIN b_allowlist a ON a.site = regexp_replace(regexp_extract(d.origin, '^https://([^/?#:]+)', 1), '^www\\.', '') WHERE d.origin LIKE 'https://%'
+  FROM b_detections d LEFT JOIN b_allowlist a ON a.site = regexp_extract(d.origin, '^https://(?:[^/?#:]+\\.)?([^./?#:]+\\.com)', 1) WHERE d.origin LIKE 'https://%'
 )"""
 COUNTS = RECORDS + """, counts AS (
   SELECT pattern_id, detector_id, funnel_stage, site, origin_category, rulepack_version, day_bucket, quartile, count(*) AS n, count(DISTINCT batch_id) AS reporters FROM records GROUP BY ALL

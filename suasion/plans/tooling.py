@@ -111,9 +111,10 @@ def so8_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jn18_human_over_auto(spark: SparkSession, d: str) -> DataFrame:
-    log = corpus.resolve_labels(frame(spark, d, "b_label_log")).select("pattern_id", "key", "label", "seq")
-    human = log.filter("seq % 3 = 0")  # every third entry is a person's, all others are automatic
-    return corpus.human_over_auto(human, log.filter("seq % 3 <> 0").withColumn("label", F.lit(1).cast("long")))
+    """Two logs over the same keys: every third entry is a person's, all others are automatic; each is resolved by itself."""
+    log = frame(spark, d, "b_label_log")
+    human, auto = (corpus.resolve_labels(log.filter(own)).select("pattern_id", "key", "label", "seq") for own in ("seq % 3 = 0", "seq % 3 <> 0"))
+    return corpus.human_over_auto(human, auto.withColumn("label", F.lit(1).cast("long")))
 
 
 def ag15_confusion(spark: SparkSession, d: str) -> DataFrame:
@@ -140,15 +141,15 @@ SELECT round(threshold, 6) AS threshold, tp, fp, fn, round(CASE WHEN tp = 0 THEN
 
 
 def jn17_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of one brand and size that are alike: pairs meet on a shared trigram, then are measured."""
-    titles = frame(spark, d, "b_titles").withColumn("name", text.normalize_title(F.col("title"))).select("p_partkey", "name", "p_brand", "p_size")
-    return corpus.similar_titles(titles, "p_partkey", ("p_brand", "p_size"), 0.85)
+    """All titles that are alike: pairs meet on a shared rare trigram, then are measured."""
+    titles = frame(spark, d, "b_titles").withColumn("name", text.normalize_title(F.col("title"))).select("p_partkey", "name")
+    return corpus.similar_titles(titles, "p_partkey", (), 0.85)
 
 
 TITLES = r"""
-n AS (SELECT p_partkey, p_brand, p_size, trim(regexp_replace(string_split_regex(lower(title), '\s[|\-–—]\s')[1], '[^a-z0-9]+', ' ', 'g')) AS name FROM b_titles),
+n AS (SELECT p_partkey, trim(regexp_replace(string_split_regex(lower(title), '\s[|\-–—]\s')[1], '[^a-z0-9]+', ' ', 'g')) AS name FROM b_titles),
 g AS (SELECT *, list_distinct(list_transform(range(1, length('  ' || name || ' ') - 1), lambda i: substr('  ' || name || ' ', i, 3))) AS t FROM n),
-p AS (SELECT a.p_partkey, b.p_partkey AS other, len(list_intersect(a.t, b.t)) AS x, len(a.t) + len(b.t) AS s FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
+p AS (SELECT a.p_partkey, b.p_partkey AS other, len(list_intersect(a.t, b.t)) AS x, len(a.t) + len(b.t) AS s FROM g a JOIN g b ON a.p_partkey < b.p_partkey AND len(a.t) BETWEEN 0.8 * len(b.t) AND len(b.t) / 0.8)
 SELECT p_partkey, other, round(x::DOUBLE / (s - x), 9) AS similarity FROM p WHERE round(x::DOUBLE / (s - x), 9) >= 0.85
 """
 
@@ -224,12 +225,12 @@ COMMERCE = "g AS (SELECT (" + " + ".join(f"CASE WHEN {on} THEN {w} ELSE 0 END" f
 
 
 def cl6_prominence(spark: SparkSession, d: str) -> DataFrame:
-    n = frame(spark, d, "b_nodes").select("page_id", "idx", (F.col("quantity") % 7 + 10).alias("font_px"), F.when(F.col("badge"), 700).otherwise(400).alias("weight"), F.concat(F.lit("bg"), (F.col("quantity") % 3).cast("string")).alias("background"))
+    n = frame(spark, d, "b_options").select("page_id", "idx", (F.col("quantity") % 7 + 10).alias("font_px"), F.when(F.col("badge"), 700).otherwise(400).alias("weight"), F.concat(F.lit("bg"), (F.col("quantity") % 3).cast("string")).alias("background"))
     return pages.prominence(n).select("page_id", "idx", "relative_size", "prominent")
 
 
 PROMINENCE = """
-n AS (SELECT page_id, idx, quantity % 7 + 10 AS px, CASE WHEN badge THEN 700 ELSE 400 END AS weight, 'bg' || (quantity % 3) AS bg FROM b_nodes),
+n AS (SELECT page_id, idx, quantity % 7 + 10 AS px, CASE WHEN badge THEN 700 ELSE 400 END AS weight, 'bg' || (quantity % 3) AS bg FROM b_options),
 m AS (SELECT page_id, px AS med FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY px) = count(*) OVER (PARTITION BY page_id) // 2 + 1),
 b AS (SELECT page_id, bg AS page_bg FROM (SELECT page_id, bg, count(*) AS c, min(idx) AS f FROM n GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY c DESC, f) = 1)
 SELECT page_id, idx, round(px::DOUBLE / med, 2) AS relative_size, NOT (round(px::DOUBLE / med, 2) < 0.9 AND weight < 600 AND bg = page_bg) AS prominent FROM n JOIN m USING (page_id) JOIN b USING (page_id)
@@ -277,7 +278,7 @@ ORACLE_SQL = {
     "so7_resolve_labels": oracle("SELECT pattern_id, key, label, seq FROM (SELECT * FROM b_label_log QUALIFY row_number() OVER (PARTITION BY pattern_id, key ORDER BY seq DESC) = 1) WHERE NOT undo", "b_label_log"),
     "so8_fan_out": oracle("WITH f AS (SELECT pattern_id, label::INTEGER AS label FROM b_label_log WHERE label = 0 UNION ALL SELECT also_pattern, 1 FROM b_label_log WHERE label = 0 AND also_pattern <> 'other') SELECT pattern_id, label::BIGINT AS label, count(*) AS n FROM f GROUP BY ALL", "b_label_log"),
     "jn18_human_over_auto": oracle(
-        "WITH r AS (SELECT pattern_id, key, label, seq FROM (SELECT * FROM b_label_log QUALIFY row_number() OVER (PARTITION BY pattern_id, key ORDER BY seq DESC) = 1) WHERE NOT undo), h AS (SELECT * FROM r WHERE seq % 3 = 0) SELECT * FROM h UNION ALL SELECT pattern_id, key, 1::BIGINT, seq FROM r WHERE seq % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.pattern_id = r.pattern_id AND h.key = r.key)", "b_label_log"
+        "WITH r AS (SELECT pattern_id, key, label, seq, seq % 3 = 0 AS person FROM (SELECT * FROM b_label_log QUALIFY row_number() OVER (PARTITION BY pattern_id, key, seq % 3 = 0 ORDER BY seq DESC) = 1) WHERE NOT undo), h AS (SELECT * FROM r WHERE person) SELECT pattern_id, key, label, seq FROM h UNION ALL SELECT pattern_id, key, 1::BIGINT, seq FROM r WHERE NOT person AND NOT EXISTS (SELECT 1 FROM h WHERE h.pattern_id = r.pattern_id AND h.key = r.key)", "b_label_log"
     ),
     "ag15_confusion": oracle("WITH " + CONFUSION, "b_labels"),
     "jn17_title_similarity": oracle("WITH " + TITLES, "b_titles"),
@@ -290,5 +291,5 @@ ORACLE_SQL = {
     ),
     "cl1_commerce": oracle("WITH " + COMMERCE, "b_meta"),
     "cl2_funnel_stage": oracle("WITH " + STAGE_SQL, "b_meta"),
-    "cl6_prominence": oracle("WITH " + PROMINENCE, "b_nodes"),
+    "cl6_prominence": oracle("WITH " + PROMINENCE, "b_options"),
 }

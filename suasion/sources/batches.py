@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from suasion.functions.url import MOST_RULES, SuffixRules
+
 RECORD = "pattern_id string, detector_id string, funnel_stage string, site string, origin_category string, rulepack_version string, day_bucket long, quartile int"
 PROTOCOLS = (2, 3)
 VIEWS = ("site_prevalence", "pattern_reach", "pattern_by_stage", "site_prevalence_public", "pattern_add_rate", "site_pattern_add_rate", "site_pattern_add_rate_public")
@@ -52,6 +54,11 @@ def read_pack(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
     return {"schemes": tuple(row[0]), "suffixes": tuple(row[1]), "patterns": tuple(row[2])}
 
 
+def read_suffix_rules(spark: SparkSession, path: str) -> SuffixRules:
+    """Public suffix rules from a text file, a rule a line; one line more than an expression may hold is an error."""
+    return SuffixRules.parse(r[0] for r in spark.read.text(path).limit(2 * MOST_RULES).collect())
+
+
 def export_events(events: DataFrame) -> DataFrame:
     """Nested events as one flat row each; what an event lacks is null."""
     have = events.schema

@@ -1,12 +1,14 @@
 """Golden vectors of the scalar functions and detectors, and properties that hold for any text."""
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from suasion.functions import color, money, text, url
-from suasion.operators import corpus, detectors
+from suasion.functions import color, money, rules, text, url
+from suasion.operators import corpus, detectors, telemetry
 
 
 def one(spark, column):
@@ -104,3 +106,44 @@ def test_format_then_parse(spark, cents):
 def test_fnv(spark):
     assert one(spark, text.fnv1a(F.lit("a"))) == 0xE40C292C
     assert one(spark, text.fnv1a(F.lit(""))) == 2166136261
+
+
+RULES = url.SuffixRules.parse(["// comment", "", "com", "co.uk", "*.ck", "!www.ck", "blogspot.com // private", "*.compute.example.com"])
+
+
+@pytest.mark.parametrize(
+    ("host", "want"),
+    [
+        ("a.b.shop.com", "shop.com"), ("com", "com"), ("shop.co.uk", "shop.co.uk"), ("x.shop.co.uk.", "shop.co.uk"), ("a.b.c.ck", "b.c.ck"), ("c.ck", "c.ck"), ("www.ck", "www.ck"), ("x.www.ck", "www.ck"), ("me.blogspot.com", "me.blogspot.com"),
+        ("a.me.blogspot.com", "me.blogspot.com"), ("vm.eu.compute.example.com", "vm.eu.compute.example.com"), ("a.b.unheard", "b.unheard"), ("localhost", "localhost"), ("192.168.0.1", "192.168.0.1"), ("[::1]", "[::1]"), ("", ""),
+    ],
+)
+def test_suffix_rules(spark, host, want):
+    assert one(spark, url.registrable_domain(F.lit(host), RULES)) == want
+
+
+def test_subdomains_are_one_site(spark):
+    assert {one(spark, telemetry.site_of(F.lit(o))) for o in ("https://www.shop.com", "https://secure.eu.shop.com:8443/x", "https://shop.com")} == {"shop.com"}
+    assert one(spark, telemetry.site_of(F.lit("http://shop.com"))) is None
+    with pytest.raises(ValueError, match="suffix rules"):
+        url.SuffixRules.parse(f"r{i}.com" for i in range(url.MOST_RULES + 1))
+
+
+def test_pattern_tables_equal_one_by_one(spark):
+    patterns = [f"{s}://{sub}{h}/{p}" for s in ("*", "http", "https", "ftp") for sub in ("", "*.") for h in ("a.com", "b.a.com", "com", "*", "", "A.com") for p in ("*", "x")] + ["nonsense", "https://a.com", None]
+    urls = ["https://a.com/", "http://b.a.com:80/q", "https://c.b.a.com", "ftp://a.com/", "https://xa.com/", "https://u:p@A.COM/x", "about:blank", None, "https:///"]
+
+    def fits(pattern, u):
+        m = re.fullmatch(r"(\*|https?)://(\*\.)?([^/]*)(/.*)", pattern or "")
+        seen = re.match(r"([a-z][a-z0-9+.-]*)://(?:[^@/?#]*@)?([^:/?#]+)", (u or "").lower())
+        if not m or not seen or not m[3] or m[1] not in ("*", seen[1]):
+            return False
+        want = m[3].lower()
+        return want == "*" or seen[2] == want or bool(m[2]) and seen[2].endswith("." + want)
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r["page_id"], r["pattern"]) for r in rules.matched_patterns(pages, spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()}
+    assert got == {(i, p) for i, u in enumerate(urls) for p in patterns if fits(p, u)}
+    plan = rules.matched_patterns(pages, spark.createDataFrame([(p,) for p in patterns], "pattern string"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan
+    assert "CartesianProduct" not in plan
