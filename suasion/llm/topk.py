@@ -32,6 +32,8 @@ K = 20
 SCALE = 64
 MAX_PIVOTS = 16_384
 QUERY_ROWS, DATA_ROWS = 2048, 8192
+#: Queries that are held against all groups at once.
+NEEDS_ROWS = 256
 
 
 def quantise(vectors: DataFrame, id_column: str, vector_column: str, scale: int = SCALE) -> DataFrame:
@@ -126,16 +128,22 @@ def top_k(vectors: DataFrame, is_query: str, k: int = K, id_column: str = "vec_i
         """The data groups that each query must see, and its lower bound."""
         p, ids, *_ = shared.value
         for batch in batches:
-            q = np.frombuffer(b"".join(batch.column("v").to_pylist()), kind).reshape(batch.num_rows, width).astype(float)
-            scores = q @ p.T
-            norm = np.sqrt((q * q).sum(1))
-            known = np.where(ids[None, :] == batch.column("vec_id").to_numpy()[:, None], -np.inf, scores)
-            floor = np.partition(known, -k, 1)[:, -k] if known.shape[1] >= k else np.full(len(q), -np.inf)
-            best = np.minimum(scores[:, groups] + norm[:, None] * radius, norm[:, None] * norms)
-            slack = 1e-6 * (1 + np.abs(best))
-            wanted = best + slack >= floor[:, None]
-            qb = batch.column("qb").to_numpy()
-            pairs = [np.column_stack([np.full(m.sum(), b), groups[m]]) for b in np.unique(qb) for m in [wanted[qb == b].any(0)]]
+            q = np.frombuffer(b"".join(batch.column("v").to_pylist()), kind).reshape(batch.num_rows, width)
+            own, blocks_of = batch.column("vec_id").to_numpy(), batch.column("qb").to_numpy()
+            wanted: dict[int, np.ndarray] = {}
+            # so many queries at a time, so that what is held grows with the pivots alone
+            for at in range(0, len(q), NEEDS_ROWS):
+                some = q[at : at + NEEDS_ROWS].astype(float)
+                scores = some @ p.T
+                norm = np.sqrt((some * some).sum(1))
+                known = np.where(ids[None, :] == own[at : at + NEEDS_ROWS, None], -np.inf, scores)
+                floor = np.partition(known, -k, 1)[:, -k] if known.shape[1] >= k else np.full(len(some), -np.inf)
+                best = np.minimum(scores[:, groups] + norm[:, None] * radius, norm[:, None] * norms)
+                ok = best + 1e-6 * (1 + np.abs(best)) >= floor[:, None]
+                here = blocks_of[at : at + NEEDS_ROWS]
+                for block in np.unique(here).tolist():
+                    wanted[block] = wanted.get(block, False) | ok[here == block].any(0)
+            pairs = [np.column_stack([np.full(m.sum(), block), groups[m]]) for block, m in wanted.items()]
             pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1].astype(np.int32))], ["qb", "g"])
 
