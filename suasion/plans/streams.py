@@ -9,7 +9,7 @@ from suasion.plans.bridge import PATTERN, _text, oracle
 from suasion.plans.shop import CATEGORIES, STATUS
 from suasion.sources import changes
 from suasion.sources.tables import table
-from suasion.streaming import counters, ledger, views, watch
+from suasion.streaming import counters, ledger, queue, views, watch
 from suasion.streaming.run import STORE, drain, new_folder
 
 IDLE_MS = 6 * 3_600_000
@@ -97,8 +97,24 @@ def st1_store(spark: SparkSession, d: str) -> DataFrame:
     return counters.read_events(spark, root).groupBy(F.col("day_bucket").cast("long").alias("day_bucket"), "pattern_id").agg(F.count("*").alias("n"))
 
 
+def st6_flush(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a queue: one in twenty unsound, errors of k = 0 withdraw consent and of k = 1 give it again."""
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    consent = (F.col("event_type") == "error") & (k < 2)
+    rows = _events(spark, d).select(F.col("user_id").alias("reporter"), "ts", F.col("event_id").alias("seq"), F.when(consent, "consent").otherwise("row").alias("kind"), (k == 1).alias("given"), (F.col("event_id") % 20 != 0).alias("sound"))
+    return drain(queue.sent_batches(rows), conf=STORE).select("reporter", "sent_ms", "n", F.array_join("seqs", ",").alias("seqs"))
+
+
+def st15_handed(spark: SparkSession, d: str) -> DataFrame:
+    """Cards and questions of sixty shops; times are shortened, so that many answers fall within, at and beyond a minute."""
+    kind = F.when(F.col("event_id") % 7 == 0, "seen").when(F.col("event_id") % 2 == 0, "card").otherwise("ask")
+    origin = F.concat(F.lit("https://"), F.when(F.col("event_id") % 3 == 0, "secure.").otherwise("www."), F.lit("shop"), (F.col("user_id") % 60).cast("string"), F.lit(".com"))
+    rows = _events(spark, d).select(origin.alias("origin"), F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 300)).alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("c"), F.col("event_id")).alias("card"))
+    return drain(queue.handed_over(rows), conf=STORE)
+
+
 P = PATTERN
-QUERIES = {"st1_stream_daily_counts": st1_daily_counts, "st5_stream_page_views": st5_views, "st11_stream_debounce": st11_debounce, "st8_stream_ephemeral": st8_ephemeral, "st4_session_ledger": st4_ledger, "sc4_page_changes": sc4_changes, "ag2_stream_counters": ag2_counters, "st1_event_store": st1_store}
+QUERIES = {"st1_stream_daily_counts": st1_daily_counts, "st5_stream_page_views": st5_views, "st11_stream_debounce": st11_debounce, "st8_stream_ephemeral": st8_ephemeral, "st4_session_ledger": st4_ledger, "sc4_page_changes": sc4_changes, "ag2_stream_counters": ag2_counters, "st1_event_store": st1_store, "st6_flush": st6_flush, "st15_hand_over": st15_handed}
 ORACLE_SQL = {
     # a day is emitted when the watermark, a day behind the latest event, has passed its end
     "st1_stream_daily_counts": f"SELECT cast(epoch_us(ts) // 86400000000 AS BIGINT) AS day_bucket, {P} AS pattern_id, count(*) AS n FROM events WHERE (epoch_us(ts) // 86400000000 + 1) * 86400000 <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 86400000 GROUP BY ALL",
@@ -146,4 +162,33 @@ UNION ALL SELECT page_id, 'modal', path, ts_ms, seq, '', -1 FROM c UNION ALL SEL
 """,
     "ag2_stream_counters": oracle(f"SELECT 'urgency.countdown' AS pattern_id, 'urgency.countdown@1' AS detector_id, 'pdp' AS funnel_stage, 'shop' || (k % 5) || '.com' AS site, 'fashion' AS origin_category, '1.0.1' AS rulepack_version, 20000::BIGINT AS day_bucket, (k % 4 + 1)::INTEGER AS quartile, count(*)::BIGINT AS n, count(*)::BIGINT AS reporters FROM b_requests WHERE {STATUS} = 204 GROUP BY ALL", "b_requests"),
     "st1_event_store": f"SELECT (epoch_us(ts) // 86400000000)::BIGINT AS day_bucket, {P} AS pattern_id, count(*) AS n FROM events WHERE epoch_us(ts) // 86400000000 >= (SELECT min(epoch_us(ts) // 86400000000) FROM events) + 10 GROUP BY ALL",
+    "st6_flush": """
+WITH RECURSIVE e AS (
+  SELECT user_id AS reporter, epoch_us(ts) // 1000 AS t, event_id AS seq, event_type = 'error' AND k < 2 AS asks, k = 1 AS given, event_id % 20 <> 0 AS sound FROM (SELECT *, regexp_extract(props, '[0-9]+', 0)::INTEGER AS k FROM events)
+), o AS (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY t, seq) AS nth FROM e),
+-- what a queue holds after each message: its first time and its rows; what the message has sent before and after itself
+r AS (
+  SELECT reporter, 0::BIGINT AS nth, true AS consent, []::STRUCT(t BIGINT, seq BIGINT)[] AS held, []::STRUCT(sent_ms BIGINT, rows STRUCT(t BIGINT, seq BIGINT)[])[] AS sent FROM (SELECT DISTINCT reporter FROM o)
+  UNION ALL
+  SELECT reporter, nth, consent, CASE WHEN len(held) >= 25 THEN [] ELSE held END, CASE WHEN len(held) >= 25 THEN list_append(sent, {'sent_ms': t, 'rows': held}) ELSE sent END
+  FROM (
+    SELECT x.reporter, x.nth, x.t, CASE WHEN asks THEN given ELSE consent END AS consent, CASE WHEN asks AND NOT given THEN [] WHEN asks OR NOT consent OR NOT sound THEN left_over ELSE list_append(left_over, {'t': x.t, 'seq': x.seq}) END AS held, sent
+    FROM (
+      SELECT o.*, r.consent, CASE WHEN len(r.held) > 0 AND o.t - r.held[1].t > 86400000 THEN [] ELSE r.held END AS left_over,
+        CASE WHEN len(r.held) > 0 AND o.t - r.held[1].t > 86400000 THEN [{'sent_ms': r.held[1].t + 86400000, 'rows': r.held}] ELSE [] END AS sent
+      FROM r JOIN o ON o.reporter = r.reporter AND o.nth = r.nth + 1
+    ) x
+  ) y
+), told AS (
+  SELECT reporter, unnest(sent) AS s FROM r
+  -- the last rows of a queue go by their timer, if the watermark, an hour behind the latest event, has passed it
+  UNION ALL SELECT reporter, {'sent_ms': held[1].t + 86400000, 'rows': held} FROM r WHERE len(held) > 0 AND nth = (SELECT max(o.nth) FROM o WHERE o.reporter = r.reporter) AND held[1].t + 86400000 < (SELECT max(t) FROM o) - 3600000
+)
+SELECT reporter, s.sent_ms AS sent_ms, len(s.rows)::INTEGER AS n, array_to_string([x.seq FOR x IN s.rows], ',') AS seqs FROM told
+""",
+    "st15_hand_over": """
+WITH e AS (SELECT 'shop' || (user_id % 60) || '.com' AS site, (epoch_us(ts) // 1000000 // 300) * 1000 AS t, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'seen' WHEN event_id % 2 = 0 THEN 'card' ELSE 'ask' END AS kind FROM events),
+l AS (SELECT *, lag(kind) OVER w AS was, lag(t) OVER w AS since, lag(seq) OVER w AS card FROM e WINDOW w AS (PARTITION BY site ORDER BY t, seq))
+SELECT site, 'c' || card AS card, seq AS asked_seq, (t - since)::BIGINT AS waited_ms FROM l WHERE kind = 'ask' AND was = 'card' AND t - since <= 60000
+""",
 }
