@@ -227,12 +227,13 @@ def _first_of_path(hits: DataFrame) -> DataFrame:
 
 def option_price(*scopes: Column) -> Column:
     """An option's price by the first scope (short enough) that says one price alone, or is free; else null."""
-    out = []
-    for scope in scopes:
+
+    def said(scope: Column) -> Column:
         free = scope.rlike(r"(?i)\bfree\b")
-        said = once(parse_prices(scope), lambda p, free=free: F.when(F.size(p) == 1, F.get(p, F.lit(0))["amount"]).when((F.size(p) == 0) & free, F.lit(0).cast("long")))
-        out.append(F.when(F.length(scope).between(1, lex.OPTION_MOST), said))
-    return F.coalesce(*out)
+        price = once(parse_prices(scope), lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))["amount"]).when((F.size(p) == 0) & free, F.lit(0).cast("long")))
+        return F.when(F.length(scope).between(1, lex.OPTION_MOST), price)
+
+    return F.coalesce(*map(said, scopes))
 
 
 def preselected(candidates: DataFrame) -> DataFrame:
