@@ -27,7 +27,7 @@ TABLES = {
     # one detection for each event: a reporter's day is a batch
     "b_detections": """
         select event_id, cast(user_id as {STR}) || ':' || cast(cast(floor({MS} / 86400000) as {BIG}) as {STR}) as batch_id, """ + PATTERN + """ as pattern_id,
-               """ + PATTERN + """ || '@1' as detector_id, """ + STAGE + """ as funnel_stage, 'https://' || case event_id % 3 when 0 then 'www.' when 1 then 'secure.eu.' else '' end || 'shop' || cast(user_id % 60 as {STR}) || '.com' as origin,
+               """ + PATTERN + """ || '@1' as detector_id, """ + STAGE + """ as funnel_stage, 'https://' || case when user_id % 7 < 3 then 'www.' when user_id % 7 < 5 then 'secure.eu.' else '' end || 'shop' || cast(user_id % 60 as {STR}) || '.com' as origin,
                least(value / 500, 1.0) as confidence, {MS} as ts_ms, cast(floor(value * 37) as {BIG}) % 3000 as visible_ms, event_id % 7 = 0 as ephemeral, event_id % 11 <> 0 as prominent,
                {K} as k, user_id
         from {events}""",
