@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 from types import SimpleNamespace
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from suasion.operators.telemetry import COHORT
 from suasion.sources import changes
-from suasion.streaming import counters, ledger, watch
+from suasion.streaming import counters, ledger, queue, watch
 from suasion.streaming.run import STORE, drain, settings
 
 T0 = dt.datetime(2024, 1, 1)
@@ -23,8 +24,11 @@ def stamp(ms):
 
 
 def put(folder, name, rows):
+    """A file of rows; files are taken in the order in which they are put."""
     folder.mkdir(exist_ok=True)
+    made = 1_700_000_000 + len(list(folder.iterdir()))
     (folder / f"{name}.json").write_text("\n".join(map(json.dumps, rows)))
+    os.utime(folder / f"{name}.json", (made, made))
 
 
 # --- ledger ----------------------------------------------------------------------------------------------------------
@@ -246,3 +250,61 @@ def test_settings_come_back(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert spark.conf.get("suasion.nothing", None) is None
+
+
+# --- queues and cards ------------------------------------------------------------------------------------------------
+
+DAY, HOUR = 86_400_000, 3_600_000
+
+
+def batches_of(messages):
+    """Each reporter's batches by a plain loop, with all timers run at the end."""
+    held, consent, out = {}, {}, []
+    for m in sorted(messages, key=lambda m: (m["ms"], m["seq"])):
+        who = m["reporter"]
+        rows = held.setdefault(who, [])
+        if rows and m["ms"] - rows[0][0] > DAY:
+            out.append((who, rows[0][0] + DAY, [s for _, s in rows]))
+            rows = held[who] = []
+        if m["kind"] == "consent":
+            consent[who] = m["given"]
+            held[who] = rows if m["given"] else []
+        elif consent.get(who, True) and m["sound"]:
+            rows.append((m["ms"], m["seq"]))
+            if len(rows) >= 25:
+                out.append((who, m["ms"], [s for _, s in rows]))
+                held[who] = []
+    return sorted(out + [(who, rows[0][0] + DAY, [s for _, s in rows]) for who, rows in held.items() if rows])
+
+
+def test_queue_over_batches_equals_a_loop(spark, tmp_path):
+    rng = random.Random(12)
+    messages, ms = [], 0
+    for seq in range(500):
+        ms += rng.choice([60_000] * 8 + [300_000] * 8 + [4 * HOUR])
+        kind = "consent" if rng.random() < 0.02 else "row"
+        messages.append({"reporter": rng.choice([0, 0, 0, 1, 2]), "ms": ms, "seq": seq, "kind": kind, "given": rng.random() < 0.6, "sound": rng.random() < 0.9})
+    end = {"reporter": 99, "ms": ms + 3 * DAY, "seq": 10_000, "kind": "consent", "given": True, "sound": True}
+    for b in range(4):
+        put(tmp_path / "in", str(b), [m | {"ts": stamp(m["ms"])} for m in messages[b * 125 : (b + 1) * 125] + ([end] if b == 3 else [])])
+    stream = spark.readStream.schema("reporter long, ts timestamp, seq long, kind string, given boolean, sound boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = sorted((r["reporter"], r["sent_ms"] - MS0, r["seqs"]) for r in drain(queue.sent_batches(stream), conf=STORE).collect())
+    assert got == batches_of(messages)
+    assert {len(s) for _, _, s in got} > {25}
+    assert any(len(s) < 25 for _, _, s in got)
+
+
+def test_cards_wait_a_minute_and_are_read_once(spark, tmp_path):
+    said = [
+        ("https://www.a.com", 0, "card", "c1"), ("https://pay.a.com", 60_000, "ask", None), ("https://pay.a.com", 60_001, "ask", None),  # the last moment, and only once
+        ("https://b.com", 0, "card", "c2"), ("https://b.com", 60_001, "ask", None), ("https://b.com", 60_002, "ask", None),  # too late
+        ("https://c.com", 0, "card", "c3"), ("https://c.com", 5, "card", "c4"), ("https://c.com", 9, "ask", None),  # the newer one
+        ("https://d.com", 0, "card", "c5"), ("https://d.com", 5, "seen", None), ("https://d.com", 9, "ask", None),
+        ("http://e.com", 0, "card", "c6"), ("http://e.com", 5, "ask", None),
+    ]
+    rows = [{"origin": o, "ts": stamp(ms), "seq": i, "kind": k, "card": c} for i, (o, ms, k, c) in enumerate(said)]
+    put(tmp_path / "in", "0", [r for r in rows if r["kind"] == "card"])
+    put(tmp_path / "in", "1", [r for r in rows if r["kind"] != "card"])
+    stream = spark.readStream.schema("origin string, ts timestamp, seq long, kind string, card string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = sorted((r["site"], r["card"], r["asked_seq"], r["waited_ms"]) for r in drain(queue.handed_over(stream), conf=STORE).collect())
+    assert got == [("a.com", "c1", 1, 60_000), ("c.com", "c4", 8, 4)]
