@@ -1,8 +1,11 @@
 """The registered queries as they are registered: columns, types and laws of their contracts, over whole tables."""
 
+import itertools
 import os
+import re
 import zlib
 
+import duckdb
 import pytest
 
 from suasion.llm import queries
@@ -44,3 +47,48 @@ def test_query_keeps_its_contract(spark, name):
         assert {r["verdict"] for r in rows} <= {"allow", "block"}
     if name == "op7_decontaminate":
         assert rows
+
+
+def plain(value):
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return str(value)
+    return repr(round(float(value), 6)) if isinstance(value, (int, float)) else str(value)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+    got = queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == columns
+    rows = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
+    assert rows == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in want.fetchall())
+    assert rows
+
+
+def test_op2_equals_brute_force(spark):
+    """Every pair of texts of the smallest table, by the contract's words and shares."""
+    sets = {}
+    for r in table(spark, SF, "documents").select("doc_id", "text").collect():
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op2_ngram_join"](spark, SF).collect()}
+    assert got == {d: (len(s), root(d)) for d, s in sets.items()}
