@@ -61,8 +61,8 @@ class Rule:
 
 
 def judged(candidates: DataFrame, rules: list[Rule], *more: str) -> DataFrame:
-    """The detections of all the rules: one projection, exploded once."""
-    return candidates.select(*KEY, *more, F.explode(F.array_compact(F.array(*(r.struct() for r in rules)))).alias("_said")).select(*KEY, "_said.*", *more)
+    """The detections of all the rules: one projection, exploded once (what says nothing goes after it, so that no rule is asked twice)."""
+    return candidates.select(*KEY, *more, F.explode(F.array(*(r.struct() for r in rules))).alias("_said")).filter(F.col("_said").isNotNull()).select(*KEY, "_said.*", *more)
 
 
 def _applies(pattern: str, text: Column, most: int, least: int = 1) -> Column:
@@ -122,10 +122,11 @@ def scarcity_split(candidates: DataFrame) -> DataFrame:
         return F.coalesce((at > 0) & F.substring(box, low, at + n + own - 1 - low).contains(t), F.lit(False))
 
     some = lambda patterns: F.exists(F.array(*map(F.lit, patterns)), carried)
-    left = shown.filter(~F.coalesce(alone, F.lit(False)) & F.col("container_path").isNotNull() & (F.length(t) > 0))
+    shown = bound(shown, "_alone", F.coalesce(alone, F.lit(False)))
+    left = shown.filter(~F.col("_alone") & F.col("container_path").isNotNull() & (F.length(t) > 0))
     left = left.filter(_stock_text(box) & (_any(box, lex.STOCK_NUMERIC) | _any(box, lex.STOCK_WORDS)))
     left = left.select(*KEY, "container_path", "container_text", some(lex.STOCK_NUMERIC).alias("_numeric"), some(lex.STOCK_WORDS).alias("_words")).filter("_numeric or _words")
-    claimed = shown.filter(alone).select(F.col("page_id").alias("_page"), F.col("selector_path").alias("_claim"))
+    claimed = shown.filter("_alone").select(F.col("page_id").alias("_page"), F.col("selector_path").alias("_claim"))
     above = claimed.select("_page", F.explode(ancestors(F.col("_claim"), own=True)).alias("_path")).distinct()
     free = left.join(above, (F.col("page_id") == F.col("_page")) & (F.col("container_path") == F.col("_path")), "left_anti")
     inside = free.select(*KEY, F.explode(ancestors(F.col("container_path"), own=False)).alias("_up"))
@@ -160,13 +161,17 @@ def urgency_rule() -> Rule:
 
 def urgency(candidates: DataFrame) -> DataFrame:
     """Of nested nodes only the innermost."""
-    return innermost(judged(candidates, [urgency_rule()], "selector_path")).drop("selector_path")
+    return innermost(_first_of_path(judged(candidates, [urgency_rule()], "selector_path"))).drop("selector_path")
 
 
-def innermost(hits: DataFrame) -> DataFrame:
-    """Drop a hit that has another hit below it: an equi-join on exploded ancestor paths."""
-    outer = hits.select(F.col("page_id").alias("_page"), F.explode(ancestors(F.col("selector_path"), own=False)).alias("_path")).distinct()
-    return hits.join(outer, (F.col("page_id") == F.col("_page")) & (F.col("selector_path") == F.col("_path")), "left_anti")
+def innermost(hits: DataFrame, nested: tuple[str, ...] = ("urgency.countdown",)) -> DataFrame:
+    """Drop a hit of ``nested`` patterns that has another one below it. Needs hits of one pattern to differ in path.
+
+    In the order of path and ``>`` all that lies below a path follows it at once, so the next hit tells.
+    """
+    closed = F.concat("selector_path", F.lit(">"))
+    following = F.lead(closed).over(Window.partitionBy("page_id", "pattern_id").orderBy(closed))
+    return hits.withColumn("_next", following).filter(~F.col("pattern_id").isin(*nested) | ~F.coalesce(F.col("_next").startswith(closed), F.lit(False))).drop("_next")
 
 
 def social_rule() -> Rule:
@@ -353,11 +358,7 @@ def run_text_detectors(candidates: DataFrame, log_threshold: float = 0.35) -> Da
     claims that a container makes (a scan of its own, as it reads other columns).
     """
     rules = [scarcity_rule(_bar(candidates)), urgency_rule(), social_rule(), shame_rule(spoken(candidates)), goal_rule()]
-    hits = judged(candidates, rules, "selector_path")
-    nested = F.col("pattern_id") == "urgency.countdown"
-    outer = hits.filter(nested).select(F.col("page_id").alias("_page"), F.col("pattern_id").alias("_pattern"), F.explode(ancestors(F.col("selector_path"), own=False)).alias("_path")).distinct()
-    hits = hits.join(outer, (F.col("page_id") == F.col("_page")) & (F.col("pattern_id") == F.col("_pattern")) & (F.col("selector_path") == F.col("_path")), "left_anti")
-    out = _first_of_path(hits).drop("selector_path")
+    out = innermost(_first_of_path(judged(candidates, rules, "selector_path"))).drop("selector_path")
     if "container_path" in candidates.columns:
         out = out.unionByName(scarcity_split(candidates))
     return out.filter(F.col("raw_score") >= log_threshold)
@@ -446,3 +447,26 @@ def framing(nodes: DataFrame) -> DataFrame:
     marked = first.join(struck, (F.col("page_id") == F.col("_page")) & (F.col("container_path") == F.col("_struck_in")), "left")
     large = F.greatest("share", "saved") / F.greatest(F.lit(1.0), F.least("share", "saved")) > 4
     return _found(marked, name, {"percent": F.col("_by_percent"), "absolute": F.col("_by_amount"), "both": F.lit(True), "large": large, "reference": F.col("_labelled") | F.col("_struck_in").isNotNull()}, lex.FRAMING_WEIGHTS)
+
+
+#: Detectors in which nodes of a page compete, beside those of ``run_text_detectors``.
+NODE_DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "anchoring.reference_price": anchoring,
+    "pricing.charm": charm,
+    "decoy.asymmetric_dominance": decoy,
+    "defaults.preselected": preselected,
+    "framing.savings_ratio": framing,
+    "interference.visual_asymmetry": lambda nodes: interference(nodes.filter("is_button")),
+}
+
+
+def run_page_detectors(candidates: DataFrame, log_threshold: float = 0.35) -> DataFrame:
+    """Every detector that one look at a page can answer, over its candidates; those of modals need the page's changes.
+
+    Each node detector reads a few columns of the candidates, so they should be stored or cached, not worked out again.
+    """
+    found = ("page_id", "idx", "pattern_id", "raw_score", "signals")
+    out = run_text_detectors(candidates, 0.0).select(*found)
+    for run in NODE_DETECTORS.values():
+        out = out.unionByName(run(candidates).select(*found))
+    return out.filter(F.col("raw_score") >= log_threshold)

@@ -6,6 +6,8 @@ different pages never meet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,10 @@ def candidates(pages: DataFrame) -> DataFrame:
     bars = F.transform(F.filter("nodes", bar), lambda n: n["parent_idx"])
     nodes = pages.select("page_id", "stage", F.col("meta.summary_rows").alias("summary_rows"), bars.alias("_bars"), F.inline("nodes")).withColumn("has_progress_child", F.coalesce(F.array_contains("_bars", F.col("idx")), F.lit(False))).drop("_bars")
     control = F.col("tag_name").isin(*CONTROLS) | F.coalesce(F.col("role").isin("button", "link"), F.lit(False))
+    button = F.col("tag_name").isin("button", "a") | F.coalesce(F.col("role") == "button", F.lit(False)) | ((F.col("tag_name") == "input") & F.coalesce(F.col("input_type").isin("button", "submit"), F.lit(False)))
     shown = nodes.filter("rendered").withColumnRenamed("text", "raw_text")
     return shown.select(
-        "*", normalize_text(F.col("raw_text")).alias("text"), control.alias("is_control"), F.lit(False).alias("ephemeral"), F.coalesce("attrs.name", F.lit("")).alias("group_name"), F.lit(False).alias("touched"), F.array().cast("array<struct<t:double,text:string>>").alias("text_history")
+        "*", normalize_text(F.col("raw_text")).alias("text"), control.alias("is_control"), F.lit(False).alias("ephemeral"), F.coalesce("attrs.name", F.lit("")).alias("group_name"), F.lit(False).alias("touched"), button.alias("is_button"), F.concat_ws(" ", "accessible_name", F.col("attrs")["aria-label"]).alias("label"), F.array().cast("array<struct<t:double,text:string>>").alias("text_history")
     )
 
 
@@ -52,6 +55,11 @@ def detect(pages: DataFrame, disabled: tuple[str, ...] = (), log_threshold: floa
     return found.filter(~F.col("pattern_id").isin(*disabled)) if disabled else found
 
 
+def detect_all(pages: DataFrame, store: Callable[[DataFrame], DataFrame], log_threshold: float = 0.35) -> DataFrame:
+    """All detections that one look at staged pages can answer. ``store`` keeps the candidates, so that pages are taken apart once."""
+    return detectors.run_page_detectors(store(candidates(pages)), log_threshold)
+
+
 def _single(text: Column, most: int) -> Column:
     """The only price of a text of at most ``most`` characters, else null."""
     prices = parse_prices(text)

@@ -14,6 +14,7 @@ from suasion.operators import ingest, page_pass
 from suasion.operators.telemetry import COHORT
 from suasion.plans.bridge import TABLES, frame, oracle
 from suasion.sources import pages
+from suasion.streaming.run import stored
 
 HTML = """
     select k, cast(k as bigint) as page_id, concat('https://www.shop', k % 50, '.com/', case k % 3 when 0 then concat('products/', k) when 1 then 'cart' else 'about' end) as url, concat(
@@ -93,6 +94,28 @@ SELECT page_id, pattern_id, n::BIGINT AS n, best::DOUBLE AS best FROM (
 )
 
 
+def dt_all_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Detections from HTML by all the detectors that one look can answer."""
+    found = page_pass.detect_all(page_pass.staged(shop(spark, d)), stored)
+    return found.groupBy("page_id", "pattern_id").agg(F.count("*").alias("n"), F.round(F.max("raw_score"), 6).alias("best"))
+
+
+# the struck price of a page is 49.01 above the live one beside it, which ends in 99 and stands in a node that says both
+DT_ALL = oracle(
+    f"""
+WITH s AS (SELECT *, {STAGE_SQL} AS stage FROM b_shop)
+SELECT page_id, pattern_id, n::BIGINT AS n, best::DOUBLE AS best FROM (
+  SELECT page_id, 'scarcity.stock' AS pattern_id, 1 AS n, 0.85 AS best FROM s WHERE stage IN ('pdp', 'cart', 'browse')
+  UNION ALL SELECT page_id, 'urgency.countdown', 1, 0.85 FROM s WHERE k % 4 <> 0 AND stage IN ('pdp', 'cart', 'checkout', 'browse')
+  UNION ALL SELECT page_id, 'confirmshaming.decline_copy', 2, 1.0 FROM s WHERE stage IN ('browse', 'pdp', 'cart', 'checkout')
+  UNION ALL SELECT page_id, 'goal_gradient.threshold', 1, 1.0 FROM s WHERE stage IN ('cart', 'checkout', 'pdp')
+  UNION ALL SELECT page_id, 'anchoring.reference_price', 1, CASE WHEN 4901 * 100 < (k % 500 + 100) * 100 * 15 THEN 0.6 ELSE 1.0 END FROM s WHERE stage IN ('pdp', 'browse', 'cart')
+  UNION ALL SELECT page_id, 'pricing.charm', 1, 0.6 FROM s WHERE stage IN ('pdp', 'browse')
+) u""",
+    "b_shop",
+)
+
+
 def fn27_offers(spark: SparkSession, d: str) -> DataFrame:
     return page_pass.offers(shop(spark, d))
 
@@ -273,10 +296,10 @@ def fn35_wire(spark: SparkSession, d: str) -> DataFrame:
 FN35 = oracle("""SELECT l_orderkey, l_linenumber, '{"minor":"' || was_minor || '","currency":"USD","confidence":0.9}' AS wire, was_minor AS amount FROM b_money""", "b_money")
 
 QUERIES = {
-    "sc1_styles": sc1_styles, "sc3_signals": sc3_signals, "dt_pages": dt_pages, "fn27_offers": fn27_offers, "cl3_price_snapshot": cl3_price_snapshot, "cl5_observations": cl5_observations, "st13_throttle": st13_throttle, "st14_passive_log": st14_passive_log,
+    "sc1_styles": sc1_styles, "sc3_signals": sc3_signals, "dt_pages": dt_pages, "dt_all_pages": dt_all_pages, "fn27_offers": fn27_offers, "cl3_price_snapshot": cl3_price_snapshot, "cl5_observations": cl5_observations, "st13_throttle": st13_throttle, "st14_passive_log": st14_passive_log,
     "vl3_requests": vl3_requests, "ag2_merge": ag2_merge, "so2_union": so2_union, "vl4_messages": vl4_messages, "fn19_facts": fn19_facts, "fn31_fixtures": fn31_fixtures, "fn35_wire": fn35_wire,
 }
 ORACLE_SQL = {
-    "sc1_styles": SC1, "sc3_signals": SC3, "dt_pages": DT_PAGES, "fn27_offers": FN27, "cl3_price_snapshot": CL3, "cl5_observations": CL5, "st13_throttle": ST13, "st14_passive_log": ST14,
+    "sc1_styles": SC1, "sc3_signals": SC3, "dt_pages": DT_PAGES, "dt_all_pages": DT_ALL, "fn27_offers": FN27, "cl3_price_snapshot": CL3, "cl5_observations": CL5, "st13_throttle": ST13, "st14_passive_log": ST14,
     "vl3_requests": VL3, "ag2_merge": AG2, "so2_union": SO2, "vl4_messages": VL4, "fn19_facts": FN19, "fn31_fixtures": FN31, "fn35_wire": FN35,
 }

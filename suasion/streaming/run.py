@@ -46,6 +46,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(rows: DataFrame, name: str = "stored") -> DataFrame:
+    """The rows, written to the shared folder and read back: worked out once, and read by column."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def drain(stream: DataFrame, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
     """Everything that the stream emits for the input that is there now, run with the settings ``conf``.
 
