@@ -165,13 +165,14 @@ def urgency(candidates: DataFrame) -> DataFrame:
 
 
 def innermost(hits: DataFrame, nested: tuple[str, ...] = ("urgency.countdown",)) -> DataFrame:
-    """Drop a hit of ``nested`` patterns that has another one below it. Needs hits of one pattern to differ in path.
+    """Drop a hit of ``nested`` patterns (any, where hits name none) that has another one below it. Needs hits of one pattern to differ in path.
 
     In the order of path and ``>`` all that lies below a path follows it at once, so the next hit tells.
     """
-    closed = F.concat("selector_path", F.lit(">"))
-    following = F.lead(closed).over(Window.partitionBy("page_id", "pattern_id").orderBy(closed))
-    return hits.withColumn("_next", following).filter(~F.col("pattern_id").isin(*nested) | ~F.coalesce(F.col("_next").startswith(closed), F.lit(False))).drop("_next")
+    closed, several = F.concat("selector_path", F.lit(">")), "pattern_id" in hits.columns
+    following = F.lead(closed).over(Window.partitionBy("page_id", *(["pattern_id"] if several else [])).orderBy(closed))
+    below = F.coalesce(F.col("_next").startswith(closed), F.lit(False))
+    return hits.withColumn("_next", following).filter(~below | ~F.col("pattern_id").isin(*nested) if several else ~below).drop("_next")
 
 
 def social_rule() -> Rule:
