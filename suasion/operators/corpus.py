@@ -121,9 +121,14 @@ def similar_titles(titles: DataFrame, key: str, within: tuple[str, ...], least:
     ordered = grams.join(F.broadcast(counts), "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     n = F.size("o")
     prefix = F.slice("o", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
-    keys = ordered.select(key, F.explode(F.transform(prefix, lambda x: x["g"])).alias("g")).join(titles.select(key, *within), key)
-    other = keys.select(F.col(key).alias("other"), "g", *within)
-    pairs = keys.join(other, ["g", *within]).filter(F.col(key) < F.col("other")).select(key, "other").distinct()
+    placed = ordered.select(key, n.alias("n"), F.posexplode(F.transform(prefix, lambda x: x["g"])).alias("at", "g"))
+    keys = placed.join(titles.select(key, *within), key) if within else placed
+    other = keys.select(F.col(key).alias("other"), "g", F.col("n").alias("m"), F.col("at").alias("other_at"), *within)
+    # of sets as unlike in size, or that have too little left behind the first trigram they share, none are alike enough
+    sized = (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9)
+    rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at"))
+    enough = rest * (1 + least) >= (F.col("n") + F.col("m")) * least - 1e-9
+    pairs = keys.join(other, ["g", *within]).filter((F.col(key) < F.col("other")) & sized & enough).select(key, "other").distinct()
     named = pairs.join(titles.select(key, "name"), key).join(titles.select(F.col(key).alias("other"), F.col("name").alias("other_name")), "other")
     return named.select(key, "other", F.round(title_similarity(F.col("name"), F.col("other_name")), 9).alias("similarity")).filter(F.col("similarity") >= least)
 
