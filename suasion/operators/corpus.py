@@ -70,13 +70,17 @@ def tier(text: Column, strict: str, loose: str) -> Column:
     return F.when(~text.rlike(DATE_LIKE) & text.rlike(strict), "A").when(message & text.rlike(loose), "B").when(message & plausible(text), "C")
 
 
-def build_queue(rows: DataFrame, per_pattern: int = 300) -> DataFrame:
-    """Balanced picks of one pattern's tiers: 35 % A, 65 % B at most, and no more C than A and B together. Needs tier, ord."""
+def build_queue(rows: DataFrame, per_pattern: int = 300, seed: str | None = None) -> DataFrame:
+    """Balanced picks of one pattern's tiers: 35 % A, 65 % B at most, and no more C than A and B together. Needs tier, ord.
+
+    With a seed the rows of a tier are picked in the order of a hash of seed and ord, the same for the same seed.
+    """
+    order = ("ord",) if seed is None else (F.sha2(F.concat_ws(":", F.lit(seed), F.col("ord").cast("string")), 256), "ord")
     counts = rows.groupBy().pivot("tier", ["A", "B", "C"]).count().na.fill(0)
     a, b = F.least("A", F.lit(round(per_pattern * 0.35))), F.least("B", F.lit(round(per_pattern * 0.65)))
     want = counts.select(a.alias("wa"), b.alias("wb"), F.least(F.col("C"), a + b, F.lit(per_pattern) - a - b).alias("wc"))  # one row
     wanted = want.select(F.explode(F.map_from_arrays(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.array("wa", "wb", "wc"))).alias("tier", "want"))
-    nth = F.row_number().over(Window.partitionBy("tier").orderBy("ord"))
+    nth = F.row_number().over(Window.partitionBy("tier").orderBy(*order))
     # no tier gives more than per_pattern rows, so each task sends on that many of a tier at most
     first = rows.withColumn("_nth", nth).filter(F.col("_nth") <= per_pattern)
     return first.join(F.broadcast(wanted), "tier").filter(F.col("_nth") <= F.col("want")).drop("_nth", "want")

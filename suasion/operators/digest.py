@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suasion.operators.dims import EPHEMERAL_GATE_MS, GATE_MS, SURFACE_THRESHOLD, taxonomy
@@ -65,6 +65,28 @@ def debounce(digests: DataFrame, once_per_site: bool = False) -> DataFrame:
     return digests.withColumn("show", nth == 1).withColumn("reason", F.when(F.col("show"), "none").otherwise("debounced"))
 
 
+def gate(digests: DataFrame, frequency: Column) -> DataFrame:
+    """``show`` and ``reason`` of each digest under its shopper's setting, which may change within a session.
+
+    ``off`` and ``never_interrupt`` show nothing; ``once_per_site`` shows one only where the session saw none of the origin
+    yet; any other setting shows the first of each origin, stage and page. Needs session_id, origin, stage, page, ts_ms, seq.
+
+    The first digest of an origin that is not switched off is shown in any case, and is the only one that once_per_site
+    can show; so a digest is shown if it is that one, or, under the last setting, if it is the first of its page under that
+    setting and that one was not of the page.
+    """
+    order = lambda *key: Window.partitionBy(*key).orderBy("ts_ms", "seq")
+    off, once = F.coalesce(frequency.isin("off", "never_interrupt"), F.lit(False)), F.coalesce(frequency == "once_per_site", F.lit(False))
+    page = ("session_id", "origin", "stage", "page")
+    kind = digests.withColumn("_kind", F.when(off, "off").when(once, "once").otherwise("page")).withColumn("_on", ~off)
+    opened = kind.withColumn("_first", F.col("_on") & (F.row_number().over(order("session_id", "origin", "_on")) == 1))
+    met = F.max("_first").over(order(*page).rowsBetween(Window.unboundedPreceding, -1))
+    turned = opened.withColumn("_met", F.coalesce(met, F.lit(False))).withColumn("_nth", F.row_number().over(order(*page, "_kind")))
+    show = F.col("_first") | ((F.col("_kind") == "page") & (F.col("_nth") == 1) & ~F.col("_met"))
+    reason = F.when(off, "user_disabled").when(F.col("show"), "none").otherwise("debounced")
+    return turned.withColumn("show", show).withColumn("reason", reason).drop("_kind", "_on", "_first", "_met", "_nth")
+
+
 def dedup_candidates(candidates: DataFrame) -> DataFrame:
     """One row for each (page, pattern, text): the first by detector order and node."""
     nth = F.row_number().over(Window.partitionBy("page_id", "pattern_id", "text_hash").orderBy("detector_order", "idx"))

@@ -9,6 +9,8 @@ from suasion.operators.ledger import newest
 
 TEXTS_KEPT, TEXT_MOST = 12, 120
 OFFERS_KEPT, OFFER_DAYS, SAMPLES_KEPT = 5_000, 90, 64
+#: How many claims of a series an offer keeps.
+SERIES_KEPT = {"timers": 64, "stock": 64, "viewers": 128, "prices": 64, "reference_prices": 64}
 HIDDEN_MS, GESTURE_MS, EXIT_MS = 1_500, 750, 500
 DAY_MS = 86_400_000
 
@@ -59,6 +61,25 @@ def merge_offers(sightings: DataFrame, value: str = "n", cap: int = SAMPLES_KEPT
     return spans.join(kept, list(key)).withColumn("samples", F.transform("_s", lambda s: s[value])).drop("_s")
 
 
+def merge_observations(looks: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row per offer: sightings, first_seen, last_seen, and its newest claims of each series, in order.
+
+    ``looks`` (origin, offer_key, ts_ms) has a row for each time that the offer was seen; ``claims`` (origin, offer_key,
+    ts_ms, seq, series, n, tag) what was claimed then: n is an end time, a count or an amount, tag a container or a
+    currency. A series keeps SERIES_KEPT of its claims; one that SERIES_KEPT does not name is left out. An offer without claims has empty series.
+    """
+    key = ["origin", "offer_key"]
+    spans = looks.groupBy(*key).agg(F.count("*").alias("sightings"), F.min("ts_ms").alias("first_seen"), F.max("ts_ms").alias("last_seen"))
+    room = F.create_map(*(F.lit(x) for pair in SERIES_KEPT.items() for x in pair))[F.col("series")]
+    nth = F.row_number().over(Window.partitionBy(*key, "series").orderBy(F.desc("ts_ms"), F.desc("seq")))
+    # by the largest room, a plain number, Spark leaves out most before the shuffle
+    kept = claims.withColumn("_nth", nth).filter((F.col("_nth") <= max(SERIES_KEPT.values())) & (F.col("_nth") <= room))
+    claim = F.struct(F.col("ts_ms").cast("long").alias("ts_ms"), F.col("seq").cast("long").alias("seq"), F.col("n").cast("long").alias("n"), F.col("tag").cast("string").alias("tag"))
+    series = kept.groupBy(*key).agg(*(F.sort_array(F.collect_list(F.when(F.col("series") == s, claim))).alias(s) for s in SERIES_KEPT))
+    empty = F.array().cast("array<struct<ts_ms:bigint,seq:bigint,n:bigint,tag:string>>")
+    return spans.join(series, key, "left").withColumns({s: F.coalesce(s, empty) for s in SERIES_KEPT})
+
+
 def evict_offers(offers: DataFrame, as_of_ms: int, cap: int = OFFERS_KEPT, days: int = OFFER_DAYS) -> DataFrame:
     """The ``cap`` offers seen last, of those seen within ``days``."""
     return offers.filter(F.col("last_seen") >= as_of_ms - days * DAY_MS).orderBy(F.desc("last_seen"), "offer_key").limit(cap)

@@ -16,23 +16,35 @@ def first_disclosure(fees: DataFrame) -> DataFrame:
     return fees.groupBy(*KEY, "label").agg(F.min(stage_order(F.col("stage"))).alias("first_stage"))
 
 
+def _base(snapshots: DataFrame) -> Column:
+    return F.coalesce("subtotal", "displayed") if "displayed" in snapshots.columns else F.col("subtotal")
+
+
 def reconcile(snapshots: DataFrame, fees: DataFrame) -> DataFrame:
-    """Per snapshot: base price, charges, mandatory charges, and their ratio to the base (null without a base)."""
+    """Per snapshot: base price, charges, mandatory charges, their ratio to the base, and what of a total is unexplained.
+
+    The base is the subtotal or, without one, the displayed price; without either, or where it is zero, ratio and
+    unexplained are null. Snapshots need subtotal; displayed, shipping, tax and total may be missing columns.
+    """
     kind = line_item_kind(F.col("label"))
     sums = fees.groupBy(*KEY, "stage").agg(
         F.sum(F.when(kind != "discount", F.col("amount")).otherwise(0)).alias("fee_total"), F.sum(F.when(kind == "mandatory_fee", F.col("amount")).otherwise(0)).alias("mandatory_total")
     )
-    out = snapshots.join(sums, [*KEY, "stage"], "left").na.fill(0, ["fee_total", "mandatory_total"])
-    return out.withColumn("drip_ratio", F.when(F.col("subtotal") != 0, F.col("mandatory_total") / F.col("subtotal")))
+    out = snapshots.join(sums, [*KEY, "stage"], "left").na.fill(0, ["fee_total", "mandatory_total"]).withColumn("base", _base(snapshots))
+    part = lambda name: F.coalesce(F.col(name), F.lit(0)) if name in snapshots.columns else F.lit(0)
+    accounted = F.col("base") + part("shipping") + part("tax") + F.col("fee_total")
+    unexplained = F.coalesce(F.col("total") - accounted, F.lit(0)) if "total" in snapshots.columns else F.lit(0)
+    known = F.col("base") != 0
+    return out.withColumn("drip_ratio", F.when(known, F.col("mandatory_total") / F.col("base"))).withColumn("unexplained", F.when(known, unexplained).cast("long"))
 
 
 def drip(snapshots: DataFrame, fees: DataFrame, min_ratio: float = 0.05) -> DataFrame:
     """Sessions whose last snapshot has charges, neither discounts nor add-ons, that the first did not show and that appeared in the cart or later."""
     order = stage_order(F.col("stage"))
-    ends = snapshots.groupBy(*KEY).agg(F.min(order).alias("first"), F.max_by(F.struct("stage", "subtotal"), order).alias("last"), F.max(order).alias("last_order"), F.countDistinct("stage").alias("stages")).filter("stages >= 2")
+    ends = snapshots.groupBy(*KEY).agg(F.min(order).alias("first"), F.max_by(F.struct("stage", _base(snapshots).alias("base")), order).alias("last"), F.max(order).alias("last_order"), F.countDistinct("stage").alias("stages")).filter("stages >= 2")
     known = fees.withColumn("at", order)
     marked = known.join(ends, list(KEY)).withColumn("kind", line_item_kind(F.col("label")))
-    by_label = marked.groupBy(*KEY, "label", "kind", "first", "last_order", F.col("last.subtotal").alias("base")).agg(
+    by_label = marked.groupBy(*KEY, "label", "kind", "first", "last_order", F.col("last.base").alias("base")).agg(
         F.min("at").alias("disclosed"), F.count_if(F.col("at") == F.col("first")).alias("shown_first"), F.sum(F.when(F.col("at") == F.col("last_order"), F.col("amount"))).alias("amount"), F.count_if(F.col("at") == F.col("last_order")).alias("lines")
     )
     late = by_label.filter((F.col("lines") > 0) & (F.col("shown_first") == 0) & ~F.col("kind").isin("discount", "optional_addon") & (F.col("disclosed") >= STAGES.index("cart")))

@@ -15,8 +15,8 @@ from suasion.functions.hashing import create_hash
 from suasion.functions.money import parse_prices, without_price
 from suasion.functions.text import clock_seconds, line_item_kind, normalize_text, normalize_title
 from suasion.functions.url import path_template
-from suasion.operators import detectors
-from suasion.operators.pages import funnel_stage
+from suasion.operators import detectors, json_ld
+from suasion.operators.pages import commerce, funnel_stage
 
 # fixed values: labels of sums, limits of texts, forms of claims that are compared between visits
 SUBTOTAL = r"\bsub-?total\b|\bitems? total\b|\bmerchandise\b|\bbag total\b"
@@ -36,6 +36,14 @@ def staged(scanned: DataFrame) -> DataFrame:
     return funnel_stage(signals).select(*scanned.columns, "stage", "stage_score")
 
 
+def shops(scanned: DataFrame) -> DataFrame:
+    """page_id, is_commerce, commerce_score and reasons of each scanned page. Reads them twice: store them first."""
+    og = F.coalesce(F.col("meta.og_type").isin("product", "product.item"), F.lit(False))
+    sells = json_ld.selling(scanned.select("page_id", F.col("meta.json_ld").alias("json_ld")))
+    judged = commerce(scanned.select("page_id", "meta.*", og.alias("og_product")).join(sells, "page_id", "left"))
+    return judged.select("page_id", "is_commerce", "commerce_score", "reasons")
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """One row for each rendered node of staged pages, as the detectors want it; histories are those of one look: empty."""
     bar = lambda n: (n["role"] == "progressbar") | (n["attrs"]["role"] == "progressbar")

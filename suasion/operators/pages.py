@@ -49,10 +49,14 @@ def funnel_stage(meta: DataFrame) -> DataFrame:
 
 
 def commerce(meta: DataFrame) -> DataFrame:
-    """is_commerce, its score and the reasons: each signal adds a point or half of one; one point makes a shop."""
+    """is_commerce, its score and the reasons: each signal adds a point or half of one; one point makes a shop.
+
+    ``sells_ld`` (json_ld.selling) is asked where no product is named in JSON-LD; without that column nothing sells there.
+    """
     c = F.col
+    sells = ~c("has_product_ld") & c("sells_ld") if "sells_ld" in meta.columns else F.lit(False)
     signals = (
-        (c("has_product_ld"), 1.0, "product"), (c("og_product"), 1.0, "og_product"), ((c("cart_rows") > 0) & (c("has_quantity") | c("has_remove")), 1.0, "cart_rows"), (c("has_total") & (c("summary_rows") >= 2), 1.0, "total"), (c("place_order") > 0, 1.0, "place_order"),
+        (c("has_product_ld"), 1.0, "product"), (sells, 1.0, "offer"), (c("og_product"), 1.0, "og_product"), ((c("cart_rows") > 0) & (c("has_quantity") | c("has_remove")), 1.0, "cart_rows"), (c("has_total") & (c("summary_rows") >= 2), 1.0, "total"), (c("place_order") > 0, 1.0, "place_order"),
         (c("has_steps") & (c("checkout_cta") > 0), 1.0, "steps"), (c("per_unit_rows") > 0, 1.0, "per_unit"), (c("priced_texts") >= 20, 1.0, "many_prices"), (c("priced_texts").between(8, 19), 0.5, "some_prices"), ((c("booking_cta") > 0) & ((c("summary_rows") > 0) | (c("priced_texts") >= 4)), 1.0, "booking"),
         (c("add_to_cart") > 0, 0.5, "add_to_cart"), (c("checkout_cta") > 0, 0.5, "checkout"), (c("summary_rows") > 0, 0.5, "summary"),
     )

@@ -48,6 +48,11 @@ def export_view(views: dict[str, DataFrame], name: str, path: str) -> None:
     views[name].write.mode("overwrite").json(path)
 
 
+def export_sql(spark: SparkSession, text: str, path: str, **tables: DataFrame) -> None:
+    """What a query says of the named tables ({name} in its text), as JSON lines."""
+    spark.sql(text, **tables).write.mode("overwrite").json(path)
+
+
 def read_pack(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
     """A rule pack (one JSON object) as the arguments of functions.rules.denied."""
     row = spark.read.option("multiLine", True).json(path).select("schemes", "hostSuffixes", "hostPatterns").first()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from suasion.operators.outcomes import MAX_EXPOSED
+
 VIEW = "view_id long, origin string, started_ms long, funnel_stage string, added boolean, exposed string"
 _STATE = "started_ms long, last_ms long, funnel_stage string, exposed string"
 
@@ -17,7 +19,7 @@ def page_views(messages: DataFrame, idle_ms: int, delay: str = "1 hour") -> Data
     """Views as they close: after an add at once, or once the viewer has been idle for longer than ``idle_ms``.
 
     Needs view_id, origin, ts (timestamp), seq, funnel_stage, pattern_id, added. State is one row per open view; event
-    time closes idle ones, so it stays bounded.
+    time closes idle ones, and a view keeps MAX_EXPOSED patterns, so it stays bounded.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,7 +36,7 @@ def page_views(messages: DataFrame, idle_ms: int, delay: str = "1 hour") -> Data
                     now = None
                 if now is None:
                     now = [int(ts), int(ts), stage, pattern]
-                elif pattern not in now[3].split(","):
+                elif pattern not in (seen := now[3].split(",")) and len(seen) < MAX_EXPOSED:
                     now[3] += "," + pattern
                 now[1] = int(ts)
                 if added:
@@ -62,6 +64,11 @@ def debounce(triggers: DataFrame, keys: tuple[str, ...], delay: str = "40 days")
     return triggers.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def stage_triggers(stages: DataFrame, into: tuple[str, ...] = ("checkout", "payment")) -> DataFrame:
+    """To get to the till is a trigger of its own: a checkout_intent for each message of such a stage. Needs page_load, stage, ts."""
+    return stages.filter(F.col("stage").isin(*into)).withColumn("kind", F.lit("checkout_intent")).withColumn("label", F.concat(F.lit("stage:"), F.col("stage")))
+
+
 def ephemeral(inserted: DataFrame, removed: DataFrame, within: str = "15 seconds") -> DataFrame:
     """Nodes removed soon after they appeared: a stream-stream interval join with bounded state."""
     a = inserted.select("node", F.col("ts").alias("inserted_at")).withWatermark("inserted_at", "1 hour")
