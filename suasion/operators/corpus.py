@@ -113,28 +113,42 @@ def numbered(rows: DataFrame, key: str, order: str, buckets: int = 1024) -> Data
     return joined.withColumn("_nth", F.col("_own") + F.col("_before")).drop("_own", "_before", "_of", "_at", "_cut")
 
 
-def similar_titles(titles: DataFrame, key: str, within: tuple[str, ...], least: float) -> DataFrame:
-    """(key, other, similarity) of pairs of names in the same ``within`` whose trigrams overlap enough.
+def similar_names(names: DataFrame, within: tuple[str, ...], least: float) -> DataFrame:
+    """(name, other_name, similarity, *within) of pairs of distinct names, name first in order, whose trigrams overlap enough.
 
     Two sets of n trigrams that overlap so much share one of the first n - ceil(least * n) + 1 of each in any common order;
-    rare trigrams come first in it. Only ids meet on these, once a pair, and names are fetched after. The trigram counts are
-    broadcast: of names in a-z, 0-9 and blanks there are 37 ** 3 trigrams at most.
+    rare trigrams come first in it. A pair meets once on these and is then measured. The trigram counts are broadcast: of
+    names in a-z, 0-9 and blanks there are 37 ** 3 trigrams at most.
     """
-    grams = titles.select(key, F.explode(trigrams(F.col("name"))).alias("g"))
+    grams = names.select("name", *within, F.explode(trigrams(F.col("name"))).alias("g"))
     counts = grams.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = grams.join(F.broadcast(counts), "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    ordered = grams.join(F.broadcast(counts), "g").groupBy("name", *within).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     n = F.size("o")
     prefix = F.slice("o", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
-    placed = ordered.select(key, n.alias("n"), F.posexplode(F.transform(prefix, lambda x: x["g"])).alias("at", "g"))
-    keys = placed.join(titles.select(key, *within), key) if within else placed
-    other = keys.select(F.col(key).alias("other"), "g", F.col("n").alias("m"), F.col("at").alias("other_at"), *within)
+    placed = ordered.select("name", *within, n.alias("n"), F.posexplode(F.transform(prefix, lambda x: x["g"])).alias("at", "g"))
+    other = placed.select(F.col("name").alias("other_name"), *within, "g", F.col("n").alias("m"), F.col("at").alias("other_at"))
     # of sets as unlike in size, or that have too little left behind the first trigram they share, none are alike enough
     sized = (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9)
     rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at"))
     enough = rest * (1 + least) >= (F.col("n") + F.col("m")) * least - 1e-9
-    pairs = keys.join(other, ["g", *within]).filter((F.col(key) < F.col("other")) & sized & enough).select(key, "other").distinct()
-    named = pairs.join(titles.select(key, "name"), key).join(titles.select(F.col(key).alias("other"), F.col("name").alias("other_name")), "other")
-    return named.select(key, "other", F.round(title_similarity(F.col("name"), F.col("other_name")), 9).alias("similarity")).filter(F.col("similarity") >= least)
+    pairs = placed.join(other, ["g", *within]).filter((F.col("name") < F.col("other_name")) & sized & enough).select("name", "other_name", *within).distinct()
+    similarity = F.round(title_similarity(F.col("name"), F.col("other_name")), 9)
+    return pairs.withColumn("similarity", similarity).filter(F.col("similarity") >= least)
+
+
+def similar_titles(titles: DataFrame, key: str, within: tuple[str, ...], least: float) -> DataFrame:
+    """(key, other, similarity) of all pairs of names in the same ``within`` whose trigrams overlap enough; key < other.
+
+    Names are compared once, however many titles have them: only what is alike is spread over the keys again. Titles of one
+    name are alike; a null name is like none.
+    """
+    named = titles.select(key, "name", *within).filter("name is not null")
+    names = named.select("name", *within).distinct()
+    alike = similar_names(names, within, least).unionByName(names.withColumns({"other_name": F.col("name"), "similarity": F.lit(1.0)}))
+    others = named.select(F.col(key).alias("_other"), F.col("name").alias("other_name"), *within)
+    met = named.join(alike, ["name", *within]).join(others, ["other_name", *within])
+    once = (F.col(key) < F.col("_other")) | ((F.col(key) > F.col("_other")) & (F.col("name") < F.col("other_name")))
+    return met.filter(once).select(F.least(key, "_other").alias(key), F.greatest(key, "_other").alias("other"), "similarity")
 
 
 def stride_negatives(rows: DataFrame, label: str = "label", order: str = "ord", per_positive: int = 4, least: int = 40) -> DataFrame:
