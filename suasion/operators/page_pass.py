@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from suasion.functions.bind import bound, once
 from suasion.functions.hashing import create_hash
 from suasion.functions.money import parse_prices, without_price
 from suasion.functions.text import clock_seconds, line_item_kind, normalize_text, normalize_title
@@ -28,6 +29,9 @@ VARIANTS = r"\b\d{1,3} (?:sizes?|colou?rs?|styles?|variants?|options?|shades?) (
 CLOCK = r"\b\d{1,3}:[0-5]\d(?::[0-5]\d)?\b"
 OBSERVATION_MS = 60_000
 CONTROLS = ("button", "a", "input")
+#: What text detectors read of a candidate, and what no detector reads.
+TEXT_COLUMNS = ("page_id", "idx", "stage", "selector_path", "text", "raw_text", "text_history", "has_progress", "has_progress_child", "ephemeral", "is_control", "in_dialog", "accessible_name", "container_path", "container_text")
+UNREAD = ("summary_rows", "parent_idx", "tag_name", "role", "rendered", "font_px", "attrs")
 
 
 def staged(scanned: DataFrame) -> DataFrame:
@@ -57,21 +61,20 @@ def candidates(pages: DataFrame) -> DataFrame:
     )
 
 
-def detect(pages: DataFrame, disabled: tuple[str, ...] = (), log_threshold: float = 0.35) -> DataFrame:
-    """All text detections of staged pages over the log threshold, without those of disabled patterns."""
-    found = detectors.run_text_detectors(candidates(pages), log_threshold)
+def detect(pages: DataFrame, disabled: tuple[str, ...] = (), log_threshold: float = 0.35, store: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """All text detections of staged pages over the log threshold, without those of disabled patterns. ``store`` keeps the candidates, which are read more than once."""
+    found = detectors.run_text_detectors(store(candidates(pages).select(*TEXT_COLUMNS)), log_threshold)
     return found.filter(~F.col("pattern_id").isin(*disabled)) if disabled else found
 
 
 def detect_all(pages: DataFrame, store: Callable[[DataFrame], DataFrame], log_threshold: float = 0.35) -> DataFrame:
     """All detections that one look at staged pages can answer. ``store`` keeps the candidates, so that pages are taken apart once."""
-    return detectors.run_page_detectors(store(candidates(pages)), log_threshold)
+    return detectors.run_page_detectors(store(candidates(pages).drop(*UNREAD)), log_threshold)
 
 
 def _single(text: Column, most: int) -> Column:
     """The only price of a text of at most ``most`` characters, else null."""
-    prices = parse_prices(text)
-    return F.when(F.length(text).between(1, most) & (F.size(prices) == 1), F.get(prices, F.lit(0)))
+    return F.when(F.length(text).between(1, most), once(parse_prices(text), lambda prices: F.when(F.size(prices) == 1, F.get(prices, F.lit(0)))))
 
 
 def price_snapshot(pages: DataFrame) -> DataFrame:
@@ -82,9 +85,10 @@ def price_snapshot(pages: DataFrame) -> DataFrame:
     none that says what it is for outside a summary. Equal fees count once.
     """
     nodes = pages.select("page_id", F.col("meta.summary_rows").alias("summary_rows"), F.inline("nodes"))
-    priced = nodes.select("page_id", "idx", "text", "row_text", "container_text", "summary_rows", _single(F.col("text"), LABEL_TEXT).alias("own")).filter("own is not null")
-    labelled = priced.withColumn("label", without_price(F.col("text"), F.col("own.raw"))).withColumn("by_row", _single(F.col("row_text"), SCOPE_TEXT)).withColumn("by_box", _single(F.col("container_text"), SCOPE_TEXT))
+    priced = bound(nodes.select("page_id", "idx", "text", "row_text", "container_text", "summary_rows"), "own", _single(F.col("text"), LABEL_TEXT)).filter("own is not null")
     bare = F.col("label") == ""
+    named = priced.withColumn("label", without_price(F.col("text"), F.col("own.raw")))
+    labelled = bound(bound(named, "by_row", F.when(bare, _single(F.col("row_text"), SCOPE_TEXT))), "by_box", F.when(bare, _single(F.col("container_text"), SCOPE_TEXT)))
     row_label = F.when(bare, F.nullif(without_price(F.col("row_text"), F.col("by_row.raw")), F.lit("")))
     box_label = F.when(bare, F.nullif(without_price(F.col("container_text"), F.col("by_box.raw")), F.lit("")))
     scoped = labelled.select("*", bare.alias("borrowed"), row_label.alias("row_label"), box_label.alias("box_label"))
@@ -127,19 +131,22 @@ def observations(nodes: DataFrame) -> DataFrame:
     struck price. Pages that say nothing have no row.
     """
     number = lambda pattern, n: F.coalesce(*(F.nullif(F.regexp_extract("text", pattern, k), F.lit("")) for k in range(1, n + 1))).cast("int")
-    near = nodes.filter(F.length("text").between(1, CLAIM_TEXT)).withColumn("price", _single(F.col("raw_text"), CLAIM_TEXT))
+    near = bound(nodes.filter(F.length("text").between(1, CLAIM_TEXT)), "price", _single(F.col("raw_text"), CLAIM_TEXT))
     seconds = F.when((F.size("text_history") >= 2) & F.col("text").rlike(CLOCK), clock_seconds(F.col("text")))
     live = F.col("price").isNotNull() & ~F.col("struck") & (F.coalesce("area", F.lit(PRICE_AREA + 1.0)) > PRICE_AREA)
     said = near.select(
         "page_id", "idx", "selector_path", F.when(seconds > 0, F.col("now_ms") + seconds.cast("long") * 1000).alias("end_ms"), F.when(~F.col("text").rlike(VARIANTS), number(STOCK, 3)).alias("stock"),
         number(VIEWERS, 2).alias("viewers"), F.when(live, F.col("price.amount")).alias("price"), F.when(F.col("price").isNotNull() & F.col("struck"), F.col("price.amount")).alias("reference"),
     )
-    first = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("idx"))).alias(name)
-    once = said.groupBy("page_id", "selector_path").agg(F.min_by("end_ms", F.when(F.col("end_ms").isNotNull(), F.col("idx"))).alias("end_ms"), F.min(F.when(F.col("end_ms").isNotNull(), F.col("idx"))).alias("idx"))
-    timers = once.filter("end_ms is not null").groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("idx", create_hash(F.col("selector_path")).alias("container_hash"), "end_ms"))), 1, TIMERS).alias("timers"))
-    rest = said.groupBy("page_id").agg(first("stock"), first("viewers"), first("price"), first("reference"))
-    joined = rest.join(timers, "page_id", "left").withColumn("timers", F.transform("timers", lambda t: t.dropFields("idx")))
-    return joined.filter("timers is not null or stock is not null or viewers is not null or price is not null or reference is not null")
+    claims = ("stock", "viewers", "price", "reference")
+    told = said.filter(F.coalesce("end_ms", *claims).isNotNull())
+    # by path first, as a clock counts once a path; the first claim of each kind goes along
+    first = lambda name: F.min(F.when(F.col(name).isNotNull(), F.struct("idx", name)))
+    paths = told.groupBy("page_id", "selector_path").agg(first("end_ms").alias("clock"), *(first(c).alias(c) for c in claims))
+    timer = F.when(F.col("clock").isNotNull(), F.struct("clock.idx", "selector_path", "clock.end_ms"))
+    found = paths.groupBy("page_id").agg(*(F.min(c)[c].alias(c) for c in claims), F.slice(F.array_sort(F.collect_list(timer)), 1, TIMERS).alias("clocks"))
+    timers = F.transform("clocks", lambda t: F.struct(create_hash(t["selector_path"]).alias("container_hash"), t["end_ms"].alias("end_ms")))
+    return found.select("page_id", *claims, F.when(F.size("clocks") > 0, timers).alias("timers"))
 
 
 def throttle(looks: DataFrame, interval_ms: int = OBSERVATION_MS) -> DataFrame:

@@ -43,16 +43,20 @@ TABLES["b_shop"] = """
 STAGE_SQL = "CASE WHEN round(browse, 6) >= greatest(round(pdp, 6), round(cart, 6), round(checkout, 6), round(payment, 6)) THEN 'browse' WHEN round(pdp, 6) >= greatest(round(cart, 6), round(checkout, 6), round(payment, 6)) THEN 'pdp' WHEN round(cart, 6) >= greatest(round(checkout, 6), round(payment, 6)) THEN 'cart' WHEN round(checkout, 6) >= round(payment, 6) THEN 'checkout' ELSE 'payment' END"
 
 
-def shop(spark: SparkSession, d: str) -> DataFrame:
-    """The scanned shop pages: page_id, url, meta, nodes. Parsed once, and kept while a query reads them."""
-    written = spark.sql(HTML.strip(), part=spark.read.parquet(f"{d}/part.parquet"))
-    scanned = pages.scan(written.select("page_id", "html")).persist()
-    return scanned.join(written.select("page_id", "url"), "page_id").select("page_id", "url", "meta", "nodes")
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """The parts, dealt evenly to more tasks than there are cores: their file is small, and what is made of a row is not."""
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name").repartition(tasks)
+
+
+def shop(spark: SparkSession, d: str, *parts: str) -> DataFrame:
+    """The scanned shop pages: page_id, url, and of meta and nodes those named (both, if none is). Every page is parsed where it is read: store what is read twice."""
+    return pages.scan(spark.sql(HTML.strip(), part=_parts(spark, d)), parts or ("meta", "nodes"), ("url",))
 
 
 def sc3_signals(spark: SparkSession, d: str) -> DataFrame:
     m = "cart_rows summary_rows has_total has_quantity has_remove has_steps add_to_cart checkout_cta place_order booking_cta per_unit_rows priced_texts has_product_ld has_cc_field has_postal has_address has_contact".split()
-    staged = page_pass.staged(shop(spark, d))
+    staged = page_pass.staged(shop(spark, d, "meta"))
     return staged.select("page_id", *(F.col(f"meta.{c}").cast("long").alias(c) for c in m), "stage")
 
 
@@ -64,7 +68,7 @@ SC3 = oracle(
 
 def sc1_styles(spark: SparkSession, d: str) -> DataFrame:
     """Node columns that come from the page's structure and styles."""
-    n = shop(spark, d).select("page_id", F.inline("nodes"))
+    n = shop(spark, d, "nodes").select("page_id", F.inline("nodes"))
     count = lambda on, name: F.sum(on.cast("long")).alias(name)
     return n.groupBy("page_id").agg(
         count(F.col("struck"), "struck"), count(~F.col("rendered"), "hidden"), count(F.col("in_dialog"), "in_dialog"), count(F.col("has_progress"), "has_progress"), count(F.col("cents_child"), "cents_child"),
@@ -77,7 +81,7 @@ SC1 = oracle("SELECT page_id, 1::BIGINT AS struck, (k % 4 = 0)::BIGINT AS hidden
 
 def dt_pages(spark: SparkSession, d: str) -> DataFrame:
     """Detections from HTML: harvest, stage, text detectors, thresholds; one pattern switched off."""
-    found = page_pass.detect(page_pass.staged(shop(spark, d)), disabled=("social_proof.live_activity",))
+    found = page_pass.detect(page_pass.staged(shop(spark, d)), disabled=("social_proof.live_activity",), store=stored)
     return found.groupBy("page_id", "pattern_id").agg(F.count("*").alias("n"), F.round(F.max("raw_score"), 6).alias("best"))
 
 
@@ -117,7 +121,7 @@ SELECT page_id, pattern_id, n::BIGINT AS n, best::DOUBLE AS best FROM (
 
 
 def fn27_offers(spark: SparkSession, d: str) -> DataFrame:
-    return page_pass.offers(shop(spark, d))
+    return page_pass.offers(shop(spark, d, "meta"))
 
 
 def _hash_sql(text: str) -> str:
@@ -250,7 +254,7 @@ PART_COPY = """
 
 
 def _copy(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(PART_COPY.strip(), part=spark.read.parquet(f"{d}/part.parquet"))
+    return spark.sql(PART_COPY.strip(), part=_parts(spark, d))
 
 
 def fn19_facts(spark: SparkSession, d: str) -> DataFrame:
