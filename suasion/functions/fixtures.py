@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from suasion.functions.bind import once
 from suasion.functions.text import luhn_valid
 
 # fixed values: what is personal, in order, and what stands in its place
@@ -38,9 +41,15 @@ EPOCH = r"\b1[6-9]\d{11}\b"
 
 def _without_cards(text: Column) -> Column:
     """Card numbers are those digit runs that pass the Luhn test; the text between and the runs take turns."""
-    between, runs = F.split(text, CARD, -1), F.regexp_extract_all(text, F.lit(f"({CARD})"), F.lit(1))
-    clean = F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.when(luhn_valid(F.get(runs, i)), F.lit("[card redacted]")).otherwise(F.get(runs, i)), F.lit(""))))
-    return F.when(F.size(runs) > 0, F.array_join(clean, "")).otherwise(text)
+
+    def told_apart(t: Column) -> Column:
+        return F.struct(t.alias("text"), F.split(t, CARD, -1).alias("between"), F.regexp_extract_all(t, F.lit(f"({CARD})"), F.lit(1)).alias("runs"))
+
+    def clean(x: Column) -> Column:
+        stand_ins = F.transform(x["runs"], lambda run: F.when(luhn_valid(run), F.lit("[card redacted]")).otherwise(run))
+        return F.when(F.size(x["runs"]) > 0, F.array_join(F.zip_with(x["between"], stand_ins, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(x["text"])
+
+    return once(once(text, told_apart), clean)
 
 
 def scrub_fixture(text: Column) -> Column:
@@ -52,14 +61,24 @@ def scrub_fixture(text: Column) -> Column:
 
 
 def pii_hits(text: Column) -> Column:
-    """map<rule, how often> of what scrub_fixture would replace; rules that find nothing are left out."""
-    out, counts = text, []
-    for name, pattern, stand_in in (EMAIL, ("card-number", CARD, None), *RULES):
-        found = F.regexp_extract_all(out, F.lit(f"({pattern})"), F.lit(1))
-        found = F.filter(found, luhn_valid) if stand_in is None else found
-        counts.append(F.struct(F.lit(name).alias("rule"), F.size(found).alias("n")))
-        out = _without_cards(out) if stand_in is None else F.regexp_replace(out, pattern, stand_in)
-    return F.map_from_entries(F.filter(F.array(*counts), lambda c: c["n"] > 0))
+    """map<rule, how often> of what scrub_fixture would replace; rules that find nothing are left out.
+
+    Each rule reads what the one before has left, worked out once: a text and the counts so far go from rule to rule.
+    """
+
+    def rule(name: str, pattern: str, stand_in: str | None) -> Callable[[Column], Column]:
+        def step(so_far: Column) -> Column:
+            found = F.regexp_extract_all(so_far["text"], F.lit(f"({pattern})"), F.lit(1))
+            found = F.filter(found, luhn_valid) if stand_in is None else found
+            left = _without_cards(so_far["text"]) if stand_in is None else F.regexp_replace(so_far["text"], pattern, stand_in)
+            return F.struct(left.alias("text"), F.array_append(so_far["counts"], F.struct(F.lit(name).alias("rule"), F.size(found).alias("n"))).alias("counts"))
+
+        return step
+
+    out = F.struct(text.alias("text"), F.array().cast("array<struct<rule:string,n:int>>").alias("counts"))
+    for each in (EMAIL, ("card-number", CARD, None), *RULES):
+        out = once(out, rule(*each))
+    return F.map_from_entries(F.filter(out["counts"], lambda c: c["n"] > 0))
 
 
 def normalise_html(html: Column, freeze_clock_to: int | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suasion.functions import facts, fixtures, hashing, money
+from suasion.functions.bind import bound
 from suasion.operators import ingest, page_pass
 from suasion.operators.telemetry import COHORT
 from suasion.plans.bridge import TABLES, frame, oracle
@@ -279,8 +280,8 @@ FROM (SELECT *, CASE k % 5 WHEN 0 THEN (k % 12 + 1) || ' months' WHEN 1 THEN 'pa
 def fn31_fixtures(spark: SparkSession, d: str) -> DataFrame:
     """Scrubbed and normalised fixtures, and the hits that a scan for personal data would fail on."""
     c = F.col
-    once = fixtures.scrub_fixture(c("personal"))
-    return _copy(spark, d).select("k", once.alias("scrubbed"), F.aggregate(F.map_values(fixtures.pii_hits(c("personal"))), F.lit(0), lambda a, x: a + x).cast("long").alias("hits"), F.size(fixtures.pii_hits(once)).cast("long").alias("left"), fixtures.normalise_html(c("page"), 1600000000000).alias("page"))
+    scrubbed = bound(_copy(spark, d), "scrubbed", fixtures.scrub_fixture(c("personal")))
+    return scrubbed.select("k", "scrubbed", F.aggregate(F.map_values(fixtures.pii_hits(c("personal"))), F.lit(0), lambda a, x: a + x).cast("long").alias("hits"), F.size(fixtures.pii_hits(c("scrubbed"))).cast("long").alias("left"), fixtures.normalise_html(c("page"), 1600000000000).alias("page"))
 
 
 FN31 = """

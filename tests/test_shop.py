@@ -28,3 +28,8 @@ def test_pages_are_parsed_once_without_a_join(spark, name):
 def test_parts_that_nobody_asks_for_are_not_made(spark):
     assert shop.shop(spark, SMOKE, "meta").columns == ["page_id", "url", "meta"]
     assert shop.shop(spark, SMOKE, "nodes").columns == ["page_id", "url", "nodes"]
+
+
+def test_each_rule_reads_what_the_last_one_left_once(spark):
+    plan = shop.QUERIES["fn31_fixtures"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("order|account|member") <= 8  # counted and replaced once in each of two scans, replaced once in the scrubbed text
