@@ -113,6 +113,10 @@ def numbered(rows: DataFrame, key: str, order: str, buckets: int = 1024) -> Data
     return joined.withColumn("_nth", F.col("_own") + F.col("_before")).drop("_own", "_before", "_of", "_at", "_cut")
 
 
+#: About so many keys of one name go together.
+CHUNK = 512
+
+
 def similar_names(names: DataFrame, within: tuple[str, ...], least: float) -> DataFrame:
     """(name, other_name, similarity, *within) of pairs of distinct names, name first in order, whose trigrams overlap enough.
 
@@ -142,13 +146,20 @@ def similar_titles(titles: DataFrame, key: str, within: tuple[str, ...], least:
     Names are compared once, however many titles have them: only what is alike is spread over the keys again. Titles of one
     name are alike; a null name is like none.
     """
-    named = titles.select(key, "name", *within).filter("name is not null")
-    names = named.select("name", *within).distinct()
+    spark, group = titles.sparkSession, ["name", *within]
+    named = titles.select(key, *group).filter("name is not null")
+    names = named.select(*group).distinct()
     alike = similar_names(names, within, least).unionByName(names.withColumns({"other_name": F.col("name"), "similarity": F.lit(1.0)}))
-    others = named.select(F.col(key).alias("_other"), F.col("name").alias("other_name"), *within)
-    met = named.join(alike, ["name", *within]).join(others, ["other_name", *within])
-    once = (F.col(key) < F.col("_other")) | ((F.col(key) > F.col("_other")) & (F.col("name") < F.col("other_name")))
-    return met.filter(once).select(F.least(key, "_other").alias(key), F.greatest(key, "_other").alias("other"), "similarity")
+    # a name's keys go in chunks, and pairs of chunks are dealt evenly: neither a name's keys nor its pairs lie in one task
+    chunks = named.groupBy(*group).agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
+    chunked = named.join(chunks, group).groupBy(*group, F.pmod(F.xxhash64(key), F.col("_chunks")).alias("_chunk")).agg(F.collect_list(key).alias("_keys"))
+    others = chunked.select(F.col("name").alias("other_name"), *within, F.col("_chunk").alias("_other_chunk"), F.col("_keys").alias("_other_keys"))
+    met = chunked.join(alike, group).join(others, ["other_name", *within]).withColumn("_same", F.col("name") == F.col("other_name"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = met.filter(~F.col("_same") | (F.col("_chunk") <= F.col("_other_chunk"))).withColumn("_self", F.col("_same") & (F.col("_chunk") == F.col("_other_chunk"))).select("similarity", "_self", "_keys", "_other_keys").repartition(tasks)
+    pairs = dealt.select("similarity", "_self", "_other_keys", F.explode("_keys").alias("_one")).select("similarity", "_self", "_one", F.explode("_other_keys").alias("_two"))
+    once = (F.col("_one") < F.col("_two")) | (~F.col("_self") & (F.col("_one") != F.col("_two")))
+    return pairs.filter(once).select(F.least("_one", "_two").alias(key), F.greatest("_one", "_two").alias("other"), "similarity")
 
 
 def stride_negatives(rows: DataFrame, label: str = "label", order: str = "ord", per_positive: int = 4, least: int = 40) -> DataFrame:

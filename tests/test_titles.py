@@ -35,3 +35,12 @@ def test_pairs_against_all_pairs(spark, least, within):
 
 def test_no_titles(spark):
     assert corpus.similar_titles(spark.createDataFrame([], "id long, name string"), "id", (), 0.8).count() == 0
+
+
+def test_a_name_of_many_titles_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "CHUNK", 16)
+    rows = [(k, "red ring" if k % 3 else "red rings", "x") for k in range(300)]
+    pairs = corpus.similar_titles(spark.createDataFrame(rows, "id long, name string, shop string"), "id", (), 0.5)
+    assert sorted(tuple(x) for x in pairs.collect()) == brute(rows, 0.5, False)
+    sizes = pairs.rdd.glom().map(len).collect()
+    assert max(sizes) < sum(sizes) / 2
