@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from suasion.functions.bind import bound, once
 from suasion.operators.dims import STAGES
 from suasion.operators.telemetry import COHORT, MAX_BATCH, OUTCOME_COHORT, SITE
 
@@ -55,13 +56,15 @@ def valid_outcome(item: Column, categories: tuple[str, ...], as_of_day: int) ->
 def _items(raw: Column) -> Column:
     """The members of a raw JSON array, each a map of key to raw JSON value (null where it is no object)."""
     members = F.from_json(raw, "array<string>")
-    return F.transform(members, lambda m: F.when(m.startswith("{"), F.map_from_arrays(F.json_object_keys(m), F.transform(F.json_object_keys(m), lambda k: _raw(m, k)))))
+    return F.transform(members, lambda m: F.when(m.startswith("{"), once(F.json_object_keys(m), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: _raw(m, k))))))
 
 
 def _raw(whole: Column, key: Column) -> Column:
     """A key's raw JSON value: what follows the key, up to the comma or brace that ends a flat value."""
-    found = F.call_function("regexp_extract", whole, F.concat(F.lit('"'), key, F.lit(r'"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}\s]+)')), F.lit(1))
-    return F.nullif(found, F.lit(""))
+    behind = r'"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}\s]+)'
+    # the keys that rows have are patterns of their own, as a pattern that changes from key to key is compiled anew each time
+    known = F.coalesce(*(F.when(key == k, F.regexp_extract(whole, f'"{k}{behind}', 1)) for k in dict.fromkeys((*RECORD_KEYS, *OUTCOME_KEYS))), F.call_function("regexp_extract", whole, F.concat(F.lit('"'), key, F.lit(behind)), F.lit(1)))
+    return F.nullif(known, F.lit(""))
 
 
 def judge(bodies: DataFrame, categories: tuple[str, ...], as_of_day: int, max_batch: int = MAX_BATCH) -> DataFrame:
@@ -72,13 +75,14 @@ def judge(bodies: DataFrame, categories: tuple[str, ...], as_of_day: int, max_ba
     or not at all.
     """
     top = F.from_json("body", "v string, records string, outcomes string")
-    read = bodies.select("*", top.alias("top")).select("*", F.coalesce("top.outcomes", F.lit("[]")).alias("o"), F.col("top.records").alias("r"))
-    lists = read.select("*", F.when(F.col("r").startswith("["), _items(F.col("r"))).alias("records"), F.when(F.col("o").startswith("["), _items(F.col("o"))).alias("outcomes"))
+    # bound, as a filter on the status would otherwise take the members apart wherever it names them
+    read = bound(bodies, "top", top).select("*", F.coalesce("top.outcomes", F.lit("[]")).alias("o"), F.col("top.records").alias("r"))
+    lists = bound(bound(read, "records", F.when(F.col("r").startswith("["), _items(F.col("r")))), "outcomes", F.when(F.col("o").startswith("["), _items(F.col("o"))))
     total = F.size("records") + F.size("outcomes")
     shape = F.col("top.v").isin(*map(str, PROTOCOLS)) & F.col("records").isNotNull() & F.col("outcomes").isNotNull() & ((F.col("top.v") == "3") | (F.size("outcomes") == 0)) & total.between(1, max_batch)
     valid = F.forall("records", lambda x: valid_record(x, categories, as_of_day)) & F.forall("outcomes", lambda x: valid_outcome(x, categories, as_of_day))
     status = F.when(F.coalesce(F.col("method") != "POST", F.lit(True)), 405).when(~F.coalesce(F.col("content_type").contains("application/json"), F.lit(False)), 415).when(~F.coalesce(shape, F.lit(False)), 400).when(~F.coalesce(valid, F.lit(False)), 422).otherwise(204)
-    return lists.select("batch_id", "records", "outcomes", status.alias("status"))
+    return bound(lists, "status", status).select("batch_id", "records", "outcomes", "status")
 
 
 def admitted(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +97,17 @@ def admitted(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows("records", RECORD_KEYS, F.col("x")["confidenceQuartile"].cast("int").alias("quartile")), rows("outcomes", OUTCOME_KEYS, (F.col("x")["addedToCart"] == "true").cast("int").alias("added_to_cart"))
 
 
+def admitted_queue(judged: DataFrame) -> DataFrame:
+    """The rows of admitted batches as the one queue that tagged_union makes of them, from one reading of the batches."""
+    x, record = F.col("q.x"), F.col("q.kind") == "record"
+    tagged = lambda members, kind: F.transform(members, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("x")))
+    rows = judged.filter("status = 204").select("batch_id", F.explode(F.concat(tagged("records", "record"), tagged("outcomes", "outcome"))).alias("q"))
+    return rows.select(
+        "batch_id", _text(x, "patternId").alias("pattern_id"), _text(x, "detectorId").alias("detector_id"), _text(x, "funnelStage").alias("funnel_stage"), _text(x, "site").alias("site"), _text(x, "originCategory").alias("origin_category"), _text(x, "rulepackVersion").alias("rulepack_version"),
+        x["dayBucket"].cast("long").alias("day_bucket"), F.when(record, x["confidenceQuartile"].cast("int")).alias("quartile"), F.when(~record, (x["addedToCart"] == "true").cast("int")).alias("added_to_cart"), F.col("q.kind").alias("kind"),
+    )
+
+
 def merge_counters(stored: DataFrame, rows: DataFrame, cohort: tuple[str, ...] = COHORT) -> DataFrame:
     """Stored counters (cohort, n, reporters) with new batches taken up: n grows by rows, reporters by one for each batch.
 

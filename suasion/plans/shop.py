@@ -13,8 +13,9 @@ from suasion.functions import facts, fixtures, hashing, money
 from suasion.functions.bind import bound
 from suasion.operators import ingest, page_pass
 from suasion.operators.telemetry import COHORT
-from suasion.plans.bridge import TABLES, frame, oracle
+from suasion.plans.bridge import TABLES, dealt, frame, oracle
 from suasion.sources import pages
+from suasion.sources.tables import table
 from suasion.streaming.run import stored
 
 HTML = """
@@ -45,9 +46,8 @@ STAGE_SQL = "CASE WHEN round(browse, 6) >= greatest(round(pdp, 6), round(cart, 6
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    """The parts, dealt evenly to more tasks than there are cores: their file is small, and what is made of a row is not."""
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name").repartition(tasks)
+    """The parts, dealt: their file is small, and what is made of a row is not."""
+    return dealt(table(spark, d, "part").select("p_partkey", "p_name"))
 
 
 def shop(spark: SparkSession, d: str, *parts: str) -> DataFrame:
@@ -202,7 +202,7 @@ TABLES["b_requests"] = """
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.judge(frame(spark, d, "b_requests"), CATEGORIES, 20_000)
+    return ingest.judge(frame(spark, d, "b_requests", orders=dealt(table(spark, d, "orders").select("o_orderkey"))), CATEGORIES, 20_000)
 
 
 def vl3_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -215,9 +215,7 @@ VL3 = oracle(f"SELECT batch_id, {STATUS}::INTEGER AS status FROM b_requests", "b
 
 def ag2_merge(spark: SparkSession, d: str) -> DataFrame:
     """Counters of one half of the batches, then the other half taken up."""
-    records, outcomes = ingest.admitted(_requests(spark, d))
-    queue = ingest.tagged_union(records, outcomes)
-    records, _ = ingest.split_union(queue)
+    records, _ = ingest.split_union(stored(ingest.admitted_queue(_requests(spark, d))))
     half = F.pmod(F.col("batch_id").cast("long"), F.lit(2)) == 0
     empty = records.limit(0).groupBy(*COHORT).agg(F.count("*").alias("n"), F.count("*").alias("reporters"))
     return ingest.merge_counters(ingest.merge_counters(empty, records.filter(half)), records.filter(~half))
@@ -227,8 +225,7 @@ AG2 = oracle(f"SELECT 'urgency.countdown' AS pattern_id, 'urgency.countdown@1' A
 
 
 def so2_union(spark: SparkSession, d: str) -> DataFrame:
-    records, outcomes = ingest.admitted(_requests(spark, d))
-    return ingest.tagged_union(records, outcomes).select("batch_id", "kind", "pattern_id", "site", F.coalesce("added_to_cart", F.lit(-1)).alias("added_to_cart"))
+    return ingest.admitted_queue(_requests(spark, d)).select("batch_id", "kind", "pattern_id", "site", F.coalesce("added_to_cart", F.lit(-1)).alias("added_to_cart"))
 
 
 SO2 = oracle(f"SELECT batch_id, 'record' AS kind, 'urgency.countdown' AS pattern_id, 'shop' || (k % 5) || '.com' AS site, -1::INTEGER AS added_to_cart FROM b_requests WHERE {STATUS} = 204 UNION ALL SELECT batch_id, 'outcome', CASE k % 3 WHEN 0 THEN '_page' ELSE 'urgency.countdown' END, 'shop' || (k % 5) || '.com', (k % 2 = 0)::INTEGER FROM b_requests WHERE {STATUS} = 204", "b_requests")

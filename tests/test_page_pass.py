@@ -45,3 +45,16 @@ def test_numbering_in_ranges_is_the_row_number(spark):
     for key in range(3):
         assert [n for k, _, n in got if k == key] == sorted(n for k, _, n in got if k == key) or len({o for k, o, _ in got if k == key}) < 300
         assert sorted(n for k, _, n in got if k == key) == list(range(300))
+
+
+def test_the_queue_of_admitted_rows_reads_the_batches_once(spark):
+    record = '{"patternId": "a.b", "detectorId": "a.b@1", "funnelStage": "pdp", "site": "shop1.com", "originCategory": "other", "rulepackVersion": "1", "dayBucket": 20000, "confidenceQuartile": 2}'
+    outcome = '{"patternId": "_page", "funnelStage": "pdp", "site": "shop1.com", "originCategory": "other", "rulepackVersion": "1", "dayBucket": 20000, "addedToCart": true}'
+    rows = [("a", "POST", "application/json", f'{{"v": 3, "records": [{record}, {record}], "outcomes": [{outcome}]}}'), ("b", "POST", "application/json", f'{{"v": 3, "records": [{record}, 7], "outcomes": []}}')]
+    judged = ingest.judge(spark.createDataFrame(rows, "batch_id string, method string, content_type string, body string"), ("other",), 20_000)
+    queue = ingest.admitted_queue(judged)
+    both = ingest.tagged_union(*ingest.admitted(judged))
+    assert sorted(map(str, queue.select(both.columns).collect())) == sorted(map(str, both.collect()))
+    assert queue.count() == 3
+    plan = queue._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_object_keys") <= 2
