@@ -12,7 +12,7 @@ from suasion.plans.shop import shop
 from suasion.plans.streams import _events
 from suasion.sources import batches, fixtures
 from suasion.streaming import views
-from suasion.streaming.run import drain, new_folder
+from suasion.streaming.run import drain, new_folder, stored
 
 # one or two blocks of JSON-LD for each order: kinds and keys at depths from 0 to 8, lists, broken text
 TABLES["b_ld"] = """
@@ -62,7 +62,7 @@ SELECT true AS is_commerce, s::DOUBLE AS commerce_score, has_product_ld, count(*
 
 def cl1_pages(spark: SparkSession, d: str) -> DataFrame:
     """The gate from HTML to verdict."""
-    return page_pass.shops(shop(spark, d)).select("page_id", "is_commerce", "commerce_score", "reasons")
+    return page_pass.shops(stored(shop(spark, d, "meta"))).select("page_id", "is_commerce", "commerce_score", "reasons")
 
 
 CL1_PAGES = oracle(
