@@ -16,6 +16,14 @@ OPTIONAL = ("dd", "dt", "li", "option", "p", "td", "th", "tr")
 #: Comments; scripts and styles whole; tags, quoted values whole; tags with a stray quote; text; a stray bracket.
 TOKEN = r"""(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[a-z/!](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[a-z/!][^>]*>|[^<]+|<"""
 TEXT = "#text"
+#: Bytes of markup that a task takes apart: its windows hold some thirty times as many.
+TASK_BYTES = 8 << 20
+
+
+def dealt(pages: DataFrame, html: str) -> DataFrame:
+    """The pages dealt by page_id to as many tasks as their bytes ask for, so that a task's share does not grow with the table."""
+    size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    return pages.repartition(max(2 * pages.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "page_id")
 
 
 def nodes(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -29,10 +37,10 @@ def nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     are elements without contents, texts are nodes with the tag #text; comments, doctypes and stray end tags are left out,
     as are pages that are null or empty. ``raw`` is the tag or text as written.
 
-    Pages are dealt by page_id once, as text; all the windows below find their rows there.
+    Pages are dealt by page_id once, as text, after their bytes are summed; all the windows below find their rows there.
     """
     token = F.col("raw")
-    cut = pages.select("page_id", html).repartition("page_id").select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))).alias("pos", "raw"))
+    cut = dealt(pages.select("page_id", html), html).select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))).alias("pos", "raw"))
     tag = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s/>]*)", 1))
     whole = token.rlike(r"(?is)^<(?:script|style)\b.*</(?:script|style)\s*>$")
     kind = F.when(token.startswith("<!"), "note").when(~token.rlike(r"^</?[A-Za-z]"), F.when(token.rlike(r"^</"), "note").otherwise("text")).when(token.startswith("</"), "close").when(tag.isin(*VOID) | whole, "void").otherwise("open")

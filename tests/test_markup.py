@@ -109,3 +109,13 @@ def test_a_very_long_tag_and_page(spark):
     html = "<div " + "a='1' " * 20_000 + ">" + "<b>x</b>" * 20_000 + "</div>"
     found = markup.nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
     assert [(r.tag, r["n"]) for r in found.groupBy("tag").agg(F.count("*").alias("n")).orderBy("tag").collect()] == [("#text", 20_000), ("b", 20_000), ("div", 1)]
+
+
+def test_tasks_grow_with_the_bytes_of_the_pages(spark, monkeypatch):
+    """A task's share of pages is bounded by their bytes, however many there are; few small tasks are not put together again."""
+    monkeypatch.setattr(markup, "TASK_BYTES", 1_000, raising=False)
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 993), F.lit("</p>")).alias("html"))
+    found = markup.nodes(pages)
+    assert found.rdd.getNumPartitions() == 60
+    assert found.count() == 120
+    assert markup.nodes(pages.limit(0)).count() == 0
