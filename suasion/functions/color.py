@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from suasion.functions.bind import once
+
 
 def parse_color(css: Column) -> Column:
     """struct(r, g, b, a) of rgb(), rgba(), #rgb, #rrggbb, #rrggbbaa and transparent; else null."""
@@ -25,7 +27,7 @@ def parse_color(css: Column) -> Column:
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out a single time; null for null."""
-    return F.when(value.isNotNull(), F.element_at(F.transform(F.array(value), use), 1))
+    return once(value, lambda v: F.when(v.isNotNull(), use(v)))
 
 
 def composite(fg: Column, bg: Column) -> Column:
