@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from suasion.functions.url import DEFAULT_RULES, SuffixRules
 from suasion.operators.telemetry import site_of
+from suasion.streaming.run import in_order
 
 # fixed values: rows that make a batch, how long fewer may wait, how many a queue keeps, how long a card waits
 MIN_BATCH, MAX_AGE_MS, QUEUE_CAP, CARD_MS = 25, 86_400_000, 5_000, 60_000
@@ -30,7 +31,8 @@ class _Queue(StatefulProcessor):
         self.head = handle.getValueState("head", "consent boolean, timer_ms long")
         self.rows = handle.getListState("rows", "ts_ms long, seq long")
 
-    def _save(self, consent: bool, rows: list[tuple[int, int]], timer: int, watermark: int) -> None:
+    def _save(self, consent: bool, rows: list[tuple[int, int]], timer: int, watermark: int, before: list[tuple[int, int]]) -> None:
+        """Each call to the store is a round trip, so only what has changed is written."""
         due = max(rows[0][0] + MAX_AGE_MS, watermark) + 1 if rows else 0
         if timer != due:
             if timer:
@@ -38,15 +40,18 @@ class _Queue(StatefulProcessor):
             if due:
                 self.handle.registerTimer(due)
         self.head.update((consent, due))
-        self.rows.clear()
-        if rows:
+        if rows and rows != before:
             self.rows.put(rows)
+        elif before and not rows:
+            self.rows.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        consent, timer = self.head.get() if self.head.exists() else (True, 0)
-        held = [tuple(x) for x in self.rows.get()] if self.head.exists() else []
+        head = self.head.get()
+        consent, timer = head or (True, 0)
+        # rows wait just where a timer is set
+        held = before = [tuple(x) for x in self.rows.get()] if timer else []
         sent = []
-        for r in pd.concat(list(rows)).sort_values(["ts_ms", "seq"]).itertuples(index=False):
+        for r in in_order(rows):
             if held and r.ts_ms - held[0][0] > MAX_AGE_MS:
                 sent.append((*key, held[0][0] + MAX_AGE_MS, len(held), [s for _, s in held]))
                 held = []
@@ -58,8 +63,9 @@ class _Queue(StatefulProcessor):
                 if len(held) >= MIN_BATCH:
                     sent.append((*key, int(r.ts_ms), len(held), [s for _, s in held]))
                     held = []
-        self._save(consent, held, timer, timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(sent, columns=["reporter", "sent_ms", "n", "seqs"])
+        self._save(consent, held, timer, timerValues.getCurrentWatermarkInMs() if held else 0, before)
+        if sent:
+            yield pd.DataFrame(sent, columns=["reporter", "sent_ms", "n", "seqs"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         consent, _ = self.head.get()
