@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from suasion.operators.history import EXIT_MS, GESTURE_MS, HIDDEN_MS, TEXT_MOST
+from suasion.streaming.run import in_order
 
 EPHEMERAL_MS, IDLE_MS = 15_000, 86_400_000
 MAX_ELEMENTS, MAX_MODALS, NEST = 2_000, 24, 6
@@ -149,14 +150,28 @@ class Watcher(StatefulProcessor):
     def _maps(self) -> dict:
         return {"texts": self.texts, "born": self.born, "modals": self.modals, "looks": self.looks}
 
-    def _load(self) -> tuple[Page, int]:
-        page, timer = Page(), 0
-        if self.head.exists():
-            page.recording, page.gesture, page.leaving, page.last_ms, timer = self.head.get()
+    def _load(self) -> tuple[Page, int, dict[str, dict[str, tuple]]]:
+        """The page, its timer, and what each map holds in the store."""
+        page, timer, stored = Page(), 0, {name: {} for name in self._maps()}
+        head = self.head.get()
+        if head is not None:
+            page.recording, page.gesture, page.leaving, page.last_ms, timer = head
             for name, state in self._maps().items():
-                rows = sorted(((k[0], tuple(v)) for k, v in state.iterator()), key=lambda x: x[1][-1])
+                stored[name] = {k[0]: tuple(v) for k, v in state.iterator()}
+                rows = sorted(stored[name].items(), key=lambda x: x[1][-1])
                 setattr(page, name, {k: v[0] if len(v) == 2 else v[:-1] for k, v in rows})
-        return page, timer
+        return page, timer, stored
+
+    def _save(self, page: Page, due: int, stored: dict[str, dict[str, tuple]]) -> None:
+        """Each call to the store is a round trip, so only entries that have changed are written or removed."""
+        self.head.update((page.recording, page.gesture, page.leaving, page.last_ms, due))
+        for name, state in self._maps().items():
+            now = {path: (*(value if isinstance(value, tuple) else (value,)), at) for at, (path, value) in enumerate(getattr(page, name).items())}
+            for path in stored[name].keys() - now.keys():
+                state.removeKey((path,))
+            for path, value in now.items():
+                if stored[name].get(path) != value:
+                    state.updateValue((path,), value)
 
     def _clear(self) -> None:
         self.head.clear()
@@ -164,9 +179,9 @@ class Watcher(StatefulProcessor):
             state.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        page, timer = self._load()
+        page, timer, stored = self._load()
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts_ms", "seq"]).itertuples(index=False):
+        for r in in_order(rows):
             if page.last_ms and r.ts_ms - page.last_ms > IDLE_MS:
                 page = Page()
             out += [(*key, *x) for x in page.take(r)]
@@ -175,14 +190,11 @@ class Watcher(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if timer != due:
             self.handle.registerTimer(due)
-        self._clear()
-        self.head.update((page.recording, page.gesture, page.leaving, page.last_ms, due))
-        for name, state in self._maps().items():
-            for at, (path, value) in enumerate(getattr(page, name).items()):
-                state.updateValue((path,), (*(value if isinstance(value, tuple) else (value,)), at))
-        frame = pd.DataFrame(out, columns=_COLUMNS)
-        frame["since_ms"] = frame["since_ms"].astype("Int64")
-        yield frame
+        self._save(page, due, stored)
+        if out:
+            frame = pd.DataFrame(out, columns=_COLUMNS)
+            frame["since_ms"] = frame["since_ms"].astype("Int64")
+            yield frame
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self._clear()

@@ -308,3 +308,40 @@ def test_cards_wait_a_minute_and_are_read_once(spark, tmp_path):
     stream = spark.readStream.schema("origin string, ts timestamp, seq long, kind string, card string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     got = sorted((r["site"], r["card"], r["asked_seq"], r["waited_ms"]) for r in drain(queue.handed_over(stream), conf=STORE).collect())
     assert got == [("a.com", "c1", 1, 60_000), ("c.com", "c4", 8, 4)]
+
+
+class _Calls(dict):
+    """A map in a store that notes each call."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.calls = []
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls.append(("update", *key))
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls.append(("remove", *key))
+
+    def update(self, value):
+        self.calls.append(("head",))
+
+
+def test_a_page_writes_what_has_changed_alone():
+    from suasion.streaming import watch
+
+    watcher, page = watch.Watcher(), watch.Page()
+    watcher.head, watcher.texts, watcher.born, watcher.modals, watcher.looks = (_Calls() for _ in range(5))
+    page.texts, page.modals = {"a": "1", "b": "3"}, {"m": (True, None)}
+    watcher._save(page, 5, {"texts": {"a": ("1", 0), "b": ("2", 1), "c": ("9", 2)}, "born": {}, "modals": {"m": (True, None, 0)}, "looks": {}})
+    assert watcher.texts.calls == [("remove", "c"), ("update", "b")]
+    assert watcher.born.calls == watcher.modals.calls == watcher.looks.calls == []
+
+
+def test_rows_of_a_key_are_taken_in_order():
+    import pandas as pd
+
+    from suasion.streaming.run import in_order
+
+    frames = [pd.DataFrame({"ts": [0, 0], "ts_ms": [5, 3], "seq": [1, 2], "kind": ["a", None]}), pd.DataFrame({"ts": [0, 0], "ts_ms": [3, 3], "seq": [1.0, None], "kind": ["c", "d"]})]
+    assert [(r.ts_ms, r.kind) for r in in_order(frames)] == [(3, "c"), (3, None), (3, "d"), (5, "a")]
