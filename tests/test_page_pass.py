@@ -25,6 +25,21 @@ def test_odd_pages_do_no_harm(html):
     assert isinstance(pages.nodes_of(html), list)
 
 
+ODD = ["<p>a<p/>b", '<p a="1"b="2">$1</p>', "<p id=a1 id=b2>Only 2 left</p>", "<a href=/c/>Only 3 left</a>", "<!-- Only 1 left --><p>Only 1 left<!-->", "x < y <p>Only 4 left", "<SCRIPT>Only <p>1</SCRIPT><p>Only 5 left", "<script>Only 6 left", "<p>Only 7 left &amp &#36;5", "<p title='&lt;'>Only 8 left</p >", "<svg><p>$3</p></svg><b hidden/>$4"]
+
+
+@pytest.mark.parametrize("html", [PAGE, PAGE.upper(), *ODD])
+def test_the_plain_reader_makes_the_tree_of_the_html_parser(html, monkeypatch):
+    told = pages.meta_of(html), pages.nodes_of(html)
+    monkeypatch.setattr(pages, "_plain", lambda html: None)
+    assert told == (pages.meta_of(html), pages.nodes_of(html))
+
+
+def test_plain_pages_do_not_go_through_the_html_parser(monkeypatch):
+    monkeypatch.setattr(pages.HTMLParser, "feed", None)
+    assert len(pages.nodes_of("<!doctype html>" + PAGE)) == len(pages.nodes_of(PAGE)) > 5
+
+
 def test_null_pages_have_a_row_and_no_nodes(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, PAGE)], "page_id long, html string")
     assert {r["page_id"]: len(r["nodes"]) for r in pages.scan(df).collect()}.keys() == {1, 2, 3}
